@@ -41,6 +41,7 @@ def load_all() -> dict[str, Query]:
     from ledgerline.plans import (  # noqa: F401
         q_diff,
         q_feed,
+        q_orders,
         q_reconcile,
     )
     return REGISTRY
