@@ -1,14 +1,14 @@
 """Derived fixtures over the driver tables (FIXTURES.md section B).
 
 Each body runs unchanged in Spark SQL (ANSI on) and DuckDB. Table names are
-written as ``{lineitem}`` placeholders: Spark binds them to DataFrames through
+written as ``{lineitem}`` placeholders (literal braces doubled): Spark binds them to DataFrames through
 ``spark.sql(text, lineitem=df)`` (no global temp views), the oracle renders
 them as plain view names.
 """
 
 from __future__ import annotations
 
-import re
+import string
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -90,6 +90,23 @@ SELECT l_orderkey * 10 + l_linenumber AS media_id,
        concat('http://m/', cast(l_orderkey AS string), '/', cast(l_linenumber AS string)) AS url,
        cast(l_linenumber AS int) AS position
 FROM {lineitem}
+""",
+    # Derived beyond FIXTURES.md: a product master with JSON text columns and
+    # falsy values, built from `products` (runs unchanged on both engines).
+    "products_m2": """
+SELECT part_number AS sku,
+       CASE WHEN vendor_id % 10 = 0 THEN NULL ELSE short_description END AS name,
+       vendor_id % 5 AS attribute_set_id,
+       concat('{{"rrp":', cast(msrp AS string), '}}') AS price,
+       vendor_id % 2 = 0 AS status,
+       CASE WHEN vendor_id % 3 = 0 THEN NULL ELSE 2 END AS visibility,
+       CASE WHEN vendor_id % 4 = 0 THEN '' ELSE 'simple' END AS type_id,
+       CASE WHEN vendor_id % 6 = 0 THEN NULL ELSE msrp / 1000 END AS weight,
+       brand_name AS brand,
+       concat('{{"brand":"', brand_name, '","category":"', category_name, '"}}') AS custom_attributes,
+       '{{"website_ids":[1]}}' AS extension_attributes,
+       concat('["http://img/', part_number, '/1.jpg","http://img/', part_number, '/2.jpg"]') AS image_urls
+FROM {products}
 """,
     "category_nodes": """
 SELECT 0 AS category_id, 'Root' AS name, cast(NULL AS int) AS parent_id
@@ -98,23 +115,23 @@ UNION ALL SELECT 100 + n_nationkey, n_name, 1 + n_regionkey FROM {nation}
 """,
 }
 
-_PLACEHOLDER = re.compile(r"\{(\w+)\}")
-
-
 def base_tables(name: str) -> list[str]:
-    return sorted(set(_PLACEHOLDER.findall(FIXTURE_SQL[name])))
+    """Placeholder names in a fixture body (literal braces are doubled)."""
+    return sorted({f for _, f, _, _ in string.Formatter().parse(FIXTURE_SQL[name]) if f})
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Build fixture ``name`` as a Spark DataFrame over the tables in sf_dir."""
+    """Build fixture ``name`` as a Spark DataFrame over the tables in sf_dir
+    (placeholders naming another fixture resolve to that fixture)."""
     text = FIXTURE_SQL[name]
-    dfs = {t: table(spark, sf_dir, t) for t in base_tables(name)}
+    dfs = {t: fixture(spark, sf_dir, t) if t in FIXTURE_SQL else table(spark, sf_dir, t)
+           for t in base_tables(name)}
     return spark.sql(text, **dfs)
 
 
 def oracle_body(name: str) -> str:
     """Fixture body with plain view names (for the DuckDB oracle)."""
-    return _PLACEHOLDER.sub(lambda m: m.group(1), FIXTURE_SQL[name]).strip()
+    return FIXTURE_SQL[name].format(**{t: t for t in base_tables(name)}).strip()
 
 
 def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:

@@ -39,6 +39,7 @@ def register(name: str, survey_id: str, oracle: str | None = None):
 def load_all() -> dict[str, Query]:
     """Import every query module (registration happens at import)."""
     from ledgerline.plans import (  # noqa: F401
+        q_catalog,
         q_diff,
         q_feed,
         q_orders,
