@@ -52,3 +52,24 @@ def hnau_ctes() -> dict[str, str]:
 
 def vs_ctes() -> dict[str, str]:
     return normalised_feed_ctes("feed_v", "v", "supplier_sku", "free_stock", "account", "account")
+
+
+# Unicode white space as a RE2 class (RE2's \s is ASCII only).
+WS = r"[\s\x0b\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def splitlines(x: str) -> str:
+    """Python ``str.splitlines()`` as a DuckDB list expression."""
+    parts = f"regexp_split_to_array({x}, '{LINE_BREAKS}')"
+    return (f"(CASE WHEN {x} = '' THEN CAST([] AS VARCHAR[]) "
+            f"WHEN regexp_matches({x}, '({LINE_BREAKS})$') THEN {parts}[1:len({parts}) - 1] "
+            f"ELSE {parts} END)")
+
+
+def blank(x: str) -> str:
+    return f"(regexp_replace({x}, '{WS}+', '', 'g') = '')"
+
+
+def rstrip(x: str) -> str:
+    return f"regexp_replace({x}, '{WS}+$', '')"

@@ -107,6 +107,14 @@ SELECT part_number AS sku,
        '{{"website_ids":[1]}}' AS extension_attributes,
        concat('["http://img/', part_number, '/1.jpg","http://img/', part_number, '/2.jpg"]') AS image_urls
 FROM {products}
+""",
+    # Documents with emoji, a Unicode dash, loose brackets, blank-line runs and
+    # a Markdown rule spliced in (the raw corpus has none of these).
+    "docs_spliced": """
+SELECT doc_id,
+       concat(text, ' 😀 — x', chr(10), '  (  spaced ) [ ]  ,  end ', chr(10), chr(10), chr(10), chr(10),
+              '---', chr(10), 'a - b -c', chr(10)) AS text
+FROM {documents}
 """,
     "category_nodes": """
 SELECT 0 AS category_id, 'Root' AS name, cast(NULL AS int) AS parent_id

@@ -44,5 +44,6 @@ def load_all() -> dict[str, Query]:
         q_feed,
         q_orders,
         q_reconcile,
+        q_text,
     )
     return REGISTRY
