@@ -6,8 +6,11 @@ violations (or their counts) as a DataFrame; nothing is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.scalars import normalise_key
 
@@ -41,3 +44,53 @@ def validate_mapping(df: DataFrame, sku: str, account: str, qty: str, *,
         F.coalesce(F.sum("_nq"), F.lit(0)).cast("bigint").alias("negative_qty"),
         F.sum(_flag(F.col("_n") > 1)).cast("bigint").alias("dup_key_groups"),
     )
+
+
+def _unpivot_counts(agg_row: DataFrame, names: list[str], label: str, value: str) -> DataFrame:
+    rows = [F.struct(F.lit(n).alias(label), F.col(f"_c{i}").cast("bigint").alias(value))
+            for i, n in enumerate(names)]
+    return agg_row.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+
+
+def not_null_audit(df: DataFrame, columns: list[str]) -> DataFrame:
+    """K2: null count per NOT NULL column, one pass, as (column_name, nulls)."""
+    agg = df.agg(*[F.sum(_flag(F.col(c).isNull())).alias(f"_c{i}") for i, c in enumerate(columns)])
+    return _unpivot_counts(agg, columns, "column_name", "nulls")
+
+
+def unique_violations(df: DataFrame, keys: list[str], primary_key: bool = False) -> DataFrame:
+    """K3: key values held by more than one row. UNIQUE exempts keys with a
+    null part (they never collide); a primary key does not."""
+    src = df if primary_key else df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    return src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def check_violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """K4: violations per CHECK rule (a SQL boolean expression); a rule that
+    evaluates to null passes, as in SQL."""
+    agg = df.agg(*[F.sum(_flag(~F.coalesce(F.expr(r), F.lit(True)))).alias(f"_c{i}")
+                   for i, r in enumerate(rules.values())])
+    return _unpivot_counts(agg, list(rules), "rule", "violations")
+
+
+def exactly_one_violations(df: DataFrame, value_cols: list[str]) -> DataFrame:
+    """K5: rows where the number of non-null value columns is not exactly one."""
+    n = reduce(lambda a, b: a + b, [_flag(F.col(c).isNotNull()) for c in value_cols])
+    return df.where(n != 1)
+
+
+def orphan_rows(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
+    """K6: child rows whose non-null foreign key has no parent."""
+    return child.where(F.col(fk).isNotNull()).join(
+        parent.select(F.col(pk).alias("_pk")), F.col(fk) == F.col("_pk"), "left_anti")
+
+
+def unseen_runs(incoming: DataFrame, ledger: DataFrame, cols: list[str]) -> DataFrame:
+    """K8: incoming run keys (source, files, mtimes) not yet in the ledger;
+    nulls are folded (text -> '', numbers -> 0) so they compare equal."""
+    def fold(df):
+        return df.select(*[F.coalesce(F.col(c), F.lit("") if isinstance(df.schema[c].dataType, T.StringType)
+                                      else F.lit(0)).alias(f"_k_{c}") for c in cols], *df.columns)
+    keys = [f"_k_{c}" for c in cols]
+    seen = fold(ledger).select(*keys).distinct()
+    return fold(incoming).join(seen, keys, "left_anti").select(*incoming.columns).distinct()

@@ -43,6 +43,7 @@ def load_all() -> dict[str, Query]:
         q_diff,
         q_feed,
         q_orders,
+        q_quality,
         q_reconcile,
         q_text,
     )
