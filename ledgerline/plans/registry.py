@@ -45,6 +45,7 @@ def load_all() -> dict[str, Query]:
         q_orders,
         q_quality,
         q_reconcile,
+        q_sources,
         q_text,
     )
     return REGISTRY
