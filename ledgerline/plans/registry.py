@@ -46,6 +46,7 @@ def load_all() -> dict[str, Query]:
         q_quality,
         q_reconcile,
         q_sources,
+        q_stream,
         q_text,
     )
     return REGISTRY
