@@ -11,13 +11,20 @@ from ledgerline.operators.textdiff import line_diff
 from ledgerline.plans import duck
 from ledgerline.plans.fixtures import fixture, with_fixtures
 from ledgerline.plans.registry import register
-from ledgerline.session import table
+from ledgerline.session import spread, table
 
 WS = duck.WS
 
 
 def docs(spark, sf):
-    return fixture(spark, sf, "docs_spliced")
+    """Documents with spliced characters, spread over the cores for the
+    regex-heavy whole-text passes (a no-op when the scan already has enough
+    splits)."""
+    return spread(fixture(spark, sf, "docs_spliced"), "doc_id")
+
+
+def pages(spark, sf):
+    return spread(table(spark, sf, "pages"), "page_id")
 
 
 def _docs_sql(expr: str, alias: str = "text") -> str:
@@ -170,7 +177,7 @@ register("c29_collapse_blank_lines", "C29", _docs_sql(_C29))(
 
 register("c30_drop_html_comments", "C30",
          "SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages")(
-    lambda spark, sf: table(spark, sf, "pages").select("page_id", T.drop_html_comments("html").alias("html")))
+    lambda spark, sf: pages(spark, sf).select("page_id", T.drop_html_comments("html").alias("html")))
 
 
 @register("c31_base64_media", "C31", """
@@ -179,7 +186,7 @@ SELECT page_id, to_base64(encode(html)) AS content,
             ELSE concat('image/', lower(regexp_extract(url, '\\.([^./]*)$', 1))) END AS mime
 FROM pages""")
 def c31(spark, sf):
-    p = table(spark, sf, "pages")
+    p = pages(spark, sf)
     return p.select("page_id", T.base64_text(F.encode("html", "UTF-8")).alias("content"),
                     T.mime_of("url").alias("mime"))
 
