@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import catalog as C
+from ledgerline.operators.catalog import media_entries, type_product_rows
 from ledgerline.plans.fixtures import fixture, with_fixtures
 from ledgerline.plans.registry import register
 from ledgerline.session import table
@@ -447,3 +448,90 @@ SELECT category_id, CASE WHEN list_contains(ancestors, {TOGGLE_NODE})
     extra={"sel": _SELECTED}))
 def j7(spark, sf):
     return C.toggle_subtree(tree(spark, sf), selected_categories(spark, sf), TOGGLE_NODE)
+
+
+# ---------------------------------------------------------------------------
+# C18 / H7 / I7 / G10
+
+
+@register("c18_line_amount", "C18", with_fixtures(
+    "SELECT order_fk, line_reference, quantity, subtotal / quantity AS unit_price, "
+    "quantity * (subtotal / quantity) AS line_amount FROM order_items", "order_items"))
+def c18(spark, sf):
+    from ledgerline.functions.scalars import line_amount
+    it = fixture(spark, sf, "order_items").select("order_fk", "line_reference", "quantity",
+                                                  (F.col("subtotal") / F.col("quantity")).alias("unit_price"))
+    return it.withColumn("line_amount", line_amount("quantity", "unit_price"))
+
+
+PREVIEW_ROWS = 20
+
+
+@register("h7_preview", "H7", with_fixtures(
+    f"SELECT * FROM stock_wh ORDER BY row_id, sku, account, qty LIMIT {PREVIEW_ROWS}", "stock_wh"))
+def h7(spark, sf):
+    return fixture(spark, sf, "stock_wh").orderBy("row_id", "sku", "account", "qty").limit(PREVIEW_ROWS)
+
+
+def product_update_rows(spark, sf):
+    """Product CSV rows (all text) derived from the product master: lenient
+    booleans, numbers as float text, a bad weight, 'null' JSON, and a second
+    (later) row for every fifth product that must win."""
+    m2 = fixture(spark, sf, "products_m2")
+    first = m2.select(
+        F.lit(1).alias("row_no"), "sku", "name",
+        F.when(F.col("status"), F.lit(" Yes")).otherwise(F.lit("0")).alias("status"),
+        F.when(F.col("attribute_set_id") == 1, F.lit("n/a")).otherwise(F.col("weight").cast("string")).alias("weight"),
+        F.concat(F.coalesce(F.col("visibility"), F.lit(4)).cast("string"), F.lit(".0")).alias("visibility"),
+        F.when(F.col("attribute_set_id") == 2, F.lit("null")).otherwise(F.col("price")).alias("price"),
+        "custom_attributes",
+        F.when(F.col("attribute_set_id") == 3, F.lit("TRUE")).otherwise(F.lit("false")).alias("in_stock"))
+    second = first.where(F.col("sku").endswith("5")).select(
+        F.lit(2).alias("row_no"), "sku", F.concat(F.lit("NEW "), F.coalesce("name", F.lit(""))).alias("name"),
+        "status", "weight", "visibility", "price", "custom_attributes", "in_stock")
+    return first.unionByName(second)
+
+
+_I7_ROWS = """
+SELECT 1 AS row_no, sku, coalesce(name, '') AS name, status AS st, CASE WHEN attribute_set_id = 1 THEN NULL ELSE weight END AS weight,
+       coalesce(visibility, 4) AS visibility, CASE WHEN attribute_set_id = 2 THEN 'null' ELSE price END AS price,
+       CAST(json(custom_attributes) AS VARCHAR) AS custom_attributes, attribute_set_id = 3 AS in_stock FROM products_m2
+UNION ALL
+SELECT 2, sku, concat('NEW ', coalesce(name, '')), status, CASE WHEN attribute_set_id = 1 THEN NULL ELSE weight END,
+       coalesce(visibility, 4), CASE WHEN attribute_set_id = 2 THEN 'null' ELSE price END,
+       CAST(json(custom_attributes) AS VARCHAR), attribute_set_id = 3 FROM products_m2 WHERE sku LIKE '%5'
+"""
+
+
+@register("i7_product_upsert", "I7/C8/C9/C10", with_fixtures("""
+SELECT sku, name, st AS status, weight, visibility, price, custom_attributes, in_stock, '' AS brand,
+       CAST(NULL AS BIGINT) AS review_count, '' AS bulk_discounts FROM (
+  SELECT *, row_number() OVER (PARTITION BY sku ORDER BY row_no DESC) AS rn FROM rows) WHERE rn = 1""",
+    "products", "products_m2", extra={"rows": _I7_ROWS}))
+def i7(spark, sf):
+    import os
+
+    from ledgerline.operators.upsert import insert_or_replace
+    from ledgerline.session import scratch_path
+    from ledgerline.sources.readers import PRODUCT_COLUMNS, read_csv_raw
+    path = scratch_path(spark, f"inputs/{os.path.basename(sf.rstrip('/'))}/product_updates_csv")
+    product_update_rows(spark, sf).orderBy("sku", "row_no").drop("row_no").coalesce(1) \
+        .write.mode("overwrite").option("header", True).csv(path)
+    raw = read_csv_raw(spark, path).withColumn("_row", F.monotonically_increasing_id())
+    raw = raw.where(F.trim(F.coalesce("sku", F.lit(""))) != "").withColumn("sku", F.trim("sku"))
+    typed = type_product_rows(raw, PRODUCT_COLUMNS)
+    empty_target = typed.drop("_row").where(F.lit(False))
+    out = insert_or_replace(empty_target, typed, ["sku"], ["_row"])
+    return out.select("sku", "name", "status", "weight", "visibility", "price", "custom_attributes", "in_stock",
+                      "brand", "review_count", "bulk_discounts")
+
+
+@register("g10_media_entries", "G10/A7/C31")
+def g10(spark, sf):
+    import os
+
+    from ledgerline.sources.readers import read_files
+    files = read_files(spark, sf, "*.parquet").withColumn(
+        "sku", F.concat(F.lit("SF-"), F.lit(os.path.basename(sf.rstrip("/")))))
+    return media_entries(files).select("sku", "label", "position", "types", "content.type",
+                                       F.length("content.base64_encoded_data").alias("b64_len"))

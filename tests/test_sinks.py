@@ -62,3 +62,32 @@ def test_bom_and_ragged_csv(spark):
     rows = RD.read_feed_csv(spark, p).collect()
     assert [tuple(r) for r in rows] == [("1", "2", "3"), ("4", "5", None)]
     assert RD.read_csv_strings(spark, p).columns == ["a", "b", "c"]
+
+
+def test_write_reports_from_one_result(spark):
+    from ledgerline.operators import reconcile as R
+    from ledgerline.plans import q_reconcile
+    d = tempfile.mkdtemp()
+    joined = q_reconcile.reconciled(spark, SMALL).persist()
+    paths = W.write_reports({n: R.reconcile_subset(joined, n) for n in R.RECONCILE_SUBSETS},
+                            os.path.join(d, "inv"), "20250101")
+    assert len(paths) == 5
+    back = RD.read_csv_strings(spark, paths[0])
+    assert back.count() == R.reconcile_subset(joined, "mismatch").count()
+    joined.unpersist()
+
+
+def test_media_entries_from_files(spark):
+    import base64
+    from ledgerline.operators.catalog import media_entries
+    d = tempfile.mkdtemp()
+    for name, data in (("b.png", b"\x89PNG1"), ("a.jpg", b"\xff\xd8jpg")):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(data)
+    files = RD.read_files(spark, d).withColumn("sku", F.lit("S1"))
+    rows = sorted(media_entries(files).collect(), key=lambda r: r.position)
+    assert [r.label for r in rows] == ["a.jpg", "b.png"]
+    assert rows[0].types == ["image", "small_image", "thumbnail"] and rows[1].types == []
+    assert rows[0].content.type == "image/jpeg" and rows[1].content.type == "image/png"
+    assert rows[0].content.name == "S1-1.jpeg"
+    assert base64.b64decode(rows[1].content.base64_encoded_data) == b"\x89PNG1"
