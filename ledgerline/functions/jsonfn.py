@@ -92,12 +92,9 @@ def first_truthy_text(*cols: ColumnOrName) -> Column:
 
 
 def to_float_default(v: Column, default: float = 0.0) -> Column:
-    """``float(x)`` with a default (orders): numbers and numeric text."""
-    t = F.schema_of_variant(v)
-    num = t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
-    out = (F.when(num, F.try_variant_get(v, "$", "double"))
-           .when(t == "STRING", strip_ws(F.try_variant_get(v, "$", "string")).try_cast("double")))
-    return F.coalesce(out, F.lit(default))
+    """``float(x)`` with a default (orders): numbers, booleans and numeric
+    text (surrounding blanks allowed); anything else -> ``default``."""
+    return F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(default))
 
 
 def snake_keys(c: ColumnOrName, key_fn) -> Column:
