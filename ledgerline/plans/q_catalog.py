@@ -504,7 +504,7 @@ SELECT 2, sku, concat('NEW ', coalesce(name, '')), status, CASE WHEN attribute_s
 
 
 @register("i7_product_upsert", "I7/C8/C9/C10", with_fixtures("""
-SELECT sku, name, st AS status, weight, visibility, price, custom_attributes, in_stock, '' AS brand,
+SELECT sku, name, st AS status, weight, CAST(visibility AS BIGINT) AS visibility, price, custom_attributes, in_stock, '' AS brand,
        CAST(NULL AS BIGINT) AS review_count, '' AS bulk_discounts FROM (
   SELECT *, row_number() OVER (PARTITION BY sku ORDER BY row_no DESC) AS rn FROM rows) WHERE rn = 1""",
     "products", "products_m2", extra={"rows": _I7_ROWS}))
