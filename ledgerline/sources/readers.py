@@ -93,6 +93,15 @@ def newest_file(spark: SparkSession, path: str, glob: str) -> DataFrame:
                      F.count(F.lit(1)).alias("matched")).where(F.col("matched") > 0)
 
 
+def newest_path(spark: SparkSession, path: str, glob: str) -> str:
+    """Path of the newest matching file; raises when none matches
+    (collects the single aggregated row only)."""
+    row = newest_file(spark, path, glob).first()
+    if row is None:
+        raise FileNotFoundError(f"no file matches {glob} in {path}")
+    return row["path"]
+
+
 # Product CSV columns in export order, fixed values.
 PRODUCT_COLUMNS = ["attribute_set_id", "average_rating", "brand", "bulk_discounts", "categories", "created_at",
                    "custom_attributes", "description", "dimensions", "extension_attributes",

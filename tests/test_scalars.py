@@ -55,3 +55,21 @@ def test_role_guess():
     assert SH.guess_column(["Item Code", "Free Stock", "Vendor"], "sku") == "Item Code"
     assert SH.guess_column(["a", "b"], "qty") == "a"
     assert SH.guess_column(["x_supplier_x"], "account") == "x_supplier_x"
+
+
+def test_mapping_errors():
+    from ledgerline.operators.quality import mapping_errors
+    cols = ["sku", "acc", "q"]
+    assert mapping_errors(cols, "W", "sku", None, "q") == ["W: select Account."]
+    assert mapping_errors(cols, "W", "sku", "sku", "q") == ["W: SKU/Account/Quantity must be different columns."]
+    assert mapping_errors(cols, "W", "sku", "acc", "qty") == ["W: column 'qty' not found."]
+    assert mapping_errors(cols, "W", "sku", "acc", "q") == []
+
+
+def test_newest_path_raises_when_nothing_matches(spark, tmp_path):
+    import pytest
+    from ledgerline.sources.readers import newest_path
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    assert newest_path(spark, str(tmp_path), "*.csv").endswith("a.csv")
+    with pytest.raises(FileNotFoundError):
+        newest_path(spark, str(tmp_path), "*.json")
