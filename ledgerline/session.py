@@ -70,18 +70,20 @@ def tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n) for n in names}
 
 
-def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: str, partitions: int | None = None, cap: int = 64) -> DataFrame:
     """Give CPU-heavy per-row work enough tasks.
 
-    When the input has fewer partitions than the session's default
-    parallelism (a small table stored as one row group scans as one task),
-    hash-repartition it on ``keys`` (round robin without keys). With many
-    input splits, as on a cluster reading large tables, nothing is added.
+    When the input has fewer partitions than the target (the session's
+    default parallelism, capped at ``cap``) -- e.g. a small table stored as
+    one row group scans as one task -- hash-repartition it on ``keys``
+    (round robin without keys). An input that already has ``cap`` splits or
+    more, as any large table on a cluster, is returned unchanged, so no
+    shuffle is added at scale.
 
     Call it on a scan (or a narrow projection of one): on a plan that already
     contains a shuffle, counting partitions would make adaptive execution run
     the upstream stages early."""
-    target = partitions or df.sparkSession.sparkContext.defaultParallelism
+    target = partitions or min(df.sparkSession.sparkContext.defaultParallelism, cap)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
