@@ -14,6 +14,7 @@ from ledgerline.functions.scalars import ColumnOrName, _c
 
 # Line breaks recognised by Python's str.splitlines(), fixed values.
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+LINE_BREAK_CHARS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 
 # Emoji ranges removed by the emoji cleaner, fixed values (code points):
 # emoticons 1F600-1F64F, symbols & pictographs 1F300-1F5FF, transport & map
@@ -53,13 +54,14 @@ def split_lines(c: ColumnOrName) -> Column:
     start an extra (empty) line; empty text has no lines."""
     s = _c(c)
     parts = F.split(s, LINE_BREAKS)
-    ends_with_break = s.rlike("(" + LINE_BREAKS + ")$")
+    ends_with_break = F.substring(s, -1, 1).isin(*LINE_BREAK_CHARS)
     trimmed = F.when(ends_with_break, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
     return F.when(s == "", F.array().cast("array<string>")).otherwise(trimmed)
 
 
 def _blank(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\s+", "") == ""
+    """Only white space (or nothing): no non-space character is found."""
+    return ~x.rlike(r"(?U)\S")
 
 
 def _rstrip(x: Column) -> Column:
@@ -74,13 +76,14 @@ def snake_token(c: ColumnOrName) -> Column:
     s = F.regexp_replace(s, r"(?U)[\s\-]+", "_")
     s = F.regexp_replace(s, r"([a-z0-9])([A-Z])", "$1_$2")
     s = F.regexp_replace(s, "_+", "_")
-    return F.lower(F.regexp_replace(s, "^_+|_+$", ""))
+    return F.lower(F.btrim(s, F.lit("_")))
 
 
 def snake_simple(c: ColumnOrName) -> Column:
-    """C20: every run of non-alphanumerics -> ``_``, trimmed, lower-cased."""
-    s = F.regexp_replace(_c(c), "[^a-zA-Z0-9]+", "_")
-    return F.lower(F.regexp_replace(s, "^_+|_+$", ""))
+    r"""C20: every run of non-alphanumerics -> ``_``, trimmed, lower-cased.
+    (``[\W_]`` is ``[^a-zA-Z0-9]`` in ASCII mode and much faster in Java.)"""
+    s = F.regexp_replace(_c(c), r"[\W_]+", "_")
+    return F.lower(F.btrim(s, F.lit("_")))
 
 
 def snake_json_keys(c: ColumnOrName, key_fn=snake_token) -> Column:
@@ -126,7 +129,7 @@ def normalize_text(c: ColumnOrName) -> Column:
     dashes -> `` - ``, spaced ASCII hyphens -> `` - ``, blanks inside
     brackets trimmed, empty bracket pairs removed, blanks before
     punctuation removed, blank runs collapsed, line ends right-trimmed."""
-    s = F.regexp_replace(_c(c), r"\x{A0}", " ")
+    s = F.replace(_c(c), F.lit("\u00a0"), F.lit(" "))
     s = F.regexp_replace(s, dashes_class(), " - ")
     s = F.regexp_replace(s, r"(?U)\s+-\s+|\s+-|-\s+", " - ")
     s = F.regexp_replace(s, r"(?U)([\(\[\{])\s+", "$1")
@@ -148,7 +151,7 @@ def normalize_lines(c: ColumnOrName) -> Column:
     kept untouched; mixed empty bracket pairs such as ``(]`` removed; no
     ASCII hyphen rule."""
     def tidy(ln: Column) -> Column:
-        s = F.regexp_replace(ln, r"\x{A0}", " ")
+        s = F.replace(ln, F.lit("\u00a0"), F.lit(" "))
         s = F.regexp_replace(s, dashes_class(), " - ")
         s = F.regexp_replace(s, r"(?U)([\(\[\{])\s+", "$1")
         s = F.regexp_replace(s, r"(?U)\s+([\)\]\}])", "$1")
