@@ -514,7 +514,8 @@ def i7(spark, sf):
     from ledgerline.operators.upsert import insert_or_replace
     from ledgerline.session import scratch_path
     from ledgerline.sources.readers import PRODUCT_COLUMNS, read_csv_raw
-    path = scratch_path(spark, f"inputs/{os.path.basename(sf.rstrip('/'))}/product_updates_csv")
+    import uuid
+    path = scratch_path(spark, f"inputs/{os.path.basename(sf.rstrip('/'))}/product_updates_csv/{uuid.uuid4().hex}")
     product_update_rows(spark, sf).orderBy("sku", "row_no").drop("row_no").coalesce(1) \
         .write.mode("overwrite").option("header", True).csv(path)
     raw = read_csv_raw(spark, path).withColumn("_row", F.monotonically_increasing_id())

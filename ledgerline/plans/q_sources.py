@@ -5,6 +5,7 @@ tables into the shared checkpoint folder and read back."""
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,7 +19,8 @@ from ledgerline.sources import shaping as SH
 
 
 def _path(spark, sf, name):
-    return scratch_path(spark, f"inputs/{os.path.basename(sf.rstrip('/'))}/{name}")
+    """A fresh folder per call, so no call overwrites files another reads."""
+    return scratch_path(spark, f"inputs/{os.path.basename(sf.rstrip('/'))}/{name}/{uuid.uuid4().hex}")
 
 
 def _q(c):
