@@ -56,3 +56,33 @@ def test_first_per_key_hot_key_plan_has_partial_aggregation(spark):
     df = fixture(spark, SMALL, "stock_wh")
     plan = D.first_per_key(df, ["sku"], ["row_id"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_min" in plan
+
+
+def test_deep_and_shallow_pages_agree(spark):
+    from ledgerline.operators import catalog as C
+    df = spark.range(3000).select((F.col("id") * 7 % 3001).alias("k"))
+    shallow = C.page(df, ["k"], 5, 100)
+    old = C.TOP_K_PAGE_LIMIT
+    try:
+        C.TOP_K_PAGE_LIMIT = 0
+        deep = C.page(df, ["k"], 5, 100)
+    finally:
+        C.TOP_K_PAGE_LIMIT = old
+    assert sorted(shallow.collect()) == sorted(deep.collect())
+    assert len(shallow.collect()) == 100
+
+
+def test_hot_key_results(spark):
+    """A key holding a third of all rows: aggregation-based operators give
+    the same result as a brute-force statement."""
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string"))).alias("k"),
+        F.col("id").alias("row_id"), (F.col("id") % 5).alias("v"))
+    first = {r.k: (r.row_id, r.v) for r in D.first_per_key(df, ["k"], ["row_id"]).collect()}
+    assert first["HOT"] == (0, 0)
+    dups = D.duplicate_rows(df, ["k"], ["row_id"]).count()
+    assert dups == n - df.select("k").distinct().count()
+    up = U.insert_or_replace(df.where(F.lit(False)), df, ["k"], ["row_id"])
+    hot = up.where(F.col("k") == "HOT").first()
+    assert hot.row_id == max(i for i in range(n) if i % 3 == 0)
