@@ -49,6 +49,49 @@ def dashes_class() -> str:
     return "[" + "".join(f"\\x{{{c}}}" for c in DASHES) + "]"
 
 
+# Rule tables, applied in order as (Java regex, replacement); fixed values.
+# Snake case, tokenizer variant (C19): trim, punctuation -> blank, blanks and
+# hyphens -> "_", camelCase split, "_" runs collapsed.
+SNAKE_TOKEN_RULES = (
+    (r"(?U)^\s+|\s+$", ""),
+    (r"(?U)[^\w\s]+", " "),
+    (r"(?U)[\s\-]+", "_"),
+    (r"([a-z0-9])([A-Z])", "$1_$2"),
+    (r"_+", "_"),
+)
+# Whole-text tidy (C24): dashes, spaced ASCII hyphens, blanks inside
+# brackets, empty bracket pairs, blanks before punctuation, blank runs.
+TIDY_TEXT_RULES = (
+    (dashes_class(), " - "),
+    (r"(?U)\s+-\s+|\s+-|-\s+", " - "),
+    (r"(?U)([\(\[\{])\s+", "$1"),
+    (r"(?U)\s+([\)\]\}])", "$1"),
+    (r"(?U)\(\s*\)", ""),
+    (r"(?U)\[\s*\]", ""),
+    (r"(?U)\{\s*\}", ""),
+    (r"(?U)\s+([,.;:!?])", "$1"),
+    (r"[ \t\f\x0b]+", " "),
+)
+# Line tidy (C25): as above without the ASCII hyphen rule, and any empty
+# pair of brackets (also mixed, such as "(]") removed.
+TIDY_LINE_RULES = (
+    (dashes_class(), " - "),
+    (r"(?U)([\(\[\{])\s+", "$1"),
+    (r"(?U)\s+([\)\]\}])", "$1"),
+    (r"(?U)[\(\[\{]\s*[\)\]\}]", ""),
+    (r"(?U)\s+([,.;:!?])", "$1"),
+    (r"[ \t\f\x0b]+", " "),
+)
+
+
+def apply_rules(c: ColumnOrName, rules) -> Column:
+    """Apply (regex, replacement) rules one after the other."""
+    out = _c(c)
+    for pattern, replacement in rules:
+        out = F.regexp_replace(out, pattern, replacement)
+    return out
+
+
 def split_lines(c: ColumnOrName) -> Column:
     """``str.splitlines()``: split on any line break; a final break does not
     start an extra (empty) line; empty text has no lines."""
@@ -69,14 +112,9 @@ def _rstrip(x: Column) -> Column:
 
 
 def snake_token(c: ColumnOrName) -> Column:
-    """Tokenizer snake case: punctuation -> blank, blanks / hyphens ->
-    ``_``, camelCase split, repeats collapsed, ``_`` trimmed, lower-cased."""
-    s = F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
-    s = F.regexp_replace(s, r"(?U)[^\w\s]+", " ")
-    s = F.regexp_replace(s, r"(?U)[\s\-]+", "_")
-    s = F.regexp_replace(s, r"([a-z0-9])([A-Z])", "$1_$2")
-    s = F.regexp_replace(s, "_+", "_")
-    return F.lower(F.btrim(s, F.lit("_")))
+    """Tokenizer snake case (``SNAKE_TOKEN_RULES``), ``_`` trimmed at
+    both ends, lower-cased."""
+    return F.lower(F.btrim(apply_rules(c, SNAKE_TOKEN_RULES), F.lit("_")))
 
 
 def snake_simple(c: ColumnOrName) -> Column:
@@ -125,20 +163,9 @@ def remove_emoji(c: ColumnOrName, strict: bool = False) -> Column:
 
 
 def normalize_text(c: ColumnOrName) -> Column:
-    """Whole-text tidy after emoji removal: NBSP -> blank, Unicode
-    dashes -> `` - ``, spaced ASCII hyphens -> `` - ``, blanks inside
-    brackets trimmed, empty bracket pairs removed, blanks before
-    punctuation removed, blank runs collapsed, line ends right-trimmed."""
-    s = F.replace(_c(c), F.lit("\u00a0"), F.lit(" "))
-    s = F.regexp_replace(s, dashes_class(), " - ")
-    s = F.regexp_replace(s, r"(?U)\s+-\s+|\s+-|-\s+", " - ")
-    s = F.regexp_replace(s, r"(?U)([\(\[\{])\s+", "$1")
-    s = F.regexp_replace(s, r"(?U)\s+([\)\]\}])", "$1")
-    s = F.regexp_replace(s, r"(?U)\(\s*\)", "")
-    s = F.regexp_replace(s, r"(?U)\[\s*\]", "")
-    s = F.regexp_replace(s, r"(?U)\{\s*\}", "")
-    s = F.regexp_replace(s, r"(?U)\s+([,.;:!?])", "$1")
-    s = F.regexp_replace(s, r"[ \t\f\x0b]+", " ")
+    """Whole-text tidy after emoji removal: NBSP -> blank, then
+    ``TIDY_TEXT_RULES``, then every line right-trimmed."""
+    s = apply_rules(F.replace(_c(c), F.lit("\u00a0"), F.lit(" ")), TIDY_TEXT_RULES)
     return F.array_join(F.transform(split_lines(s), _rstrip), "\n")
 
 
@@ -147,18 +174,10 @@ RULE_LINE = r"^\s*([-*_])(\s*\1){2,}\s*$"
 
 
 def normalize_lines(c: ColumnOrName) -> Column:
-    """The same tidy line by line; Markdown rules (``---``, ``***``)
-    kept untouched; mixed empty bracket pairs such as ``(]`` removed; no
-    ASCII hyphen rule."""
+    """Line by line: Markdown rules (``---``, ``***``) kept untouched,
+    other lines NBSP -> blank, ``TIDY_LINE_RULES``, right-trimmed."""
     def tidy(ln: Column) -> Column:
-        s = F.replace(ln, F.lit("\u00a0"), F.lit(" "))
-        s = F.regexp_replace(s, dashes_class(), " - ")
-        s = F.regexp_replace(s, r"(?U)([\(\[\{])\s+", "$1")
-        s = F.regexp_replace(s, r"(?U)\s+([\)\]\}])", "$1")
-        s = F.regexp_replace(s, r"(?U)[\(\[\{]\s*[\)\]\}]", "")
-        s = F.regexp_replace(s, r"(?U)\s+([,.;:!?])", "$1")
-        s = F.regexp_replace(s, r"[ \t\f\x0b]+", " ")
-        return _rstrip(s)
+        return _rstrip(apply_rules(F.replace(ln, F.lit("\u00a0"), F.lit(" ")), TIDY_LINE_RULES))
     return F.array_join(F.transform(split_lines(_c(c)),
                                     lambda ln: F.when(ln.rlike(r"(?U)" + RULE_LINE), ln).otherwise(tidy(ln))), "\n")
 
