@@ -443,7 +443,7 @@ TOGGLE_NODE = 3
 
 @register("j7_toggle_subtree", "J7", _tree_sql(f"""
 SELECT category_id, CASE WHEN list_contains(ancestors, {TOGGLE_NODE})
-                         THEN category_id NOT IN (SELECT category_id FROM sel)
+                         THEN {TOGGLE_NODE} NOT IN (SELECT category_id FROM sel)
                          ELSE category_id IN (SELECT category_id FROM sel) END AS selected FROM t""",
     extra={"sel": _SELECTED}))
 def j7(spark, sf):
