@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.scalars import in_stock, join_key
 
@@ -21,6 +22,33 @@ def _keys_eq(left: list[str], right: list[str]) -> Column:
                   [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
 
 
+def _filler(dt: T.DataType) -> Column | None:
+    if isinstance(dt, T.StringType):
+        return F.lit("")
+    if isinstance(dt, T.NumericType):
+        return F.lit(0).cast(dt)
+    if isinstance(dt, T.BooleanType):
+        return F.lit(False)
+    if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0).cast("timestamp").cast(dt)
+    return None
+
+
+def null_safe_key_columns(df: DataFrame, keys: list[str], prefix: str) -> tuple[list[Column], list[str]] | None:
+    """Key columns as (is_null, value-or-filler) pairs: grouping and equi-joining
+    on them equals null-safe equality on the keys, and -- unlike a null-safe
+    join condition -- the join can reuse the aggregation's hash partitioning.
+    None when a key type has no filler (then ``eqNullSafe`` is used)."""
+    cols, names = [], []
+    for i, k in enumerate(keys):
+        fill = _filler(df.schema[k].dataType)
+        if fill is None:
+            return None
+        cols += [F.col(k).isNull().alias(f"{prefix}n{i}"), F.coalesce(F.col(k), fill).alias(f"{prefix}v{i}")]
+        names += [f"{prefix}n{i}", f"{prefix}v{i}"]
+    return cols, names
+
+
 def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str] | None = None,
                   count_as: str | None = None) -> DataFrame:
     """H1: first row per key in row order (``order_cols`` then every other
@@ -42,25 +70,47 @@ def first_per_key(df: DataFrame, keys: list[str], order_cols: list[str] | None =
     return sel.select(*df.columns, *([count_as] if count_as else []))
 
 
+def _dedup_side(df: DataFrame, keys: list[str], cols: list[str], order, tag: str, pair) -> DataFrame:
+    """First row per key of one side, keys as null-safe (flag, value) pairs
+    named ``_kn<i>`` / ``_kv<i>`` (or raw ``_<tag>k<i>`` when no pair exists)."""
+    if pair is not None:
+        key_cols, key_names = pair
+        base = df.select(*key_cols, *[F.col(c) for c in df.columns])
+        d = first_per_key(base.drop(*keys), key_names, order, count_as="_n")
+        return d.select(*key_names, *[F.col(c).alias(f"_{tag}_{c}") for c in cols],
+                        F.col("_n").alias(f"_n{tag}"), F.lit(True).alias(f"_in_{tag}"))
+    d = first_per_key(df, keys, order, count_as="_n")
+    return d.select(*[F.col(k).alias(f"_{tag}k{i}") for i, k in enumerate(keys)],
+                    *[F.col(c).alias(f"_{tag}_{c}") for c in cols],
+                    F.col("_n").alias(f"_n{tag}"), F.lit(True).alias(f"_in_{tag}"))
+
+
 def _diff_join(src: DataFrame, tgt: DataFrame, src_keys: list[str], tgt_keys: list[str],
                compare_cols: list[str], src_order=None, tgt_order=None) -> tuple[DataFrame, list[str]]:
     """Deduplicated null-safe full outer join of source and target on the
-    keys, with per-column ``_mod_<c>`` flags and row presence."""
+    keys, with per-column ``_mod_<c>`` flags and row presence.
+
+    Keys are grouped and joined as (is_null, value) pairs, so the join needs
+    no exchange beyond the two deduplicating aggregations."""
     cols = [c for c in compare_cols if c in src.columns and c in tgt.columns]
     nk = len(src_keys)
-    s = first_per_key(src, src_keys, src_order, count_as="_n").select(
-        *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(src_keys)],
-        *[F.col(c).alias(f"_s_{c}") for c in cols],
-        F.col("_n").alias("_ns"), F.lit(True).alias("_in_s"))
-    t = first_per_key(tgt, tgt_keys, tgt_order, count_as="_n").select(
-        *[F.col(k).alias(f"_tk{i}") for i, k in enumerate(tgt_keys)],
-        *[F.col(c).alias(f"_t_{c}") for c in cols],
-        F.col("_n").alias("_nt"), F.lit(True).alias("_in_t"))
-    j = s.join(t, _keys_eq([f"_sk{i}" for i in range(nk)], [f"_tk{i}" for i in range(nk)]), "full")
+    sp = null_safe_key_columns(src, src_keys, "_k")
+    tp = null_safe_key_columns(tgt, tgt_keys, "_k")
+    if sp is not None and tp is not None and \
+            [src.schema[a].dataType for a in src_keys] == [tgt.schema[b].dataType for b in tgt_keys]:
+        s = _dedup_side(src, src_keys, cols, src_order, "s", sp)
+        t = _dedup_side(tgt, tgt_keys, cols, tgt_order, "t", tp)
+        j = s.join(t, sp[1], "full")
+        keys = [F.when(F.col(f"_kn{i}"), F.lit(None)).otherwise(F.col(f"_kv{i}")).alias(f"_k{i}")
+                for i in range(nk)]
+    else:
+        s = _dedup_side(src, src_keys, cols, src_order, "s", None)
+        t = _dedup_side(tgt, tgt_keys, cols, tgt_order, "t", None)
+        j = s.join(t, _keys_eq([f"_sk{i}" for i in range(nk)], [f"_tk{i}" for i in range(nk)]), "full")
+        in_s0 = F.col("_in_s").isNotNull()
+        keys = [F.when(in_s0, F.col(f"_sk{i}")).otherwise(F.col(f"_tk{i}")).alias(f"_k{i}") for i in range(nk)]
     in_s = F.col("_in_s").isNotNull()
     in_t = F.col("_in_t").isNotNull()
-    keys = [F.when(in_s, F.col(f"_sk{i}")).otherwise(F.col(f"_tk{i}")).alias(f"_k{i}")
-            for i in range(nk)]
     mods = [(in_s & in_t & ~F.col(f"_s_{c}").eqNullSafe(F.col(f"_t_{c}"))).alias(f"_mod_{c}")
             for c in cols]
     j = j.select(*keys, in_s.alias("in_src"), in_t.alias("in_tgt"),
@@ -185,21 +235,37 @@ def sync_into(src: DataFrame, tgt: DataFrame, src_keys: list[str], tgt_keys: lis
 
     Both sides are de-duplicated (first row per key); common sync columns of
     matched keys take the source value (null included); source-only keys are
-    appended with nulls in the other columns; target-only rows are kept."""
+    appended with nulls in the other columns; target-only rows are kept. Keys
+    match null-safely; as in the diff they are grouped and joined as
+    (is_null, value) pairs, so the join reuses the aggregations' partitioning."""
     cols = [c for c in sync_cols if c in src.columns and c in tgt.columns and c not in tgt_keys]
-    nk = len(src_keys)
-    s = first_per_key(src, src_keys, src_order).select(
-        *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(src_keys)],
-        *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
-    t = first_per_key(tgt, tgt_keys, tgt_order)
-    t = t.select(*[F.col(c).alias(f"_t_{c}") for c in t.columns], F.lit(True).alias("_in_t"))
-    j = t.join(s, _keys_eq([f"_t_{k}" for k in tgt_keys], [f"_sk{i}" for i in range(nk)]), "full")
-    in_s, in_t = F.col("_in_s").isNotNull(), F.col("_in_t").isNotNull()
+    rest = [c for c in tgt.columns if c not in tgt_keys]
+    sp = null_safe_key_columns(src, src_keys, "_k")
+    tp = null_safe_key_columns(tgt, tgt_keys, "_k")
+    same_types = [src.schema[a].dataType for a in src_keys] == [tgt.schema[b].dataType for b in tgt_keys]
+    if sp is not None and tp is not None and same_types:
+        s = first_per_key(src.select(*sp[0], *[F.col(c) for c in src.columns]).drop(*src_keys), sp[1], src_order)
+        s = s.select(*sp[1], *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
+        t = first_per_key(tgt.select(*tp[0], *[F.col(c) for c in tgt.columns]).drop(*tgt_keys), tp[1], tgt_order)
+        t = t.select(*tp[1], *[F.col(c).alias(f"_t_{c}") for c in rest], F.lit(True).alias("_in_t"))
+        j = t.join(s, tp[1], "full")
+        key_out = {k: F.when(F.col(f"_kn{i}"), F.lit(None)).otherwise(F.col(f"_kv{i}")) for i, k in enumerate(tgt_keys)}
+    else:
+        s = first_per_key(src, src_keys, src_order).select(
+            *[F.col(k).alias(f"_sk{i}") for i, k in enumerate(src_keys)],
+            *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
+        t = first_per_key(tgt, tgt_keys, tgt_order)
+        t = t.select(*[F.col(k).alias(f"_tk{i}") for i, k in enumerate(tgt_keys)],
+                     *[F.col(c).alias(f"_t_{c}") for c in rest], F.lit(True).alias("_in_t"))
+        j = t.join(s, _keys_eq([f"_tk{i}" for i in range(len(tgt_keys))],
+                               [f"_sk{i}" for i in range(len(src_keys))]), "full")
+        in_t0 = F.col("_in_t").isNotNull()
+        key_out = {k: F.when(in_t0, F.col(f"_tk{i}")).otherwise(F.col(f"_sk{i}")) for i, k in enumerate(tgt_keys)}
+    in_s = F.col("_in_s").isNotNull()
     out = []
     for c in tgt.columns:
-        if c in tgt_keys:
-            i = tgt_keys.index(c)
-            out.append(F.when(in_t, F.col(f"_t_{c}")).otherwise(F.col(f"_sk{i}")).alias(c))
+        if c in key_out:
+            out.append(key_out[c].alias(c))
         elif c in cols:
             out.append(F.when(in_s, F.col(f"_s_{c}")).otherwise(F.col(f"_t_{c}")).alias(c))
         else:

@@ -86,3 +86,13 @@ def test_hot_key_results(spark):
     up = U.insert_or_replace(df.where(F.lit(False)), df, ["k"], ["row_id"])
     hot = up.where(F.col("k") == "HOT").first()
     assert hot.row_id == max(i for i in range(n) if i % 3 == 0)
+
+
+def test_null_keys_match_null_safely(spark):
+    src = spark.createDataFrame([(None, 1), ("", 2), ("a", 3)], "k string, v int")
+    tgt = spark.createDataFrame([(None, 1), ("", 5), ("b", 4)], "k string, v int")
+    d = {(r.key, r.change): (r.v_src, r.v_tgt) for r in D.keyed_diff(src, tgt, ["k"], ["k"], ["v"]).collect()}
+    # null matches null (same), '' matches '' (modified), a added, b removed
+    assert d == {("", "modified"): (2, 5), ("a", "added"): (3, None), ("b", "removed"): (None, 4)}
+    synced = sorted(D.sync_into(src, tgt, ["k"], ["k"], ["v"]).collect(), key=lambda r: (r.k is not None, r.k or ""))
+    assert [(r.k, r.v) for r in synced] == [(None, 1), ("", 2), ("a", 3), ("b", 4)]
