@@ -195,29 +195,32 @@ def g11(spark, sf):
 # G9 / G12 / G13 payloads
 
 
-def product_payloads(spark, sf):
-    """Product payload per product row: core fields, custom attributes
-    without empty values, description appended when present."""
+def product_form_rows(spark, sf):
+    """Product form rows from the product master: price / quantity as text,
+    website list with junk items, attributes with empty values, category ids
+    with non-digit entries, a description on every other attribute set."""
     m2 = fixture(spark, sf, "products_m2")
-    desc = F.when(F.col("attribute_set_id") % 2 == 0, F.concat(F.lit("About "), F.col("sku")))
-    attrs = F.filter(F.array(
-        F.struct(F.lit("brand").alias("attribute_code"), F.col("brand").alias("value")),
-        F.struct(F.lit("label").alias("attribute_code"),
-                 F.when(F.col("attribute_set_id") == 1, F.lit("")).otherwise(F.col("type_id")).alias("value")),
-        F.struct(F.lit("description").alias("attribute_code"), desc.alias("value")),
-    ), lambda a: a["value"].isNotNull() & (a["value"] != ""))
-    product = F.struct(
-        F.col("sku").alias("sku"), F.coalesce(F.col("name"), F.col("sku")).alias("name"),
-        F.get_json_object("price", "$.rrp").try_cast("double").alias("price"),
-        F.when(F.col("status"), F.lit(1)).otherwise(F.lit(2)).alias("status"),
-        F.coalesce(F.col("visibility"), F.lit(4)).alias("visibility"),
+    return m2.select(
+        "sku", "name",
+        F.get_json_object("price", "$.rrp").alias("price_text"),
+        F.col("attribute_set_id").cast("string").alias("qty_text"),
+        F.when(F.col("status"), F.lit(1)).otherwise(F.lit(2)).alias("status_code"),
+        F.coalesce(F.col("visibility"), F.lit(4)).alias("visibility_code"),
         F.lit("simple").alias("type_id"),
-        F.struct(F.array(F.lit(1)).alias("website_ids"),
-                 F.struct(F.col("attribute_set_id").alias("qty"),
-                          (F.col("attribute_set_id") > 0).alias("is_in_stock")).alias("stock_item"))
-        .alias("extension_attributes"),
-        attrs.alias("custom_attributes"))
-    return m2.select(F.col("sku").alias("payload_key"), F.to_json(F.struct(product.alias("product"))).alias("payload"))
+        F.lit("1, 2,x,").alias("websites_text"),
+        (F.col("attribute_set_id") + 1).alias("attribute_set_id"),
+        F.when(F.col("attribute_set_id") % 2 == 0, F.concat(F.lit("About "), F.col("sku"))).alias("description"),
+        F.array(F.struct(F.lit("brand").alias("attribute_code"), F.col("brand").alias("value")),
+                F.struct(F.lit("label").alias("attribute_code"),
+                         F.when(F.col("attribute_set_id") == 1, F.lit("")).otherwise(F.col("type_id")).alias("value")))
+        .alias("custom_attributes"),
+        F.array(F.substring("sku", 2, 3), F.lit("n/a")).alias("category_ids"))
+
+
+def product_payloads(spark, sf):
+    """Payloads of the product form rows."""
+    return C.build_product_payload(product_form_rows(spark, sf)).select(
+        F.col("sku").alias("payload_key"), "payload")
 
 
 register("g9_product_payload", "G9")(product_payloads)

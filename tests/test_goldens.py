@@ -93,3 +93,25 @@ def test_product_import_payload_defaults(spark):
     assert p["media_gallery_entries"][0]["label"] == "S1"
     assert p["custom_attributes"] == [{"attribute_code": "color", "value": "red"}]
     assert p["extension_attributes"] == {}
+
+
+def test_build_product_payload_rules(spark):
+    rows = spark.createDataFrame(
+        [("S1", "", "12.5", "3.9", 1, 4, "simple", " 1, x,22 ,", 2, "  Nice  ",
+          [("color", "red"), ("size", ""), ("mat", None)], ["3", "a", "7"]),
+         ("", "n", "", "", 1, 4, "simple", "", 2, None, [], []),
+         ("S3", "n", "abc", "", 1, 4, "simple", "", 2, None, [], []),
+         ("S4", "n", "", "", 1, 4, "simple", "", 0, None, [], [])],
+        "sku string, name string, price_text string, qty_text string, status_code int, visibility_code int, "
+        "type_id string, websites_text string, attribute_set_id int, description string, "
+        "custom_attributes array<struct<attribute_code:string,value:string>>, category_ids array<string>")
+    out = {r.sku: r for r in C.build_product_payload(rows).collect()}
+    p = json.loads(out["S1"].payload)["product"]
+    assert p["name"] == "S1" and p["price"] == 12.5
+    assert p["extension_attributes"] == {"website_ids": [1, 22], "stock_item": {"qty": 3, "is_in_stock": True}}
+    assert p["custom_attributes"] == [{"attribute_code": "color", "value": "red"},
+                                      {"attribute_code": "category_ids", "value": [3, 7]},
+                                      {"attribute_code": "description", "value": "Nice"}]
+    assert out[""].error == "SKU is required." and out[""].payload is None
+    assert out["S3"].error == "Bad price or quantity."
+    assert out["S4"].error == "Select an Attribute Set."
