@@ -539,3 +539,31 @@ def g10(spark, sf):
         "sku", F.concat(F.lit("SF-"), F.lit(os.path.basename(sf.rstrip("/")))))
     return media_entries(files).select("sku", "label", "position", "types", "content.type",
                                        F.length("content.base64_encoded_data").alias("b64_len"))
+
+
+@register("g7_payload_fields", "G7/C14/C15/J8", with_fixtures("""
+SELECT sku, CAST(CASE WHEN attribute_set_id = 0 THEN 4 ELSE attribute_set_id END AS BIGINT) AS attribute_set_id,
+       TRY_CAST(json_extract_string(price, '$.rrp') AS DOUBLE) AS price,
+       CAST(CASE WHEN status THEN 1 ELSE 2 END AS BIGINT) AS status,
+       CAST(coalesce(visibility, 4) AS BIGINT) AS visibility,
+       CASE WHEN type_id = '' THEN 'simple' ELSE type_id END AS type_id,
+       coalesce(weight, 0.0) AS weight, coalesce(name, sku) AS first_label,
+       CAST(2 AS BIGINT) AS n_media, 'brand,category' AS attribute_codes
+FROM products_m2""", "products", "products_m2"))
+def g7f(spark, sf):
+    """G7 read back: the JSON lines parsed and compared field by field."""
+    v = F.parse_json(F.col("json"))
+    media = F.try_variant_get(v, "$.product.media_gallery_entries", "array<variant>")
+    attrs = F.try_variant_get(v, "$.product.custom_attributes", "array<variant>")
+    return g7(spark, sf).select(
+        F.try_variant_get(v, "$.product.sku", "string").alias("sku"),
+        F.try_variant_get(v, "$.product.attribute_set_id", "bigint").alias("attribute_set_id"),
+        F.try_variant_get(v, "$.product.price", "double").alias("price"),
+        F.try_variant_get(v, "$.product.status", "bigint").alias("status"),
+        F.try_variant_get(v, "$.product.visibility", "bigint").alias("visibility"),
+        F.try_variant_get(v, "$.product.type_id", "string").alias("type_id"),
+        F.try_variant_get(v, "$.product.weight", "double").alias("weight"),
+        F.try_variant_get(F.element_at(media, 1), "$.label", "string").alias("first_label"),
+        F.size(media).cast("bigint").alias("n_media"),
+        F.array_join(F.transform(attrs, lambda a: F.try_variant_get(a, "$.attribute_code", "string")), ",")
+        .alias("attribute_codes"))
