@@ -10,7 +10,7 @@ from ledgerline.operators import setops as S
 from ledgerline.operators import upsert as U
 from ledgerline.plans import duck
 from ledgerline.plans.fixtures import fixture, with_fixtures
-from ledgerline.plans.q_reconcile import changes, vs_norm
+from ledgerline.plans.q_reconcile import vs_norm
 from ledgerline.plans.registry import register
 
 KEYS = ["SupplierSKU"]

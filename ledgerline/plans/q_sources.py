@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerline.plans.fixtures import fixture, with_fixtures
-from ledgerline.plans.q_catalog import _tree_sql, entity_payloads
+from ledgerline.plans.q_catalog import entity_payloads
 from ledgerline.plans.registry import register
 from ledgerline.operators.catalog import route_entities
 from ledgerline.session import scratch_path, table

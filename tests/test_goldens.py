@@ -3,7 +3,6 @@
 import json
 import os
 
-from pyspark.sql import functions as F
 
 from ledgerline.operators import catalog as C
 from ledgerline.operators import feed as G

@@ -6,7 +6,6 @@ from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as T
