@@ -128,7 +128,9 @@ def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
     """Items of every touched order are replaced by the items of its last
     payload; items of untouched orders are kept."""
     items = payload_items(scanned)
-    last = items.groupBy("order_id").agg(F.max("ord").alias("ord"))
+    # the last payload of each order, from the order-level rows (no items)
+    last = (scanned.select(order_key(F.col("v")).alias("order_id"), "ord").where(F.col("order_id").isNotNull())
+            .groupBy("order_id").agg(F.max("ord").alias("ord")))
     new = items.join(last, ["order_id", "ord"], "left_semi").where("_has_item").drop("ord", "_has_item")
     if existing_items is None:
         return new

@@ -48,11 +48,15 @@ def l1(spark, sf):
 def l3(spark, sf):
     run = _run_dir(spark, "orders")
     pages_dir, out = os.path.join(run, "pages"), os.path.join(run, "out")
-    pages = order_payload_pages(spark, sf)
-    for fetch in (1, 2):
-        pages.where(F.floor(F.col("page_no") / FETCH_STRIDE) == fetch).coalesce(1) \
-            .write.mode("append").json(pages_dir)
-        time.sleep(1.1)
+    # build the pages once for both landings (one file per fetch, in order)
+    pages = order_payload_pages(spark, sf).persist()
+    try:
+        for fetch in (1, 2):
+            pages.where(F.floor(F.col("page_no") / FETCH_STRIDE) == fetch).coalesce(1) \
+                .write.mode("append").json(pages_dir)
+            time.sleep(1.1)
+    finally:
+        pages.unpersist()
     q = OI.start_order_ingest(spark, pages_dir, out, os.path.join(run, "checkpoint"), available_now=True,
                               max_files=1)
     q.awaitTermination()
