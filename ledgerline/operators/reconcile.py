@@ -183,7 +183,7 @@ def aggregate_duplicates(norm: DataFrame, aggfunc: str, name: str) -> DataFrame:
     return norm.groupBy("sku_key", "account_key").agg(_dup_agg(aggfunc).alias(name))
 
 
-def compare_stock(a_norm: DataFrame, b_norm: DataFrame, aggfunc: str = "sum") -> DataFrame:
+def compare_sides(a_norm: DataFrame, b_norm: DataFrame, aggfunc: str = "sum") -> DataFrame:
     """outer comparison of warehouse (a) and e-commerce (b) stock.
 
     Presence comes from a non-null aggregated quantity; missing quantity

@@ -107,7 +107,7 @@ def stock_sides(spark, sf, clamp=False):
 
 def compared(spark, sf, agg="sum", clamp=False):
     a, b = stock_sides(spark, sf, clamp)
-    return R.compare_stock(a, b, agg)
+    return R.compare_sides(a, b, agg)
 
 
 def _duck_norm(src: str, clamp: bool) -> str:
