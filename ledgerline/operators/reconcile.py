@@ -1,10 +1,10 @@
 """Stock reconciliation between two systems.
 
 Plan shape: each side is normalised and aggregated by its key (partial +
-final hash aggregation, so a hot SKU is combined map-side), then the two
-aggregated sides are full-outer-joined on that same key. Because both
-aggregates are already hash-partitioned on the key, the join adds no extra
-exchange.
+final aggregation, so a hot SKU is combined map-side before the shuffle),
+then the two aggregated sides are full-outer-joined on that same key. Both
+aggregates are already hash-partitioned and sorted on the key, so the
+sort-merge join adds no extra exchange or sort.
 """
 
 from __future__ import annotations
