@@ -53,8 +53,46 @@ register("c19_snake_token", "C19", _docs_sql(_duck_snake_token("text")))(
     lambda spark, sf: docs(spark, sf).select("doc_id", T.snake_token("text").alias("text")))
 register("c20_snake_simple", "C20", _docs_sql(f"lower({_re(_re('text', '[^a-zA-Z0-9]+', '_'), '^_+|_+$', '')})"))(
     lambda spark, sf: docs(spark, sf).select("doc_id", T.snake_simple("text").alias("text")))
-register("c21_snake_case_text", "C21")(
-    lambda spark, sf: docs(spark, sf).select("doc_id", T.snake_case_text("text").alias("text")))
+def mode_texts(spark, sf):
+    """Texts for every snake-case mode: documents (prose lines), documents
+    turned into ``Key Name: value`` lines, comma lines from part rows and JSON
+    objects from event properties."""
+    d = docs(spark, sf)
+    kv = d.select((F.col("doc_id") + 1_000_000_000).alias("id"),
+                  F.concat(F.lit("Doc Id: "), F.col("doc_id").cast("string"), F.lit("\nSource Name: x\nplain line"))
+                  .alias("text"))
+    csv = table(spark, sf, "part").select((F.col("p_partkey") + 2_000_000_000).alias("id"),
+                                          F.concat_ws(",", "p_name", "p_brand", "p_type").alias("text"))
+    js = table(spark, sf, "events").select((F.col("event_id") + 3_000_000_000).alias("id"),
+                                           F.col("props").alias("text"))
+    return d.select(F.col("doc_id").alias("id"), "text").unionByName(kv).unionByName(csv).unionByName(js)
+
+
+_MODE_TEXTS = """
+SELECT doc_id AS id, text FROM docs_spliced
+UNION ALL SELECT doc_id + 1000000000, concat('Doc Id: ', CAST(doc_id AS VARCHAR), chr(10), 'Source Name: x', chr(10), 'plain line')
+  FROM docs_spliced
+UNION ALL SELECT p_partkey + 2000000000, concat_ws(',', p_name, p_brand, p_type) FROM part
+UNION ALL SELECT event_id + 3000000000, props FROM events
+"""
+_SNAKE_LINE = f"CASE WHEN {duck.blank('x')} THEN x ELSE {_duck_snake_token('x')} END"
+_KV_LINE = (f"CASE WHEN contains(x, ':') THEN concat({_duck_snake_token("split_part(x, ':', 1)")}, ':', "
+            f"substring(x, strpos(x, ':') + 1)) WHEN {duck.blank('x')} THEN x ELSE {_duck_snake_token('x')} END")
+
+
+@register("c21_snake_case_text", "C21/C22", with_fixtures(f"""
+SELECT id, CASE
+  WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN CAST(json(text) AS VARCHAR)
+  WHEN n_colon > 0 AND n_colon >= greatest(1, floor(n_lines * 0.5)) THEN
+       array_to_string(list_transform(lines, lambda x: {_KV_LINE}), chr(10))
+  WHEN NOT contains(text, chr(10)) AND contains(text, ',') THEN
+       array_to_string(list_transform(string_split(text, ','), lambda x: {_duck_snake_token('x')}), ',')
+  ELSE array_to_string(list_transform(lines, lambda x: {_SNAKE_LINE}), chr(10)) END AS text
+FROM (SELECT id, text, lines, len(lines) AS n_lines, len(list_filter(lines, lambda x: contains(x, ':'))) AS n_colon
+      FROM (SELECT id, text, {duck.splitlines('text')} AS lines FROM texts))""",
+    "docs_spliced", extra={"texts": _MODE_TEXTS}))
+def c21(spark, sf):
+    return mode_texts(spark, sf).select("id", T.snake_case_text("text").alias("text"))
 
 
 @register("c22_snake_json_keys", "C22/C10",
