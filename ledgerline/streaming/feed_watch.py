@@ -25,13 +25,12 @@ from __future__ import annotations
 import os
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.operators import cycle as C
 from ledgerline.operators import reconcile as R
-from ledgerline.operators import upsert as U
 from ledgerline.sources.readers import NA_TOKENS
 
 HNAU_COLUMNS = ["sku_oms_details_sku", "online_salable_qty_quantity", "sku_oms_details_sap_supplier_id"]
@@ -66,26 +65,9 @@ def feed_stream(spark: SparkSession, hnau_dir: str, vs_dir: str, glob: str = "*.
     return h.unionByName(v)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def _latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Highest version of a versioned output (optionally below ``before``)."""
-    t = _read_or_none(spark, path)
-    if t is None:
-        return None
-    if before is not None:
-        t = t.where(F.col("version") < before)
-    v = t.agg(F.max("version")).first()[0]
-    return None if v is None else t.where(F.col("version") == v).drop("version")
-
-
-def _write_version(df: DataFrame, base: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{base}/version={batch_id}")
+_read_or_none = C.read_or_none
+_latest_version = C.latest_version
+_write_version = C.write_version
 
 
 def make_batch_handler(out_dir: str):
@@ -113,27 +95,7 @@ def make_batch_handler(out_dir: str):
             h = _latest_version(spark, os.path.join(out_dir, "hnau_norm"), before=batch_id + 1)
             v = _latest_version(spark, os.path.join(out_dir, "vs_norm"), before=batch_id + 1)
             if h is not None and v is not None:
-                joined = R.reconcile(h, v)
-                _write_version(joined, os.path.join(out_dir, "reconcile"), batch_id)
-                joined = spark.read.parquet(os.path.join(out_dir, "reconcile", f"version={batch_id}"))
-                stats = R.reconcile_stats(joined).withColumn("batch_id", F.lit(batch_id))
-                stats.write.mode("overwrite").parquet(os.path.join(out_dir, "stats", f"batch_id={batch_id}"))
-                for name in R.RECONCILE_SUBSETS:
-                    _write_version(R.reconcile_subset(joined, name), os.path.join(out_dir, "reports", name),
-                                   batch_id)
-                latest = U.refresh_latest_from_norm(v)
-                previous = _latest_version(spark, os.path.join(out_dir, "inventory"), before=batch_id)
-                if previous is not None:
-                    changes = R.changed_skus(latest, previous)
-                    _write_version(changes, os.path.join(out_dir, "changes"), batch_id)
-                _write_version(latest, os.path.join(out_dir, "inventory_latest"), batch_id)
-                _write_version(latest, os.path.join(out_dir, "inventory"), batch_id)
-                summary = joined.agg(F.count(F.lit(1)).alias("total"),
-                                     F.sum(F.when(F.col("status") != R.MATCH, 1).otherwise(0)).alias("changed"))
-                U.run_log_row(summary, "reconcile_cycle", "total", "changed", time.time() - t0,
-                              time.strftime("%Y-%m-%d %H:%M:%S")) \
-                    .withColumn("batch_id", F.lit(batch_id)) \
-                    .write.mode("overwrite").parquet(os.path.join(out_dir, "runlog", f"batch_id={batch_id}"))
+                C.run_cycle(spark, h, v, out_dir, batch_id, started=t0)
             files.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
                 .parquet(os.path.join(ledger_path, f"batch_id={batch_id}"))
         finally:
