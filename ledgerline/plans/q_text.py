@@ -37,9 +37,6 @@ def _re(x, pat, rep, g=True):
 
 # ---- C19 / C20 ---------------------------------------------------------------
 
-_W = r"[\pL\pN\pM_]"
-
-
 def _duck_snake_token(x: str) -> str:
     s = _re(x, f"^{WS}+|{WS}+$", "")
     s = _re(s, f"[^\\pL\\pN\\pM_{WS[1:-1]}]+", " ")
