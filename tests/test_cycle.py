@@ -34,3 +34,21 @@ def test_cycle_two_versions(spark):
     # re-running version 2 overwrites its own output (idempotent)
     CY.run_cycle(spark, h, v2, out, 2)
     assert spark.read.parquet(os.path.join(out, "runlog")).count() == 2
+
+
+def test_comparison_job(spark):
+    import pytest
+    from ledgerline.operators.compare_job import run_comparison
+    from ledgerline.plans.fixtures import fixture
+    wh, ec = fixture(spark, SMALL, "stock_wh"), fixture(spark, SMALL, "stock_ecom")
+    roles = ("sku", "account", "qty")
+    with pytest.raises(ValueError, match="select Quantity"):
+        run_comparison(spark, wh, ec, ("sku", "account", None), roles)
+    out = tempfile.mkdtemp()
+    res = run_comparison(spark, wh, ec, roles, roles, out_dir=out, fmt="csv")
+    want = q_reconcile.compared(spark, SMALL)
+    assert res["comparison"].count() == want.count()
+    k = res["kpis"].first()
+    assert k.matched + k.mismatched == k.total_rows
+    assert spark.read.option("header", True).csv(os.path.join(out, "by_account")).count() == \
+        res["by_account"].count()
