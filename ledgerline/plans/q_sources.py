@@ -254,4 +254,4 @@ SELECT * FROM part WHERE contains(lower(CAST(p_partkey AS VARCHAR)), 'gizmo') OR
    OR contains(lower(coalesce(CAST(p_retailprice AS VARCHAR), '')), 'gizmo')""")
 def d1(spark, sf):
     p = table(spark, sf, "part")
-    return p.where(SH.any_column_contains(p, "GIZMO"))
+    return p.where(SH.any_column_contains(p, "  GIZMO "))
