@@ -26,9 +26,19 @@ def csv_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "
     return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path).columns
 
 
-def read_csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A1: all-string CSV scan with a header row; a BOM is tolerated, ragged
-    rows are padded or cut, and null cells become empty text."""
+def read_csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+                     drop_long_rows: bool = False) -> DataFrame:
+    """A1: all-string CSV scan with a header row; a BOM is tolerated, short
+    rows are padded, over-long rows are cut (or dropped with
+    ``drop_long_rows``, as a bad-line-skipping reader does), and null cells
+    become empty text."""
+    if drop_long_rows:
+        names = csv_header(spark, path, sep, encoding)
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
+                              + [T.StructField("_extra", T.StringType())])
+        df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
+              .option("nullValue", _NO_NULL).option("mode", "PERMISSIVE").csv(path))
+        return df.where(F.col("_extra").isNull()).drop("_extra").na.fill("")
     df = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
           .option("mode", "PERMISSIVE").csv(path))
     return df.na.fill("")

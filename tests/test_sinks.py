@@ -91,3 +91,14 @@ def test_media_entries_from_files(spark):
     assert rows[0].content.type == "image/jpeg" and rows[1].content.type == "image/png"
     assert rows[0].content.name == "S1-1.jpeg"
     assert base64.b64decode(rows[1].content.base64_encoded_data) == b"\x89PNG1"
+
+
+def test_all_string_reader_long_rows(spark):
+    d = tempfile.mkdtemp()
+    p = os.path.join(d, "f.csv")
+    with open(p, "w", encoding="utf-8") as f:
+        f.write("a,b\n1,2\n3\n4,5,6\n")
+    kept = sorted(tuple(r) for r in RD.read_csv_strings(spark, p).collect())
+    dropped = sorted(tuple(r) for r in RD.read_csv_strings(spark, p, drop_long_rows=True).collect())
+    assert kept == [("1", "2"), ("3", ""), ("4", "5")]
+    assert dropped == [("1", "2"), ("3", "")]
