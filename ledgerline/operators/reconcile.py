@@ -259,12 +259,13 @@ def rollup_by_account(merged: DataFrame) -> DataFrame:
 
 def filter_comparison(merged: DataFrame, statuses=None, presence=None,
                       any_qty_positive: bool = False) -> DataFrame:
-    """Status IN, presence IN, optionally any quantity > 0."""
+    """Status IN, presence IN, optionally any quantity > 0. ``None``
+    means no filter; an empty selection keeps no row."""
     out = merged
-    if statuses:
-        out = out.where(F.col("status").isin(list(statuses)))
-    if presence:
-        out = out.where(F.col("source_status").isin(list(presence)))
+    if statuses is not None:
+        out = out.where(F.col("status").isin(list(statuses))) if statuses else out.where(F.lit(False))
+    if presence is not None:
+        out = out.where(F.col("source_status").isin(list(presence))) if presence else out.where(F.lit(False))
     if any_qty_positive:
         out = out.where((F.col("qty_wh") > 0) | (F.col("qty_ecom") > 0))
     return out
