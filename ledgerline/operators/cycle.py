@@ -19,6 +19,16 @@ from pyspark.sql import functions as F
 from ledgerline.operators import reconcile as R
 from ledgerline.operators import upsert as U
 
+# Report file stems of the five subsets and the date-tag format, fixed values.
+REPORT_FILES = {
+    "mismatch": "stock_mismatches",
+    "only_hnau": "only_in_hnau",
+    "only_vs": "only_in_vs",
+    "hnau_in_vs_out": "hnau_in_vs_out",
+    "vs_in_hnau_out": "vs_in_hnau_out",
+}
+REPORT_TAG_FORMAT = "%d_%m_%Y"
+
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
@@ -45,12 +55,16 @@ def write_version(df: DataFrame, base: str, version: int) -> str:
 
 
 def run_cycle(spark: SparkSession, hnau_norm: DataFrame, vs_norm: DataFrame, out_dir: str, version: int,
-              report_tag: str | None = None, started: float | None = None) -> DataFrame:
+              report_tag: str | None = None, started: float | None = None,
+              update_inventory: bool = True) -> DataFrame:
     """Run one reconciliation cycle on two normalised feeds; returns the
     written reconciliation (read back from storage).
 
-    ``report_tag`` additionally exports the five reports as CSV files
-    ``reports_csv/<name>_<tag>`` (M2)."""
+    ``report_tag`` (e.g. ``time.strftime(REPORT_TAG_FORMAT)``) additionally
+    exports the five reports as CSV folders ``reports_csv/<stem>_<tag>``
+    (M2). ``inventory`` is advanced to the latest stock only with
+    ``update_inventory``; the change set is always taken against the
+    previous inventory."""
     t0 = started if started is not None else time.time()
     path = write_version(R.reconcile(hnau_norm, vs_norm), os.path.join(out_dir, "reconcile"), version)
     joined = spark.read.parquet(path)
@@ -61,13 +75,14 @@ def run_cycle(spark: SparkSession, hnau_norm: DataFrame, vs_norm: DataFrame, out
         write_version(subset, os.path.join(out_dir, "reports", name), version)
         if report_tag:
             subset.write.mode("overwrite").option("header", True) \
-                .csv(os.path.join(out_dir, "reports_csv", f"{name}_{report_tag}"))
+                .csv(os.path.join(out_dir, "reports_csv", f"{REPORT_FILES[name]}_{report_tag}"))
     latest = U.refresh_latest_from_norm(vs_norm)
     previous = latest_version(spark, os.path.join(out_dir, "inventory"), before=version)
     if previous is not None:
         write_version(R.changed_skus(latest, previous), os.path.join(out_dir, "changes"), version)
     write_version(latest, os.path.join(out_dir, "inventory_latest"), version)
-    write_version(latest, os.path.join(out_dir, "inventory"), version)
+    if update_inventory:
+        write_version(latest, os.path.join(out_dir, "inventory"), version)
     summary = joined.agg(F.count(F.lit(1)).alias("total"),
                          F.sum(F.when(F.col("status") != R.MATCH, 1).otherwise(0)).alias("changed"))
     U.run_log_row(summary, "reconcile_cycle", "total", "changed", time.time() - t0,

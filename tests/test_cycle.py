@@ -18,7 +18,7 @@ def test_cycle_two_versions(spark):
     assert j1.count() == q_reconcile.reconciled(spark, SMALL).count()
     # five CSV reports with the date tag, equal to the subsets
     for name in R.RECONCILE_SUBSETS:
-        p = os.path.join(out, "reports_csv", f"{name}_20250101")
+        p = os.path.join(out, "reports_csv", f"{CY.REPORT_FILES[name]}_20250101")
         assert spark.read.option("header", True).csv(p).count() == R.reconcile_subset(j1, name).count()
     # no previous inventory on the first run: no change set
     assert CY.read_or_none(spark, os.path.join(out, "changes")) is None
@@ -34,6 +34,11 @@ def test_cycle_two_versions(spark):
     # re-running version 2 overwrites its own output (idempotent)
     CY.run_cycle(spark, h, v2, out, 2)
     assert spark.read.parquet(os.path.join(out, "runlog")).count() == 2
+    # without the update the inventory stays at version 2: a third run with the
+    # original quantities changes every SKU again, and so does a fourth
+    CY.run_cycle(spark, h, v, out, 3, update_inventory=False)
+    CY.run_cycle(spark, h, v, out, 4, update_inventory=False)
+    assert CY.latest_version(spark, os.path.join(out, "changes")).count() == v.count()
 
 
 def test_comparison_job(spark):
