@@ -19,8 +19,11 @@ def _c(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Unicode-aware white space at either end (Python's str.strip() default).
-_WS_EDGES = r"(?U)^\s+|\s+$"
+# Python's white space (str.isspace): Unicode white space plus the four
+# information separators \x1c-\x1f, as a Java regex class (with (?U)).
+PY_WS = r"[\s\x1c-\x1f]"
+# White space at either end (Python's str.strip() default).
+_WS_EDGES = rf"(?U)^{PY_WS}+|{PY_WS}+$"
 
 
 def strip_ws(c: ColumnOrName) -> Column:

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import ColumnOrName, _c
+from ledgerline.functions.scalars import PY_WS, ColumnOrName, _c
+
+W = PY_WS  # Python white space inside the rules below
 
 # Line breaks recognised by Python's str.splitlines(), fixed values.
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -53,9 +55,9 @@ def dashes_class() -> str:
 # Snake case, tokenizer variant (C19): trim, punctuation -> blank, blanks and
 # hyphens -> "_", camelCase split, "_" runs collapsed.
 SNAKE_TOKEN_RULES = (
-    (r"(?U)^\s+|\s+$", ""),
-    (r"(?U)[^\w\s]+", " "),
-    (r"(?U)[\s\-]+", "_"),
+    (rf"(?U)^{W}+|{W}+$", ""),
+    (r"(?U)[^\w\s\x1c-\x1f]+", " "),
+    (r"(?U)[\s\x1c-\x1f\-]+", "_"),
     (r"([a-z0-9])([A-Z])", "$1_$2"),
     (r"_+", "_"),
 )
@@ -63,23 +65,23 @@ SNAKE_TOKEN_RULES = (
 # brackets, empty bracket pairs, blanks before punctuation, blank runs.
 TIDY_TEXT_RULES = (
     (dashes_class(), " - "),
-    (r"(?U)\s+-\s+|\s+-|-\s+", " - "),
-    (r"(?U)([\(\[\{])\s+", "$1"),
-    (r"(?U)\s+([\)\]\}])", "$1"),
-    (r"(?U)\(\s*\)", ""),
-    (r"(?U)\[\s*\]", ""),
-    (r"(?U)\{\s*\}", ""),
-    (r"(?U)\s+([,.;:!?])", "$1"),
+    (rf"(?U){W}+-{W}+|{W}+-|-{W}+", " - "),
+    (rf"(?U)([\(\[\{{]){W}+", "$1"),
+    (rf"(?U){W}+([\)\]\}}])", "$1"),
+    (rf"(?U)\({W}*\)", ""),
+    (rf"(?U)\[{W}*\]", ""),
+    (rf"(?U)\{{{W}*\}}", ""),
+    (rf"(?U){W}+([,.;:!?])", "$1"),
     (r"[ \t\f\x0b]+", " "),
 )
 # Line tidy (C25): as above without the ASCII hyphen rule, and any empty
 # pair of brackets (also mixed, such as "(]") removed.
 TIDY_LINE_RULES = (
     (dashes_class(), " - "),
-    (r"(?U)([\(\[\{])\s+", "$1"),
-    (r"(?U)\s+([\)\]\}])", "$1"),
-    (r"(?U)[\(\[\{]\s*[\)\]\}]", ""),
-    (r"(?U)\s+([,.;:!?])", "$1"),
+    (rf"(?U)([\(\[\{{]){W}+", "$1"),
+    (rf"(?U){W}+([\)\]\}}])", "$1"),
+    (rf"(?U)[\(\[\{{]{W}*[\)\]\}}]", ""),
+    (rf"(?U){W}+([,.;:!?])", "$1"),
     (r"[ \t\f\x0b]+", " "),
 )
 
@@ -104,11 +106,11 @@ def split_lines(c: ColumnOrName) -> Column:
 
 def _blank(x: Column) -> Column:
     """Only white space (or nothing): no non-space character is found."""
-    return ~x.rlike(r"(?U)\S")
+    return ~x.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def _rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)\s+$", "")
+    return F.regexp_replace(x, rf"(?U){W}+$", "")
 
 
 def snake_token(c: ColumnOrName) -> Column:

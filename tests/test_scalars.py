@@ -73,3 +73,9 @@ def test_newest_path_raises_when_nothing_matches(spark, tmp_path):
     assert newest_path(spark, str(tmp_path), "*.csv").endswith("a.csv")
     with pytest.raises(FileNotFoundError):
         newest_path(spark, str(tmp_path), "*.json")
+
+
+def test_python_whitespace_strip(spark):
+    # \x1c-\x1f count as white space for str.strip(); ​ does not
+    vals = ["\x1cab\x1f", " x ", "​y"]
+    assert _one(spark, vals, S.clean_sku) == [v.strip().upper() or None for v in vals]
