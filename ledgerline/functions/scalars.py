@@ -22,13 +22,15 @@ def _c(c: ColumnOrName) -> Column:
 # Python's white space (str.isspace): Unicode white space plus the four
 # information separators \x1c-\x1f, as a Java regex class (with (?U)).
 PY_WS = r"[\s\x1c-\x1f]"
-# White space at either end (Python's str.strip() default).
-_WS_EDGES = rf"(?U)^{PY_WS}+|{PY_WS}+$"
+# The characters Python's str.strip() removes (str.isspace), fixed values.
+PY_WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+               "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Strip Unicode white space at both ends (``trim`` only strips blanks)."""
-    return F.regexp_replace(_c(c), _WS_EDGES, "")
+    """Strip Python white space at both ends (``trim`` only strips blanks);
+    a character-set trim, no regex."""
+    return F.btrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def nullif_empty(c: ColumnOrName) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import PY_WS, ColumnOrName, _c
+from ledgerline.functions.scalars import PY_WS, ColumnOrName, _c, strip_ws
 
 W = PY_WS  # Python white space inside the rules below
 
@@ -52,10 +52,9 @@ def dashes_class() -> str:
 
 
 # Rule tables, applied in order as (Java regex, replacement); fixed values.
-# Snake case, tokenizer variant (C19): trim, punctuation -> blank, blanks and
-# hyphens -> "_", camelCase split, "_" runs collapsed.
+# Snake case, tokenizer variant (C19), after stripping: punctuation -> blank,
+# blanks and hyphens -> "_", camelCase split, "_" runs collapsed.
 SNAKE_TOKEN_RULES = (
-    (rf"(?U)^{W}+|{W}+$", ""),
     (r"(?U)[^\w\s\x1c-\x1f]+", " "),
     (r"(?U)[\s\x1c-\x1f\-]+", "_"),
     (r"([a-z0-9])([A-Z])", "$1_$2"),
@@ -114,9 +113,9 @@ def _rstrip(x: Column) -> Column:
 
 
 def snake_token(c: ColumnOrName) -> Column:
-    """Tokenizer snake case (``SNAKE_TOKEN_RULES``), ``_`` trimmed at
-    both ends, lower-cased."""
-    return F.lower(F.btrim(apply_rules(c, SNAKE_TOKEN_RULES), F.lit("_")))
+    """Tokenizer snake case: white space stripped, ``SNAKE_TOKEN_RULES``,
+    ``_`` trimmed at both ends, lower-cased."""
+    return F.lower(F.btrim(apply_rules(strip_ws(c), SNAKE_TOKEN_RULES), F.lit("_")))
 
 
 def snake_simple(c: ColumnOrName) -> Column:

@@ -79,3 +79,7 @@ def test_python_whitespace_strip(spark):
     # \x1c-\x1f count as white space for str.strip(); ​ does not
     vals = ["\x1cab\x1f", " x ", "​y"]
     assert _one(spark, vals, S.clean_sku) == [v.strip().upper() or None for v in vals]
+
+
+def test_python_whitespace_set_is_complete():
+    assert S.PY_WS_CHARS == "".join(c for c in map(chr, range(0x110000)) if c.isspace())
