@@ -75,11 +75,14 @@ BASIC_ISO = "yyyyMMdd'T'HHmmss"
 
 
 def parse_iso_ts(c: ColumnOrName) -> Column:
-    """ISO timestamp text (``Z`` and offsets allowed, plain dates, basic
-    form); empty or bad -> null."""
+    """ISO timestamp text (``Z`` / offsets, plain dates, basic form) to
+    TIMESTAMP_NTZ holding the written wall-clock time (a zone designator is
+    dropped, as the stored value of the reference is); empty or bad -> null.
+    Independent of the session time zone."""
     s = _c(c).cast("string")
     s = F.when(s == "", F.lit(None)).otherwise(s)
-    return F.coalesce(F.try_to_timestamp(s), F.try_to_timestamp(s, F.lit(BASIC_ISO)))
+    return F.coalesce(s.try_cast("timestamp_ntz"),
+                      F.try_to_timestamp(s, F.lit(BASIC_ISO)).cast("timestamp_ntz"))
 
 
 def first_truthy_text(*cols: ColumnOrName) -> Column:

@@ -146,21 +146,22 @@ def filter_orders(orders: DataFrame, status: str | None = None, retailer: str |
     from <= date < to + 1 day (swapped bounds repaired), newest first."""
     if date_from and date_to and date_from > date_to:
         date_from, date_to = date_to, date_from
+    ts_type = orders.schema[date_col].dataType  # bounds in the column's own type
     out = orders
     if status and status != "All":
         out = out.where(F.col("status") == status)
     if retailer:
         out = out.where(F.col("retailer") == retailer)
     if date_from:
-        out = out.where(F.col(date_col) >= F.to_timestamp(F.lit(date_from)))
+        out = out.where(F.col(date_col) >= F.lit(date_from).cast(ts_type))
     if date_to:
-        out = out.where(F.col(date_col) < F.to_timestamp(F.lit(date_to)) + F.expr("INTERVAL 1 DAY"))
+        out = out.where(F.col(date_col) < F.lit(date_to).cast(ts_type) + F.expr("INTERVAL 1 DAY"))
     return out.orderBy(F.col(date_col).desc_nulls_last())
 
 
 def updated_since(df: DataFrame, ts_col: str, as_of: str, hours: int) -> DataFrame:
     """Rows with ``ts >= as_of - hours`` (``as_of`` explicit for tests)."""
-    bound = F.to_timestamp(F.lit(as_of)) - F.make_interval(hours=F.lit(hours))
+    bound = F.lit(as_of).cast(df.schema[ts_col].dataType) - F.make_interval(hours=F.lit(hours))
     return df.where(F.col(ts_col) >= bound)
 
 

@@ -83,3 +83,9 @@ def test_python_whitespace_strip(spark):
 
 def test_python_whitespace_set_is_complete():
     assert S.PY_WS_CHARS == "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+
+
+def test_iso_wall_clock_kept_for_offsets(spark):
+    df = spark.createDataFrame([("2024-01-02T03:04:05+02:00",), ("2024-01-02T03:04:05Z",)], "s string")
+    got = [r[0] for r in df.select(F.date_format(J.parse_iso_ts("s"), "yyyy-MM-dd HH:mm:ss")).collect()]
+    assert got == ["2024-01-02 03:04:05", "2024-01-02 03:04:05"]
