@@ -114,3 +114,16 @@ def test_build_product_payload_rules(spark):
     assert out[""].error == "SKU is required." and out[""].payload is None
     assert out["S3"].error == "Bad price or quantity."
     assert out["S4"].error == "Select an Attribute Set."
+
+
+def test_chunk_boundaries(spark):
+    ch = spark.createDataFrame([(f"S{i}", i) for i in range(1, 8)], "sku string, qty int")
+    feed = G.change_feed(ch, ["a", "b"], qty="qty", order_cols=["sku"])
+    whole = {(r.sku, r.source_code): r.file_no for r in G.chunk_whole_changes(feed, 5, 2).collect()}
+    # 5 rows per file with 2 sources: a file closes after the change that reaches 5 rows -> 3 changes per file
+    assert [whole[(f"S{i}", "a")] for i in range(1, 8)] == [1, 1, 1, 2, 2, 2, 3]
+    assert all(whole[(s, "a")] == whole[(s, "b")] for s, _ in whole)
+    exact = sorted((r.row_rank, r.file_no) for r in G.chunk_exact_rows(feed, 5).collect())
+    assert [f for _, f in exact] == [1] * 5 + [2] * 5 + [3] * 4
+    batches = {r.batch_id: r.n_items for r in G.stock_item_batches(feed, 4).collect()}
+    assert batches == {1: 4, 2: 4, 3: 4, 4: 2}

@@ -89,3 +89,9 @@ def test_iso_wall_clock_kept_for_offsets(spark):
     df = spark.createDataFrame([("2024-01-02T03:04:05+02:00",), ("2024-01-02T03:04:05Z",)], "s string")
     got = [r[0] for r in df.select(F.date_format(J.parse_iso_ts("s"), "yyyy-MM-dd HH:mm:ss")).collect()]
     assert got == ["2024-01-02 03:04:05", "2024-01-02 03:04:05"]
+
+
+def test_key_guesses():
+    assert SH.guess_key(["Account", "SupplierSKU", "FreeStock"]) == "SupplierSKU"
+    assert SH.guess_key(["Account", "SupplierSKU"], SH.ACCOUNT_KEY_CANDIDATES) == "Account"
+    assert SH.guess_key(["x", "y"]) is None
