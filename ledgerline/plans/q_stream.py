@@ -52,9 +52,10 @@ def l3(spark, sf):
     pages = order_payload_pages(spark, sf).persist()
     try:
         for fetch in (1, 2):
+            if fetch > 1:
+                time.sleep(1.1)  # a strictly newer modification time for the later fetch
             pages.where(F.floor(F.col("page_no") / FETCH_STRIDE) == fetch).coalesce(1) \
                 .write.mode("append").json(pages_dir)
-            time.sleep(1.1)
     finally:
         pages.unpersist()
     q = OI.start_order_ingest(spark, pages_dir, out, os.path.join(run, "checkpoint"), available_now=True,
