@@ -21,11 +21,18 @@ _ROW_BITS = 33
 
 def with_row_number(df: DataFrame, order_cols: list[Column | str], name: str = "rn") -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total order given by
-    ``order_cols`` (rows that tie on all order columns must be identical)."""
+    ``order_cols`` (rows that tie on all order columns must be identical).
+
+    A seeded random tie-break column is added after the order columns:
+    identical rows may take any order among themselves, and without it a
+    value repeated in a third of all rows would be one range, i.e. one
+    task. The column is materialised once (sampling, shuffle and sort see
+    the same values) and is deterministic per input partition on retry."""
     ensure_checkpoint_dir(df.sparkSession)
-    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols] + [F.col("_tb")]
     tagged = (
-        df.repartitionByRange(*cols)
+        df.withColumn("_tb", F.rand(17))
+        .repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
@@ -38,5 +45,5 @@ def with_row_number(df: DataFrame, order_cols: list[Column | str], name: str = "
     return (
         tagged.join(F.broadcast(offsets), "_pid")
         .withColumn(name, (F.col("_off") + local + 1).cast("bigint"))
-        .drop("_pid", "_mid", "_off")
+        .drop("_pid", "_mid", "_off", "_tb")
     )

@@ -96,3 +96,24 @@ def test_null_keys_match_null_safely(spark):
     assert d == {("", "modified"): (2, 5), ("a", "added"): (3, None), ("b", "removed"): (None, 4)}
     synced = sorted(D.sync_into(src, tgt, ["k"], ["k"], ["v"]).collect(), key=lambda r: (r.k is not None, r.k or ""))
     assert [(r.k, r.v) for r in synced] == [(None, 1), ("", 2), ("a", 3), ("b", 4)]
+
+
+def test_numbering_spreads_identical_hot_rows(spark):
+    # 30k identical rows plus a few distinct ones: numbering stays a permutation
+    df = spark.range(30000).select(F.lit("HOT").alias("k")).union(spark.createDataFrame([("A",), ("Z",)], "k string"))
+    out = N.with_row_number(df, ["k"], "rn")
+    rows = out.collect()
+    assert sorted(r.rn for r in rows) == list(range(1, 30003))
+    by = {r.k: r.rn for r in rows if r.k != "HOT"}
+    assert by == {"A": 1, "Z": 30002}
+    # the hot value is spread over several range partitions (AQE would
+    # coalesce this small shuffle into one partition, so switch that off here)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        hot = N.with_row_number(df, ["k"], "rn").where(F.col("k") == "HOT")
+        parts = hot.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(key, old)
+    assert parts > 1
