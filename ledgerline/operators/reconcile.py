@@ -286,15 +286,25 @@ def comparison_subset(merged: DataFrame, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Changed SKUs between a previous and a latest snapshot.
 
-def changed_skus(latest: DataFrame, previous: DataFrame, key: str = "SupplierSKU",
-                 value: str = "FreeStock", null_as_zero: bool = False) -> DataFrame:
-    """F3 (null-safe) / F4 (null = 0): SKUs of ``latest`` whose value differs
-    from ``previous`` (left join; SKUs only in ``previous`` never reported)."""
-    prev = previous.select(F.col(key).alias("_k"), F.col(value).alias("previous_qty"))
+def snapshot_comparison(latest: DataFrame, previous: DataFrame, key: str = "SupplierSKU",
+                        value: str = "FreeStock", null_as_zero: bool = False) -> DataFrame:
+    """Every row of ``latest`` with its previous value and a ``changed`` flag
+    (F3: null-safe; F4: null counts as 0). The key is a primary key of the
+    snapshot tables; ``previous`` is still reduced to one row per key (its
+    smallest value) before the join, so copies of a key never pair up."""
+    prev = previous.groupBy(F.col(key).alias("_k")).agg(F.min(F.col(value)).alias("previous_qty"))
     j = latest.select(F.col(key).alias("sku"), F.col(value).alias("latest_qty"), "Account") \
         .join(prev, F.col("sku") == F.col("_k"), "left")
     if null_as_zero:
         changed = F.coalesce(F.col("latest_qty"), F.lit(0)) != F.coalesce(F.col("previous_qty"), F.lit(0))
     else:
         changed = ~F.col("latest_qty").eqNullSafe(F.col("previous_qty"))
-    return j.where(changed).select("sku", "Account", "latest_qty", "previous_qty")
+    return j.select("sku", "Account", "latest_qty", "previous_qty", changed.alias("changed"))
+
+
+def changed_skus(latest: DataFrame, previous: DataFrame, key: str = "SupplierSKU",
+                 value: str = "FreeStock", null_as_zero: bool = False) -> DataFrame:
+    """F3 (null-safe) / F4 (null = 0): SKUs of ``latest`` whose value differs
+    from ``previous`` (left join; SKUs only in ``previous`` never reported)."""
+    return snapshot_comparison(latest, previous, key, value, null_as_zero) \
+        .where("changed").drop("changed")

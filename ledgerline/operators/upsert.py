@@ -93,8 +93,11 @@ def fk_restrict_rejected(deleted_parents: DataFrame, children: DataFrame, fk: st
 def stamp_changes(new: DataFrame, old: DataFrame, keys: list[str], value_cols: list[str],
                   as_of: str, created: str = "created_at", updated: str = "updated_at") -> DataFrame:
     """``updated_at`` = ``as_of`` on inserted or changed rows only,
-    ``created_at`` = ``as_of`` on inserts; other rows keep their stamps."""
+    ``created_at`` = ``as_of`` on inserts; other rows keep their stamps.
+    ``old`` is reduced to its first row per key so copies never pair up."""
+    from ledgerline.operators.diff import first_per_key
     ts = F.lit(as_of).cast("timestamp")
+    old = first_per_key(old.select(*keys, *value_cols, created, updated), keys)
     o = old.select(*[F.col(k).alias(f"_ok_{k}") for k in keys],
                    *[F.col(c).alias(f"_o_{c}") for c in value_cols],
                    F.col(created).alias("_o_created"), F.col(updated).alias("_o_updated"),

@@ -352,8 +352,8 @@ SELECT '{AS_OF}' AS timestamp, CAST(count(*) AS BIGINT) AS total_skus,
 FROM inventory_latest l LEFT JOIN inventory p ON l.SupplierSKU = p.SupplierSKU
 """, "inventory", "inventory_latest"))
 def i13(spark, sf):
+    from ledgerline.operators.reconcile import snapshot_comparison
     latest, prev = _snapshots(spark, sf)
-    j = latest.join(prev.select("SupplierSKU", F.col("FreeStock").alias("_p")), "SupplierSKU", "left")
-    summary = j.agg(F.count(F.lit(1)).alias("total"),
-                    F.sum(F.when(~F.col("FreeStock").eqNullSafe(F.col("_p")), 1).otherwise(0)).alias("changed"))
+    summary = snapshot_comparison(latest, prev).agg(
+        F.count(F.lit(1)).alias("total"), F.sum(F.col("changed").cast("int")).alias("changed"))
     return U.run_log_row(summary, "compare_tables", "total", "changed", 0.0, AS_OF)
