@@ -28,15 +28,19 @@ def _scan_batch(batch: DataFrame, batch_id: int) -> DataFrame:
 def make_order_handler(out_dir: str):
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        scanned = _scan_batch(batch, batch_id)
-        orders_path = os.path.join(out_dir, "orders")
-        items_path = os.path.join(out_dir, "order_items")
-        existing = _latest_version(spark, orders_path, before=batch_id)
-        merged = O.merge_orders(scanned, existing)
-        merged.write.mode("overwrite").parquet(f"{orders_path}/version={batch_id}")
-        old_items = _latest_version(spark, items_path, before=batch_id)
-        items = O.replace_items(scanned, old_items)
-        items.write.mode("overwrite").parquet(f"{items_path}/version={batch_id}")
+        # the pages of one micro-batch are parsed once for orders and items
+        scanned = _scan_batch(batch, batch_id).persist()
+        try:
+            orders_path = os.path.join(out_dir, "orders")
+            items_path = os.path.join(out_dir, "order_items")
+            existing = _latest_version(spark, orders_path, before=batch_id)
+            merged = O.merge_orders(scanned, existing)
+            merged.write.mode("overwrite").parquet(f"{orders_path}/version={batch_id}")
+            old_items = _latest_version(spark, items_path, before=batch_id)
+            items = O.replace_items(scanned, old_items)
+            items.write.mode("overwrite").parquet(f"{items_path}/version={batch_id}")
+        finally:
+            scanned.unpersist()
     return handle
 
 
