@@ -31,14 +31,18 @@ def _land_csv(df, path):
 def l1(spark, sf):
     run = _run_dir(spark, "feed_watch")
     hdir, vdir, out = (os.path.join(run, d) for d in ("hnau", "vs", "out"))
-    h = fixture(spark, sf, "feed_h").drop("row_id")
-    v = fixture(spark, sf, "feed_v").drop("row_id")
-    # an older, partial file per side first; the newest (complete) one must win
-    _land_csv(h.where(F.col("sku_oms_details_sku").endswith("1")), hdir)
-    _land_csv(v.where(F.col("supplier_sku").endswith("1")), vdir)
-    time.sleep(1.1)
-    _land_csv(h, hdir)
-    _land_csv(v, vdir)
+    h = fixture(spark, sf, "feed_h").drop("row_id").persist()
+    v = fixture(spark, sf, "feed_v").drop("row_id").persist()
+    try:
+        # an older, partial file per side first; the newest (complete) one must win
+        _land_csv(h.where(F.col("sku_oms_details_sku").endswith("1")), hdir)
+        _land_csv(v.where(F.col("supplier_sku").endswith("1")), vdir)
+        time.sleep(1.1)
+        _land_csv(h, hdir)
+        _land_csv(v, vdir)
+    finally:
+        h.unpersist()
+        v.unpersist()
     q = W.start_feed_watch(spark, hdir, vdir, out, os.path.join(run, "checkpoint"), available_now=True)
     q.awaitTermination()
     return W.read_output(spark, out, "reconcile")
