@@ -167,7 +167,7 @@ def updated_since(df: DataFrame, ts_col: str, as_of: str, hours: int) -> DataFra
 
 def items_of_order(items: DataFrame, orders: DataFrame, key: str, fk: str) -> DataFrame:
     """Parent-child fetch: the items of the given orders."""
-    return items.join(orders.select(F.col(key).alias("_k")), F.col(fk) == F.col("_k"), "left_semi")
+    return items.join(orders.select(F.col(key).alias("_k")).distinct(), F.col(fk) == F.col("_k"), "left_semi")
 
 
 # Export column names of the flat order and item files, fixed values.

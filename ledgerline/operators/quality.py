@@ -82,7 +82,7 @@ def exactly_one_violations(df: DataFrame, value_cols: list[str]) -> DataFrame:
 def orphan_rows(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """K6: child rows whose non-null foreign key has no parent."""
     return child.where(F.col(fk).isNotNull()).join(
-        parent.select(F.col(pk).alias("_pk")), F.col(fk) == F.col("_pk"), "left_anti")
+        parent.select(F.col(pk).alias("_pk")).distinct(), F.col(fk) == F.col("_pk"), "left_anti")
 
 
 def unseen_runs(incoming: DataFrame, ledger: DataFrame, cols: list[str]) -> DataFrame:

@@ -57,7 +57,7 @@ def refresh_latest_from_norm(vs_norm: DataFrame) -> DataFrame:
 def delete_by_ids(df: DataFrame, ids: DataFrame, key: str, id_col: str | None = None) -> DataFrame:
     """Rows whose key is not among ``ids`` (anti join)."""
     id_col = id_col or key
-    return df.join(ids.select(F.col(id_col).alias("_id")), F.col(key) == F.col("_id"), "left_anti")
+    return df.join(ids.select(F.col(id_col).alias("_id")).distinct(), F.col(key) == F.col("_id"), "left_anti")
 
 
 def bulk_update(df: DataFrame, ids: DataFrame, key: str, values: dict, id_col: str | None = None) -> DataFrame:
@@ -86,7 +86,7 @@ def fk_set_null(children: DataFrame, deleted_parents: DataFrame, fk: str, parent
 
 def fk_restrict_rejected(deleted_parents: DataFrame, children: DataFrame, fk: str, parent_key: str) -> DataFrame:
     """I11 restrict: requested parent deletes rejected because children exist."""
-    return deleted_parents.join(children.select(F.col(fk).alias("_fk")),
+    return deleted_parents.join(children.select(F.col(fk).alias("_fk")).distinct(),
                                 F.col(parent_key) == F.col("_fk"), "left_semi")
 
 
