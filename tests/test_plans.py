@@ -32,9 +32,10 @@ def test_reconcile_scan_is_pruned_and_filtered(spark):
     assert scans and all("l_extendedprice" not in s for s in scans)
 
 
-def test_no_registered_query_uses_python_udfs(spark):
+def test_no_registered_query_uses_python_udfs_or_pair_joins(spark):
     names = [n for n in load_all() if not n.startswith("l")]
     for name in names:
         df = load_all()[name].build(spark, SMALL)
         p = _plan(df)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
