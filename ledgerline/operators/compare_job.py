@@ -15,14 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.operators import reconcile as R
 from ledgerline.operators.quality import mapping_errors, validate_mapping
+from ledgerline.sources.shaping import guess_column
 
 
-def run_comparison(spark: SparkSession, wh: DataFrame, ecom: DataFrame, wh_roles: tuple, ecom_roles: tuple, *,
+def guess_roles(df: DataFrame) -> tuple:
+    """(sku, account, qty) column names guessed from the header."""
+    return tuple(guess_column(df.columns, role) for role in ("sku", "account", "qty"))
+
+
+def run_comparison(spark: SparkSession, wh: DataFrame, ecom: DataFrame, wh_roles: tuple | None = None,
+                   ecom_roles: tuple | None = None, *,
                    aggfunc: str = "sum", upper_keys: bool = True, strip_keys: bool = True,
                    clamp_negative: bool = False, order_cols: list[str] | None = None,
                    out_dir: str | None = None, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """``*_roles`` are (sku, account, qty) column names of each side.
-    Raises ``ValueError`` with the mapping errors before reading data."""
+    """``*_roles`` are (sku, account, qty) column names of each side (guessed
+    from the headers when not given). Raises ``ValueError`` with the mapping
+    errors before reading data."""
+    wh_roles = wh_roles or guess_roles(wh)
+    ecom_roles = ecom_roles or guess_roles(ecom)
     errors = (mapping_errors(wh.columns, "Warehouse", *wh_roles)
               + mapping_errors(ecom.columns, "E-Commerce", *ecom_roles))
     if errors:

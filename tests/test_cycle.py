@@ -57,3 +57,12 @@ def test_comparison_job(spark):
     assert k.matched + k.mismatched == k.total_rows
     assert spark.read.option("header", True).csv(os.path.join(out, "by_account")).count() == \
         res["by_account"].count()
+
+
+def test_comparison_job_guesses_roles(spark):
+    from ledgerline.operators.compare_job import guess_roles, run_comparison
+    from ledgerline.plans.fixtures import fixture
+    wh, ec = fixture(spark, SMALL, "stock_wh"), fixture(spark, SMALL, "stock_ecom")
+    assert guess_roles(wh) == ("sku", "account", "qty")
+    res = run_comparison(spark, wh, ec)
+    assert res["comparison"].count() == q_reconcile.compared(spark, SMALL).count()
