@@ -35,15 +35,21 @@ def insert_or_replace(target: DataFrame, batch: DataFrame, unique_cols: list[str
                       *[F.lit(None).cast(batch.schema[c].dataType).alias(f"_o_{c}") for c in batch_order])
     b = batch.select(*[F.col(c) if c in batch.columns else F.lit(None).alias(c) for c in cols],
                      F.lit(1).alias("_src"), *[F.col(c).alias(f"_o_{c}") for c in batch_order])
-    u = t.unionByName(b)
     if not unique_cols:
-        return u.select(*cols)
-    keyed = u.where(~_any_null(unique_cols))
+        return t.unionByName(b).select(*cols)
+    # Only keys the batch touches are resolved: target rows with other keys
+    # pass through an anti join against the batch's distinct keys (broadcast
+    # by the planner when that key set is small, so the target is not
+    # shuffled), the touched keys are aggregated with the batch rows.
+    batch_keys = b.where(~_any_null(unique_cols)).select(*unique_cols).distinct()
+    untouched = t.join(batch_keys, unique_cols, "left_anti").select(*cols)
+    touched = t.join(batch_keys, unique_cols, "left_semi")
+    keyed = touched.unionByName(b.where(~_any_null(unique_cols)))
     order = F.struct(F.col("_src"), *[F.col(f"_o_{c}") for c in batch_order], *[F.col(c) for c in cols])
     winners = (keyed.groupBy(*unique_cols)
                .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_w"))
                .select(*[F.col("_w")[c].alias(c) for c in cols]))
-    return winners.unionByName(u.where(_any_null(unique_cols)).select(*cols))
+    return untouched.unionByName(winners).unionByName(b.where(_any_null(unique_cols)).select(*cols))
 
 
 def refresh_latest_from_norm(vs_norm: DataFrame) -> DataFrame:
