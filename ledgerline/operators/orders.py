@@ -64,7 +64,8 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
     * retailer, order_reference: from the first payload (insert only).
 
     ``existing`` rows (same columns as the result) act as payload zero with
-    every key present."""
+    every key present; existing orders without a new payload are passed
+    through unchanged."""
     v = F.col("v")
     rows = scanned.select(
         F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")).alias("ord"),
@@ -81,8 +82,13 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
         F.to_json(J.field(v, "$.shipping_address")).alias("shipping_address"),
         J.present(v, "$.shipping_address").alias("_p_ship"),
     ).where(F.col("order_id").isNotNull())
+    untouched = None
     if existing is not None:
-        old = existing.select(
+        # only orders present in the new payloads are merged; the others pass
+        # through an anti join (no aggregation of the whole existing table)
+        batch_keys = rows.select("order_id").distinct()
+        untouched = existing.join(batch_keys, "order_id", "left_anti")
+        old = existing.join(batch_keys, "order_id", "left_semi").select(
             F.struct(F.lit(0).alias("_src"), F.lit(None).cast(rows.schema["ord"].dataType["_o"].dataType)
                      .alias("_o")).alias("ord"),
             "order_id", "retailer", "order_reference", "order_date",
@@ -90,7 +96,7 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
             "currency_code", F.lit(True).alias("_p_cur"), "subtotal", "tax", "total",
             "shipping_address", F.lit(True).alias("_p_ship"))
         rows = old.unionByName(rows)
-    return rows.groupBy("order_id").agg(
+    merged = rows.groupBy("order_id").agg(
         F.min_by("retailer", "ord").alias("retailer"),
         F.min_by("order_reference", "ord").alias("order_reference"),
         _last_present(F.col("order_date"), F.col("order_date").isNotNull()).alias("order_date"),
@@ -102,6 +108,9 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
         F.max_by("total", "ord").alias("total"),
         _last_present(F.col("shipping_address"), F.col("_p_ship")).alias("shipping_address"),
     )
+    if untouched is None:
+        return merged
+    return untouched.select(*merged.columns).unionByName(merged)
 
 
 ITEM_FIELDS = ("part_number", "retailer_sku_reference", "supplier_sku_reference", "line_reference", "name")
