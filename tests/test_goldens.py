@@ -127,3 +127,24 @@ def test_chunk_boundaries(spark):
     assert [f for _, f in exact] == [1] * 5 + [2] * 5 + [3] * 4
     batches = {r.batch_id: r.n_items for r in G.stock_item_batches(feed, 4).collect()}
     assert batches == {1: 4, 2: 4, 3: 4, 4: 2}
+
+
+def test_order_merge_with_existing_table(spark):
+    from ledgerline.operators import orders as O
+    existing = spark.createDataFrame(
+        [("A", "R1", "A", None, "O", 7, "USD", 10.0, 1.0, 11.0, '{"city":"X"}'),
+         ("B", "R2", "B", None, "F", 8, "EUR", 20.0, 2.0, 22.0, None)],
+        "order_id string, retailer string, order_reference string, order_date timestamp_ntz, status string, "
+        "supplier_id bigint, currency_code string, subtotal double, tax double, total double, "
+        "shipping_address string")
+    page = json.dumps({"results": [{"order_reference": "A", "retailer": "NEW", "status": None, "subtotal": 5,
+                                    "supplier": "/s/9/"}], "next": None})
+    pages = spark.createDataFrame([(1, page)], "page_no bigint, payload string")
+    merged = {r.order_id: r for r in O.merge_orders(O.scan_pages(pages), existing).collect()}
+    a, b = merged["A"], merged["B"]
+    assert a.retailer == "R1"                       # insert-only field keeps the stored value
+    assert a.status is None                         # explicit JSON null overwrites
+    assert a.currency_code == "USD"                 # absent key keeps the stored value
+    assert (a.subtotal, a.tax, a.total) == (5.0, 0.0, 0.0)  # amounts always overwrite (absent -> 0.0)
+    assert a.supplier_id == 9 and a.shipping_address == '{"city":"X"}'
+    assert (b.status, b.subtotal, b.currency_code) == ("F", 20.0, "EUR")  # untouched order passes through
