@@ -117,3 +117,13 @@ def test_numbering_spreads_identical_hot_rows(spark):
     finally:
         spark.conf.set(key, old)
     assert parts > 1
+
+
+def test_insert_or_replace_semantics(spark):
+    tgt = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), (None, 3, "z")], "k string, v int, note string")
+    batch = spark.createDataFrame([(1, "a", 10), (2, "a", 11), (3, None, 12), (4, "c", 13)],
+                                  "row_id int, k string, v int")
+    out = sorted((r.k or "", r.v, r.note) for r in U.insert_or_replace(tgt, batch, ["k"], ["row_id"]).collect())
+    # a: last batch row wins and replaces the whole row (note -> null); b untouched;
+    # null keys never collide (target and batch rows both kept); c inserted
+    assert out == [("", 3, "z"), ("", 12, None), ("a", 11, None), ("b", 2, "y"), ("c", 13, None)]
