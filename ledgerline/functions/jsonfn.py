@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import ColumnOrName, _c, strip_ws
+from ledgerline.functions.scalars import ColumnOrName, _c, strict_int, strip_ws
 
 
 def field(v: ColumnOrName, path: str) -> Column:
@@ -38,9 +38,9 @@ def canonical_json(c: ColumnOrName) -> Column:
 
 
 def _strict_int_text(s: Column) -> Column:
-    """Python ``int(x)`` on text: optional sign and digits, white space allowed."""
-    t = strip_ws(s)
-    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    """Python ``int(x)`` on text: sign, digits (``_`` between digits), white
+    space around."""
+    return strict_int(s)
 
 
 def _int_of_variant(v: Column) -> Column:

@@ -117,9 +117,16 @@ def lenient_float(c: ColumnOrName, default=None) -> Column:
     return F.coalesce(d, F.lit(default).cast("double")) if default is not None else d
 
 
+# Integer text as Python's int() reads it: sign, digits, single underscores
+# between digits, fixed value.
+INT_TEXT = r"^[+-]?[0-9](?:_?[0-9])*$"
+
+
 def strict_int(c: ColumnOrName, default=None) -> Column:
-    """C9 (order version): integer text only (no float detour), bad -> default."""
-    out = strip_ws(_c(c).cast("string")).try_cast("bigint")
+    """C9 (order version): integer text only (no float detour; white space
+    around and ``_`` between digits allowed), bad -> default."""
+    t = strip_ws(_c(c).cast("string"))
+    out = F.when(t.rlike(INT_TEXT), F.replace(t, F.lit("_"), F.lit("")).try_cast("bigint"))
     return F.coalesce(out, F.lit(default).cast("bigint")) if default is not None else out
 
 

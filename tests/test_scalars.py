@@ -95,3 +95,13 @@ def test_key_guesses():
     assert SH.guess_key(["Account", "SupplierSKU", "FreeStock"]) == "SupplierSKU"
     assert SH.guess_key(["Account", "SupplierSKU"], SH.ACCOUNT_KEY_CANDIDATES) == "Account"
     assert SH.guess_key(["x", "y"]) is None
+
+
+def test_strict_int_like_python(spark):
+    vals = ["1_000", "1__0", "_1", "1_", " +12 ", "-3", "007", "1.0", ""]
+    def py(v):
+        try:
+            return int(v)
+        except ValueError:
+            return None
+    assert _one(spark, vals, S.strict_int) == [py(v) for v in vals]
