@@ -4,9 +4,10 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import byte_bpe, decontaminate, quality_bands
 
 QUERIES = {}
 ORACLES = {}
@@ -25,6 +26,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_compression_bands")
+def op2(spark, sf_dir):
+    return quality_bands.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op9_byte_bpe")
+def op9(spark, sf_dir):
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 @query("op10_suffix_automaton_decontamination")
 def op10(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
