@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, quality_bands
+from . import byte_bpe, decontaminate, quality_bands, substring_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_fixed_block_anchors")
+def op1(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op2_compression_bands")
 def op2(spark, sf_dir):
     return quality_bands.judge(table(spark, sf_dir, "documents"))
