@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, quality_bands, simhash_dedup, substring_dedup
+from . import byte_bpe, decontaminate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -36,6 +36,11 @@ def op2(spark, sf_dir):
     return quality_bands.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op7_column_wise_suffix_dedup")
+def op7(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_deletion_variant_simhash")
 def op8(spark, sf_dir):
     return simhash_dedup.report(table(spark, sf_dir, "documents"))

@@ -62,7 +62,7 @@ SQUEEZE = 1
 def pack(h: np.ndarray, count: np.ndarray, second: np.ndarray | None = None, flag: np.ndarray | None = None) -> bytes:
     """Sorted hashes with counts, and perhaps 32 more bits and a flag each."""
     parts = [struct.pack("<q??", len(h), second is not None, flag is not None),
-             planes(np.diff(h, prepend=U64(0))), np.minimum(count, 255).astype(np.uint8).tobytes()]
+             planes(np.diff(h, prepend=U64(0))), np.minimum(count, 65535).astype("<u2").tobytes()]
     if second is not None:
         parts.append(second.astype("<u4").tobytes())
     if flag is not None:
@@ -76,8 +76,8 @@ def unpack(payload: bytes):
     at = struct.calcsize("<q??")
     d, used = from_planes(raw[at:], n)
     at += used
-    count = np.frombuffer(raw, np.uint8, n, at)
-    at += n
+    count = np.frombuffer(raw, "<u2", n, at)
+    at += 2 * n
     second = np.frombuffer(raw, "<u4", n, at) if has_second else None
     at += 4 * n * has_second
     flag = np.unpackbits(np.frombuffer(raw, np.uint8, -1, at), count=n).astype(bool) if has_flag else None
