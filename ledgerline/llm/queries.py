@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup
+from . import byte_bpe, decontaminate, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -36,6 +36,11 @@ def op2(spark, sf_dir):
     return quality_bands.judge(table(spark, sf_dir, "documents"))
 
 
+@query("op3_crf_language_id")
+def op3(spark, sf_dir):
+    return langid_crf.report(table(spark, sf_dir, "documents"))
+
+
 @query("op6_offset_preserving_pii")
 def op6(spark, sf_dir):
     return pii_deobfuscate.report(table(spark, sf_dir, "documents"))
