@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup
+from . import byte_bpe, decontaminate, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup, toxicity_mil
 
 QUERIES = {}
 ORACLES = {}
@@ -41,6 +41,11 @@ def op3(spark, sf_dir):
     return langid_crf.report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_multiple_instance_toxicity")
+def op4(spark, sf_dir):
+    return toxicity_mil.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op6_offset_preserving_pii")
 def op6(spark, sf_dir):
     return pii_deobfuscate.report(table(spark, sf_dir, "documents"))
