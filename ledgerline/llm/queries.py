@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup, toxicity_mil
+from . import byte_bpe, chat_format, decontaminate, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup, toxicity_mil
 
 QUERIES = {}
 ORACLES = {}
@@ -46,6 +46,11 @@ def op4(spark, sf_dir):
     return toxicity_mil.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op5_typed_content_parts")
+def op5(spark, sf_dir):
+    return chat_format.report(table(spark, sf_dir, "conversations"))
+
+
 @query("op6_offset_preserving_pii")
 def op6(spark, sf_dir):
     return pii_deobfuscate.report(table(spark, sf_dir, "documents"))
