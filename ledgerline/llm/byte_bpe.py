@@ -250,9 +250,10 @@ def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id
     return src.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, ids_sha256 of its ids (little-endian, 32 bits)
-    and decoded_sha256 of the bytes that the ids decode to."""
+def round_trip(docs: DataFrame, path: str, pattern: str, *, with_ids: bool = False,
+               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: n_tokens, ids_sha256 of its ids (little-endian, 32 bits),
+    decoded_sha256 of the bytes that the ids decode to, and perhaps the ids."""
     def make():
         codec = Codec(path, pattern)
 
@@ -263,7 +264,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
 
         def fn(column):
             ids, off = codec.encode(column)
-            return [pa.array(np.diff(off)), digest(ids.astype("<u4"), off, 4), digest(*codec.decode(ids, off), 1)]
+            out = [pa.array(np.diff(off)), digest(ids.astype("<u4"), off, 4), digest(*codec.decode(ids, off), 1)]
+            return out + [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))] * with_ids
         return fn
-    return map_texts(docs, make, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")],
-                     id_col=id_col, text_col=text_col)
+    return map_texts(docs, make, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+                     + [("ids", "array<int>")] * with_ids, id_col=id_col, text_col=text_col)

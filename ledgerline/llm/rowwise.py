@@ -43,3 +43,19 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list]], f
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in first] + fn(part.column("text")), names)
 
     return src.mapInArrow(run, schema)
+
+
+def with_text(rows: DataFrame, like: DataFrame, new_text: str, *, row: str = "row", text_col: str = "text",
+              count_col: str = "n_chars") -> DataFrame:
+    """The carried rows with their text replaced, and its count of characters
+    where there is such a column; columns and types as in ``like``."""
+    text = F.col(new_text)
+    out = []
+    for c in like.columns:
+        if c == text_col:
+            out.append(text.alias(c))
+        elif c == count_col:
+            out.append(F.length(text).cast(like.schema[c].dataType).alias(c))
+        else:
+            out.append(F.col(f"{quoted(row)}.{quoted(c)}").alias(c))
+    return rows.select(*out)

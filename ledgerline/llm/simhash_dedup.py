@@ -32,12 +32,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .graph import components
-from .rowwise import map_texts
+from .rowwise import map_texts, quoted
 from .textarrays import lower_ascii, utf8, words
 
 SHINGLE = 3
@@ -232,6 +232,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, distance: int =
     return rows.join(of, rows.fp == F.col("fp2")).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def kept_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, one of each component: that of the smallest id (of
+    equal ids, of the smallest hash), whatever its other columns hold."""
+    taken = {c.lower() for c in docs.columns}
+    key, pick = (next(n for n in (f"{base}{i}" for i in range(len(taken) + 1)) if n not in taken) for base in ("key_", "pick_"))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col))))
+    node = keyed.select(F.struct(F.col(quoted(id_col)).alias("id"), F.col(key).alias("key")).alias("id"), F.col(quoted(text_col)).alias("text"))
+    found = near_duplicates(node, id_col="id", text_col="text", **options)
+    chosen = found.where(F.col("id") == F.col("component_id")).select(F.col("id.key").alias(key)).distinct()
+    # rows equal in id and text: one of them; the join has them together already
+    first = F.row_number().over(Window.partitionBy(key, F.col(quoted(id_col))).orderBy(key))
+    return keyed.join(chosen, key, "left_semi").withColumn(pick, first).where(F.col(pick) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
+
+
 def report(docs: DataFrame, **options) -> DataFrame:
     d = near_duplicates(docs, **options)
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
