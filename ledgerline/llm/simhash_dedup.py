@@ -202,7 +202,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
     distance, enough to connect all that are."""
     n_keys = nodes.count() * 64
     groups = max(1, -(-n_keys // GROUP_ROWS))
-    keys = variant_keys(nodes, distance)
+    # a fingerprint becomes many rows: deal the few bytes of nodes to as many tasks as the rows need
+    keys = variant_keys(nodes.repartition(groups, "fp"), distance)
     many = keys.groupBy("key").count().where(F.col("count") > hot).select("key") if n_keys // 64 > hot else None
     if many is not None:
         many = many.checkpoint()
