@@ -28,7 +28,7 @@ from .textarrays import NOT_BLANK, U64, Rolling, byte_class, cover, mix, per_row
 LEVEL = 3
 #: (from this many bytes, lowest ratio, highest ratio). Ordinary prose of such
 #: a length lies well inside; base64 text has about 1.3, one repeated word 10.
-BANDS = ((0, 0.0, float("inf")), (100, 0.7, 2.6), (400, 1.1, 3.2), (1600, 1.25, 3.8), (6400, 1.4, 4.5), (25600, 1.45, 5.5))
+BANDS = ((0, 0.0, float("inf")), (100, 0.7, 2.6), (400, 1.2, 3.2), (1600, 1.36, 3.8), (6400, 1.4, 4.5), (25600, 1.45, 5.5))
 CHUNK = 4096
 #: Highest share of chunks outside their limits.
 BAD_CHUNKS = 0.25
