@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
-PART = T._parse_datatype_string(
-    "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>")
+PART = T.StructType([T.StructField(n, t) for n, t in (
+    ("type", T.StringType()), ("text", T.StringType()), ("uri", T.StringType()), ("width", T.IntegerType()),
+    ("height", T.IntegerType()), ("seconds", T.DoubleType()), ("pages", T.IntegerType()))])
 #: Pixels of a side of an image's patch, audio tokens of a second, and tokens of a document's page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 25, 512
 KINDS = ("image", "audio", "document")

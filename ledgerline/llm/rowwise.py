@@ -29,7 +29,7 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list]], f
     schema = T.StructType([T.StructField(id_col, src.schema["id"].dataType)])
     if carry:
         schema.add(carry, src.schema["row"].dataType)
-    types = T._parse_datatype_string(", ".join(f"{quoted(n)} {t}" for n, t in fields))
+    types = T.DataType.fromDDL(", ".join(f"{quoted(n)} {t}" for n, t in fields))
     for f in types:
         schema.add(f)
     names = [f.name for f in schema]

@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
     repeats = R.answered(windows, 3)
 
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType)])
-    schema = T.StructType(schema.fields + T._parse_datatype_string(
+    schema = T.StructType(schema.fields + T.DataType.fromDDL(
         "n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>").fields)
 
     def remove(table, got):

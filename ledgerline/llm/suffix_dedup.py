@@ -248,7 +248,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED_BYTES, many
 
     shared = R.answered(R.sent(rows, minimizers), 1, many)
     repeats = R.sent_after(rows, shared, send_pieces).groupBy("bucket").applyInArrow(join, R.MESSAGE)
-    schema = T.StructType([T.StructField(id_col, T.LongType())] + T._parse_datatype_string(
+    schema = T.StructType([T.StructField(id_col, T.LongType())] + T.DataType.fromDDL(
         "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>").fields)
 
     def remove(table, got):
