@@ -36,8 +36,8 @@ from .langid_crf import LETTERS, remainder
 from .rowwise import map_texts, quoted
 from .textarrays import U64, Rolling, byte_class, mix, utf8, words
 
-PER_CLASS = 2500
-SAMPLE_BYTES = 1 << 16
+PER_CLASS = 1200
+SAMPLE_BYTES = 1 << 14
 #: Bytes of a longer word's beginning that are a feature of their own.
 STEM = 5
 THRESHOLD = 0.7
