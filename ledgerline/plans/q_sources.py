@@ -7,6 +7,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ledgerline.plans.fixtures import fixture, with_fixtures
@@ -14,6 +15,7 @@ from ledgerline.plans.q_catalog import entity_payloads
 from ledgerline.plans.registry import register
 from ledgerline.operators.catalog import route_entities
 from ledgerline.session import scratch_path, table
+from ledgerline.sinks import writers as WR
 from ledgerline.sources import readers as RD
 from ledgerline.sources import shaping as SH
 
@@ -29,26 +31,55 @@ def _q(c):
                     F.lit('"'))
 
 
+#: Files of a written line table.
+LINE_FILES = 4
+
+
 def _write_lines(df, header: str, path: str):
-    """Write rows of a single ``line`` column as a text file with a header."""
-    spark = df.sparkSession
-    head = spark.range(1).select(F.lit(header).alias("line"), F.lit(0).alias("_o"))
-    (head.unionByName(df.select("line", F.lit(1).alias("_o"))).orderBy("_o").select("line")
-     .write.mode("overwrite").text(path))
-    return path
+    """Write a ``line`` column as text files that each begin with the header
+    line, as exports in several files do; returns the glob to read."""
+    part = F.pmod(F.xxhash64("line"), F.lit(LINE_FILES)).cast("int")
+    head = df.sparkSession.range(LINE_FILES).select(F.lit(header).alias("line"), F.col("id").cast("int").alias("part"),
+                                                    F.lit(0).alias("_o"))
+    (head.unionByName(df.select("line", part.alias("part"), F.lit(1).alias("_o")))
+     .repartition(LINE_FILES, "part").sortWithinPartitions("part", "_o").select("part", "line")
+     .write.partitionBy("part").text(path))
+    return f"{path}/*"
+
+
+def _messy(c, k):
+    """Text with padding, quotes, commas and line breaks, by a number's remainder."""
+    return (F.when(k % 5 == 0, F.concat(F.lit("  "), c, F.lit(" "))).when(k % 5 == 1, F.concat(c, F.lit(' "big", one')))
+            .when(k % 5 == 2, F.concat(c, F.lit('\n"line"'))).otherwise(c))
+
+
+def _messy_sql(c, k):
+    return (f"CASE {k} % 5 WHEN 0 THEN '  ' || {c} || ' ' WHEN 1 THEN {c} || ' \"big\", one' "
+            f"WHEN 2 THEN {c} || chr(10) || '\"line\"' ELSE {c} END")
 
 
 # ---- A1 / A4 ------------------------------------------------------------------
 
 
-@register("a1_csv_all_strings", "A1/M1", """
-SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, coalesce(p_name, '') AS p_name, coalesce(p_brand, '') AS p_brand,
-       coalesce(p_type, '') AS p_type, coalesce(CAST(p_size AS VARCHAR), '') AS p_size,
-       coalesce(CAST(p_retailprice AS VARCHAR), '') AS p_retailprice FROM part""")
+_PART_TEXT = f"""
+SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, coalesce({_messy_sql("p_name", "p_partkey")}, '') AS p_name,
+       coalesce(p_brand, '') AS p_brand, coalesce(p_type, '') AS p_type, coalesce(CAST(p_size AS VARCHAR), '') AS p_size,
+       coalesce(CAST(p_retailprice AS VARCHAR), '') AS p_retailprice FROM part"""
+
+
+def messy_parts(spark, sf):
+    return table(spark, sf, "part").withColumn("p_name", _messy(F.col("p_name"), F.col("p_partkey")))
+
+
+def _csv_lines(df):
+    return df.select(F.concat_ws(",", *[_q(F.col(c)) for c in df.columns]).alias("line"))
+
+
+@register("a1_csv_all_strings", "A1", _PART_TEXT)
 def a1(spark, sf):
-    path = _path(spark, sf, "part_csv")
-    table(spark, sf, "part").write.mode("overwrite").option("header", True).csv(path)
-    return RD.read_csv_strings(spark, path)
+    p = messy_parts(spark, sf)
+    lines = _csv_lines(p).unionByName(_csv_lines(p).select(F.concat("line", F.lit(",\"beyond\"")).alias("line")))
+    return RD.read_csv_strings(spark, _write_lines(lines, ",".join(p.columns), _path(spark, sf, "part_csv")), multi_line=True)
 
 
 register("a4_table_scan", "A4", "SELECT * FROM lineitem")(
@@ -60,6 +91,7 @@ register("a4_table_scan", "A4", "SELECT * FROM lineitem")(
 
 def feed_h_lines(spark, sf):
     h = fixture(spark, sf, "feed_h")
+    h = h.withColumn("sku_oms_details_sku", _messy(F.col("sku_oms_details_sku"), F.col("row_id")))
     cols = [_q(F.col(c)) for c in ("row_id", "sku_oms_details_sku", "online_salable_qty_quantity",
                                    "sku_oms_details_sap_supplier_id")]
     full = F.concat_ws(",", *cols)
@@ -69,7 +101,10 @@ def feed_h_lines(spark, sf):
     return h.select(line.alias("line"))
 
 
-_NA = ", ".join("'" + t.replace("'", "''") + "'" for t in RD.NA_TOKENS)
+# the missing-value texts, written out for the oracle
+_NA = ("'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', "
+       "'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'")
+_H_SKU = _messy_sql("sku_oms_details_sku", "row_id")
 
 
 def _na(c):
@@ -77,7 +112,7 @@ def _na(c):
 
 
 @register("a2_feed_csv", "A2", with_fixtures(f"""
-SELECT CAST(row_id AS VARCHAR) AS row_id, {_na('coalesce(sku_oms_details_sku, ' + "''" + ')')} AS sku_oms_details_sku,
+SELECT CAST(row_id AS VARCHAR) AS row_id, {_na('coalesce(' + _H_SKU + ", '')")} AS sku_oms_details_sku,
        CASE WHEN row_id % 17 = 0 THEN NULL ELSE {_na('online_salable_qty_quantity')} END AS online_salable_qty_quantity,
        CASE WHEN row_id % 17 = 0 THEN NULL ELSE {_na('sku_oms_details_sap_supplier_id')} END
          AS sku_oms_details_sap_supplier_id
@@ -85,41 +120,25 @@ FROM feed_h WHERE row_id % 13 <> 0""", "feed_h"))
 def a2(spark, sf):
     path = _write_lines(feed_h_lines(spark, sf), "row_id,sku_oms_details_sku,online_salable_qty_quantity,"
                         "sku_oms_details_sap_supplier_id", _path(spark, sf, "feed_h_csv"))
-    return RD.read_feed_csv(spark, path)
+    return RD.read_feed_csv(spark, path, multi_line=True)
 
 
 # ---- A3: inferred types, key kept as text ------------------------------------------
 
 
-@register("a3_csv_inferred", "A3", """
-SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, p_size, p_retailprice FROM part""")
+@register("a3_csv_inferred", "A3", f"""
+SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, {_messy_sql("p_name", "p_partkey")} AS p_name, p_size, p_retailprice
+FROM part""")
 def a3(spark, sf):
-    path = _path(spark, sf, "codes_csv")
-    table(spark, sf, "part").select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"),
-                                    "p_size", "p_retailprice") \
-        .write.mode("overwrite").option("header", True).csv(path)
-    return RD.read_csv_inferred(spark, path, text_cols=("code",))
-
-
-# ---- A7 / A8: files of the table directory ----------------------------------------
-
-
-@register("a7_table_files", "A7")
-def a7(spark, sf):
-    return RD.read_files(spark, sf, "*.parquet").select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("name"), "length")
-
-
-@register("a8_newest_table_file", "A8")
-def a8(spark, sf):
-    return RD.newest_file(spark, sf, "*.parquet").select(F.regexp_extract("path", "[^/]+$", 0).alias("name"),
-                                                         "matched")
+    p = messy_parts(spark, sf).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"), "p_name", "p_size", "p_retailprice")
+    path = _write_lines(_csv_lines(p), ",".join(p.columns), _path(spark, sf, "codes_csv"))
+    return RD.read_csv_inferred(spark, path, text_cols=("code",), multi_line=True)
 
 
 # ---- A9: product CSV ---------------------------------------------------------------
 
 _A9_OUT = ", ".join(
-    {"sku": "sku", "name": "coalesce(name, '') AS name", "brand": "coalesce(brand, '') AS brand",
+    {"sku": "sku", "name": "coalesce(" + _messy_sql("name", "attribute_set_id") + ", '') AS name", "brand": "coalesce(brand, '') AS brand",
      "price": "coalesce(price, '') AS price", "status": "CAST(status AS VARCHAR) AS status",
      "visibility": "coalesce(CAST(visibility AS VARCHAR), '') AS visibility",
      "type_id": "coalesce(type_id, '') AS type_id", "weight": "coalesce(CAST(weight AS VARCHAR), '') AS weight",
@@ -136,10 +155,8 @@ _A9_COLS = ["sku", "name", "brand", "price", "status", "visibility", "type_id",
 def a9(spark, sf):
     m2 = fixture(spark, sf, "products_m2").withColumn(
         "sku", F.when((F.col("attribute_set_id") == 3) & F.col("status"), F.lit("  ")).otherwise(F.col("sku")))
-    path = _path(spark, sf, "products_csv")
-    m2.select(*_A9_COLS).write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False) \
-        .option("ignoreTrailingWhiteSpace", False).csv(path)
-    return RD.read_product_csv(spark, path)
+    m2 = m2.withColumn("name", _messy(F.col("name"), F.col("attribute_set_id"))).select(*_A9_COLS)
+    return RD.read_product_csv(spark, _write_lines(_csv_lines(m2), ",".join(_A9_COLS), _path(spark, sf, "products_csv")))
 
 
 # ---- A10 / I14: SKU + quantity CSV with rejects --------------------------------------
@@ -147,7 +164,7 @@ def a9(spark, sf):
 
 def sku_qty_lines(spark, sf):
     v = fixture(spark, sf, "feed_v")
-    sku = F.when(F.col("row_id") % 23 == 0, F.lit("  ")).otherwise(F.col("supplier_sku"))
+    sku = F.when(F.col("row_id") % 23 == 0, F.lit("  ")).otherwise(_messy(F.col("supplier_sku"), F.col("row_id")))
     qty = F.when(F.col("row_id") % 19 == 0, F.lit(" ")).otherwise(F.col("free_stock"))
     line = F.when(F.col("row_id") % 29 == 0, _q(sku)).otherwise(F.concat_ws(",", _q(sku), _q(qty)))
     return v.select(line.alias("line"))
@@ -159,7 +176,7 @@ def _a10(spark, sf):
 
 
 _A10_BASE = """
-SELECT trim(CASE WHEN row_id % 23 = 0 THEN '  ' ELSE supplier_sku END) AS sku,
+SELECT coalesce(trim(CASE WHEN row_id % 23 = 0 THEN '  ' ELSE """ + _messy_sql("supplier_sku", "row_id") + """ END), '') AS sku,
        CASE WHEN row_id % 29 = 0 THEN NULL WHEN row_id % 19 = 0 THEN ' ' ELSE free_stock END AS q FROM feed_v"""
 
 
@@ -213,8 +230,8 @@ register("b4_projection", "B4", "SELECT p_name, p_size FROM part")(
     lambda spark, sf: SH.project(table(spark, sf, "part"), ["p_name", "no_such_column", "p_size"]))
 
 
-@register("b6_pad_cells", "B6", with_fixtures("""
-SELECT CAST(row_id AS VARCHAR) AS row_id, CASE WHEN sku_oms_details_sku IS NULL THEN NULL ELSE sku_oms_details_sku END AS sku_oms_details_sku,
+@register("b6_pad_cells", "B6", with_fixtures(f"""
+SELECT CAST(row_id AS VARCHAR) AS row_id, nullif({_H_SKU}, '') AS sku_oms_details_sku,
        CASE WHEN row_id % 17 = 0 THEN '' ELSE online_salable_qty_quantity END AS online_salable_qty_quantity,
        CASE WHEN row_id % 17 = 0 THEN '' ELSE sku_oms_details_sap_supplier_id END AS sku_oms_details_sap_supplier_id
 FROM feed_h WHERE row_id % 13 <> 0""", "feed_h"))
@@ -222,7 +239,7 @@ def b6(spark, sf):
     lines = feed_h_lines(spark, sf).where(~F.col("line").endswith(',"extra"'))
     path = _write_lines(lines, "row_id,sku_oms_details_sku,online_salable_qty_quantity,"
                         "sku_oms_details_sap_supplier_id", _path(spark, sf, "feed_h_raw_csv"))
-    return SH.pad_cells(RD.read_csv_raw(spark, path), empty_as_null=True)
+    return SH.pad_cells(RD.read_csv_raw(spark, path, multi_line=True), empty_as_null=True)
 
 
 @register("b7_align_append", "B7", with_fixtures("""
@@ -255,3 +272,105 @@ SELECT * FROM part WHERE contains(lower(CAST(p_partkey AS VARCHAR)), 'gizmo') OR
 def d1(spark, sf):
     p = table(spark, sf, "part")
     return p.where(SH.any_column_contains(p, "  GIZMO "))
+
+
+# ---- B3: guessed columns -------------------------------------------------------
+
+
+@register("b3_guessed_columns", "B3", with_fixtures("""
+SELECT SupplierSKU AS sku, Account AS account, FreeStock AS qty, SupplierSKU AS key FROM inventory""", "inventory"))
+def b3(spark, sf):
+    inv = fixture(spark, sf, "inventory")
+    roles = {role: SH.guess_column(inv.columns, role) for role in ("sku", "account", "qty")}
+    return inv.select(*[F.col(c).alias(role) for role, c in roles.items()], F.col(SH.guess_key(inv.columns)).alias("key"))
+
+
+# ---- M1-M6 / I3: write and read back -----------------------------------------------
+
+
+@register("m1_csv_round_trip", "M1", _PART_TEXT)
+def m1(spark, sf):
+    path = _path(spark, sf, "part_m1")
+    WR.write_csv(messy_parts(spark, sf), path)
+    return RD.read_csv_strings(spark, path, multi_line=True)
+
+
+@register("m2_report_files", "M2", f"""
+SELECT CASE WHEN p_size <= 25 THEN 'small' ELSE 'large' END AS report, * FROM ({_PART_TEXT}) t
+JOIN (SELECT CAST(p_partkey AS VARCHAR) AS k, p_size AS p_size FROM part) s ON t.p_partkey = s.k""".replace(
+    "SELECT CASE WHEN p_size <= 25", "SELECT CASE WHEN s.p_size <= 25").replace("AS report, *", "AS report, t.*"))
+def m2(spark, sf):
+    p = messy_parts(spark, sf)
+    reports = {"small": p.where("p_size <= 25"), "large": p.where("p_size > 25 or p_size is null")}
+    paths = WR.write_reports(reports, _path(spark, sf, "reports"), "01_02_2024")
+    out = None
+    for name, path in zip(reports, paths):
+        one = RD.read_csv_strings(spark, path, multi_line=True).withColumn("report", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("m3_chunk_files", "M3", f"""
+SELECT CAST(s.p_size % 7 AS INTEGER) AS file_no, t.* FROM ({_PART_TEXT}) t
+JOIN (SELECT CAST(p_partkey AS VARCHAR) AS k, p_size FROM part) s ON t.p_partkey = s.k""")
+def m3(spark, sf):
+    path = _path(spark, sf, "chunks")
+    WR.write_chunked_csv(messy_parts(spark, sf).withColumn("file_no", (F.col("p_size") % 7).cast("int")), path)
+    out = None
+    for n in range(7):
+        one = RD.read_csv_strings(spark, f"{path}/file_no={n}", multi_line=True).withColumn("file_no", F.lit(n))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("m4_parquet_export", "M4", "SELECT * FROM orders")
+def m4(spark, sf):
+    path = _path(spark, sf, "orders_parquet")
+    o = table(spark, sf, "orders")
+    WR.write_parquet(o, path, partition_by=["o_orderstatus"])
+    return spark.read.schema(o.schema).parquet(path).select(*o.columns)
+
+
+@register("m5_json_lines", "M5", f"""
+SELECT p_partkey, {_messy_sql("p_name", "p_partkey")} AS p_name, p_size FROM part""")
+def m5(spark, sf):
+    path = _path(spark, sf, "part_jsonl")
+    p = messy_parts(spark, sf).select("p_partkey", "p_name", "p_size")
+    WR.write_json_lines(p, path)
+    ok, _ = RD.read_json_documents(spark, path, whole_file=False)
+    return ok.select(*[F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in p.schema])
+
+
+@register("m6_multi_export", "M6", """
+SELECT 'broken' AS name, false AS ok, true AS told, CAST(0 AS BIGINT) AS n
+UNION ALL SELECT 'part', true, false, count(*) FROM part UNION ALL SELECT 'supplier', true, false, count(*) FROM supplier""")
+def m6(spark, sf):
+    path = _path(spark, sf, "export")
+    bad = table(spark, sf, "part").select(F.when(F.col("p_partkey") > 0, F.raise_error(F.lit("no such value " * 60))).alias("x"))
+    frames = {"part": messy_parts(spark, sf), "broken": bad, "supplier": table(spark, sf, "supplier")}
+    told = WR.export_all(spark, frames, path)
+    counts = None
+    for name in ("part", "supplier"):
+        one = RD.read_csv_strings(spark, f"{path}/{name}", multi_line=True).agg(F.count(F.lit(1)).alias("n")).withColumn("_name", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    return told.join(counts, F.col("name") == F.col("_name"), "left").select(
+        "name", "ok", F.col("error").isNotNull().alias("told"), F.coalesce("n", F.lit(0)).alias("n")).na.fill(False)
+
+
+@register("i3_write_modes", "I3", """
+SELECT 'append' AS mode, 2 * count(*) AS n FROM supplier UNION ALL SELECT 'overwrite', count(*) FROM nation
+UNION ALL SELECT 'ignore', count(*) FROM supplier UNION ALL SELECT 'error', count(*) FROM supplier""")
+def i3(spark, sf):
+    s, out = table(spark, sf, "supplier"), None
+    for mode in ("append", "overwrite", "ignore", "error"):
+        path = _path(spark, sf, f"mode_{mode}")
+        WR.write_table(s, path, "error")
+        again = table(spark, sf, "nation") if mode in ("overwrite", "ignore") else s
+        try:
+            WR.write_table(again, path, mode)
+        except AnalysisException:
+            if mode != "error":  # only this mode refuses an existing table
+                raise
+        one = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -13,11 +13,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.sources.readers import STANDARD_CSV
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
-    """M1: CSV with a header row and no index column."""
+    """M1: standard CSV with a header row and no index column: quotes doubled,
+    blanks around cells kept."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", True).csv(path)
+    out.write.mode(mode).options(**STANDARD_CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
@@ -40,7 +43,7 @@ def write_chunked_csv(df: DataFrame, path: str, file_col: str = "file_no", mode:
     chunk is written by one task into ``file_no=<n>/`` (chunks are bounded
     by the chunk size)."""
     (df.repartition(file_col).sortWithinPartitions(file_col)
-     .write.mode(mode).partitionBy(file_col).option("header", True).csv(path))
+     .write.mode(mode).partitionBy(file_col).options(**STANDARD_CSV).csv(path))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", fmt: str = "parquet") -> None:
@@ -73,7 +76,7 @@ def export_all(spark: SparkSession, frames: dict[str, DataFrame], out_dir: str,
                 write_parquet(df, os.path.join(out_dir, name))
             results.append((name, True, None))
         except Exception as e:  # noqa: BLE001 - reported per input
-            results.append((name, False, f"{type(e).__name__}: {str(e)[:500]}"))
+            results.append((name, False, f"{type(e).__name__}: {e}"))
     return spark.createDataFrame(results, "name string, ok boolean, error string")
 
 
@@ -81,16 +84,32 @@ def export_all(spark: SparkSession, frames: dict[str, DataFrame], out_dir: str,
 # versioned tables
 
 
-def write_version(df: DataFrame, base: str, version: int) -> str:
-    """Write ``df`` as version ``version`` of the table at ``base``."""
+def write_version(df: DataFrame, base: str, version: int, replay: bool = False) -> str:
+    """Write ``df`` as version ``version`` of the table at ``base``. A version
+    is written once; with ``replay`` a re-run batch overwrites its own."""
     path = f"{base.rstrip('/')}/version={version}"
-    df.write.mode("error").parquet(path)
+    df.write.mode("overwrite" if replay else "error").parquet(path)
     return path
 
 
-def read_version(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    """Read one version (default: the highest) of a versioned table."""
-    all_versions = spark.read.parquet(base)
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Complete versions of the table at ``base``, from the directory listing
+    (no data is read); none if there is no such directory."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=", 1)[1]) for p in done)
+
+
+def read_version(spark: SparkSession, base: str, version: int | None = None, before: int | None = None) -> DataFrame | None:
+    """One version of a table (default: the highest, or the highest below
+    ``before``); None if there is none. Read errors are raised."""
     if version is None:
-        version = all_versions.select(F.max("version")).first()[0]
-    return all_versions.where(F.col("version") == version).drop("version")
+        known = [v for v in versions(spark, base) if before is None or v < before]
+        if not known:
+            return None
+        version = known[-1]
+    return spark.read.parquet(f"{base.rstrip('/')}/version={version}")

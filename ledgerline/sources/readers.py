@@ -21,63 +21,72 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def csv_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> list[str]:
-    """Column names from the header row (reads one line, no inference)."""
-    return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path).columns
+# Standard CSV: a quote inside a quoted field is doubled, and blanks around a
+# cell belong to it.
+STANDARD_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+                "ignoreTrailingWhiteSpace": False}
+
+
+def _csv(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
+    """Reader of standard CSV. ``multi_line`` allows line breaks inside quoted
+    cells; such a file can't be split, so large inputs should be many files."""
+    return (spark.read.options(**STANDARD_CSV).option("sep", sep).option("encoding", encoding)
+            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
+
+
+def csv_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+               multi_line: bool = False) -> list[str]:
+    """Column names from the header row (no inference)."""
+    return _csv(spark, sep, encoding, multi_line).csv(path).columns
+
+
+def _text_rows(spark: SparkSession, path: str, sep: str, encoding: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
+    """All-text rows with one more column, ``_extra``, that only rows with more
+    cells than the header fill. Empty cells stay empty, missing ones are null."""
+    names = csv_header(spark, path, sep, encoding, multi_line)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra"]])
+    return _csv(spark, sep, encoding, multi_line).schema(schema).option("nullValue", _NO_NULL).csv(path), names
 
 
 def read_csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
-                     drop_long_rows: bool = False) -> DataFrame:
+                     cut_long_rows: bool = False, multi_line: bool = False) -> DataFrame:
     """A1: all-string CSV scan with a header row; a BOM is tolerated, short
-    rows are padded, over-long rows are cut (or dropped with
-    ``drop_long_rows``, as a bad-line-skipping reader does), and null cells
-    become empty text."""
-    if drop_long_rows:
-        names = csv_header(spark, path, sep, encoding)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                              + [T.StructField("_extra", T.StringType())])
-        df = (spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
-              .option("nullValue", _NO_NULL).option("mode", "PERMISSIVE").csv(path))
-        return df.where(F.col("_extra").isNull()).drop("_extra").na.fill("")
-    df = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").csv(path))
-    return df.na.fill("")
-
-
-def read_csv_raw(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    rows are padded, over-long rows are skipped (or cut with
+    ``cut_long_rows``), and null cells become empty text."""
+    rows, names = _text_rows(spark, path, sep, encoding, multi_line)
+    if not cut_long_rows:
+        rows = rows.where(F.col("_extra").isNull())
+    return rows.select(*names).na.fill("")
+
+
+def read_csv_raw(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """All-string CSV scan that keeps empty cells as empty text and marks
     missing cells of short rows as null (input of B6)."""
-    return (spark.read.option("header", True).option("sep", sep).option("nullValue", _NO_NULL)
-            .option("mode", "PERMISSIVE").csv(path))
-
+    return _csv(spark, sep, "UTF-8", multi_line).option("nullValue", _NO_NULL).csv(path)
 
-def read_feed_csv(spark: SparkSession, path: str, sep: str = ",", with_file: bool = False) -> DataFrame:
-    """A2: every column as text; rows with more fields than the header are
-    dropped (short rows are kept, padded with null); NA tokens -> null.
 
-    The schema gets one extra trailing column: a row that fills it is too
-    long. ``with_file`` adds the source path and modification time."""
-    names = csv_header(spark, path, sep)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField("_extra", T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("sep", sep)
-          .option("nullValue", _NO_NULL).option("mode", "PERMISSIVE").csv(path))
+def read_feed_csv(spark: SparkSession, path: str, sep: str = ",", with_file: bool = False,
+                  multi_line: bool = False) -> DataFrame:
+    """A2: every column as text; rows with more cells than the header are
+    skipped (short rows are kept, padded with null); NA tokens -> null.
+    ``with_file`` adds the source path and modification time."""
+    rows, names = _text_rows(spark, path, sep, "UTF-8", multi_line)
     cols = [F.when(F.col(n).isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(n)).alias(n) for n in names]
     if with_file:
         cols += [F.col("_metadata.file_path").alias("file_path"),
                  F.col("_metadata.file_modification_time").alias("file_mtime")]
-    return df.where(F.col("_extra").isNull()).select(*cols)
+    return rows.where(F.col("_extra").isNull()).select(*cols)
 
 
 def read_csv_inferred(spark: SparkSession, path: str, text_cols=(), sep: str = ",",
-                      sampling_ratio: float = 1.0) -> DataFrame:
+                      sampling_ratio: float = 1.0, multi_line: bool = False) -> DataFrame:
     """A3: inferred column types, except ``text_cols`` (keys such as ``007``)
     which stay text. Inference samples ``sampling_ratio`` of the file."""
-    inferred = (spark.read.option("header", True).option("sep", sep).option("inferSchema", True)
+    inferred = (_csv(spark, sep, "UTF-8", multi_line).option("inferSchema", True)
                 .option("samplingRatio", sampling_ratio).csv(path).schema)
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in text_cols else f.dataType)
                            for f in inferred])
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    return _csv(spark, sep, "UTF-8", multi_line).schema(schema).csv(path)
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -122,19 +131,20 @@ PRODUCT_COLUMNS = ["attribute_set_id", "average_rating", "brand", "bulk_discount
 
 def read_product_csv(spark: SparkSession, path: str) -> DataFrame:
     """Product CSV: the named columns (absent ones null), rows with a
-    blank SKU skipped, SKU stripped."""
-    raw = read_csv_strings(spark, path)
+    blank SKU skipped, SKU stripped. Cells may hold line breaks; cells beyond
+    the header are ignored."""
+    raw = read_csv_strings(spark, path, cut_long_rows=True, multi_line=True)
     have = set(raw.columns)
     cols = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in PRODUCT_COLUMNS]
     out = raw.select(*cols).withColumn("sku", strip_ws("sku"))
     return out.where(F.col("sku") != "")
 
 
-def read_sku_qty_csv(spark: SparkSession, path: str, sku_col: str, qty_col: str) -> tuple[DataFrame, DataFrame]:
+def read_sku_qty_csv(spark: SparkSession, path: str, sku_col: str, qty_col: str,
+                     multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected). SKU stripped and required; quantity must
     be an integer text; a blank quantity is 0, a missing cell is rejected."""
-    raw = (spark.read.option("header", True).option("nullValue", _NO_NULL).option("encoding", "UTF-8")
-           .csv(path))
+    raw = read_csv_raw(spark, path, multi_line=multi_line)
     sku = strip_ws(F.coalesce(F.col(sku_col), F.lit("")))
     q = F.col(qty_col)
     qty = F.when(q.isNull(), F.lit(None)).when(strip_ws(q) == "", F.lit(0).cast("bigint")).otherwise(strict_int(q))
