@@ -37,18 +37,16 @@ def canonical_json(c: ColumnOrName) -> Column:
     return F.when(bad, F.lit("")).otherwise(F.to_json(parsed))
 
 
-def _strict_int_text(s: Column) -> Column:
-    """Python ``int(x)`` on text: sign, digits (``_`` between digits), white
-    space around."""
-    return strict_int(s)
+INTEGER_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
 def _int_of_variant(v: Column) -> Column:
-    """Python ``int(x)`` on a JSON scalar: integers, truncated decimals, digit text."""
+    """Python ``int(x)`` on a JSON scalar: integers as they are, truncated
+    decimals, digit text."""
     t = F.schema_of_variant(v)
-    num = t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
-    return (F.when(num, F.try_variant_get(v, "$", "double").try_cast("bigint"))
-            .when(t == "STRING", _strict_int_text(F.try_variant_get(v, "$", "string"))))
+    return (F.when(t.isin(*INTEGER_TYPES), F.try_variant_get(v, "$", "bigint"))
+            .when(t.isin("DOUBLE", "FLOAT") | t.startswith("DECIMAL"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
+            .when(t == "STRING", strict_int(F.try_variant_get(v, "$", "string"))))
 
 
 def supplier_id(v: ColumnOrName) -> Column:
@@ -65,32 +63,44 @@ def supplier_id(v: ColumnOrName) -> Column:
     )
     from_obj = F.coalesce(_int_of_variant(field(v, "$.id")), _int_of_variant(field(v, "$.supplier_id")))
     return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("bigint"))
-            .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "bigint"))
+            .when(t.isin(*INTEGER_TYPES), F.try_variant_get(v, "$", "bigint"))
             .when(t.startswith("OBJECT"), from_obj)
             .when(t == "STRING", from_text))
 
 
-# Basic ISO form without separators accepted as a second try, fixed value.
-BASIC_ISO = "yyyyMMdd'T'HHmmss"
+# ISO forms: a calendar date, extended or basic, and perhaps a time of two-digit
+# parts, extended or basic, with a fraction and a zone; fixed pattern.
+ISO_TIME = (r"^(\d{4}-\d{2}-\d{2}|\d{8})(?:[T ](\d{2}(?::\d{2}(?::\d{2})?)?|\d{4}|\d{6})"
+            r"(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
 
 
 def parse_iso_ts(c: ColumnOrName) -> Column:
-    """ISO timestamp text (``Z`` / offsets, plain dates, basic form) to
+    """ISO timestamp text (``Z`` / offsets, plain dates, basic forms) to
     TIMESTAMP_NTZ holding the written wall-clock time (a zone designator is
     dropped, as the stored value of the reference is); empty or bad -> null.
     Independent of the session time zone."""
     s = _c(c).cast("string")
-    s = F.when(s == "", F.lit(None)).otherwise(s)
-    return F.coalesce(s.try_cast("timestamp_ntz"),
-                      F.try_to_timestamp(s, F.lit(BASIC_ISO)).cast("timestamp_ntz"))
-
-
-def first_truthy_text(*cols: ColumnOrName) -> Column:
-    """First value that is not null, empty, 0 or false (as text)."""
+    day = F.replace(F.regexp_extract(s, ISO_TIME, 1), F.lit("-"), F.lit(""))
+    time = F.rpad(F.replace(F.regexp_extract(s, ISO_TIME, 2), F.lit(":"), F.lit("")), 6, "0")
+    fraction = F.regexp_extract(s, r"[.,](\d{1,9})(?:Z|[+-][\d:]+)?$", 1)
+    written = F.concat(F.substring(day, 1, 4), F.lit("-"), F.substring(day, 5, 2), F.lit("-"), F.substring(day, 7, 2), F.lit(" "),
+                       F.substring(time, 1, 2), F.lit(":"), F.substring(time, 3, 2), F.lit(":"), F.substring(time, 5, 2),
+                       F.when(fraction != "", F.concat(F.lit("."), F.substring(fraction, 1, 6))).otherwise(F.lit("")))
+    return F.when(s.rlike(ISO_TIME), written.try_cast("timestamp_ntz"))
+
+
+def first_truthy_text(*values: Column) -> Column:
+    """Text of the first VARIANT that is truthy: not absent or null, not
+    empty text, not the number 0, not false. (The texts "0" and "false" are.)"""
     out = []
-    for c in cols:
-        s = _c(c).cast("string")
-        out.append(F.when(s.isin("", "0", "false", "0.0"), F.lit(None)).otherwise(s))
+    for v in values:
+        t = F.schema_of_variant(v)
+        number = t.isin(*INTEGER_TYPES, "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+        falsy = (F.when(t == "STRING", F.try_variant_get(v, "$", "string") == "")
+                 .when(number, F.try_variant_get(v, "$", "double") == 0)
+                 .when(t == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean"))
+                 .otherwise(v.isNull() | F.is_variant_null(v)))
+        out.append(F.when(~falsy, F.try_variant_get(v, "$", "string")))
     return F.coalesce(*out)
 
 
@@ -98,10 +108,3 @@ def to_float_default(v: Column, default: float = 0.0) -> Column:
     """``float(x)`` with a default (orders): numbers, booleans and numeric
     text (surrounding blanks allowed); anything else -> ``default``."""
     return F.coalesce(F.try_variant_get(v, "$", "double"), F.lit(default))
-
-
-def snake_keys(c: ColumnOrName, key_fn) -> Column:
-    """Rename the top-level keys of a JSON object text with ``key_fn``
-    (a Column -> Column function); values kept as text."""
-    m = F.from_json(_c(c), "map<string,string>")
-    return F.to_json(F.transform_keys(m, lambda k, _v: key_fn(k)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import PY_WS, ColumnOrName, _c, strip_ws
+from ledgerline.functions.scalars import PY_WS, PY_WS_CHARS, ColumnOrName, _c, strip_ws
 
 W = PY_WS  # Python white space inside the rules below
 
@@ -52,6 +52,8 @@ def dashes_class() -> str:
 
 
 # Rule tables, applied in order as (Java regex, replacement); fixed values.
+# A rule that begins with a blank run begins at the run's first blank and takes
+# all of it, so a long run is read once.
 # Snake case, tokenizer variant (C19), after stripping: punctuation -> blank,
 # blanks and hyphens -> "_", camelCase split, "_" runs collapsed.
 SNAKE_TOKEN_RULES = (
@@ -64,23 +66,23 @@ SNAKE_TOKEN_RULES = (
 # brackets, empty bracket pairs, blanks before punctuation, blank runs.
 TIDY_TEXT_RULES = (
     (dashes_class(), " - "),
-    (rf"(?U){W}+-{W}+|{W}+-|-{W}+", " - "),
-    (rf"(?U)([\(\[\{{]){W}+", "$1"),
-    (rf"(?U){W}+([\)\]\}}])", "$1"),
-    (rf"(?U)\({W}*\)", ""),
-    (rf"(?U)\[{W}*\]", ""),
-    (rf"(?U)\{{{W}*\}}", ""),
-    (rf"(?U){W}+([,.;:!?])", "$1"),
+    (rf"(?U)(?<!{W}){W}++-{W}*+|-{W}++", " - "),
+    (rf"(?U)([\(\[\{{]){W}++", "$1"),
+    (rf"(?U)(?<!{W}){W}++([\)\]\}}])", "$1"),
+    (rf"(?U)\({W}*+\)", ""),
+    (rf"(?U)\[{W}*+\]", ""),
+    (rf"(?U)\{{{W}*+\}}", ""),
+    (rf"(?U)(?<!{W}){W}++([,.;:!?])", "$1"),
     (r"[ \t\f\x0b]+", " "),
 )
 # Line tidy (C25): as above without the ASCII hyphen rule, and any empty
 # pair of brackets (also mixed, such as "(]") removed.
 TIDY_LINE_RULES = (
     (dashes_class(), " - "),
-    (rf"(?U)([\(\[\{{]){W}+", "$1"),
-    (rf"(?U){W}+([\)\]\}}])", "$1"),
-    (rf"(?U)[\(\[\{{]{W}*[\)\]\}}]", ""),
-    (rf"(?U){W}+([,.;:!?])", "$1"),
+    (rf"(?U)([\(\[\{{]){W}++", "$1"),
+    (rf"(?U)(?<!{W}){W}++([\)\]\}}])", "$1"),
+    (rf"(?U)[\(\[\{{]{W}*+[\)\]\}}]", ""),
+    (rf"(?U)(?<!{W}){W}++([,.;:!?])", "$1"),
     (r"[ \t\f\x0b]+", " "),
 )
 
@@ -109,7 +111,7 @@ def _blank(x: Column) -> Column:
 
 
 def _rstrip(x: Column) -> Column:
-    return F.regexp_replace(x, rf"(?U){W}+$", "")
+    return F.rtrim(x, F.lit(PY_WS_CHARS))
 
 
 def snake_token(c: ColumnOrName) -> Column:
@@ -125,13 +127,48 @@ def snake_simple(c: ColumnOrName) -> Column:
     return F.lower(F.btrim(s, F.lit("_")))
 
 
+# A JSON string with the colon of a key, or what stands between strings.
+JSON_TOKENS = r'"(?:[^"\\]|\\.)*+":?|[^"]++'
+
+
+def _last_wins(entries: Column) -> Column:
+    """Of (key, value) structs, the last of each key, in their order: sorted by
+    key and place, an entry stays if the next has another key."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value")))
+    by_key = F.array_sort(placed)
+    next_key = F.concat(F.transform(F.slice(by_key, F.lit(2), F.greatest(F.size(by_key) - 1, F.lit(0))), lambda e: e["key"]),
+                        F.array(F.lit(None).cast("string")))
+    last = F.filter(F.arrays_zip(by_key.alias("e"), next_key.alias("n")), lambda z: z["e"]["key"].isNotNull()
+                    & (z["n"].isNull() | (z["n"] != z["e"]["key"])))
+    return F.array_sort(F.transform(last, lambda z: F.struct(z["e"]["place"].alias("place"), z["e"]["key"].alias("key"),
+                                                             z["e"]["value"].alias("value"))))
+
+
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def _rename_keys(json: Column, key_fn) -> Column:
+    """Rename the keys of all objects in a compact JSON text, token by token: a
+    string that a colon follows is a key."""
+    def token(t: Column) -> Column:
+        name = F.try_variant_get(F.try_parse_json(F.regexp_replace(t, ":$", "")), "$", "string")
+        return F.when(t.startswith('"') & t.endswith('":'), F.concat(_quoted(key_fn(name)), F.lit(":"))).otherwise(t)
+    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(JSON_TOKENS), 0), token), "")
+
+
 def snake_json_keys(c: ColumnOrName, key_fn=snake_token) -> Column:
-    """C22 (top level): rename object keys, last duplicate wins; values kept
-    as JSON. Non-objects come back unchanged (compact)."""
-    m = F.from_json(_c(c), "map<string,variant>")
-    e = F.transform(F.map_entries(m), lambda x: F.struct(key_fn(x["key"]).alias("key"), x["value"].alias("value")))
-    keep = F.filter(e, lambda x, i: ~F.exists(F.slice(e, i + 2, F.size(e)), lambda y: y["key"] == x["key"]))
-    return F.to_json(F.map_from_entries(keep))
+    """Rename the keys of every object, at any depth and inside arrays;
+    values kept. Of the outer object's keys that become the same name the last
+    one wins; of an inner object's both members are written, and a JSON reader
+    takes the last. Non-objects come back compact, null where not JSON."""
+    s = _c(c)
+    parsed = F.try_parse_json(s)
+    entries = F.transform(F.map_entries(F.from_json(s, "map<string,variant>")), lambda x: F.struct(
+        key_fn(x["key"]).alias("key"), _rename_keys(F.to_json(x["value"]), key_fn).alias("value")))
+    members = F.transform(_last_wins(entries), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return (F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+            .when(parsed.isNotNull(), _rename_keys(F.to_json(parsed), key_fn)))
 
 
 def snake_case_text(c: ColumnOrName) -> Column:
@@ -151,9 +188,7 @@ def snake_case_text(c: ColumnOrName) -> Column:
     csv = F.array_join(F.transform(F.split(s, ","), snake_token), ",")
     plain = F.array_join(F.transform(lines, lambda ln: F.when(_blank(ln), ln).otherwise(snake_token(ln))), "\n")
     parsed = F.try_parse_json(s)
-    is_obj = parsed.isNotNull() & F.schema_of_variant(parsed).startswith("OBJECT")
-    return (F.when(is_obj, snake_json_keys(s))
-            .when(parsed.isNotNull(), F.to_json(parsed))
+    return (F.when(parsed.isNotNull(), snake_json_keys(s))
             .when(kv_mode, kv).when(csv_mode, csv).otherwise(plain))
 
 
@@ -204,8 +239,8 @@ def php_pairs(c: ColumnOrName, check_quote_in_value: bool = False) -> Column:
         v_ok = ~F.exists(F.array(*[F.lit(x) for x in bad_v]), lambda x: F.instr(p["v"], x) > 0)
         return k_ok & v_ok
     pairs = F.filter(F.arrays_zip(keys.alias("k"), vals.alias("v")), ok)
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["k"] == x["k"]))
-    return F.map_from_arrays(F.transform(last, lambda x: x["k"]), F.transform(last, lambda x: x["v"]))
+    last = _last_wins(F.transform(pairs, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value"))))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
 def char_count(c: ColumnOrName) -> Column:
@@ -231,15 +266,13 @@ def count_occurrences(c: ColumnOrName, pattern: str, match_case: bool = False) -
 def collapse_blank_lines(c: ColumnOrName, max_consecutive: int = 2) -> Column:
     """Runs of blank lines cut to ``max_consecutive`` (blank lines
     become empty), other lines right-trimmed, final newline kept."""
-    s = _c(c)
-    lines = split_lines(s)
-    k = max_consecutive
-    keep = F.filter(
-        F.transform(lines, lambda ln, i: F.struct(ln.alias("l"), i.alias("i"))),
-        lambda e: ~_blank(e["l"]) | (e["i"] < k)
-        | F.exists(F.slice(lines, F.greatest(e["i"] - k + 1, F.lit(1)), k + 1), lambda x: ~_blank(x)))
-    body = F.array_join(F.transform(keep, lambda e: F.when(_blank(e["l"]), F.lit("")).otherwise(_rstrip(e["l"]))),
-                        "\n")
+    s, k = _c(c), max_consecutive
+    lines = F.array_join(F.transform(split_lines(s), lambda ln: F.when(_blank(ln), F.lit("")).otherwise(_rstrip(ln))), "\n")
+    some = F.regexp_replace(lines, rf"(?<=[^\n])\n{{{k + 2},}}+(?=[^\n])", "\n" * (k + 1))
+    some = F.regexp_replace(some, rf"\A\n{{{k + 1},}}+", "\n" * k)
+    some = F.regexp_replace(some, rf"(?<=[^\n])\n{{{k + 1},}}+\z", "\n" * k)
+    none = F.repeat(F.lit("\n"), F.greatest(F.least(F.length(lines) + 1, F.lit(k)) - 1, F.lit(0)))
+    body = F.when(lines.rlike(r"\A\n*+\z"), none).otherwise(some)
     return F.concat(body, F.when(s.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))
 
 

@@ -28,7 +28,7 @@ def scan_pages(pages: DataFrame, text_col: str = "payload", order_col: str = "pa
 
 def order_key(v: Column) -> Column:
     """``order_reference`` or ``order_id`` or ``id`` (first truthy)."""
-    return J.first_truthy_text(J.text(v, "$.order_reference"), J.text(v, "$.order_id"), J.text(v, "$.id"))
+    return J.first_truthy_text(*[J.field(v, f"$.{name}") for name in ("order_reference", "order_id", "id")])
 
 
 def flatten_orders(scanned: DataFrame) -> DataFrame:
@@ -47,6 +47,7 @@ def flatten_orders(scanned: DataFrame) -> DataFrame:
         J.to_float_default(J.field(v, "$.tax")).alias("tax"),
         J.to_float_default(J.field(v, "$.total")).alias("total"),
         F.to_json(J.field(v, "$.shipping_address")).alias("shipping_address"),
+        F.to_json(J.field(v, "$.retailer_data")).alias("retailer_data"),
     ).where(F.col("order_id").isNotNull())
 
 
@@ -57,7 +58,7 @@ def _last_present(value: Column, is_present: Column) -> Column:
 def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Fold every payload of an order (in ``ord`` order) into one row.
 
-    * status, currency_code, shipping_address: last payload holding the key
+    * status, currency_code, shipping_address, retailer_data: last payload holding the key
       (an explicit JSON null overwrites, an absent key keeps the old value);
     * order_date, supplier_id: last payload where they parse;
     * subtotal / tax / total: the last payload (absent -> 0.0);
@@ -81,6 +82,8 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
         J.to_float_default(J.field(v, "$.total")).alias("total"),
         F.to_json(J.field(v, "$.shipping_address")).alias("shipping_address"),
         J.present(v, "$.shipping_address").alias("_p_ship"),
+        F.to_json(J.field(v, "$.retailer_data")).alias("retailer_data"),
+        J.present(v, "$.retailer_data").alias("_p_data"),
     ).where(F.col("order_id").isNotNull())
     untouched = None
     if existing is not None:
@@ -94,7 +97,7 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
             "order_id", "retailer", "order_reference", "order_date",
             "status", F.lit(True).alias("_p_status"), "supplier_id",
             "currency_code", F.lit(True).alias("_p_cur"), "subtotal", "tax", "total",
-            "shipping_address", F.lit(True).alias("_p_ship"))
+            "shipping_address", F.lit(True).alias("_p_ship"), "retailer_data", F.lit(True).alias("_p_data"))
         rows = old.unionByName(rows)
     merged = rows.groupBy("order_id").agg(
         F.min_by("retailer", "ord").alias("retailer"),
@@ -107,6 +110,7 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
         F.max_by("tax", "ord").alias("tax"),
         F.max_by("total", "ord").alias("total"),
         _last_present(F.col("shipping_address"), F.col("_p_ship")).alias("shipping_address"),
+        _last_present(F.col("retailer_data"), F.col("_p_data")).alias("retailer_data"),
     )
     if untouched is None:
         return merged
@@ -116,31 +120,28 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
 ITEM_FIELDS = ("part_number", "retailer_sku_reference", "supplier_sku_reference", "line_reference", "name")
 
 
-def payload_items(scanned: DataFrame) -> DataFrame:
-    """Items of each payload row, flattened (ord, order_id, item columns)."""
-    items = F.try_variant_get(F.col("v"), "$.items", "array<variant>")
-    ex = scanned.select("ord", order_key(F.col("v")).alias("order_id"),
-                        F.explode_outer(items).alias("it")).where(F.col("order_id").isNotNull())
-    it = F.col("it")
-    return ex.select(
-        "ord", "order_id", F.col("it").isNotNull().alias("_has_item"),
+def _item_columns(it: Column) -> list[Column]:
+    """The flat columns of one item (VARIANT)."""
+    return [
         *[J.text(it, f"$.{c}").alias(c) for c in ITEM_FIELDS],
         F.coalesce(strict_int(J.text(it, "$.quantity")), F.lit(0)).alias("quantity"),
         *[J.to_float_default(J.field(it, f"$.{c}")).alias(c)
           for c in ("unit_cost_price", "subtotal", "tax", "tax_rate", "total")],
         J.parse_iso_ts(J.text(it, "$.promised_date")).alias("promised_date"),
-    )
+    ]
 
 
 def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
                   fk: str = "order_id") -> DataFrame:
     """Items of every touched order are replaced by the items of its last
-    payload; items of untouched orders are kept."""
-    items = payload_items(scanned)
-    # the last payload of each order, from the order-level rows (no items)
-    last = (scanned.select(order_key(F.col("v")).alias("order_id"), "ord").where(F.col("order_id").isNotNull())
-            .groupBy("order_id").agg(F.max("ord").alias("ord")))
-    new = items.join(last, ["order_id", "ord"], "left_semi").where("_has_item").drop("ord", "_has_item")
+    payload; items of untouched orders are kept. One scan and one aggregation:
+    the last payload's item array per order, then one row per item."""
+    items = F.to_json(J.field(F.col("v"), "$.items"))
+    last = (scanned.select(order_key(F.col("v")).alias("order_id"), "ord", items.alias("_items"))
+            .where(F.col("order_id").isNotNull())
+            .groupBy("order_id").agg(F.max_by("_items", "ord").alias("_items")))
+    array = F.try_variant_get(F.try_parse_json("_items"), "$", "array<variant>")
+    new = last.select("order_id", F.explode(array).alias("it")).select("order_id", *_item_columns(F.col("it")))
     if existing_items is None:
         return new
     kept = existing_items.join(last.select(F.col("order_id").alias("_t")),
@@ -152,7 +153,8 @@ def filter_orders(orders: DataFrame, status: str | None = None, retailer: str |
                   date_from: str | None = None, date_to: str | None = None,
                   date_col: str = "order_date") -> DataFrame:
     """D3 (+H4): status equality (``All`` = no filter), retailer equality,
-    from <= date < to + 1 day (swapped bounds repaired), newest first."""
+    from <= date < to + 1 day (swapped bounds repaired), newest first, then by
+    order id."""
     if date_from and date_to and date_from > date_to:
         date_from, date_to = date_to, date_from
     ts_type = orders.schema[date_col].dataType  # bounds in the column's own type
@@ -165,7 +167,7 @@ def filter_orders(orders: DataFrame, status: str | None = None, retailer: str |
         out = out.where(F.col(date_col) >= F.lit(date_from).cast(ts_type))
     if date_to:
         out = out.where(F.col(date_col) < F.lit(date_to).cast(ts_type) + F.expr("INTERVAL 1 DAY"))
-    return out.orderBy(F.col(date_col).desc_nulls_last())
+    return out.orderBy(F.col(date_col).desc_nulls_last(), F.col("order_id").asc())
 
 
 def updated_since(df: DataFrame, ts_col: str, as_of: str, hours: int) -> DataFrame:
@@ -189,13 +191,14 @@ ITEM_EXPORT = {"order_id": "order_fk", "line_reference": "line_reference", "part
 
 
 def export_orders(orders: DataFrame) -> DataFrame:
-    """Flat order export, ISO date text (empty when missing), newest first."""
+    """Flat order export, ISO date text (empty when missing), newest
+    first, then by order id."""
     return orders.select(
         "order_id", "retailer", "order_reference",
         F.coalesce(F.date_format("order_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("order_date"),
         "status", "supplier_id", F.col("currency_code").alias("currency"),
         "subtotal", "tax", "total", F.col("order_date").alias("_d"),
-    ).orderBy(F.col("_d").desc_nulls_last()).drop("_d")
+    ).orderBy(F.col("_d").desc_nulls_last(), F.col("order_id").asc()).drop("_d")
 
 
 def export_items(items: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import catalog as C
-from ledgerline.operators.catalog import media_entries, type_product_rows
 from ledgerline.plans.fixtures import fixture, with_fixtures
-from ledgerline.plans.registry import register
+from ledgerline.plans.registry import in_order, register
 from ledgerline.session import table
+from ledgerline.sources.readers import PRODUCT_COLUMNS, read_csv_raw
 
 # ---------------------------------------------------------------------------
 # E8 / E9 / G6
@@ -37,11 +37,10 @@ def e9(spark, sf):
 
 
 def vendors(spark, sf):
-    """Vendor dimension: supplier with its nation name (nation is a fixed
-    25-row table, safe to broadcast)."""
+    """Vendor dimension: supplier with its nation name."""
     s = table(spark, sf, "supplier")
     n = table(spark, sf, "nation")
-    return s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey, "left").select(
+    return s.join(n, s.s_nationkey == n.n_nationkey, "left").select(
         F.col("s_suppkey").alias("vendor_id"), F.col("s_name").alias("vendor_name"),
         F.col("n_name").alias("vendor_country"))
 
@@ -58,7 +57,7 @@ LEFT JOIN (SELECT part_number, effective_date, retail_price FROM (
              FROM prices) WHERE rn = 1) lp ON p.part_number = lp.part_number
 """, "products", "prices", "product_media", extra={"media": _MEDIA_SQL}))
 def g6(spark, sf):
-    v = C.bounded_broadcast(vendors(spark, sf))
+    v = vendors(spark, sf)
     out = C.catalog_view(fixture(spark, sf, "products"), v, fixture(spark, sf, "product_media"),
                          fixture(spark, sf, "prices"))
     return out.select("part_number", "short_description", "brand_name", "category_name", "vendor_id", "msrp",
@@ -159,9 +158,11 @@ def d2(spark, sf):
     return C.search_products(fixture(spark, sf, "products_m2"), "Blue")
 
 
-@register("h5_sort_by_price", "H5", with_fixtures("SELECT * FROM products_m2", "products", "products_m2"))
+@register("h5_sort_by_price", "H5", with_fixtures("""
+SELECT sku, price, row_number() OVER (ORDER BY TRY_CAST(json_extract_string(price, '$.rrp') AS DOUBLE) DESC NULLS FIRST, sku) AS position
+FROM products_m2""", "products", "products_m2"))
 def h5(spark, sf):
-    return C.sort_products(fixture(spark, sf, "products_m2"), "price", descending=True)
+    return in_order(C.sort_products(fixture(spark, sf, "products_m2"), "price", descending=True).select("sku", "price"))
 
 
 PAGE_NO, PAGE_SIZE = 3, 100
@@ -434,11 +435,10 @@ _SELECTED = ("SELECT category_id FROM category_nodes WHERE (category_id >= 100 A
 
 
 @register("j6_selected_tree_order", "J6", _tree_sql(
-    "SELECT array_to_string(list(category_id ORDER BY ancestors), ',') AS category_ids FROM t "
+    "SELECT row_number() OVER (ORDER BY ancestors) AS position, CAST(category_id AS BIGINT) AS category_id FROM t "
     "WHERE category_id IN (SELECT category_id FROM sel)", extra={"sel": _SELECTED}))
 def j6(spark, sf):
-    out = C.selected_in_tree_order(tree(spark, sf), selected_categories(spark, sf))
-    return out.select(F.array_join("category_ids", ",").alias("category_ids"))
+    return C.selected_in_tree_order(tree(spark, sf), selected_categories(spark, sf))
 
 
 TOGGLE_NODE = 3
@@ -506,39 +506,31 @@ SELECT 2, sku, concat('NEW ', coalesce(name, '')), status, CASE WHEN attribute_s
 """
 
 
+_I7_OUT = ["sku", "name", "status", "weight", "visibility", "price", "custom_attributes", "in_stock", "brand",
+           "review_count", "bulk_discounts"]
+
+
 @register("i7_product_upsert", "I7/C8/C9/C10", with_fixtures("""
 SELECT sku, name, st AS status, weight, CAST(visibility AS BIGINT) AS visibility, price, custom_attributes, in_stock, '' AS brand,
        CAST(NULL AS BIGINT) AS review_count, '' AS bulk_discounts FROM (
-  SELECT *, row_number() OVER (PARTITION BY sku ORDER BY row_no DESC) AS rn FROM rows) WHERE rn = 1""",
-    "products", "products_m2", extra={"rows": _I7_ROWS}))
+  SELECT *, row_number() OVER (PARTITION BY sku ORDER BY row_no DESC) AS rn FROM rows WHERE sku NOT LIKE '%7') WHERE rn = 1
+UNION ALL
+SELECT sku, 'stored', true, 1.5, CAST(2 AS BIGINT), '', '', false, 'old', CAST(9 AS BIGINT), '' FROM products_m2
+WHERE sku LIKE '%7'""", "products", "products_m2", extra={"rows": _I7_ROWS}))
 def i7(spark, sf):
-    import os
-
-    from ledgerline.operators.upsert import insert_or_replace
-    from ledgerline.session import scratch_path
-    from ledgerline.sources.readers import PRODUCT_COLUMNS, read_csv_raw
-    import uuid
-    path = scratch_path(spark, f"inputs/{os.path.basename(sf.rstrip('/'))}/product_updates_csv/{uuid.uuid4().hex}")
-    product_update_rows(spark, sf).orderBy("sku", "row_no").drop("row_no").coalesce(1) \
-        .write.mode("overwrite").option("header", True).csv(path)
-    raw = read_csv_raw(spark, path).withColumn("_row", F.monotonically_increasing_id())
-    raw = raw.where(F.trim(F.coalesce("sku", F.lit(""))) != "").withColumn("sku", F.trim("sku"))
-    typed = type_product_rows(raw, PRODUCT_COLUMNS)
-    empty_target = typed.drop("_row").where(F.lit(False))
-    out = insert_or_replace(empty_target, typed, ["sku"], ["_row"])
-    return out.select("sku", "name", "status", "weight", "visibility", "price", "custom_attributes", "in_stock",
-                      "brand", "review_count", "bulk_discounts")
-
-
-@register("g10_media_entries", "G10/A7/C31")
-def g10(spark, sf):
-    import os
-
-    from ledgerline.sources.readers import read_files
-    files = read_files(spark, sf, "*.parquet").withColumn(
-        "sku", F.concat(F.lit("SF-"), F.lit(os.path.basename(sf.rstrip("/")))))
-    return media_entries(files).select("sku", "label", "position", "types", "content.type",
-                                       F.length("content.base64_encoded_data").alias("b64_len"))
+    """Files of update rows with a line number, into a table that holds every
+    second product already; products ending in 7 get no update."""
+    lines = product_update_rows(spark, sf).where(~F.col("sku").endswith("7")).withColumnRenamed("row_no", "line_no")
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+             for c in lines.columns]
+    from ledgerline.plans.q_sources import _path, _write_lines
+    glob = _write_lines(lines.select(F.concat_ws(",", *cells).alias("line")), ",".join(lines.columns), _path(spark, sf, "product_updates"))
+    raw = read_csv_raw(spark, glob, multi_line=True).withColumn("line_no", F.col("line_no").cast("int"))
+    stored = C.type_product_rows(fixture(spark, sf, "products_m2").where(
+        F.col("sku").endswith("7") | F.col("sku").endswith("1") | F.col("sku").endswith("5")).select(
+        "sku", F.lit("stored").alias("name"), F.lit("true").alias("status"), F.lit("1.5").alias("weight"), F.lit("2").alias("visibility"),
+        F.lit("old").alias("brand"), F.lit("9").alias("review_count")), PRODUCT_COLUMNS)
+    return C.upsert_products(stored, raw, PRODUCT_COLUMNS, "line_no").select(*_I7_OUT)
 
 
 @register("g7_payload_fields", "G7/C14/C15/J8", with_fixtures("""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import orders as O
 from ledgerline.plans.fixtures import with_fixtures
-from ledgerline.plans.registry import register
+from ledgerline.plans.registry import in_order, register
 from ledgerline.session import spread, table
 
 PAGE = 50  # orders per payload page
@@ -94,6 +94,7 @@ def order_payload_pages(spark, sf):
         (F.col("o_totalprice") * 0.1).alias("tax"),
         (F.col("o_totalprice") * 1.1).alias("total"),
         ship1.alias("shipping_address"),
+        F.struct(F.concat(F.lit("L"), (cust % 5).cast("string")).alias("lane")).alias("retailer_data"),
         items.alias("items"),
     ))
     json2 = F.to_json(F.struct(
@@ -106,6 +107,7 @@ def order_payload_pages(spark, sf):
         F.when(k % 3 != 0, F.col("o_totalprice") * 2).alias("subtotal"),
         F.when(k % 11 == 0, F.struct(F.lit("MOVED").alias("city"), F.lit("DE").alias("country")))
         .alias("shipping_address"),
+        F.when(k % 13 == 0, F.struct(F.lit("X").alias("lane"))).alias("retailer_data"),
         F.filter(items, lambda i: i["line_reference"] == "1").alias("items"),
     ))
     # both fetches from one pass over the joined base: every order in fetch 1,
@@ -138,6 +140,7 @@ _SUP = ("CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE CAST(o_custkey % 100 AS BIG
 _CUR = "CASE WHEN o_custkey % 2 = 0 THEN 'USD' ELSE 'EUR' END"
 _SHIP1 = ("concat('{\"city\":\"C', CAST(o_custkey % 13 AS VARCHAR), '\",\"country\":\"', "
           "CASE WHEN o_custkey % 3 = 0 THEN 'DE' ELSE 'FR' END, '\"}')")
+_DATA1 = "concat('{\"lane\":\"L', CAST(o_custkey % 5 AS VARCHAR), '\"}')"
 _FMT = "'%Y-%m-%d %H:%M:%S'"
 
 _PAYLOAD_ROWS = f"""
@@ -145,7 +148,7 @@ SELECT 1 AS fetch_no, {_KEY} AS order_id, concat('R', CAST(o_custkey % 7 AS VARC
        {_REF} AS order_reference, strftime({_DATE1}, {_FMT}) AS order_date, o_orderstatus AS status,
        {_SUP} AS supplier_id, {_CUR} AS currency_code,
        o_totalprice AS subtotal, o_totalprice * 0.1 AS tax,
-       o_totalprice * 1.1 AS total, {_SHIP1} AS shipping_address
+       o_totalprice * 1.1 AS total, {_SHIP1} AS shipping_address, {_DATA1} AS retailer_data
 FROM orders WHERE o_orderkey <> 0
 UNION ALL
 SELECT 2, {_KEY}, 'CHANGED', {_REF},
@@ -153,7 +156,8 @@ SELECT 2, {_KEY}, 'CHANGED', {_REF},
        CASE WHEN o_orderkey % 3 = 1 THEN 'U' ELSE NULL END,
        NULL, NULL,
        CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE o_totalprice * 2 END, 0.0, 0.0,
-       CASE WHEN o_orderkey % 11 = 0 THEN '{{"city":"MOVED","country":"DE"}}' ELSE NULL END
+       CASE WHEN o_orderkey % 11 = 0 THEN '{{"city":"MOVED","country":"DE"}}' ELSE NULL END,
+       CASE WHEN o_orderkey % 13 = 0 THEN '{{"lane":"X"}}' ELSE NULL END
 FROM orders WHERE o_orderkey % 4 = 1 AND o_orderkey <> 0
 """
 
@@ -164,7 +168,7 @@ def _flat(df):
         "order_id", "retailer", "order_reference",
         F.date_format("order_date", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
         "status", "supplier_id", "currency_code",
-        "subtotal", "tax", "total", "shipping_address")
+        "subtotal", "tax", "total", "shipping_address", "retailer_data")
 
 
 @register("a5_order_payload_scan", "A5/C11/C12/C13", _PAYLOAD_ROWS)
@@ -184,12 +188,13 @@ SELECT {_KEY} AS order_id, concat('R', CAST(o_custkey % 7 AS VARCHAR)) AS retail
        CASE WHEN o_orderkey % 4 = 1 THEN 0.0 ELSE o_totalprice * 0.1 END AS tax,
        CASE WHEN o_orderkey % 4 = 1 THEN 0.0 ELSE o_totalprice * 1.1 END AS total,
        CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 11 = 0 THEN '{{"city":"MOVED","country":"DE"}}'
-            ELSE {_SHIP1} END AS shipping_address
+            ELSE {_SHIP1} END AS shipping_address,
+       CASE WHEN o_orderkey % 4 = 1 AND o_orderkey % 13 = 0 THEN '{{"lane":"X"}}' ELSE {_DATA1} END AS retailer_data
 FROM orders WHERE o_orderkey <> 0
 """
 _MERGED_OUT = ("SELECT order_id, retailer, order_reference, strftime(order_date, " + _FMT + ") AS order_date, "
                "status, supplier_id, currency_code, subtotal AS subtotal, tax AS tax, "
-               "total AS total, shipping_address FROM merged")
+               "total AS total, shipping_address, retailer_data FROM merged")
 
 
 def merged_orders(spark, sf):
@@ -200,7 +205,7 @@ def _merged_out(df):
     return df.select("order_id", "retailer", "order_reference",
                      F.date_format("order_date", "yyyy-MM-dd HH:mm:ss").alias("order_date"),
                      "status", "supplier_id", "currency_code",
-                     "subtotal", "tax", "total", "shipping_address")
+                     "subtotal", "tax", "total", "shipping_address", "retailer_data")
 
 
 @register("i5_merge_orders", "I5", with_fixtures(_MERGED_OUT, extra={"merged": _MERGED}))
@@ -208,6 +213,19 @@ def i5(spark, sf):
     return _merged_out(merged_orders(spark, sf))
 
 
+def _fetches(spark, sf):
+    """The first fetch and the later one, as two scans."""
+    pages = order_payload_pages(spark, sf)
+    fetch = F.floor(F.col("page_no") / FETCH_STRIDE)
+    return O.scan_pages(pages.where(fetch == 1)), O.scan_pages(pages.where(fetch > 1))
+
+
+@register("i5_merge_into_stored", "I5", with_fixtures(_MERGED_OUT, extra={"merged": _MERGED}))
+def i5_stored(spark, sf):
+    first, later = _fetches(spark, sf)
+    return _merged_out(O.merge_orders(later, O.merge_orders(first)))
+
+
 _ITEMS = f"""
 SELECT {_KEY} AS order_id, concat('P', CAST(l_partkey AS VARCHAR)) AS part_number,
        CAST(l_linenumber AS VARCHAR) AS line_reference, CAST(l_quantity AS INTEGER) AS quantity,
@@ -239,24 +257,31 @@ def i6(spark, sf):
     return _items_out(replaced_items(spark, sf))
 
 
+@register("i6_replace_stored_items", "I6", with_fixtures(_ITEM_OUT, extra={"items": _ITEMS}))
+def i6_stored(spark, sf):
+    first, later = _fetches(spark, sf)
+    return _items_out(O.replace_items(later, O.replace_items(first)))
+
+
 # D3 / H4: status F, retailer R3, bounds given swapped
 _D3 = dict(status="F", retailer="R3", date_from="1995-12-31", date_to="1994-01-01")
 
 
 @register("d3_filter_orders", "D3/H4", with_fixtures(
-    _MERGED_OUT + " WHERE status = 'F' AND retailer = 'R3' AND order_date >= TIMESTAMP '1994-01-01' "
-    "AND order_date < TIMESTAMP '1995-12-31' + INTERVAL 1 DAY", extra={"merged": _MERGED}))
+    _MERGED_OUT.replace(" FROM merged", ", row_number() OVER (ORDER BY merged.order_date DESC NULLS LAST, order_id) AS position FROM merged")
+    + " WHERE status = 'F' AND retailer = 'R3' AND merged.order_date >= TIMESTAMP '1994-01-01' "
+    "AND merged.order_date < TIMESTAMP '1995-12-31' + INTERVAL 1 DAY", extra={"merged": _MERGED}))
 def d3(spark, sf):
-    return _merged_out(O.filter_orders(merged_orders(spark, sf), **_D3))
+    return in_order(_merged_out(O.filter_orders(merged_orders(spark, sf), **_D3)))
 
 
 @register("j4_export_orders", "J4/H4", with_fixtures(
     "SELECT order_id, retailer, order_reference, coalesce(strftime(order_date, '%Y-%m-%dT%H:%M:%S'), '') AS order_date, "
     "status, supplier_id, currency_code AS currency, subtotal AS subtotal, tax AS tax, "
-    "total AS total FROM merged", extra={"merged": _MERGED}))
+    "total AS total, row_number() OVER (ORDER BY merged.order_date DESC NULLS LAST, order_id) AS position FROM merged",
+    extra={"merged": _MERGED}))
 def j4(spark, sf):
-    e = O.export_orders(merged_orders(spark, sf))
-    return e
+    return in_order(O.export_orders(merged_orders(spark, sf)))
 
 
 @register("j3_export_items", "J3", with_fixtures(

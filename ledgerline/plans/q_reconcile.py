@@ -9,7 +9,7 @@ from ledgerline.operators import reconcile as R
 from ledgerline.operators.quality import validate_mapping
 from ledgerline.plans import duck
 from ledgerline.plans.fixtures import fixture, with_fixtures
-from ledgerline.plans.registry import register
+from ledgerline.plans.registry import in_order, register
 
 # ---------------------------------------------------------------------------
 # F0 / F1 / F1s / D5
@@ -84,12 +84,14 @@ _D5_WHERE = {
 
 def _d5(name):
     def build(spark, sf):
-        return R.reconcile_subset(reconciled(spark, sf), name)
+        return in_order(R.reconcile_subset(reconciled(spark, sf), name))
     return build
 
 
 for _n, _w in _D5_WHERE.items():
-    register(f"d5_{_n}", "D5", _joined_sql(f"SELECT * FROM joined WHERE {_w}"))(_d5(_n))
+    _o = "abs(qty_diff) DESC, sku" if _n == "mismatch" else "sku NULLS FIRST"
+    register(f"d5_{_n}", "D5/H3", _joined_sql(
+        f"SELECT *, row_number() OVER (ORDER BY {_o}) AS position FROM joined WHERE {_w}"))(_d5(_n))
 
 # ---------------------------------------------------------------------------
 # F2 family over stock_wh (warehouse) and stock_ecom (e-commerce)

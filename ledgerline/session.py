@@ -40,9 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting it from
     ``spark.checkpoint.dir`` when the context has none yet.
 
-    On a cluster the directory must be a shared file system named by the
-    cluster; a machine-local temporary folder is only used as a last resort in
-    local mode (tests)."""
+    On a cluster the setting must name a folder that all executors share; only
+    where a single process does all the work (master ``local[n]``, as in tests)
+    and nothing is set, a temporary folder is set in its place."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -51,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if sc.master.startswith("local"):
+    if sc.master == "local" or sc.master.startswith("local["):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder before "
@@ -72,20 +72,9 @@ def tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n) for n in names}
 
 
-def spread(df: DataFrame, *keys: str, partitions: int | None = None, cap: int = 64) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks.
-
-    When the input has fewer partitions than the target (the session's
-    default parallelism, capped at ``cap``) -- e.g. a small table stored as
-    one row group scans as one task -- hash-repartition it on ``keys``
-    (round robin without keys). An input that already has ``cap`` splits or
-    more, as any large table on a cluster, is returned unchanged, so no
-    shuffle is added at scale.
-
-    Call it on a scan (or a narrow projection of one): on a plan that already
-    contains a shuffle, counting partitions would make adaptive execution run
-    the upstream stages early."""
-    target = partitions or min(df.sparkSession.sparkContext.defaultParallelism, cap)
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys) if keys else df.repartition(target)
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows of a scan into ``spark.sql.shuffle.partitions`` tasks by
+    hash of ``keys`` (round robin without keys), for CPU-heavy work per row. A
+    plan option of the caller, the same at every size."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if keys else df.repartition(n)
