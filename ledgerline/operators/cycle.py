@@ -12,12 +12,12 @@ from __future__ import annotations
 import os
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import reconcile as R
 from ledgerline.operators import upsert as U
+from ledgerline.sinks.writers import read_version, write_csv, write_version
 
 # Report file stems of the five subsets and the date-tag format, fixed values.
 REPORT_FILES = {
@@ -30,30 +30,6 @@ REPORT_FILES = {
 REPORT_TAG_FORMAT = "%d_%m_%Y"
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def latest_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Highest version of a versioned output (optionally below ``before``)."""
-    t = read_or_none(spark, path)
-    if t is None:
-        return None
-    if before is not None:
-        t = t.where(F.col("version") < before)
-    v = t.agg(F.max("version")).first()[0]
-    return None if v is None else t.where(F.col("version") == v).drop("version")
-
-
-def write_version(df: DataFrame, base: str, version: int) -> str:
-    path = f"{base}/version={version}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 def run_cycle(spark: SparkSession, hnau_norm: DataFrame, vs_norm: DataFrame, out_dir: str, version: int,
               report_tag: str | None = None, started: float | None = None,
               update_inventory: bool = True) -> DataFrame:
@@ -63,30 +39,37 @@ def run_cycle(spark: SparkSession, hnau_norm: DataFrame, vs_norm: DataFrame, out
     ``report_tag`` (e.g. ``time.strftime(REPORT_TAG_FORMAT)``) additionally
     exports the five reports as CSV folders ``reports_csv/<stem>_<tag>``
     (M2). ``inventory`` is advanced to the latest stock only with
-    ``update_inventory``; the change set is always taken against the
-    previous inventory."""
+    ``update_inventory``; the change set is always taken against the previous
+    inventory (an empty one on the first run). The run log gets a row for the
+    refresh, the comparison with its number of changed SKUs, and the update."""
     t0 = started if started is not None else time.time()
-    path = write_version(R.reconcile(hnau_norm, vs_norm), os.path.join(out_dir, "reconcile"), version)
-    joined = spark.read.parquet(path)
-    R.reconcile_stats(joined).withColumn("version", F.lit(version)).write.mode("overwrite") \
-        .parquet(os.path.join(out_dir, "stats", f"version={version}"))
+
+    def put(df: DataFrame, *name: str) -> DataFrame:
+        return spark.read.schema(df.schema).parquet(write_version(df, os.path.join(out_dir, *name), version, replay=True))
+
+    joined = put(R.reconcile(hnau_norm, vs_norm), "reconcile")
+    put(R.reconcile_stats(joined).withColumn("version", F.lit(version)), "stats")
     for name in R.RECONCILE_SUBSETS:
         subset = R.reconcile_subset(joined, name)
-        write_version(subset, os.path.join(out_dir, "reports", name), version)
+        put(subset, "reports", name)
         if report_tag:
-            subset.write.mode("overwrite").option("header", True) \
-                .csv(os.path.join(out_dir, "reports_csv", f"{REPORT_FILES[name]}_{report_tag}"))
-    latest = U.refresh_latest_from_norm(vs_norm)
-    previous = latest_version(spark, os.path.join(out_dir, "inventory"), before=version)
-    if previous is not None:
-        write_version(R.changed_skus(latest, previous), os.path.join(out_dir, "changes"), version)
-    write_version(latest, os.path.join(out_dir, "inventory_latest"), version)
+            write_csv(subset, os.path.join(out_dir, "reports_csv", f"{REPORT_FILES[name]}_{report_tag}"))
+    latest = put(U.refresh_latest_from_norm(vs_norm), "inventory_latest")
+    t1 = time.time()
+    previous = read_version(spark, os.path.join(out_dir, "inventory"), before=version)
+    if previous is None:  # the first run compares with an empty table
+        previous = latest.where(F.lit(False))
+    compared = R.snapshot_comparison(latest, previous)
+    put(compared.where("changed").drop("changed"), "changes")
+    t2 = time.time()
+    counts = compared.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(F.col("changed").cast("int")), F.lit(0)).alias("changed"),
+                          F.lit(0).alias("none"))
+    if update_inventory:
+        put(latest, "inventory")
+    at = time.strftime("%Y-%m-%d %H:%M:%S")
+    log = U.run_log_row(counts, "refresh_inventory_latest", "total", "none", t1 - t0, at).unionAll(
+        U.run_log_row(counts, "compare_tables", "total", "changed", t2 - t1, at))
     if update_inventory:
-        write_version(latest, os.path.join(out_dir, "inventory"), version)
-    summary = joined.agg(F.count(F.lit(1)).alias("total"),
-                         F.sum(F.when(F.col("status") != R.MATCH, 1).otherwise(0)).alias("changed"))
-    U.run_log_row(summary, "reconcile_cycle", "total", "changed", time.time() - t0,
-                  time.strftime("%Y-%m-%d %H:%M:%S")) \
-        .withColumn("version", F.lit(version)) \
-        .write.mode("overwrite").parquet(os.path.join(out_dir, "runlog", f"version={version}"))
+        log = log.unionAll(U.run_log_row(counts, "update_inventory", "total", "none", time.time() - t2, at))
+    put(log.withColumn("version", F.lit(version)), "runlog")
     return joined

@@ -196,26 +196,28 @@ def diff_report(src, tgt, src_keys, tgt_keys, compare_cols, src_order=None, tgt_
     """the diff report as (section, metric, value) rows, from one pass."""
     j, cols = _diff_join(src, tgt, src_keys, tgt_keys, compare_cols, src_order, tgt_order)
     a = _diff_aggs(j, cols)
-    rows = [F.struct(F.lit("Totals").alias("section"), F.lit(m).alias("metric"), F.col(c).alias("value"))
-            for m, c in (("Source rows", "total_src"), ("Target rows", "total_tgt"), ("Added", "added"),
-                         ("Removed", "removed"), ("Modified", "modified"), ("Unchanged", "same"))]
+    told = [("totals", m, c) for m, c in (("source_rows", "total_src"), ("target_rows", "total_tgt"), ("added", "added"),
+                                          ("removed", "removed"), ("modified", "modified"), ("same", "same"))]
     for i, c in enumerate(cols):
-        rows.append(F.struct(F.lit("Per-Column Modified Counts").alias("section"), F.lit(c).alias("metric"),
-                             F.col(f"m{i}").alias("value")))
-        rows.append(F.struct(F.lit("In-Stock / Out-of-Stock Flips").alias("section"),
-                             F.lit(f"{c}: src_in & tgt_out").alias("metric"), F.col(f"a{i}").alias("value")))
-        rows.append(F.struct(F.lit("In-Stock / Out-of-Stock Flips").alias("section"),
-                             F.lit(f"{c}: src_out & tgt_in").alias("metric"), F.col(f"b{i}").alias("value")))
+        told += [("modified_values", c, f"m{i}"), ("stock_to_none", c, f"a{i}"), ("none_to_stock", c, f"b{i}")]
+    rows = [F.struct(F.lit(section).alias("section"), F.lit(metric).alias("metric"), F.col(value).alias("value"))
+            for section, metric, value in told]
     return a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def duplicate_rows(df: DataFrame, keys: list[str], order_cols: list[str] | None = None) -> DataFrame:
+# Copies of a row that one task writes out at once.
+REPEAT_BLOCK = 10_000
+
+
+def duplicate_rows(df: DataFrame, keys: list[str], order_cols: list[str] | None = None,
+                   spread_repeats: bool = False) -> DataFrame:
     """F8: second and later occurrences of each key in row order; a null key
     part counts as empty text.
 
     Distinct rows are counted per key first (map-side combine), the first
     row per key comes from an aggregate, and every row except one copy of the
-    first is emitted with its multiplicity."""
+    first is emitted with its multiplicity; ``spread_repeats`` deals the blocks
+    of a row's copies to several tasks."""
     order_cols = list(order_cols or [])
     rest = [c for c in df.columns if c not in order_cols]
     kexprs = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
@@ -225,7 +227,11 @@ def duplicate_rows(df: DataFrame, keys: list[str], order_cols: list[str] | None
     firsts = counted.groupBy(*kn).agg(F.min("_r").alias("_first"))
     reps = F.when(F.col("_r") == F.col("_first"), F.col("_n") - 1).otherwise(F.col("_n"))
     j = counted.join(firsts, kn).select("_r", reps.alias("_reps")).where(F.col("_reps") > 0)
-    return (j.select("_r", F.explode(F.sequence(F.lit(1), F.col("_reps"))).alias("_i"))
+    # a row repeated very often is written out in blocks, never as one array
+    j = j.select("_r", "_reps", F.explode(F.sequence(F.lit(0), F.floor((F.col("_reps") - 1) / REPEAT_BLOCK))).alias("_b"))
+    j = j.repartition("_r", "_b") if spread_repeats else j
+    here = F.least(F.lit(REPEAT_BLOCK), F.col("_reps") - F.col("_b") * REPEAT_BLOCK)
+    return (j.select("_r", F.explode(F.sequence(F.lit(1).cast("bigint"), here.cast("bigint"))).alias("_i"))
             .select(*[F.col("_r")[c].alias(c) for c in df.columns]))
 
 

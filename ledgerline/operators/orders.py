@@ -87,6 +87,8 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
     ).where(F.col("order_id").isNotNull())
     untouched = None
     if existing is not None:
+        if "retailer_data" not in existing.columns:  # a table stored before the column was
+            existing = existing.withColumn("retailer_data", F.lit(None).cast("string"))
         # only orders present in the new payloads are merged; the others pass
         # through an anti join (no aggregation of the whole existing table)
         batch_keys = rows.select("order_id").distinct()

@@ -98,18 +98,12 @@ def unseen_runs(incoming: DataFrame, ledger: DataFrame, cols: list[str]) -> Data
 
 def mapping_errors(columns: list[str], side: str, sku: str | None, account: str | None,
                    qty: str | None) -> list[str]:
-    """K1 (errors part): checks on the chosen column names before any data
-    is read. An unpicked role stops the check; otherwise a column picked for
-    two roles and the first unknown column are reported."""
-    picks = {"SKU": sku, "Account": account, "Quantity": qty}
-    unpicked = [role for role, col in picks.items() if not col]
-    if unpicked:
-        return [f"{side}: select {', '.join(unpicked)}."]
-    chosen = list(picks.values())
-    errors = []
-    if len(set(chosen)) < len(chosen):
-        errors.append(f"{side}: SKU/Account/Quantity must be different columns.")
-    unknown = [c for c in chosen if c not in set(columns)]
-    if unknown:
-        errors.append(f"{side}: column '{unknown[0]}' not found.")
-    return errors
+    """K1 (errors part): codes for the chosen column names, before any data is
+    read: ``<side>:unpicked:<role>`` for each role without a column; if there
+    is none, ``<side>:shared:<column>`` for a column of several roles and
+    ``<side>:unknown:<column>`` for one that the frame lacks."""
+    picks = (("sku", sku), ("account", account), ("quantity", qty))
+    missing = [f"{side}:unpicked:{role}" for role, column in picks if not column]
+    chosen = [column for _, column in picks]
+    return missing or ([f"{side}:shared:{c}" for c in dict.fromkeys(chosen) if chosen.count(c) > 1]
+                       + [f"{side}:unknown:{c}" for c in dict.fromkeys(chosen) if c not in columns])

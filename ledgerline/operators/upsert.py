@@ -2,7 +2,7 @@
 (SURVEY I2-I4, I8-I13).
 
 Core Spark has no MERGE for plain parquet, so each write computes the new
-table version as a DataFrame; ``sinks.versioned.write_version`` then writes it
+table version as a DataFrame; ``sinks.writers.write_version`` then writes it
 to a new version directory (never over the path being read). With a table
 format that supports MERGE the same contract maps onto ``MERGE INTO``.
 """
@@ -37,18 +37,13 @@ def insert_or_replace(target: DataFrame, batch: DataFrame, unique_cols: list[str
                      F.lit(1).alias("_src"), *[F.col(c).alias(f"_o_{c}") for c in batch_order])
     if not unique_cols:
         return t.unionByName(b).select(*cols)
-    # Only keys the batch touches are resolved: target rows with other keys
-    # pass through an anti join against the batch's distinct keys (broadcast
-    # by the planner when that key set is small, so the target is not
-    # shuffled), the touched keys are aggregated with the batch rows.
-    batch_keys = b.where(~_any_null(unique_cols)).select(*unique_cols).distinct()
-    untouched = t.join(batch_keys, unique_cols, "left_anti").select(*cols)
-    touched = t.join(batch_keys, unique_cols, "left_semi")
-    keyed = touched.unionByName(b.where(~_any_null(unique_cols)))
-    order = F.struct(F.col("_src"), *[F.col(f"_o_{c}") for c in batch_order], *[F.col(c) for c in cols])
-    winners = (keyed.groupBy(*unique_cols)
-               .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_w"))
-               .select(*[F.col("_w")[c].alias(c) for c in cols]))
+    # A batch row replaces the whole stored row, so stored rows of touched keys
+    # never win: the target only passes an anti join against the winners' keys.
+    order = F.struct(*[F.col(f"_o_{c}") for c in batch_order]) if batch_order else F.lit(0)
+    rows = F.struct(*[F.col(c) for c in cols if c not in unique_cols])
+    winners = (b.where(~_any_null(unique_cols)).groupBy(*unique_cols).agg(F.max_by(rows, order).alias("_w"))
+               .select(*[F.col(c) if c in unique_cols else F.col("_w")[c].alias(c) for c in cols]))
+    untouched = t.select(*cols).join(winners.select(*unique_cols), unique_cols, "left_anti").select(*cols)
     return untouched.unionByName(winners).unionByName(b.where(_any_null(unique_cols)).select(*cols))
 
 

@@ -107,18 +107,18 @@ def f6(spark, sf):
 
 
 @register("f7_diff_report", "F7", _diff_sql(f"""
-SELECT 'Totals' AS section, 'Source rows' AS metric, CAST(sum(ns) AS BIGINT) AS value FROM jc
-UNION ALL SELECT 'Totals', 'Target rows', CAST(sum(nt) AS BIGINT) FROM jc
-UNION ALL SELECT 'Totals', 'Added', {_cnt("change = 'added'")} FROM jc
-UNION ALL SELECT 'Totals', 'Removed', {_cnt("change = 'removed'")} FROM jc
-UNION ALL SELECT 'Totals', 'Modified', {_cnt("change = 'modified'")} FROM jc
-UNION ALL SELECT 'Totals', 'Unchanged', {_cnt("change = 'same'")} FROM jc
-UNION ALL SELECT 'Per-Column Modified Counts', 'Account', {_cnt("mod_a")} FROM jc
-UNION ALL SELECT 'Per-Column Modified Counts', 'FreeStock', {_cnt("mod_f")} FROM jc
-UNION ALL SELECT 'In-Stock / Out-of-Stock Flips', 'Account: src_in & tgt_out', {_cnt("in_s AND in_t AND ac_s_in AND NOT ac_t_in")} FROM jc
-UNION ALL SELECT 'In-Stock / Out-of-Stock Flips', 'Account: src_out & tgt_in', {_cnt("in_s AND in_t AND NOT ac_s_in AND ac_t_in")} FROM jc
-UNION ALL SELECT 'In-Stock / Out-of-Stock Flips', 'FreeStock: src_in & tgt_out', {_cnt("in_s AND in_t AND fs_s_in AND NOT fs_t_in")} FROM jc
-UNION ALL SELECT 'In-Stock / Out-of-Stock Flips', 'FreeStock: src_out & tgt_in', {_cnt("in_s AND in_t AND NOT fs_s_in AND fs_t_in")} FROM jc
+SELECT 'totals' AS section, 'source_rows' AS metric, CAST(sum(ns) AS BIGINT) AS value FROM jc
+UNION ALL SELECT 'totals', 'target_rows', CAST(sum(nt) AS BIGINT) FROM jc
+UNION ALL SELECT 'totals', 'added', {_cnt("change = 'added'")} FROM jc
+UNION ALL SELECT 'totals', 'removed', {_cnt("change = 'removed'")} FROM jc
+UNION ALL SELECT 'totals', 'modified', {_cnt("change = 'modified'")} FROM jc
+UNION ALL SELECT 'totals', 'same', {_cnt("change = 'same'")} FROM jc
+UNION ALL SELECT 'modified_values', 'Account', {_cnt("mod_a")} FROM jc
+UNION ALL SELECT 'modified_values', 'FreeStock', {_cnt("mod_f")} FROM jc
+UNION ALL SELECT 'stock_to_none', 'Account', {_cnt("in_s AND in_t AND ac_s_in AND NOT ac_t_in")} FROM jc
+UNION ALL SELECT 'none_to_stock', 'Account', {_cnt("in_s AND in_t AND NOT ac_s_in AND ac_t_in")} FROM jc
+UNION ALL SELECT 'stock_to_none', 'FreeStock', {_cnt("in_s AND in_t AND fs_s_in AND NOT fs_t_in")} FROM jc
+UNION ALL SELECT 'none_to_stock', 'FreeStock', {_cnt("in_s AND in_t AND NOT fs_s_in AND fs_t_in")} FROM jc
 """))
 def f7(spark, sf):
     return D.diff_report(*_diff_args(spark, sf))

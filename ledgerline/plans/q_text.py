@@ -99,10 +99,23 @@ def c22(spark, sf):
     return e.select("event_id", T.snake_json_keys("props").alias("props"), canonical_json("props").alias("canonical"))
 
 
+@register("c22_nested_json_keys", "C22", """
+SELECT event_id, concat('{"outer_key":{"inner_key":', event_id, ',"list_of":[{"deep_key":', coalesce(user_id, 0), '},"a: \\"b\\": c",null]}}') AS props,
+       concat('[{"user_id":', coalesce(user_id, 0), '},["Not A Key"]]') AS items FROM events""")
+def c22_nested(spark, sf):
+    u = F.coalesce("user_id", F.lit(0))
+    props = F.concat(F.lit('{"Outer Key":{"Inner-Key":'), "event_id", F.lit(',"list Of":[{"Deep Key":'), u, F.lit('},"a: \\"b\\": c",null]}}'))
+    items = F.concat(F.lit('[{"User ID":'), u, F.lit('},["Not A Key"]]'))
+    return table(spark, sf, "events").select("event_id", T.snake_json_keys(props).alias("props"), T.snake_json_keys(items).alias("items"))
+
+
 # ---- C23 / C24 / C25 ----------------------------------------------------------
 
 def _duck_emoji(x: str, strict: bool) -> str:
-    return _re(_re(x, T.emoji_class(strict), ""), T.invisibles_class(), "")
+    enclosed = r"\x{24C2}-\x{1F251}" if strict else r"\x{24C2}\x{1F170}-\x{1F251}"
+    emoji = (r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2700}-\x{27BF}"
+             + enclosed + r"\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}]+")
+    return _re(_re(x, emoji, ""), r"[\x{200D}\x{200C}\x{FE0E}\x{FE0F}]", "")
 
 
 register("c23_remove_emoji_safe", "C23", _docs_sql(_duck_emoji("text", False)))(
@@ -113,7 +126,7 @@ register("c23_remove_emoji_strict", "C23", _docs_sql(_duck_emoji("text", True)))
 
 def _duck_tidy_common(s: str, whole: bool) -> str:
     s = f"replace({s}, chr(160), ' ')"
-    s = _re(s, T.dashes_class(), " - ")
+    s = _re(s, r"[\x{2010}-\x{2015}\x{2212}]", " - ")
     if whole:
         s = _re(s, f"{WS}+-{WS}+|{WS}+-|-{WS}+", " - ")
     s = _re(s, f"([\\(\\[\\{{]){WS}+", "\\1")

@@ -6,18 +6,18 @@ Both landing folders are read as CSV file streams with explicit schemas
 common shape and unioned into a single query, so one ``foreachBatch`` sees
 both sides. Per micro-batch:
 
-1. files already in the ledger (path + mtime) are skipped (K8 / L2);
-2. for each side, the newest file of the batch is kept (``max_by``) and
-   normalised (F0); a side without a new file falls back to its last stored
-   version;
+1. for each side, the newest file of the batch is kept if it is newer (by
+   modification time, then path) than every file taken before, as the stored
+   ``newest`` state tells (K8 / L2): a file seen before or an older one that
+   arrives late never replaces newer stock;
+2. what is kept is normalised (F0); a side without one falls back to its last
+   stored version;
 3. the reconciliation (F1), its statistics (F1s), the five reports (D5),
    ``inventory_latest`` (I4), the change set against the previous
-   ``inventory`` (F3) and a run-log row (I13 / L4) are written under
-   ``version=<batch_id>`` / ``batch_id=<batch_id>``, so a replayed batch
-   overwrites its own output (idempotent).
+   ``inventory`` (F3) and the run-log rows (I13 / L4) are written under
+   ``version=<batch_id>``, so a replayed batch overwrites its own output.
 
-``latestFirst`` only orders files; it does not skip older ones, which is why
-the newest file is chosen inside the batch.
+``ledger`` lists the files of every batch; a batch reads only the last state.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 
 from ledgerline.operators import cycle as C
 from ledgerline.operators import reconcile as R
-from ledgerline.sources.readers import NA_TOKENS
+from ledgerline.sinks import writers as WR
+from ledgerline.sources.readers import NA_TOKENS, STANDARD_CSV
 
 HNAU_COLUMNS = ["sku_oms_details_sku", "online_salable_qty_quantity", "sku_oms_details_sap_supplier_id"]
 VS_COLUMNS = ["account", "supplier_sku", "free_stock"]
@@ -42,7 +43,7 @@ def _side_stream(spark: SparkSession, path: str, columns: list[str], side: str,
                  sku: str, qty: str, attr: str, max_files: int | None) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns]
                           + [T.StructField("_extra", T.StringType())])
-    r = (spark.readStream.schema(schema).option("header", True).option("nullValue", _NO_NULL)
+    r = (spark.readStream.schema(schema).options(**STANDARD_CSV).option("nullValue", _NO_NULL)
          .option("pathGlobFilter", glob).option("latestFirst", True))
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -65,39 +66,34 @@ def feed_stream(spark: SparkSession, hnau_dir: str, vs_dir: str, glob: str = "*.
     return h.unionByName(v)
 
 
-_read_or_none = C.read_or_none
-_latest_version = C.latest_version
-_write_version = C.write_version
-
-
 def make_batch_handler(out_dir: str):
     """foreachBatch function running one reconciliation cycle per batch."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         t0 = time.time()
-        ledger_path = os.path.join(out_dir, "ledger")
         batch = batch.persist()
         try:
-            files = batch.select("side", "file_path", "file_mtime").distinct()
-            seen = _read_or_none(spark, ledger_path)
-            if seen is not None:
-                seen = seen.where(F.col("batch_id") < batch_id).select("file_path", "file_mtime")
-                files = files.join(seen, ["file_path", "file_mtime"], "left_anti")
-            newest = files.groupBy("side").agg(
-                F.max_by("file_path", F.struct("file_mtime", "file_path")).alias("file_path"))
-            rows = batch.join(newest, ["side", "file_path"], "left_semi")
+            files = batch.select("side", F.struct("file_mtime", "file_path").alias("file")).distinct()
+            newest = files.groupBy("side").agg(F.max("file").alias("file"))
+            state = WR.read_version(spark, os.path.join(out_dir, "newest"), before=batch_id)
+            if state is not None:
+                known = state.select(F.col("side").alias("_s"), F.col("file").alias("_f"))
+                newest = newest.join(known, F.col("side") == F.col("_s"), "left").where(
+                    F.col("_f").isNull() | (F.col("file") > F.col("_f"))).select("side", "file")
+            newest = newest.persist()  # two rows at most
+            rows = batch.join(newest.select("side", F.col("file.file_path").alias("file_path")), ["side", "file_path"], "left_semi")
+            taken = {r["side"] for r in newest.select("side").collect()}
             for side, attr in (("hnau", "supplier_id"), ("vs", "account")):
-                side_rows = rows.where(F.col("side") == side)
-                if not side_rows.isEmpty():
-                    norm = R.normalise_feed(side_rows, "sku_raw", "qty_raw", "attr_raw", attr)
-                    _write_version(norm, os.path.join(out_dir, f"{side}_norm"), batch_id)
-            h = _latest_version(spark, os.path.join(out_dir, "hnau_norm"), before=batch_id + 1)
-            v = _latest_version(spark, os.path.join(out_dir, "vs_norm"), before=batch_id + 1)
-            if h is not None and v is not None:
+                if side in taken:
+                    norm = R.normalise_feed(rows.where(F.col("side") == side), "sku_raw", "qty_raw", "attr_raw", attr)
+                    WR.write_version(norm, os.path.join(out_dir, f"{side}_norm"), batch_id, replay=True)
+            h, v = (WR.read_version(spark, os.path.join(out_dir, f"{side}_norm"), before=batch_id + 1) for side in ("hnau", "vs"))
+            if taken and h is not None and v is not None:
                 C.run_cycle(spark, h, v, out_dir, batch_id, started=t0)
-            files.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
-                .parquet(os.path.join(ledger_path, f"batch_id={batch_id}"))
+            both = newest if state is None else newest.unionByName(state)
+            WR.write_version(both.groupBy("side").agg(F.max("file").alias("file")), os.path.join(out_dir, "newest"), batch_id, replay=True)
+            WR.write_version(files.select("side", "file.file_path", "file.file_mtime"), os.path.join(out_dir, "ledger"), batch_id, replay=True)
         finally:
             batch.unpersist()
 
@@ -119,4 +115,4 @@ def start_feed_watch(spark: SparkSession, hnau_dir: str, vs_dir: str, out_dir: s
 def read_output(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     """Latest version of one output of the watch (``reconcile``,
     ``inventory``, ``reports/mismatch`` ...)."""
-    return _latest_version(spark, os.path.join(out_dir, name))
+    return WR.read_version(spark, os.path.join(out_dir, name))

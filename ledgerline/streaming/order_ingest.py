@@ -1,8 +1,10 @@
 """Incremental order ingest: payload pages arriving as JSON-lines
 files ``{"page_no": n, "payload": "<page JSON text>"}`` are merged into the
 orders table per micro-batch (I5) and the items of touched orders are
-replaced (I6). Each batch writes ``version=<batch_id>`` of both tables, so a
-replay is idempotent; payload order across batches is (batch, page, position).
+replaced (I6). Both tables are bucketed by order id; a batch reads and writes
+only the buckets that its orders fall into, as ``version=<batch_id>``, so its
+cost follows the batch and a replay overwrites its own output. Payload order
+across batches is (batch, page, position).
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import orders as O
-from ledgerline.streaming.feed_watch import _latest_version
+from ledgerline.sinks import writers as W
 
+#: Buckets of the orders and items tables; fixed for the life of a table.
+BUCKETS = 64
 PAGE_SCHEMA = "page_no bigint, payload string"
 
 
@@ -25,20 +29,18 @@ def _scan_batch(batch: DataFrame, batch_id: int) -> DataFrame:
                                    F.col("ord._pos").alias("_pos")).alias("ord"), "v")
 
 
-def make_order_handler(out_dir: str):
+def make_order_handler(out_dir: str, buckets: int = BUCKETS):
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the pages of one micro-batch are parsed once for orders and items
         scanned = _scan_batch(batch, batch_id).persist()
         try:
-            orders_path = os.path.join(out_dir, "orders")
-            items_path = os.path.join(out_dir, "order_items")
-            existing = _latest_version(spark, orders_path, before=batch_id)
-            merged = O.merge_orders(scanned, existing)
-            merged.write.mode("overwrite").parquet(f"{orders_path}/version={batch_id}")
-            old_items = _latest_version(spark, items_path, before=batch_id)
-            items = O.replace_items(scanned, old_items)
-            items.write.mode("overwrite").parquet(f"{items_path}/version={batch_id}")
+            keys = scanned.select(O.order_key(F.col("v")).alias("order_id")).where("order_id is not null")
+            touched = [r[0] for r in keys.select(W.bucket_of("order_id", buckets)).distinct().collect()]  # at most ``buckets``
+            for name, fold in (("orders", O.merge_orders), ("order_items", O.replace_items)):
+                base = os.path.join(out_dir, name)
+                old = W.read_buckets(spark, base, before=batch_id, only=touched)
+                W.write_buckets(fold(scanned, old), base, batch_id, "order_id", buckets, touched)
         finally:
             scanned.unpersist()
     return handle
@@ -57,4 +59,4 @@ def start_order_ingest(spark: SparkSession, pages_dir: str, out_dir: str, checkp
 
 
 def read_orders(spark: SparkSession, out_dir: str, name: str = "orders") -> DataFrame:
-    return _latest_version(spark, os.path.join(out_dir, name))
+    return W.read_buckets(spark, os.path.join(out_dir, name))

@@ -60,9 +60,9 @@ def test_role_guess():
 def test_mapping_errors():
     from ledgerline.operators.quality import mapping_errors
     cols = ["sku", "acc", "q"]
-    assert mapping_errors(cols, "W", "sku", None, "q") == ["W: select Account."]
-    assert mapping_errors(cols, "W", "sku", "sku", "q") == ["W: SKU/Account/Quantity must be different columns."]
-    assert mapping_errors(cols, "W", "sku", "acc", "qty") == ["W: column 'qty' not found."]
+    assert mapping_errors(cols, "W", "sku", None, "") == ["W:unpicked:account", "W:unpicked:quantity"]
+    assert mapping_errors(cols, "W", "sku", "sku", "q") == ["W:shared:sku"]
+    assert mapping_errors(cols, "W", "sku", "acc", "qty") == ["W:unknown:qty"]
     assert mapping_errors(cols, "W", "sku", "acc", "q") == []
 
 
@@ -105,3 +105,27 @@ def test_strict_int_like_python(spark):
         except ValueError:
             return None
     assert _one(spark, vals, S.strict_int) == [py(v) for v in vals]
+
+
+def test_supplier_id_keeps_every_digit(spark):
+    df = spark.createDataFrame([("9007199254740993",), ('{"id": 9007199254740993}',), ('{"id": 2.9}',)], "t string")
+    assert [r[0] for r in df.select(J.supplier_id(F.parse_json("t"))).collect()] == [9007199254740993, 9007199254740993, 2]
+
+
+def test_iso_times_exact_forms(spark):
+    good = {"20240102": "2024-01-02 00:00:00", "2024-01-02": "2024-01-02 00:00:00", "2024-01-02T03:04": "2024-01-02 03:04:00",
+            "20240102T030405": "2024-01-02 03:04:05", "2024-01-02T03:04:05.123Z": "2024-01-02 03:04:05",
+            "2024-01-02 03:04:05+02:00": "2024-01-02 03:04:05"}
+    bad = ["2024", "2024-01", "2024-1-2", "2024-13-01", "n/a", "", "2024-01-02T", "2024-01-02T25:00"]
+    df = spark.createDataFrame([(t,) for t in [*good, *bad]], "s string")
+    got = [r[0] for r in df.select(F.date_format(J.parse_iso_ts("s"), "yyyy-MM-dd HH:mm:ss")).collect()]
+    assert got == [*good.values(), *[None] * len(bad)]
+
+
+def test_order_key_takes_texts_that_look_falsy(spark):
+    from ledgerline.operators.orders import order_key
+    rows = [('{"order_reference":"0","id":5}', "0"), ('{"order_reference":"false","id":5}', "false"),
+            ('{"order_reference":"","order_id":0,"id":5}', "5"), ('{"order_reference":null,"order_id":false,"id":"x"}', "x"),
+            ('{"order_reference":0.0,"id":7}', "7"), ('{"id":0}', None)]
+    df = spark.createDataFrame(rows, "j string, e string")
+    assert [r[0] for r in df.select(order_key(F.parse_json("j"))).collect()] == [e for _, e in rows]

@@ -98,7 +98,46 @@ def test_all_string_reader_long_rows(spark):
     p = os.path.join(d, "f.csv")
     with open(p, "w", encoding="utf-8") as f:
         f.write("a,b\n1,2\n3\n4,5,6\n")
-    kept = sorted(tuple(r) for r in RD.read_csv_strings(spark, p).collect())
-    dropped = sorted(tuple(r) for r in RD.read_csv_strings(spark, p, drop_long_rows=True).collect())
-    assert kept == [("1", "2"), ("3", ""), ("4", "5")]
-    assert dropped == [("1", "2"), ("3", "")]
+    cut = sorted(tuple(r) for r in RD.read_csv_strings(spark, p, cut_long_rows=True).collect())
+    skipped = sorted(tuple(r) for r in RD.read_csv_strings(spark, p).collect())
+    assert cut == [("1", "2"), ("3", ""), ("4", "5")]
+    assert skipped == [("1", "2"), ("3", "")]
+
+
+CELLS = ["plain", "  pad ", 'say "hi", ok', 'A "big" one, x', "two\nlines", '"', '""', ",", " ", "back\\slash\\", 'x\\"y', "é漢", "'q'"]
+
+
+def test_csv_as_the_standard_module_writes_it(spark, tmp_path):
+    import csv
+    rows = [(str(k), c, CELLS[-1 - k]) for k, c in enumerate(CELLS)]
+    with open(tmp_path / "in.csv", "w", newline="", encoding="utf-8") as f:
+        w = csv.writer(f)
+        w.writerow(["k", "a", "b"])
+        w.writerows(rows)
+    path = str(tmp_path / "in.csv")
+    for df in (RD.read_csv_strings(spark, path, multi_line=True), RD.read_csv_raw(spark, path, multi_line=True),
+               RD.read_csv_inferred(spark, path, text_cols=("k",), multi_line=True)):
+        assert sorted(tuple(r) for r in df.collect()) == sorted(rows)
+    valid, rejected = RD.read_sku_qty_csv(spark, path, "a", "k")
+    assert {r.sku for r in valid.collect()} == {c.strip() for c in CELLS if c.strip()}
+    assert [r.reason for r in rejected.collect()] == ["empty sku"]
+
+
+def test_csv_as_the_standard_module_reads_it(spark, tmp_path):
+    import csv
+    rows = [(str(k), c, CELLS[-1 - k]) for k, c in enumerate(CELLS)]
+    path = str(tmp_path / "out")
+    W.write_csv(spark.createDataFrame(rows, "k string, a string, b string"), path)
+    got = []
+    for name in os.listdir(path):
+        if name.endswith(".csv"):
+            with open(os.path.join(path, name), newline="", encoding="utf-8") as f:
+                got += [tuple(r) for r in csv.reader(f)][1:]
+    assert sorted(got) == sorted(rows)
+
+
+def test_export_keeps_the_whole_error(spark, tmp_path):
+    long = "n" * 900
+    bad = spark.range(1).select(F.col("id").alias(long), F.col("id").alias(long))  # a name twice can't be written
+    told = {r.name: r for r in W.export_all(spark, {"bad": bad, "good": spark.range(2)}, str(tmp_path), fmt="parquet").collect()}
+    assert told["good"].ok and not told["bad"].ok and long in told["bad"].error

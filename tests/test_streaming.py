@@ -27,7 +27,8 @@ def test_feed_watch_incremental(spark):
     first = W.read_output(spark, out, "reconcile")
     want = R.reconcile(R.normalise_hnau(h), R.normalise_vs(v))
     assert sorted(first.collect()) == sorted(want.collect())
-    assert W.read_output(spark, out, "changes") is None  # no previous inventory yet
+    # the first run compares with an empty inventory
+    assert W.read_output(spark, out, "changes").count() == R.normalise_vs(v).where("qty is not null").count()
 
     # second run: only a new VS file (every quantity doubled) arrives
     time.sleep(1.1)
@@ -46,4 +47,48 @@ def test_feed_watch_incremental(spark):
     # the ledger holds each landed file once; run log and stats have two versions
     ledger = spark.read.parquet(os.path.join(out, "ledger"))
     assert ledger.count() == ledger.select("file_path").distinct().count() == 3
-    assert spark.read.parquet(os.path.join(out, "runlog")).count() == 2
+    assert spark.read.parquet(os.path.join(out, "runlog")).count() == 6
+
+    # an older file that lands late changes nothing
+    for f in os.listdir(vdir):
+        if f.endswith(".csv"):
+            last = os.path.getmtime(os.path.join(vdir, f))
+    _land(v.limit(3), vdir)
+    for f in os.listdir(vdir):
+        path = os.path.join(vdir, f)
+        if f.endswith(".csv") and os.path.getmtime(path) > last:
+            os.utime(path, (last - 1000, last - 1000))
+    W.start_feed_watch(spark, hdir, vdir, out, ck, available_now=True).awaitTermination()
+    assert sorted(W.read_output(spark, out, "inventory").collect()) == sorted(
+        spark.read.parquet(os.path.join(out, "inventory", "version=1")).collect())
+    assert spark.read.parquet(os.path.join(out, "ledger")).count() == 4
+
+
+def test_order_ingest_writes_touched_buckets(spark, tmp_path):
+    import json
+
+    from ledgerline.sinks import writers as WR
+    from ledgerline.streaming import order_ingest as OI
+
+    def page(*orders):
+        return spark.createDataFrame([(1, json.dumps({"results": list(orders)}))], OI.PAGE_SCHEMA)
+
+    out = str(tmp_path)
+    handle = OI.make_order_handler(out, buckets=8)
+    item = {"part_number": "p", "line_reference": "1", "quantity": 2}
+    handle(page(*[{"id": k, "status": "new", "items": [item, item]} for k in range(1, 101)]), 0)
+    handle(page({"id": 7, "status": "sent", "items": []}, {"id": 7, "tax": 1}), 1)
+    base = os.path.join(out, "orders")
+    touched = [d for d in os.listdir(os.path.join(base, "version=1")) if d.startswith("bucket=")]
+    assert len(touched) == 1
+    orders = {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}
+    assert len(orders) == 100 and orders["7"] == "sent" and orders["8"] == "new"
+    items = OI.read_orders(spark, out, "order_items").groupBy("order_id").count().collect()
+    assert len(items) == 99 and {r["count"] for r in items} == {2}
+    # a replayed batch overwrites its own output; a version of which nothing is current can go
+    handle(page({"id": 7, "status": "back"}), 1)
+    assert {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}["7"] == "back"
+    assert WR.retire_versions(spark, base) == []
+    handle(page({"id": 7, "status": "done"}), 2)
+    assert WR.retire_versions(spark, base) == [1]
+    assert {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}["7"] == "done"
