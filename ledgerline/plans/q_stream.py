@@ -1,68 +1,114 @@
 """Registered queries: the streaming jobs (L1-L4) run with ``availableNow``
 over files landed from the given tables; their final output must equal the
-batch result, so they reuse the batch oracles (F1, I5)."""
+batch result, so they reuse the batch oracles (F0, F1, I5, I6)."""
 
 from __future__ import annotations
 
 import os
-import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerline.plans import q_reconcile  # noqa: F401  (registers the F1 oracle reused below)
-from ledgerline.plans.fixtures import fixture
-from ledgerline.plans.q_orders import FETCH_STRIDE, _merged_out, order_payload_pages
+from ledgerline.plans import duck, q_reconcile  # noqa: F401  (registers the F1 oracle reused below)
+from ledgerline.plans.fixtures import fixture, with_fixtures
+from ledgerline.plans.q_orders import FETCH_STRIDE, _items_out, _merged_out, order_payload_pages
 from ledgerline.plans.registry import REGISTRY, register
 from ledgerline.session import scratch_path
+from ledgerline.sinks.writers import write_csv
 from ledgerline.streaming import feed_watch as W
 from ledgerline.streaming import order_ingest as OI
 
+#: Modification time of the first landing, in ms; later ones count from it.
+FIRST_LANDING = 1_700_000_000_000
+
 
 def _run_dir(spark, name):
     return scratch_path(spark, f"streams/{name}/{uuid.uuid4().hex}")
 
 
-def _land_csv(df, path):
-    df.coalesce(1).write.mode("append").option("header", True).csv(path)
+def _land_csv(df, folder, minutes):
+    """One feed file (a delivery is a file) with a modification time of its own."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    staged = f"{folder}-staged-{uuid.uuid4().hex}"
+    write_csv(df, staged, single_file=True)
+    fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(folder))
+    for part in fs.globStatus(path(f"{staged}/part-*.csv")):
+        target = path(f"{folder}/{uuid.uuid4().hex}.csv")
+        fs.setTimes(part.getPath(), FIRST_LANDING + minutes * 60_000, -1)
+        fs.rename(part.getPath(), target)
 
 
-@register("l1_feed_watch_cycle", "L1/L2/L4", REGISTRY["f1_reconcile"].oracle)
-def l1(spark, sf):
+def watched(spark, sf):
+    """Two runs of the feed watch. In the first, an older, partial file and the
+    complete newest one land on each side; in the second, one that is older
+    than both lands late. The complete files must be what counts."""
     run = _run_dir(spark, "feed_watch")
     hdir, vdir, out = (os.path.join(run, d) for d in ("hnau", "vs", "out"))
-    h = fixture(spark, sf, "feed_h").drop("row_id").persist()
-    v = fixture(spark, sf, "feed_v").drop("row_id").persist()
+    sides = ((fixture(spark, sf, "feed_h").drop("row_id").persist(), hdir, "sku_oms_details_sku"),
+             (fixture(spark, sf, "feed_v").drop("row_id").persist(), vdir, "supplier_sku"))
     try:
-        # an older, partial file per side first; the newest (complete) one must win
-        _land_csv(h.where(F.col("sku_oms_details_sku").endswith("1")), hdir)
-        _land_csv(v.where(F.col("supplier_sku").endswith("1")), vdir)
-        time.sleep(1.1)
-        _land_csv(h, hdir)
-        _land_csv(v, vdir)
+        for landings in (((30, "1"), (60, "")), ((0, "2"),)):
+            for df, folder, sku in sides:
+                for minutes, ending in landings:
+                    _land_csv(df.where(F.col(sku).endswith(ending)) if ending else df, folder, minutes)
+            W.start_feed_watch(spark, hdir, vdir, out, os.path.join(run, "checkpoint"), available_now=True).awaitTermination()
     finally:
-        h.unpersist()
-        v.unpersist()
-    q = W.start_feed_watch(spark, hdir, vdir, out, os.path.join(run, "checkpoint"), available_now=True)
-    q.awaitTermination()
-    return W.read_output(spark, out, "reconcile")
+        for df, _, _ in sides:
+            df.unpersist()
+    return out
 
 
-@register("l3_order_stream_merge", "L3", REGISTRY["i5_merge_orders"].oracle)
-def l3(spark, sf):
+def _vs_sql(select):
+    return with_fixtures(select, "feed_v", extra=duck.vs_ctes())
+
+
+@register("l1_feed_watch_cycle", "L1/L2", REGISTRY["f1_reconcile"].oracle)
+def l1(spark, sf):
+    return W.read_output(spark, watched(spark, sf), "reconcile")
+
+
+@register("l1_feed_watch_inventory", "L1/I4", _vs_sql(
+    "SELECT coalesce(account, '') AS Account, sku AS SupplierSKU, CAST(qty AS BIGINT) AS FreeStock FROM v_norm"))
+def l1_inventory(spark, sf):
+    return W.read_output(spark, watched(spark, sf), "inventory")
+
+
+@register("l1_feed_watch_changes", "L1/F3", _vs_sql(
+    "SELECT sku, coalesce(account, '') AS Account, CAST(qty AS BIGINT) AS latest_qty, CAST(NULL AS BIGINT) AS previous_qty "
+    "FROM v_norm WHERE qty IS NOT NULL"))
+def l1_changes(spark, sf):
+    return W.read_output(spark, watched(spark, sf), "changes")
+
+
+@register("l4_feed_watch_log", "L4/I13", _vs_sql("""
+SELECT a.action, count(*) AS total_skus,
+       CASE WHEN a.action = 'compare_tables' THEN count(qty) ELSE 0 END AS changes_detected
+FROM v_norm, (VALUES ('refresh_inventory_latest'), ('compare_tables'), ('update_inventory')) a(action) GROUP BY a.action"""))
+def l4(spark, sf):
+    return W.read_output(spark, watched(spark, sf), "runlog").select("action", "total_skus", "changes_detected")
+
+
+def ingested(spark, sf):
+    """Two runs of the order ingest, a fetch landing before each."""
     run = _run_dir(spark, "orders")
     pages_dir, out = os.path.join(run, "pages"), os.path.join(run, "out")
-    # build the pages once for both landings (one file per fetch, in order)
     pages = order_payload_pages(spark, sf).persist()
     try:
         for fetch in (1, 2):
-            if fetch > 1:
-                time.sleep(1.1)  # a strictly newer modification time for the later fetch
-            pages.where(F.floor(F.col("page_no") / FETCH_STRIDE) == fetch).coalesce(1) \
-                .write.mode("append").json(pages_dir)
+            pages.where(F.floor(F.col("page_no") / FETCH_STRIDE) == fetch).write.mode("append").json(pages_dir)
+            OI.start_order_ingest(spark, pages_dir, out, os.path.join(run, "checkpoint"), available_now=True).awaitTermination()
     finally:
         pages.unpersist()
-    q = OI.start_order_ingest(spark, pages_dir, out, os.path.join(run, "checkpoint"), available_now=True,
-                              max_files=1)
-    q.awaitTermination()
-    return _merged_out(OI.read_orders(spark, out))
+    return out
+
+
+@register("l3_order_stream_merge", "L3", REGISTRY["i5_merge_orders"].oracle)
+def l3(spark, sf):
+    return _merged_out(OI.read_orders(spark, ingested(spark, sf)))
+
+
+@register("l3_order_stream_items", "L3/I6", REGISTRY["i6_replace_items"].oracle)
+def l3_items(spark, sf):
+    return _items_out(OI.read_orders(spark, ingested(spark, sf), "order_items"))
