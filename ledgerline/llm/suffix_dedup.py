@@ -184,9 +184,16 @@ def later_strings(strings, offset, ids, place, body, length: int, seed: int) ->
     size = strings + length - 1
     body_at = np.cumsum(size) - size
     columns = reach + length
-    matrix = np.zeros((columns, m), np.uint16)
-    piece = np.repeat(np.arange(m), size)
-    matrix[np.repeat(first - body_at, size) + np.arange(len(body)), piece] = body.astype(np.uint16) + 1
+    matrix = np.zeros(columns * m, np.uint16)
+    # the cell of a piece's k-th byte: (its first column + k) * m + piece
+    cell = np.arange(len(body), dtype=np.int64 if max(columns * m, len(body)) >= 1 << 31 else np.int32)
+    cell += np.repeat((first - body_at).astype(cell.dtype), size)
+    cell *= m
+    cell += np.repeat(np.arange(m, dtype=cell.dtype), size)
+    matrix[cell] = body
+    matrix[cell] += 1
+    del cell
+    matrix = matrix.reshape(columns, m)
     by = np.lexsort((place, ids))
     moved = np.concatenate([[False], (np.diff(ids[by]) != 0) | (np.diff(place[by]) != 0)])
     rank = np.empty(m, np.int64)
