@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import byte_bpe, decontaminate, langid_crf, pii_deobfuscate, simhash_dedup
-from ledgerline.llm.rowwise import with_text
+from ledgerline.llm.rowwise import carried
 from ledgerline.session import ensure_checkpoint_dir
 
 #: A document goes if no language has this share of it (or it has no letter).
@@ -45,12 +45,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Cut benchmark passages out; drop documents that are mostly such."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.annotate(docs, items, carry="row", max_span=MAX_SPAN_WORDS, max_coverage=MAX_COVERAGE)
-    return with_text(found.where(~F.col("over")), docs, "cleaned")
+    return carried(found.where(~F.col("over")), docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put the kind in place of personal data."""
-    return with_text(pii_deobfuscate.scan(docs, redact=True, carry="row"), docs, "redacted")
+    return carried(pii_deobfuscate.scan(docs, redact=True, carry="row"), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

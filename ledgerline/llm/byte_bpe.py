@@ -31,7 +31,7 @@ from .textarrays import U64, mix
 #: Longest piece, in bytes, that goes into a matrix.
 LONG = 1024
 #: Pieces kept in a task's store before it starts anew.
-STORE = 200_000
+STORE = 100_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
             ids, off = codec.encode(column)
             return [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))]
         return fn
-    return map_texts(docs, make, [("ids", "array<int>")], id_col=id_col, text_col=text_col, carry=carry)
+    return map_texts(docs, make, [("ids", "array<int>")], id_col=id_col, text_col=text_col, carry=carry, most=1 << 20)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -268,4 +268,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, with_ids: bool = Fal
             return out + [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))] * with_ids
         return fn
     return map_texts(docs, make, [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
-                     + [("ids", "array<int>")] * with_ids, id_col=id_col, text_col=text_col)
+                     + [("ids", "array<int>")] * with_ids, id_col=id_col, text_col=text_col, most=1 << 20)

@@ -188,7 +188,8 @@ def annotate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_b
     runs as character ranges [start, end) from first word's to last word's
     characters), coverage (hit share of words), and if ``max_span`` is given:
     cleaned, the text without the spans of more than that many words, and over,
-    whether the coverage exceeds ``max_coverage``."""
+    whether the coverage exceeds ``max_coverage``. With ``carry`` the cleaned
+    text replaces the carried one."""
     limited = max_span is not None
     sc = docs.sparkSession.sparkContext
     indexes = [sc.broadcast(cloudpickle.dumps(Index([i for i, _ in block], [t for _, t in block], window)))
@@ -238,7 +239,8 @@ def annotate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_b
     return map_texts(docs, make, [
         ("n_words", "bigint"), ("n_hit", "bigint"), ("items", "array<string>"),
         ("spans", "array<struct<start:bigint,end:bigint,words:bigint>>"), ("coverage", "double"),
-        *([("cleaned", "string"), ("over", "boolean")] if limited else [])], id_col=id_col, text_col=text_col, carry=carry)
+        *([("cleaned", "string"), ("over", "boolean")] if limited else [])],
+        id_col=id_col, text_col=text_col, carry=carry, new_text="cleaned" if limited and carry else None)
 
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

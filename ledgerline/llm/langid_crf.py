@@ -39,7 +39,7 @@ from .textarrays import U64, Rolling, byte_class, mix, utf8, words
 CHAIN = 128
 PASSAGE = 192
 PASSAGE_CHARS = 4000
-PER_LABEL = 1000
+PER_LABEL = 500
 MAX_LABELS = 100
 TABLE_BITS = 18
 UND = "und"
@@ -310,7 +310,7 @@ def predict(docs: DataFrame, model: Model | None, *, runs: bool = False, id_col:
     fields = [("lang_pred", "string"), ("score", "double")]
     if runs:
         fields.append(("runs", "array<struct<lang:string,first:bigint,words:bigint>>"))
-    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, carry=carry)
+    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, carry=carry, most=1 << 20)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -216,7 +216,8 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def scan(docs: DataFrame, *, redact: bool = False, id_col: str = "doc_id", text_col: str = "text",
          carry: str | None = None) -> DataFrame:
     """One row per document: base and spans (arrays of kind, start, end in code
-    points), and with ``redact`` the text without them."""
+    points), and with ``redact`` the text without them (with ``carry``, in the
+    carried text's place)."""
     def make():
         def arrow(rows):
             return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in r] for r in rows], _ARROW)
@@ -231,7 +232,7 @@ def scan(docs: DataFrame, *, redact: bool = False, id_col: str = "doc_id", text_
         return fn
 
     return map_texts(docs, make, [("base", SPAN), ("spans", SPAN), *([("redacted", "string")] if redact else [])],
-                     id_col=id_col, text_col=text_col, carry=carry)
+                     id_col=id_col, text_col=text_col, carry=carry, new_text="redacted" if redact and carry else None)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -18,44 +18,53 @@ def quoted(name: str) -> str:
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[pa.Array], list]], fields: list[tuple[str, str]],
-              *, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None,
+              *, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, new_text: str | None = None,
               most: int = SLICE_BYTES) -> DataFrame:
     """(id, *fields) for every row of docs. ``make`` is called once in a task
     and returns the function from a slice's text column to one Arrow array per
-    field. ``carry`` names a struct column that keeps all columns of docs."""
-    row = [F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")] if carry else []
-    src = docs.select(F.col(quoted(id_col)).alias("id"),
-                      F.col(quoted(text_col)).cast("string").alias("text"), *row)
+    field. ``carry`` names a struct column that keeps all columns of docs; the
+    text then travels once, inside it, and the field ``new_text``, if given,
+    takes its place there instead of becoming a column."""
+    text = F.col(quoted(text_col)).cast("string")
+    if carry:
+        row = F.struct(*[text.alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])
+        src = docs.select(F.col(quoted(id_col)).alias("id"), row.alias("row"))
+        place = docs.columns.index(text_col)
+    else:
+        src = docs.select(F.col(quoted(id_col)).alias("id"), text.alias("text"))
     schema = T.StructType([T.StructField(id_col, src.schema["id"].dataType)])
     if carry:
         schema.add(carry, src.schema["row"].dataType)
-    types = T.DataType.fromDDL(", ".join(f"{quoted(n)} {t}" for n, t in fields))
-    for f in types:
+    order = [n for n, _ in fields]
+    replaced = order.index(new_text) if new_text else None
+    for f in T.DataType.fromDDL(", ".join(f"{quoted(n)} {t}" for n, t in fields if n != new_text)):
         schema.add(f)
     names = [f.name for f in schema]
-    first = ["id", "row"] if carry else ["id"]
 
     def run(batches):
         fn = make()
         for batch in batches:
-            for a, b in slices(batch.column("text"), most):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in first] + fn(part.column("text")), names)
+            whole = batch.column("row").field(place) if carry else batch.column("text")
+            for a, b in slices(whole, most):
+                made = fn(whole.slice(a, b - a))
+                first = [batch.column("id").slice(a, b - a)]
+                if carry:
+                    kept = batch.column("row").slice(a, b - a)
+                    if replaced is not None:
+                        parts = kept.flatten()
+                        parts[place] = made.pop(replaced)
+                        kept = pa.StructArray.from_arrays(parts, fields=list(kept.type))
+                    first.append(kept)
+                yield pa.RecordBatch.from_arrays(first + made, names)
 
     return src.mapInArrow(run, schema)
 
 
-def with_text(rows: DataFrame, like: DataFrame, new_text: str, *, row: str = "row", text_col: str = "text",
-              count_col: str = "n_chars") -> DataFrame:
-    """The carried rows with their text replaced, and its count of characters
-    where there is such a column; columns and types as in ``like``."""
-    text = F.col(new_text)
-    out = []
-    for c in like.columns:
-        if c == text_col:
-            out.append(text.alias(c))
-        elif c == count_col:
-            out.append(F.length(text).cast(like.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(f"{quoted(row)}.{quoted(c)}").alias(c))
-    return rows.select(*out)
+def carried(rows: DataFrame, like: DataFrame, *, row: str = "row", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The carried rows as they are in ``like``: its columns and types, with
+    the text's count of characters anew where there is such a column."""
+    def column(c: str):
+        if c == count_col:
+            return F.length(F.col(f"{quoted(row)}.{quoted(text_col)}")).cast(like.schema[c].dataType)
+        return F.col(f"{quoted(row)}.{quoted(c)}")
+    return rows.select(*[column(c).alias(c) for c in like.columns])
