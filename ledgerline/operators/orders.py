@@ -55,7 +55,7 @@ def _last_present(value: Column, is_present: Column) -> Column:
     return F.max_by(value, F.when(is_present, F.col("ord")))
 
 
-def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_col: str | None = None) -> DataFrame:
     """Fold every payload of an order (in ``ord`` order) into one row.
 
     * status, currency_code, shipping_address, retailer_data: last payload holding the key
@@ -66,8 +66,10 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
 
     ``existing`` rows (same columns as the result) act as payload zero with
     every key present; existing orders without a new payload are passed
-    through unchanged."""
+    through unchanged. ``items_col`` adds the last payload's items as JSON text
+    (``items_from`` flattens them), so orders and items take one pass."""
     v = F.col("v")
+    extra = [F.to_json(J.field(v, "$.items")).alias(items_col)] if items_col else []
     rows = scanned.select(
         F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")).alias("ord"),
         order_key(v).alias("order_id"),
@@ -83,7 +85,7 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
         F.to_json(J.field(v, "$.shipping_address")).alias("shipping_address"),
         J.present(v, "$.shipping_address").alias("_p_ship"),
         F.to_json(J.field(v, "$.retailer_data")).alias("retailer_data"),
-        J.present(v, "$.retailer_data").alias("_p_data"),
+        J.present(v, "$.retailer_data").alias("_p_data"), *extra,
     ).where(F.col("order_id").isNotNull())
     untouched = None
     if existing is not None:
@@ -99,7 +101,8 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
             "order_id", "retailer", "order_reference", "order_date",
             "status", F.lit(True).alias("_p_status"), "supplier_id",
             "currency_code", F.lit(True).alias("_p_cur"), "subtotal", "tax", "total",
-            "shipping_address", F.lit(True).alias("_p_ship"), "retailer_data", F.lit(True).alias("_p_data"))
+            "shipping_address", F.lit(True).alias("_p_ship"), "retailer_data", F.lit(True).alias("_p_data"),
+            *[F.lit(None).cast("string").alias(items_col) for _ in extra])
         rows = old.unionByName(rows)
     merged = rows.groupBy("order_id").agg(
         F.min_by("retailer", "ord").alias("retailer"),
@@ -113,10 +116,11 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None) -> DataF
         F.max_by("total", "ord").alias("total"),
         _last_present(F.col("shipping_address"), F.col("_p_ship")).alias("shipping_address"),
         _last_present(F.col("retailer_data"), F.col("_p_data")).alias("retailer_data"),
+        *[F.max_by(items_col, "ord").alias(items_col) for _ in extra],
     )
     if untouched is None:
         return merged
-    return untouched.select(*merged.columns).unionByName(merged)
+    return untouched.unionByName(merged, allowMissingColumns=True).select(*merged.columns)
 
 
 ITEM_FIELDS = ("part_number", "retailer_sku_reference", "supplier_sku_reference", "line_reference", "name")
@@ -133,6 +137,12 @@ def _item_columns(it: Column) -> list[Column]:
     ]
 
 
+def items_from(orders: DataFrame, items_col: str) -> DataFrame:
+    """(order_id, flat item columns) of orders with an item array as JSON text."""
+    array = F.try_variant_get(F.try_parse_json(items_col), "$", "array<variant>")
+    return orders.select("order_id", F.explode(array).alias("it")).select("order_id", *_item_columns(F.col("it")))
+
+
 def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
                   fk: str = "order_id") -> DataFrame:
     """Items of every touched order are replaced by the items of its last
@@ -142,8 +152,7 @@ def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
     last = (scanned.select(order_key(F.col("v")).alias("order_id"), "ord", items.alias("_items"))
             .where(F.col("order_id").isNotNull())
             .groupBy("order_id").agg(F.max_by("_items", "ord").alias("_items")))
-    array = F.try_variant_get(F.try_parse_json("_items"), "$", "array<variant>")
-    new = last.select("order_id", F.explode(array).alias("it")).select("order_id", *_item_columns(F.col("it")))
+    new = items_from(last, "_items")
     if existing_items is None:
         return new
     kept = existing_items.join(last.select(F.col("order_id").alias("_t")),

@@ -301,8 +301,18 @@ def j3(spark, sf):
     "AND order_date >= TIMESTAMP '1994-01-01' AND order_date < TIMESTAMP '1995-12-31' + INTERVAL 1 DAY)",
     extra={"merged": _MERGED, "items": _ITEMS}))
 def e10(spark, sf):
-    sel = O.filter_orders(merged_orders(spark, sf), **_D3)
-    return _items_out(O.items_of_order(replaced_items(spark, sf), sel, "order_id", "order_id"))
+    """Orders with their items in one pass; the filter runs before the items are flattened."""
+    merged = O.merge_orders(scanned(spark, sf), items_col="_items")
+    return _items_out(O.items_from(O.filter_orders(merged, **_D3), "_items"))
+
+
+@register("e10_parent_child_fetch", "E10", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
+def e10_fetch(spark, sf):
+    orders = table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    return O.items_of_order(table(spark, sf, "lineitem"), orders, "o_orderkey", "l_orderkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
 
 AS_OF = "2024-01-10 00:00:00"

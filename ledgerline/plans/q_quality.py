@@ -83,6 +83,14 @@ def k6o(spark, sf):
     return Q.orphan_rows(table(spark, sf, "orders"), table(spark, sf, "customer"), "o_custkey", "c_custkey")
 
 
+@register("k6_orphans_of_open_orders", "K6", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN "
+          "(SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
+def k6_open(spark, sf):
+    """Line items whose order is not among the unfinished ones: orphans there are."""
+    parents = table(spark, sf, "orders").where("o_orderstatus <> 'F'")
+    return Q.orphan_rows(table(spark, sf, "lineitem"), parents, "l_orderkey", "o_orderkey").select("l_orderkey", "l_linenumber")
+
+
 _RUN_COLS = ["source", "hnau_file", "vs_file", "hnau_mtime", "vs_mtime"]
 
 
