@@ -14,11 +14,12 @@ only the remaining runs are streamed.
 Scale: documents are never shuffled. The automaton is broadcast, in blocks of
 items of at most ``block_bytes`` of text each; every block is streamed in turn,
 so a larger benchmark costs time, not memory. (One item of more than
-``max_item_bytes`` raises ValueError: it would not fit a block.)
+``block_bytes`` raises ValueError: it would not fit a block.)
 
 Defined cases: null or empty text has no words and no hits; null, empty and
-wordless items give no window; items with equal texts each count; rows with
-equal ids are judged separately; an empty benchmark hits nothing.
+wordless items, and items without an id, give no window; items with equal texts
+each count; rows with equal ids are judged separately; an empty benchmark hits
+nothing.
 """
 
 from __future__ import annotations
