@@ -204,11 +204,9 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
     groups = max(1, -(-n_keys // GROUP_ROWS))
     # a fingerprint becomes many rows: deal the few bytes of nodes to as many tasks as the rows need
     keys = variant_keys(nodes.repartition(groups, "fp"), distance)
-    many = keys.groupBy("key").count().where(F.col("count") > hot).select("key") if n_keys // 64 > hot else None
-    if many is not None:
-        many = many.checkpoint()
-        if not many.isEmpty():
-            keys = keys.join(many, "key", "left_anti").unionAll(second_keys(keys.join(many, "key", "left_semi"), distance))
+    many = keys.groupBy("key").count().where(F.col("count") > hot).select("key").checkpoint()
+    if not many.isEmpty():
+        keys = keys.join(many, "key", "left_anti").unionAll(second_keys(keys.join(many, "key", "left_semi"), distance))
 
     def verify(table):
         a, b = forest(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64), distance)
