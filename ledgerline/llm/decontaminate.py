@@ -11,10 +11,12 @@ runs of benchmark words are independent streams, and a run shorter than the
 shortest window holds none. Words are hashed and looked up as numpy arrays;
 only the remaining runs are streamed.
 
-Scale: documents are never shuffled. The automaton is broadcast, in blocks of
-items of at most ``block_bytes`` of text each; every block is streamed in turn,
-so a larger benchmark costs time, not memory. (One item of more than
-``block_bytes`` raises ValueError: it would not fit a block.)
+Scale: documents are never shuffled. Distinct items are dealt into blocks of
+about half of ``block_bytes`` of text; a longer item is cut into parts that
+overlap by a window less one word, so each window is whole in one of them.
+Spark tasks build the blocks' automata and write them to the checkpoint folder;
+a scanning task reads one block at a time, so a larger benchmark costs time and
+disk, not memory. The driver sees the blocks' paths only.
 
 Defined cases: null or empty text has no words and no hits; null, empty and
 wordless items, and items without an id, give no window; items with equal texts
@@ -25,15 +27,17 @@ nothing.
 from __future__ import annotations
 
 import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .rowwise import map_texts, quoted
-from .textarrays import (Rolling, byte_class, cover, lower_ascii, per_row, utf8, words)
+from .textarrays import (Rolling, byte_class, cover, lower_ascii, per_row, slices, utf8, words)
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -112,15 +116,14 @@ class SuffixAutomaton:
 
 
 class Index:
-    """Automaton of a block of items, with the items of each window."""
+    """Automaton of a block of items, with the items of each window. hashes: of
+    each item's words, or of a part's of an item."""
 
-    def __init__(self, item_ids: list[str], texts: list[str | None], window: int = WINDOW):
-        rolling = Rolling(SEED)
-        _, w, h = normalised_words(pa.array(texts, pa.string()), rolling)
-        vocabulary, code = np.unique(h, return_inverse=True)
+    def __init__(self, item_ids: list[str], hashes: list[np.ndarray], window: int = WINDOW):
+        vocabulary, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_inverse=True)
         self.vocabulary = vocabulary
         self.automaton = a = SuffixAutomaton()
-        sequences = [code[x:y].tolist() for x, y in zip(w.row[:-1], w.row[1:])]
+        sequences = [x.tolist() for x in np.split(code, np.cumsum([len(h) for h in hashes])[:-1])]
         for s in sequences:
             a.add(s)
         self.items: dict[tuple[int, int], list[str]] = {}
@@ -134,6 +137,18 @@ class Index:
                             held.append(item)
         self.sizes = sorted({size for size, _ in self.items})
 
+    def dumps(self) -> bytes:
+        """Plain values, which a worker without this module can load."""
+        a = self.automaton
+        return pickle.dumps((self.vocabulary, a.next, a.link, a.length, self.items, self.sizes), pickle.HIGHEST_PROTOCOL)
+
+    @classmethod
+    def loads(cls, raw) -> Index:
+        self, a = cls.__new__(cls), SuffixAutomaton()
+        self.vocabulary, a.next, a.link, a.length, self.items, self.sizes = pickle.loads(raw)
+        self.automaton = a
+        return self
+
     def hits(self, h: np.ndarray, row: np.ndarray):
         """(word is hit, [(row, item), ...]) for word hashes h of rows."""
         n = len(h)
@@ -170,16 +185,57 @@ class Index:
         return hit, found
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """Items in blocks of bounded size; the benchmark's size is checked first."""
+def parts(n: int, most: int, window: int) -> list[tuple[int, int]]:
+    """Ranges of n words, of at most ``most`` (and not under ``window`` unless n
+    is), so that every window lies in one."""
+    return [(a, min(n, a + most)) for a in range(0, max(1, n - window + 1), most - window + 1)] if n else []
+
+
+def written_blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> list[str]:
+    """Paths of the written indexes of the items' blocks."""
     src = items.select(F.col(quoted(id_col)).cast("string").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    src = src.where("id is not null and text is not null")
-    size = src.agg(F.sum(F.octet_length("text")).alias("total"), F.max(F.octet_length("text")).alias("most")).first()
-    if (size["most"] or 0) > block_bytes:
-        raise ValueError(f"a benchmark item has {size['most']} bytes; block_bytes is {block_bytes}")
-    blocks = -(-(size["total"] or 0) // max(1, block_bytes // 2))
-    key = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, blocks)))
-    return [[tuple(r) for r in src.where(key == k).collect()] for k in range(blocks)]
+    src = src.where("id is not null and text is not null").distinct()
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if not total:
+        return []
+    n_blocks = max(1, -(-total // max(1, block_bytes // 2)))
+    most = max(2 * window, block_bytes // 16)
+
+    def cut(batches):
+        rolling = Rolling(SEED)
+        for batch in batches:
+            for a, b in slices(batch.column("text")):
+                _, w, h = normalised_words(batch.column("text").slice(a, b - a), rolling)
+                for r, item in enumerate(batch.column("id").slice(a, b - a).to_pylist()):
+                    x, y = int(w.row[r]), int(w.row[r + 1])
+                    for k, (i, j) in enumerate(parts(y - x, most, window)):
+                        yield pa.RecordBatch.from_pydict({
+                            "id": pa.array([item], pa.string()), "part": pa.array([k], pa.int64()),
+                            "words": pa.array([h[x + i:x + j].astype("<u8").tobytes()], pa.binary())})
+
+    cuts = src.mapInArrow(cut, "id string, part bigint, words binary")
+    cuts = cuts.withColumn("block", F.pmod(F.xxhash64("id", "part", "words"), F.lit(n_blocks)))
+    folder = f"{scratch_path(items.sparkSession, 'decontaminate')}/{uuid.uuid4().hex}"
+
+    def build(key, table):
+        index = Index(table.column("id").to_pylist(), [np.frombuffer(x, "<u8") for x in table.column("words").to_pylist()], window)
+        store, path = fs.FileSystem.from_uri(folder)
+        path = f"{path}/{key[0].as_py()}"
+        store.create_dir(path.rsplit("/", 1)[0])
+        trial = f"{path}.{uuid.uuid4().hex}"  # a task may run twice
+        with store.open_output_stream(trial) as out:
+            out.write(index.dumps())
+        store.move(trial, path)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64())})
+
+    made = cuts.groupBy("block").applyInArrow(build, "block bigint").collect()
+    return [f"{folder}/{r['block']}" for r in sorted(made)]
+
+
+def read_index(path: str) -> Index:
+    store, path = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(path) as raw:
+        return Index.loads(raw.read())
 
 
 def annotate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
@@ -192,20 +248,18 @@ def annotate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_b
     whether the coverage exceeds ``max_coverage``. With ``carry`` the cleaned
     text replaces the carried one."""
     limited = max_span is not None
-    sc = docs.sparkSession.sparkContext
-    indexes = [sc.broadcast(cloudpickle.dumps(Index([i for i, _ in block], [t for _, t in block], window)))
-               for block in item_blocks(items, item_id, item_text, block_bytes)]
+    blocks = written_blocks(items, item_id, item_text, window, block_bytes)
 
     def make():
         rolling = Rolling(SEED)
-        only = pickle.loads(indexes[0].value) if len(indexes) == 1 else None
+        only = read_index(blocks[0]) if len(blocks) == 1 else None
 
         def fn(column):
             data, w, h = normalised_words(column, rolling)
             rows = len(column)
             hit, found = np.zeros(len(h), bool), set()
-            for b in indexes:  # several blocks: one in memory at a time
-                one, more = (only or pickle.loads(b.value)).hits(h, w.row)
+            for b in blocks:  # several blocks: one in memory at a time
+                one, more = (only or read_index(b)).hits(h, w.row)
                 hit |= one
                 found |= more
             n_hit = per_row(hit, w.row)

@@ -298,3 +298,27 @@ def test_op10_cleaning(spark):
     assert got[1]["cleaned"] == "Start, ! End é." and not got[1]["over"]
     assert got[2]["over"] and got[3]["cleaned"] == "clean é text"
     assert [(s["start"], s["end"], s["words"]) for s in got[1]["spans"]] == [(7, 7 + len(item), 12)]
+
+
+def test_op10_long_items_and_copies(spark):
+    """An item longer than a block is cut, each of its windows is found; copies
+    of an item change nothing."""
+    words = [f"w{i * i % 997}x{i}" for i in range(4000)]
+    items = [(1, " ".join(words))] + [(2, "alpha beta gamma")] * 50 + [(3, " ".join(words[100:112]))]
+    rows = [(k, " ".join(["pre", *words[a:a + 10], "post"])) for k, a in enumerate(range(0, 3991, 57))]
+    rows += [(900, " ".join(words)), (901, "x alpha beta gamma y"), (902, " ".join(words[5:14]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    expected = sorted(brute_leaks(rows, items), key=repr)
+    assert all(r[-1] for r in expected if r[0] != 902) and len(expected) == 74
+    for block_bytes in (1000, 4 << 20):
+        assert rows_of(decontaminate.report(docs, bench, block_bytes=block_bytes)) == expected
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 90), st.integers(1, 8), st.integers(0, 20))
+def test_op10_parts_hold_every_window(n, window, more):
+    found = decontaminate.parts(n, 2 * window + more, window)
+    size = min(n, window)
+    assert {k for a, b in found for k in range(a, b - size + 1)} == set(range(n - size + 1)) or not n
+    assert all(min(n, window) <= b - a <= 2 * window + more for a, b in found)
