@@ -12,10 +12,13 @@ chains of a slice at once.
 
 Training: stochastic gradient of the chains' log-likelihood on the driver, from
 a bounded sample: at most about ``per_label`` passages of ``PASSAGE`` words (and
-``PASSAGE_CHARS`` characters) for each of the ``max_labels`` most frequent
-labels, chosen by a hash of the id. Half of the training chains join passages
-of different labels, so that switches are learned too. The model (a few MB,
-whatever the input) is broadcast; prediction is row-wise, without a shuffle.
+``PASSAGE_CHARS`` characters) for each label, chosen by a hash of id and text.
+Every label is learned; beyond ``MANY_LABELS`` of them, passages a label,
+features, batches and slices shrink, so that sample, weights and a step's arrays
+stay bounded (the transitions are the square of the labels). Half of the
+training chains join passages of different labels, so that switches are learned
+too. The model (a few MB for a few labels, whatever the input) is broadcast;
+prediction is row-wise, without a shuffle.
 
 Defined cases: null text and text without a letter is ``und`` with score 0;
 without labelled rows everything is; a null id is never held out and never
@@ -40,8 +43,13 @@ CHAIN = 128
 PASSAGE = 192
 PASSAGE_CHARS = 4000
 PER_LABEL = 500
-MAX_LABELS = 100
+#: Labels up to which each gets all of its passages and features.
+MANY_LABELS = 100
+#: Passages a label has at least, however many labels there are.
+LEAST_PER_LABEL = 20
 TABLE_BITS = 18
+#: Cells (words or features by labels) of an array that is made at once.
+CELLS = 1 << 25
 UND = "und"
 SEED = 3
 #: Bytes of words after lower-casing: letters and every multi-byte character.
@@ -99,7 +107,13 @@ class Vocabulary:
         if not len(self.count):
             return np.zeros((0, weights.shape[1]), np.float32)
         begin = np.cumsum(self.count) - self.count
-        out = np.add.reduceat(weights[self.feature], begin, axis=0)
+        out = np.empty((len(self.count), weights.shape[1]), np.float32)
+        step = max(1, CELLS // weights.shape[1])  # features at once
+        cuts = np.unique(np.searchsorted(begin, np.arange(0, len(self.feature), step)))
+        fold = TABLE_BITS - (len(weights).bit_length() - 1)
+        for a, b in zip(cuts, [*cuts[1:], len(begin)]):
+            x, y = begin[a], begin[b] if b < len(begin) else len(self.feature)
+            out[a:b] = np.add.reduceat(weights[self.feature[x:y] >> fold], begin[a:b] - x, axis=0)
         return out / np.sqrt(self.count)[:, None].astype(np.float32)
 
 
@@ -158,20 +172,23 @@ class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray):
         self.labels, self.weights, self.trans = labels, weights, trans
 
-    def posteriors(self, v: Vocabulary) -> np.ndarray:
-        """(words of the slice, labels)."""
-        emit = self.scores_of(v)
+    def posteriors(self, v: Vocabulary):
+        """(words, their posteriors) of all words of the slice, in groups of
+        bounded size; words in ascending order within a chain."""
+        scores = v.scores(self.weights)
         start, size = chains(v.row)
-        if not len(size):
-            return emit
-        grid, step, chain = padded(emit, start, size)
-        post, _, _ = forward_backward(grid, size, self.trans)
-        out = np.empty_like(emit)
-        out[np.repeat(start, size) + step] = post[step, chain]
-        return out
+        most = max(1, CELLS // max(1, len(self.labels) * CHAIN))
+        for a in range(0, len(size), most):
+            begin, n = start[a:a + most], size[a:a + most]
+            word = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            grid, step, chain = padded(scores[v.word[word]], np.cumsum(n) - n, n)
+            post, _, _ = forward_backward(grid, n, self.trans)
+            yield word, post[step, chain]
 
-    def scores_of(self, v: Vocabulary) -> np.ndarray:
-        return v.scores(self.weights)[v.word]
+
+def table_bits(n_labels: int) -> int:
+    """So many that the weights of all labels stay bounded."""
+    return max(8, TABLE_BITS - max(0, -(-n_labels // MANY_LABELS) - 1).bit_length())
 
 
 def train(passages: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.3, decay: float = 1e-4, seed: int = SEED) -> Model | None:
@@ -182,9 +199,13 @@ def train(passages: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.3
     passages = sorted(passages)
     rng = np.random.Generator(np.random.PCG64(seed))
     v = Vocabulary(pa.array([t for _, t in passages], pa.string()), Rolling(SEED))
-    gold_of = np.array([labels.index(label) for label, _ in passages])
+    number = {label: k for k, label in enumerate(labels)}
+    gold_of = np.array([number[label] for label, _ in passages])
     n_labels = len(labels)
-    weights = np.zeros((1 << TABLE_BITS, n_labels), np.float32)
+    bits = table_bits(n_labels)
+    v.feature = v.feature >> (TABLE_BITS - bits)
+    at_once = max(1, 64 * MANY_LABELS // max(MANY_LABELS, n_labels))
+    weights = np.zeros((1 << bits, n_labels), np.float32)
     trans = np.zeros((n_labels, n_labels))
     seen, seen_trans = np.full(weights.shape, 1e-3, np.float32), np.full(trans.shape, 1e-3)
     begin = np.cumsum(v.count) - v.count
@@ -207,8 +228,8 @@ def train(passages: list[tuple[str, str]], *, epochs: int = 4, rate: float = 0.3
             if len(w):
                 made.append(w)
                 gold.append(g)
-        for a in range(0, len(made), 64):
-            part = sorted(range(a, min(a + 64, len(made))), key=lambda x: -len(made[x]))
+        for a in range(0, len(made), at_once):
+            part = sorted(range(a, min(a + at_once, len(made))), key=lambda x: -len(made[x]))
             size = np.array([len(made[x]) for x in part])
             word, y = np.concatenate([made[x] for x in part]), np.concatenate([gold[x] for x in part])
             kinds, where = np.unique(word, return_inverse=True)
@@ -245,30 +266,38 @@ def remainder(id_column, modulus: int):
     return F.crc32(id_column.cast("string").cast("binary")) % modulus
 
 
-def passages_of(docs: DataFrame, learn, *, per_label: int, max_labels: int, id_col: str, text_col: str, label_col: str):
+def passages_of(docs: DataFrame, learn, *, per_label: int, id_col: str, text_col: str, label_col: str):
     """The training sample: (label, a passage of consecutive words)."""
     src = docs.where(learn).select(F.col(quoted(label_col)).cast("string").alias("label"),
                                    F.col(quoted(text_col)).cast("string").alias("text"),
-                                   F.xxhash64(F.col(quoted(id_col)), F.lit(SEED)).alias("h"))
+                                   F.col(quoted(id_col)).alias("id"))
     src = src.where("label is not null and text is not null")
-    counts = src.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
+    src = src.select("label", "text", F.shiftrightunsigned(F.xxhash64("id", "text", F.lit(SEED)), 1).alias("h"))
+    counts = src.groupBy("label").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect()
     if not counts:
         return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(int(1_000_000 * min(1.0, per_label / r["count"]))))])
+    per_label = min(per_label, max(LEAST_PER_LABEL, per_label * MANY_LABELS // len(counts)))
+    # a label's row of the least hash is always in
+    limits = docs.sparkSession.createDataFrame(
+        [(r["label"], max(r["least"], threshold(per_label, r["n"]))) for r in counts], "label string, most long")
     word = F.split("text", r"[ \t\n\r\f\x0B]+")
-    picked = src.where(F.pmod("h", F.lit(1_000_000)) < share[F.col("label")])
+    picked = src.join(F.broadcast(limits), "label").where("h <= most")
     at = F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.size("w") - PASSAGE + 1)).cast("int") + 1
     picked = picked.select("label", "h", word.alias("w")).select(
         "label", "h", F.substring(F.concat_ws(" ", F.slice("w", at, F.lit(PASSAGE))), 1, PASSAGE_CHARS).alias("text"))
-    most = 2 * per_label * len(counts)
-    return [(r["label"], r["text"]) for r in picked.orderBy("h", "label", "text").limit(most).collect()]
+    # equal rows have one hash and count once, so each label has about per_label at most
+    return [(r["label"], r["text"]) for r in picked.distinct().collect()]
+
+
+def threshold(per_label: int, n: int) -> int:
+    """Hashes of 63 bits up to this one are per_label of n, about."""
+    return (1 << 63) * min(per_label, n) // n - 1
 
 
-def fit(docs: DataFrame, learn, *, per_label: int = PER_LABEL, max_labels: int = MAX_LABELS,
+def fit(docs: DataFrame, learn, *, per_label: int = PER_LABEL,
         id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model | None:
     """learn: boolean column; only its rows are learned from."""
-    return train(passages_of(docs, learn, per_label=per_label, max_labels=max_labels, id_col=id_col,
-                             text_col=text_col, label_col=label_col))
+    return train(passages_of(docs, learn, per_label=per_label, id_col=id_col, text_col=text_col, label_col=label_col))
 
 
 def predict(docs: DataFrame, model: Model | None, *, runs: bool = False, id_col: str = "doc_id", text_col: str = "text",
@@ -286,10 +315,13 @@ def predict(docs: DataFrame, model: Model | None, *, runs: bool = False, id_col:
             if model is None:
                 return [pa.array([UND] * n), pa.array(np.zeros(n))] + ([pa.array([[]] * n, run_type)] if runs else [])
             v = Vocabulary(column, rolling)
-            post = model.posteriors(v)
-            total = np.zeros((len(post) + 1, post.shape[1]))
-            np.cumsum(post * v.bytes[v.word][:, None], axis=0, out=total[1:])
-            mass = total[v.row[1:]] - total[v.row[:-1]]
+            mass = np.zeros((n, len(model.labels)))
+            label = np.zeros(len(v.word), np.int32)
+            row_of = np.repeat(np.arange(n), np.diff(v.row))
+            for word, post in model.posteriors(v):
+                edge = np.flatnonzero(np.diff(row_of[word], prepend=-1))
+                np.add.at(mass, row_of[word[edge]], np.add.reduceat(post * v.bytes[v.word[word]][:, None], edge, axis=0, dtype=np.float64))
+                label[word] = post.argmax(1)
             best = mass.argmax(1)
             share = mass[np.arange(n), best] / np.maximum(mass.sum(1), 1e-12)
             some = pc.match_substring_regex(column, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
@@ -297,7 +329,6 @@ def predict(docs: DataFrame, model: Model | None, *, runs: bool = False, id_col:
             out = [pa.array(np.where(some, np.array(model.labels, object)[best], UND), pa.string()),
                    pa.array(np.where(some, np.clip(share, 0, 1), 0.0))]
             if runs:
-                label = post.argmax(1)
                 found = []
                 for a, b in zip(v.row[:-1].tolist(), v.row[1:].tolist()):
                     cut = [0, *(np.flatnonzero(np.diff(label[a:b])) + 1).tolist(), b - a]
@@ -310,7 +341,8 @@ def predict(docs: DataFrame, model: Model | None, *, runs: bool = False, id_col:
     fields = [("lang_pred", "string"), ("score", "double")]
     if runs:
         fields.append(("runs", "array<struct<lang:string,first:bigint,words:bigint>>"))
-    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, carry=carry, most=1 << 20)
+    return map_texts(docs, make, fields, id_col=id_col, text_col=text_col, carry=carry,
+                     most=(1 << 20) * MANY_LABELS // max(MANY_LABELS, len(model.labels) if model else 0) or 1)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -105,6 +105,42 @@ def test_op3_code_switched_words(spark, small):
     assert max(runs, key=lambda r: r["words"])["lang"] == "de"
 
 
+def test_op3_every_label_is_learned(spark, monkeypatch):
+    """More labels than the hundred, rare ones too; a share is never 0."""
+    docs = spark.createDataFrame([(1000 * k + i, f"lang{k}", f"{chr(0x4e00 + 40 * k)}{chr(0x4e01 + 40 * k)} zz{chr(97 + k % 26)}{i}")
+                                  for k in range(130) for i in range(9 if k else 300)], "doc_id long, lang string, text string")
+    options = dict(id_col="doc_id", text_col="text", label_col="lang")
+    picked = Counter(x for x, _ in langid_crf.passages_of(docs, docs["doc_id"] >= 0, per_label=500, **options))
+    assert len(picked) == 130 and max(picked.values()) == 300
+    picked = Counter(x for x, _ in langid_crf.passages_of(docs, docs["doc_id"] >= 0, per_label=25, **options))
+    assert len(picked) == 130 and picked["lang129"] == 9 and 5 <= picked["lang0"] <= 50
+    model = langid_crf.fit(docs, docs["doc_id"] >= 0)
+    assert len(model.labels) == 130 and model.weights.shape == (1 << 17, 130)
+    got = langid_crf.predict(docs, model).join(docs, "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
+    assert 0 < langid_crf.threshold(500, 10**15) < langid_crf.threshold(500, 10**12)
+    assert langid_crf.threshold(500, 10) == langid_crf.threshold(500, 500) == (1 << 63) - 1
+    monkeypatch.setattr(langid_crf, "threshold", lambda per_label, n: -1)
+    assert len(langid_crf.passages_of(docs, docs["doc_id"] >= 0, per_label=500, **options)) == 130
+    copies = spark.range(3000).selectExpr("1L doc_id", "'xx' lang", "'one text' text")
+    assert langid_crf.passages_of(copies, copies["doc_id"] >= 0, per_label=500, **options) == [("xx", "one text")]
+
+
+def test_op3_groups_of_chains(small_rows, monkeypatch):
+    model = langid_crf.train([(k, t[:2000]) for k, t in zip("abc" * 5, (t for _, t in small_rows if len(t or "") > 500))])
+    v = langid_crf.Vocabulary(pa.array([t for _, t in small_rows[:6]], pa.string()), langid_crf.Rolling(langid_crf.SEED))
+
+    def whole():
+        out = np.zeros((len(v.word), 3))
+        for word, post in model.posteriors(v):
+            out[word] = post
+        return out
+
+    one = whole()
+    monkeypatch.setattr(langid_crf, "CELLS", 1000)
+    assert len(list(model.posteriors(v))) > 1 and np.allclose(one, whole(), atol=1e-5) and np.allclose(one.sum(1), 1, atol=1e-4)
+
+
 # op4
 
 def test_op4(spark, edge_docs, no_docs):
