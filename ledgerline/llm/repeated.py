@@ -11,6 +11,8 @@ hashes, and an answer is a bit.
 
 Skew: a hash reaches its bucket at most once per chunk, with a count, however
 often it occurs, so one key of a third of all rows costs no more than others.
+Rows that are equal in id and text and make up a good part of a chunk are
+counted before the dealing: a row stands for up to ``COPIES`` of them.
 """
 
 from __future__ import annotations
@@ -27,19 +29,54 @@ from .rowwise import quoted
 from .textarrays import U64
 
 CHUNK_BYTES = 2 << 20
+#: Equal rows that one row of a chunk stands for, at most.
+COPIES = 1000
 #: Hashes of a bucket, about.
 BUCKET_HASHES = 1_000_000
 MESSAGE = "chunk bigint, kind int, bucket bigint, payload binary"
 MESSAGE_COLUMNS = ["chunk", "kind", "bucket", "payload"]
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """((chunk, id, text), total bytes of text). Equal rows share a chunk, so the
-    dealing doesn't depend on the order in which rows arrive."""
+def chunked(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, bool]:
+    """((chunk, id, text, n), total bytes of text, whether some n is over 1): a
+    row stands for n equal ones. Equal rows of no more than half a chunk of text
+    share one, so the dealing doesn't depend on the order in which rows arrive;
+    of more, they are counted, combined by the map tasks, and the counts are
+    dealt in parts."""
     src = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    key = F.xxhash64("id", "text")
+    rows = F.count("*").alias("rows")
+    # a null or empty text has a row's bytes still
+    keys = src.groupBy(key.alias("key")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).alias("size"), rows)
+    heavy = (F.col("rows") > 1) & (F.col("size") > chunk_bytes // 2)
+    found = keys.agg(F.sum(F.col("size") - 16 * F.col("rows")).alias("total"), F.count_if(heavy).alias("heavy")).first()
+    total = found["total"] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    return src.select(F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).alias("chunk"), "id", "text"), total
+
+    def dealt(rows, *by):
+        return rows.select(F.pmod(F.xxhash64("id", "text", *by), F.lit(chunks)).alias("chunk"), "id", "text", "n")
+
+    if not found["heavy"]:
+        return dealt(src.withColumn("n", F.lit(1).cast("long"))), total, False
+    few = F.broadcast(keys.where(heavy).select("key"))  # about two a chunk at most
+    src = src.withColumn("key", key)
+    light = src.join(few, "key", "left_anti").withColumn("n", F.lit(1).cast("long"))
+    counted = src.join(few, "key", "left_semi").groupBy("id", "text").agg(rows)
+    parts = counted.select("id", "text", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(COPIES).cast("long"))).alias("part"))
+    parts = parts.withColumn("n", F.least(F.lit(COPIES).cast("long"), F.col("rows") - F.col("part")))
+    return dealt(light).unionAll(dealt(parts, "part")), total, True
+
+
+def repeats_of(table: pa.Table) -> np.ndarray:
+    """How many equal rows each row of a chunk stands for."""
+    return table.column("n").to_numpy()
+
+
+def expanded(rows: DataFrame, copied: bool) -> DataFrame:
+    """Each row as often as its column n says, without that column."""
+    if copied:
+        rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    return rows.drop("n")
 
 
 def planes(v: np.ndarray) -> bytes:
@@ -112,12 +149,14 @@ def order_of(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray,
 
 
 class Distinct:
-    """Distinct pairs (first, second) of a chunk, sorted, with counts."""
+    """Distinct pairs (first, second) of a chunk, sorted, with counts; ``times``
+    says how often each one given occurs, else once."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray | None = None):
+    def __init__(self, first: np.ndarray, second: np.ndarray | None = None, times: np.ndarray | None = None):
         self.order, new = order_of(first, second)
         self.begin = np.flatnonzero(new)
         self.count = np.diff(np.append(self.begin, len(first)))
+        self.total = self.count if times is None or not len(first) else np.add.reduceat(times[self.order], self.begin)
         at = self.order[self.begin]
         self.first, self.second = first[at], None if second is None else second[at]
 
@@ -136,7 +175,7 @@ class Distinct:
                 yield int(b[x]), slice(x, y)
 
     def messages(self, chunk: int, kind: int, n_buckets: int, flag: np.ndarray | None = None) -> list[tuple]:
-        return [(chunk, kind, b, pack(self.first[s], self.count[s], None if self.second is None else self.second[s],
+        return [(chunk, kind, b, pack(self.first[s], self.total[s], None if self.second is None else self.second[s],
                                       None if flag is None else flag[s])) for b, s in self.buckets(n_buckets)]
 
     def read(self, answers: dict[int, bytes], n_buckets: int) -> np.ndarray:

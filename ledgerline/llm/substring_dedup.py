@@ -48,6 +48,12 @@ class Texts:
         self.w = words(self.data, self.off)
         self.word, self.one, self.two = (Rolling(s) for s in SEEDS)
         self.values = self.word.of_words(self.data, self.w)
+        n = R.repeats_of(table)
+        self.times = np.repeat(n, self.w.count) if (n > 1).any() else None
+
+    def times_at(self, at: np.ndarray) -> np.ndarray | None:
+        """How many equal rows the rows of some words stand for."""
+        return None if self.times is None else self.times[at]
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of rolling block-sized windows. The low bits are
@@ -74,12 +80,12 @@ class Texts:
     def long_windows(self, at: np.ndarray) -> R.Distinct:
         one = self.one.windows(self.values, self.window)[at]
         two = (self.two.windows(self.values, self.window)[at] >> U64(32)).astype(np.uint32)
-        return R.Distinct(one, two)
+        return R.Distinct(one, two, self.times_at(at))
 
 
 def index_and_probe(t: Texts, chunk: int, n_buckets: int) -> list[tuple]:
     at, h = t.probes()
-    d = R.Distinct(h)
+    d = R.Distinct(h, times=t.times_at(at))
     blocks = np.unique(h[t.is_block(at)])
     flag = np.zeros(len(d.first), bool)
     flag[np.searchsorted(d.first, blocks)] = True
@@ -99,7 +105,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
     """One row per document: n_words, n_removed, kept (the remaining words,
     joined by one space) and spans (removed runs of words, [start, end))."""
     block = (window + 1) // 2
-    rows, total = R.chunked(docs, id_col, text_col, chunk_bytes)
+    rows, total, copied = R.chunked(docs, id_col, text_col, chunk_bytes)
     bits = min(64, max(32, total.bit_length() + 12))  # of a probe: few false hits among total / 5 words
     n_probe = max(1, total // 5 // R.BUCKET_HASHES)
 
@@ -114,7 +120,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
 
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType)])
     schema = T.StructType(schema.fields + T.DataType.fromDDL(
-        "n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>").fields)
+        "n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>, n bigint").fields)
 
     def remove(table, got):
         t = texts(table)
@@ -141,9 +147,10 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text
         return pa.table([
             table.column("id"), pa.array(w.count), pa.array(per_row(gone, w.row)),
             pa.array([raw[a:max(a, b - 1)] for a, b in zip(of[:-1], of[1:])], pa.binary()).cast(pa.string()),
-            pa.ListArray.from_arrays(pa.array(at), spans)], [id_col, "n_words", "n_removed", "kept", "spans"])
+            pa.ListArray.from_arrays(pa.array(at), spans), table.column("n")],
+            [id_col, "n_words", "n_removed", "kept", "spans", "n"])
 
-    return rows.groupBy("chunk").cogroup(anchors.unionAll(repeats).groupBy("chunk")).applyInArrow(remove, schema)
+    return R.expanded(rows.groupBy("chunk").cogroup(anchors.unionAll(repeats).groupBy("chunk")).applyInArrow(remove, schema), copied)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

@@ -231,7 +231,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED_BYTES, many
           id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = R.CHUNK_BYTES) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans, kept (binary) and
     spans (removed runs of bytes, [start, end))."""
-    rows, total = R.chunked(docs, id_col, text_col, chunk_bytes)
+    rows, total, copied = R.chunked(docs, id_col, text_col, chunk_bytes)
     rows = rows.withColumn("id", F.col("id").cast("long"))
     bits = min(64, max(32, total.bit_length() + 12))
     n_hash, n_piece = max(1, total // 16_000_000), max(1, total // 2_000_000)
@@ -256,7 +256,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED_BYTES, many
     shared = R.answered(R.sent(rows, minimizers), 1, many)
     repeats = R.sent_after(rows, shared, send_pieces).groupBy("bucket").applyInArrow(join, R.MESSAGE)
     schema = T.StructType([T.StructField(id_col, T.LongType())] + T.DataType.fromDDL(
-        "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>").fields)
+        "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:bigint,end:bigint>>, n bigint").fields)
 
     def remove(table, got):
         if len(got):
@@ -296,10 +296,10 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, seed: int = SEED_BYTES, many
         return pa.table([
             table.column("id").take(pa.array(p.order)), pa.array(np.diff(off)), pa.array(per_row(gone, off)),
             pa.array(np.diff(at)), pa.array([raw[a:b] for a, b in zip(of[:-1], of[1:])], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans)],
-            [id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), spans), table.column("n").take(pa.array(p.order))],
+            [id_col, "n_bytes", "n_removed", "n_spans", "kept", "spans", "n"])
 
-    return rows.groupBy("chunk").cogroup(shared.unionAll(repeats).groupBy("chunk")).applyInArrow(remove, schema)
+    return R.expanded(rows.groupBy("chunk").cogroup(shared.unionAll(repeats).groupBy("chunk")).applyInArrow(remove, schema), copied)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

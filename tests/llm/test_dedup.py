@@ -51,6 +51,22 @@ def test_op1_short_window_and_spans(spark):
     assert [tuple(s) for s in got[2]["spans"]] == [(1, 4)]
 
 
+@pytest.mark.parametrize("module,brute,size", [(substring_dedup, brute_words, 35), (suffix_dedup, lambda *x: brute_bytes(*x), 100)])
+def test_equal_rows_by_the_third(spark, edge_rows, module, brute, size, monkeypatch):
+    """Rows equal in id (or of null id) and text fill no chunk, whatever their
+    number; each still counts and comes out."""
+    monkeypatch.setattr(repeated, "COPIES", 40)
+    alone = " ".join(f"only{k}" for k in range(60))
+    rows = [r[:2] for r in edge_rows] + [(777, alone)] * 130 + [(None, alone + " x")] * 90 + [(8, "short")] * 2500 + [(9, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt, total, copied = repeated.chunked(docs, "doc_id", "text", 20_000)
+    dealt = dealt.collect()
+    assert copied and total == sum(len((t or "").encode()) for _, t in rows) and max(r["n"] for r in dealt) == 40
+    assert sum(r["n"] for r in dealt) == len(rows) and sum(r["n"] for r in dealt if r["id"] == 777) == 130
+    assert Counter(r["id"] for r in dealt)[777] == 4
+    same(module.report(docs, chunk_bytes=20_000), brute(rows, size))
+
+
 def brute_bytes(rows, size):
     raw = [(-10**18 if i is None else i, i, (t or "").encode()) for i, t in rows]
     first = {}
