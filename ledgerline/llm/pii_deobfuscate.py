@@ -7,8 +7,9 @@ stands for. So a span of the normalised text maps back to source characters.
 
 Transducers, in order: homoglyphs (compatibility forms, digits of other
 scripts, Cyrillic and Greek look-alikes; invisible characters vanish), spelled
-digits (runs of digit words become digits, ``plus`` before one a sign), and
-at/dot disguises (bracketed, spelled, or spaced).
+digits (long runs of digit words, and shorter ones beside figures, a sign or a
+dot, become digits, ``plus`` before one a sign), and at/dot disguises
+(bracketed, spelled, or spaced).
 
 Row-wise: no shuffle; a text's work is linear in its length. Texts without any
 trigger of a transducer skip the chain.
@@ -46,11 +47,19 @@ DIGIT_WORDS = {w: str(d) for words in (
     "zero one two three four five six seven eight nine", "zéro un deux trois quatre cinq six sept huit neuf",
     "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve",
     ) for d, w in enumerate(words.split())}
-#: Shortest run of spelled digits that counts.
+#: Shortest run of spelled digits that counts by itself.
 RUN = 7
-_WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + "|[0-9])"
+_DIGIT = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
+_WORD = f"(?:{_DIGIT}|[0-9])"
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]+)?{_WORD}(?:[ ,.\n-]{{1,3}}{_WORD}){{{RUN - 1},}}(?!\w)", re.I)
 SPELLED_TOKEN = re.compile(rf"plus|{_WORD}", re.I)
+#: A run of any length, and what must be beside it if it is short.
+PART = re.compile(rf"(?<!\w)(?P<plus>plus[ ,-]+)?{_DIGIT}(?:[ ,.()\t\n-]{{1,3}}{_DIGIT})*(?!\w)", re.I)
+PART_TOKEN = re.compile(rf"{_DIGIT}|(?<=\w)\.(?=\w)", re.I)
+BEFORE = re.compile(r"(?:[0-9][ ,.()\t\n-]{1,3}|\+[ (]?|\ue001|[ \t]dot[ \t])\Z", re.I)
+AFTER = re.compile(r"[ ,.()\t\n-]{1,3}[0-9]|\ue001|[ \t]dot[ \t]", re.I)
+SIGNED = re.compile(r"\+[0-9][\x20().0-9-]*\Z")
+DOTTED = re.compile(rf"{_DIGIT}(?:[ -]?{_DIGIT}){{0,2}}(?:\.{_DIGIT}(?:[ -]?{_DIGIT}){{0,2}}){{3}}", re.I)
 AT_MARK, DOT_MARK = "\ue000", "\ue001"
 BRACKET_AT = re.compile(r"[ \t]?[\[({<][ \t]?(?:at|@|arroba)[ \t]?[\])}>][ \t]?", re.I)
 BRACKET_DOT = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|\.|punkt|point|punto)[ \t]?[\])}>][ \t]?", re.I)
@@ -140,13 +149,25 @@ def letter(c: str) -> str:
     return plain_form if plain_form.isascii() else c
 
 
+def part(m: re.Match) -> str | None:
+    """The digits of a run beside figures, a sign or a dot; dots within it stay."""
+    a, b = m.span()
+    if not (m["plus"] or DOTTED.fullmatch(m[0]) or BEFORE.search(m.string[max(0, a - 8):a]) or AFTER.match(m.string, b)):
+        return None
+    rest = m[0][len(m["plus"] or ""):]
+    return "+" * bool(m["plus"]) + "".join(DIGIT_WORDS.get(w.lower(), w) for w in PART_TOKEN.findall(rest))
+
+
 def spelled(m: re.Match) -> str | None:
+    if DOTTED.fullmatch(m[0]):
+        return None  # an address, written by part()
     words = [w.lower() for w in SPELLED_TOKEN.findall(m[0])]
     if sum(len(w) > 1 for w in words) * 2 < len(words):
         return None  # mostly figures: a table, not a spelled number
     digits = "".join("" if w == "plus" else DIGIT_WORDS.get(w, w) for w in words)
     # a spelled number of a telephone's length counts as one without a sign too
-    sign = words[0] == "plus" or 10 <= len(digits) <= 15 and not (len(digits) >= 14 and luhn(digits))
+    sign = words[0] == "plus" or (10 <= len(digits) <= 15 and not (len(digits) >= 14 and luhn(digits))
+                                  and not SIGNED.search(m.string[max(0, m.start() - 20):m.start()]))
     return "+" * sign + digits
 
 
@@ -165,7 +186,8 @@ def normalised(text: str) -> Tape | None:
     strange = bool(SUSPECT.search(text))
     hidden = "dot" in low or any(c in text for c in "[({<@") and bool(BRACKET_AT.search(text) or BRACKET_DOT.search(text) or " @ " in text)
     numbers = bool(SPELLED.search(text))
-    if not (strange or hidden or numbers):
+    parts = strange or any(part(m) for m in PART.finditer(low))
+    if not (strange or hidden or numbers or parts):
         return None
     tape = Tape(text)
     if strange:
@@ -175,6 +197,9 @@ def normalised(text: str) -> Tape | None:
     if hidden or strange:
         tape.rewrite(BRACKET_AT, lambda m: AT_MARK)
         tape.rewrite(BRACKET_DOT, lambda m: DOT_MARK)
+    if hidden or parts:
+        tape.rewrite(PART, part)
+    if hidden or strange:
         tape.rewrite(NUMBER_DOTS, lambda m: ".")
         tape.rewrite(DISGUISED, address)
     return tape if tape.text != text else None

@@ -214,6 +214,26 @@ def test_op6_disguises(text, expected):
     assert set(base) <= set(spans)
 
 
+@pytest.mark.parametrize("text,expected", [
+    ("call +44 20 seven nine four six 0958 now", [("phone", "+44 20 seven nine four six 0958")]),
+    ("call +1 555 eight six seven 5309.", [("phone", "+1 555 eight six seven 5309")]),
+    ("call +44 (two zero) seven nine four six 0958 now", [("phone", "+44 (two zero) seven nine four six 0958")]),
+    ("call +44 two zero seven nine four six zero nine five eight now", [("phone", "+44 two zero seven nine four six zero nine five eight")]),
+    ("call plus four four 20 7946 0958 now", [("phone", "plus four four 20 7946 0958")]),
+    ("+4 4 2 0 7 9 4 six 0 9 5 8", [("phone", "+4 4 2 0 7 9 4 six 0 9 5 8")]),
+    ("card 4111 1111 1111 one one one one ok", [("card", "4111 1111 1111 one one one one")]),
+    ("host one nine two dot one six eight dot zero dot one up", [("ip", "one nine two dot one six eight dot zero dot one")]),
+    ("host one nine two [dot] one six eight (dot) zero [.] one up", [("ip", "one nine two [dot] one six eight (dot) zero [.] one")]),
+    ("host 192.168.zero.one up", [("ip", "192.168.zero.one")]),
+    ("host One Nine Two.one six eight.zero.one up", [("ip", "One Nine Two.one six eight.zero.one")]),
+    ("10 dot zero dot 0 dot eins", [("ip", "10 dot zero dot 0 dot eins")]),
+    ("in 2 of three or 4 one dot is seven", []), ("One. Two. Three. Four.", []), ("version 3 one, plus one 12", []),
+])
+def test_op6_part_spelled(text, expected):
+    base, spans = pii_deobfuscate.find(text)
+    assert [(k, text[s:e]) for k, s, e in spans] == expected and not base
+
+
 def test_op6_frames(edge_docs, edge_rows, no_docs, small, small_rows):
     def joined(spans):
         return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
