@@ -7,7 +7,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat_format, decontaminate, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, substring_dedup, suffix_dedup, toxicity_mil
+from . import (byte_bpe, chat_format, decontaminate, exact_dedup, langid_crf, pii_deobfuscate, quality_bands, simhash_dedup, spelling,
+               substring_dedup, suffix_dedup, toxicity_mil, whitening)
 
 #: Words of the contracts' first pattern, and lower-casing of A-Z alone.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -75,6 +76,47 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_hit, coale
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
+FROM d JOIN g USING (t)
+"""
+
+#: CRC-32 by the table of its reflected polynomial, over the bytes of a text.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY i) AS t
+  FROM range(256) AS r(i)),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+seen AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+           lambda j: 16 * (instr('0123456789ABCDEF', substr(x, 2 * j + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(x, 2 * j + 2, 1)) - 1)),
+           lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS h
+  FROM seen, crc),
+words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS c FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.i = b.i AND a.word <> b.word
+  UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON cut.c = v.word
+  UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON cut.c = v.word),
+best AS (SELECT word, count(*) AS n_near, max(n) AS m FROM near GROUP BY word),
+form AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN m END AS form_n,
+         CASE WHEN m >= 10 * v.n THEN (SELECT min(near) FROM near WHERE near.word = v.word AND near.n = m) END AS form
+  FROM v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS root FROM form
+  UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.root = form.word WHERE form.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM form f JOIN (SELECT walk.word, walk.root FROM walk JOIN form ON walk.root = form.word WHERE form.form IS NULL) w ON f.word = w.word
+"""
+
 QUERIES = {}
 ORACLES = {}
 
@@ -141,3 +183,18 @@ def op9(spark, sf_dir):
 @query("op10_suffix_automaton_decontamination", OP10_SQL)
 def op10(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_composable_fingerprints", OP11_SQL)
+def op11(spark, sf_dir):
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_exact_polynomial_whitening")
+def op12(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_asymmetric_q_chunks", OP13_SQL)
+def op13(spark, sf_dir):
+    return spelling.report(table(spark, sf_dir, "documents"))
