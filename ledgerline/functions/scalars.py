@@ -47,20 +47,33 @@ def clean_sku(c: ColumnOrName) -> Column:
 QTY_NULL_TOKENS = ("NULL", "NAN")
 
 
+# A decimal number as text, with or without an exponent.
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Such a number that is 0, or that its exponent rounds to 0, although no decimal is made of it.
+_NOUGHT = r"^[+-]?([0.]+[eE].*|.*[eE]-0*[1-9][0-9]{9,})$"
+
+
 def parse_qty(c: ColumnOrName) -> Column:
-    """Lenient quantity to integer.
+    """Lenient quantity to a whole number, decimal(38,0).
 
     null / blank / NULL / NAN -> 0; ``(x)`` negates; thousands commas dropped;
-    decimal rounded half away from zero; anything unparsable -> 0."""
+    decimal rounded half away from zero; anything unparsable -> 0. A number of
+    more than 38 digits is null: no value changes silently."""
     s = strip_ws(_c(c).cast("string"))
     neg = s.startswith("(") & s.endswith(")")
     inner = F.when(neg, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
     core = strip_ws(F.regexp_replace(inner, ",", ""))
-    whole = F.round(core.try_cast("decimal(38,10)"), 0).try_cast("bigint")
+    whole = core.try_cast("decimal(38,0)")  # rounds half away from zero
     signed = F.when(neg, -whole).otherwise(whole)
     is_token = s.isNull() | (s == "") | F.upper(s).isin(*QTY_NULL_TOKENS)
-    zero = F.lit(0).cast("bigint")
-    return F.when(is_token, zero).otherwise(F.coalesce(signed, zero))
+    zero = F.lit(0).cast("decimal(38,0)")
+    return (F.when(is_token, zero).when(whole.isNotNull(), signed)
+            .when(core.rlike(_NUMBER) & ~core.rlike(_NOUGHT), F.lit(None)).otherwise(zero))
+
+
+def parse_qty_long(c: ColumnOrName) -> Column:
+    """C2 as bigint; null only for a quantity that no bigint holds."""
+    return parse_qty(c).try_cast("bigint")
 
 
 def to_double(c: ColumnOrName) -> Column:

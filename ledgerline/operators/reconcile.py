@@ -17,6 +17,7 @@ from ledgerline.functions.scalars import (
     clean_sku,
     normalise_key,
     parse_qty,
+    parse_qty_long,
     strip_ws,
     to_double,
 )
@@ -28,20 +29,32 @@ ONLY_IN_HNAU = "ONLY_IN_HNAU"
 ONLY_IN_VS = "ONLY_IN_VS"
 
 
+def _feed_rows(feed: DataFrame, sku_col: str, qty: Column, attr_col: str, attr_name: str) -> DataFrame:
+    rows = feed.select(clean_sku(sku_col).alias("sku"), qty.alias("qty"), strip_ws(F.col(attr_col).cast("string")).alias(attr_name))
+    return rows.where(F.col("sku").isNotNull())
+
+
 def normalise_feed(feed: DataFrame, sku_col: str, qty_col: str, attr_col: str,
                    attr_name: str) -> DataFrame:
     """clean SKU, parse quantity, strip the attribute column, drop null
-    SKUs, then one row per SKU with ``sum(qty)`` and ``min(attr)``."""
-    return (
-        feed.select(
-            clean_sku(sku_col).alias("sku"),
-            parse_qty(qty_col).alias("qty"),
-            strip_ws(F.col(attr_col).cast("string")).alias(attr_name),
-        )
-        .where(F.col("sku").isNotNull())
-        .groupBy("sku")
-        .agg(F.sum("qty").alias("qty"), F.min(attr_name).alias(attr_name))
-    )
+    SKUs, then one row per SKU with ``sum(qty)`` and ``min(attr)``. A SKU of
+    which a quantity or the sum is beyond a bigint is not here but in
+    ``rejected_quantities``."""
+    rows = _feed_rows(feed, sku_col, parse_qty_long(qty_col), attr_col, attr_name)
+    totals = rows.groupBy("sku").agg(F.try_sum("qty").alias("qty"), F.min(attr_name).alias(attr_name),
+                                     F.count_if(F.col("qty").isNull()).alias("_beyond"))
+    return totals.where((F.col("_beyond") == 0) & F.col("qty").isNotNull()).drop("_beyond")
+
+
+def rejected_quantities(feed: DataFrame, sku_col: str, qty_col: str, attr_col: str, attr_name: str) -> DataFrame:
+    """(sku, qty, n_rows, attr) of the SKUs that ``normalise_feed`` leaves
+    out: the exact sum as decimal(38,0), null beyond 38 digits."""
+    rows = _feed_rows(feed, sku_col, parse_qty(qty_col), attr_col, attr_name)
+    totals = rows.groupBy("sku").agg(
+        F.when(F.count_if(F.col("qty").isNull()) == 0, F.try_sum("qty")).cast("decimal(38,0)").alias("qty"),
+        F.count("*").alias("n_rows"), F.min(attr_name).alias(attr_name),
+        F.count_if(F.col("qty").try_cast("bigint").isNull()).alias("_beyond"))
+    return totals.where((F.col("_beyond") > 0) | F.col("qty").try_cast("bigint").isNull()).drop("_beyond")
 
 
 def normalise_hnau(feed: DataFrame) -> DataFrame:

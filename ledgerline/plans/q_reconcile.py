@@ -51,6 +51,37 @@ register("f0_normalise_hnau", "F0", with_fixtures(
     "SELECT sku, qty, supplier_id FROM h_norm", "feed_h", extra=duck.hnau_ctes()))(hnau_norm)
 register("f0_normalise_vs", "F0", with_fixtures(
     "SELECT sku, qty, account FROM v_norm", "feed_v", extra=duck.vs_ctes()))(vs_norm)
+
+
+# ---- F0 with quantities beyond a bigint: every 40th row, and SKUs whose sum is too large
+
+_BIG_QTY = """SELECT account, supplier_sku, CASE WHEN row_id % 40 = 3 THEN concat('9', cast(row_id AS {t}), '0000000000000000000')
+  WHEN supplier_sku LIKE '%77' THEN '9000000000000000000' WHEN row_id % 40 = 5 THEN concat('(', cast(row_id AS {t}), '00000000000000000000)')
+  ELSE free_stock END AS free_stock FROM {v}"""
+_BIG_EXACT = ("CASE WHEN {s} LIKE '(%' THEN -CAST(TRY_CAST(trim({s}, '()') AS DECIMAL(38,0)) AS DECIMAL(38,0)) "
+              "ELSE coalesce(TRY_CAST({s} AS DECIMAL(38,0)), 0) END").format(s="free_stock")
+_BIG_CTES = {"big": _BIG_QTY.format(t="VARCHAR", v="feed_v"), "big_sku": (
+    f"SELECT {duck.clean_sku('supplier_sku')} AS sku, sum({_BIG_EXACT}) AS qty, count(*) AS n_rows, "
+    f"max(abs({_BIG_EXACT})) AS most, min({duck.strip('account')}) AS account FROM big GROUP BY 1")}
+_FITS = "most < 9223372036854775808 AND abs(qty) < 9223372036854775808"
+
+
+def _big_feed(spark, sf):
+    return spark.sql(_BIG_QTY.format(t="string", v="{v}"), v=fixture(spark, sf, "feed_v"))
+
+
+@register("f0_large_quantities", "F0/C2", with_fixtures(
+    f"SELECT sku, CAST(qty AS BIGINT) AS qty, account FROM big_sku WHERE {_FITS}", "feed_v", extra=_BIG_CTES))
+def f0_large(spark, sf):
+    return R.normalise_vs(_big_feed(spark, sf))
+
+
+@register("f0_rejected_quantities", "F0/C2", with_fixtures(
+    f"SELECT sku, CAST(qty AS DECIMAL(38,0)) AS qty, n_rows, account FROM big_sku WHERE NOT ({_FITS})", "feed_v", extra=_BIG_CTES))
+def f0_rejected(spark, sf):
+    return R.rejected_quantities(_big_feed(spark, sf), "supplier_sku", "free_stock", "account", "account")
+
+
 register("f1_reconcile", "F1", _joined_sql("SELECT * FROM joined"))(reconciled)
 
 

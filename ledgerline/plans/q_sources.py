@@ -31,22 +31,35 @@ def _q(c):
                     F.lit('"'))
 
 
-#: Files of a written line table.
-LINE_FILES = 4
-
-
-def _write_lines(df, header: str, path: str):
-    """Write a ``line`` column as text files that each begin with the header
-    line, as exports in several files do; returns the glob to read."""
-    part = F.pmod(F.xxhash64("line"), F.lit(LINE_FILES)).cast("int")
-    head = df.sparkSession.range(LINE_FILES).select(F.lit(header).alias("line"), F.col("id").cast("int").alias("part"),
-                                                    F.lit(0).alias("_o"))
-    (head.unionByName(df.select("line", part.alias("part"), F.lit(1).alias("_o")))
-     .repartition(LINE_FILES, "part").sortWithinPartitions("part", "_o").select("part", "line")
+def _write_lines(df, key, variants, path: str):
+    """Write rows as text files that each begin with a header line, as exports
+    in several files do; returns the glob to read. ``variants`` are pairs
+    (header, line column); a row's file, and with it the variant, follows from
+    the row's number ``key``: variant ``key % len(variants)``. There are as many
+    files as the session has shuffle partitions, for each variant."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * len(variants)
+    heads, lines = (F.array(*x) for x in ([F.lit(h) for h, _ in variants], [c for _, c in variants]))
+    part = F.pmod(key, F.lit(n)).cast("int")
+    at = (F.col("part") % len(variants)) + 1
+    head = df.sparkSession.range(n).select(F.col("id").cast("int").alias("part")).select(
+        F.element_at(heads, at).alias("line"), "part", F.lit(0).alias("_o"))
+    rows = df.select(part.alias("part"), lines.alias("_l")).select(F.element_at("_l", at).alias("line"), "part", F.lit(1).alias("_o"))
+    (head.unionByName(rows).repartition(n, "part").sortWithinPartitions("part", "_o").select("part", "line")
      .write.partitionBy("part").text(path))
     return f"{path}/*"
 
 
+def _both_orders(df, key, path: str, columns=None, extra=None):
+    """Rows of even keys in files with the columns in order, those of odd keys
+    with the columns backwards and one more of them, ``extra``."""
+    columns = columns or df.columns
+    back = columns[::-1]
+    forth = (",".join(columns), F.concat_ws(",", *[_q(F.col(c)) for c in columns]))
+    if extra is None:
+        return _write_lines(df, key, [forth, (",".join(back), F.concat_ws(",", *[_q(F.col(c)) for c in back]))], path)
+    return _write_lines(df, key, [forth, (",".join([*back, extra]), F.concat_ws(",", *[_q(F.col(c)) for c in back], F.lit('"n/a, really"')))], path)
+
+
 def _messy(c, k):
     """Text with padding, quotes, commas and line breaks, by a number's remainder."""
     return (F.when(k % 5 == 0, F.concat(F.lit("  "), c, F.lit(" "))).when(k % 5 == 1, F.concat(c, F.lit(' "big", one')))
@@ -71,15 +84,19 @@ def messy_parts(spark, sf):
     return table(spark, sf, "part").withColumn("p_name", _messy(F.col("p_name"), F.col("p_partkey")))
 
 
-def _csv_lines(df):
-    return df.select(F.concat_ws(",", *[_q(F.col(c)) for c in df.columns]).alias("line"))
+def _cells(*columns):
+    return F.concat_ws(",", *[_q(F.col(c)) for c in columns])
 
 
 @register("a1_csv_all_strings", "A1", _PART_TEXT)
 def a1(spark, sf):
     p = messy_parts(spark, sf)
-    lines = _csv_lines(p).unionByName(_csv_lines(p).select(F.concat("line", F.lit(",\"beyond\"")).alias("line")))
-    return RD.read_csv_strings(spark, _write_lines(lines, ",".join(p.columns), _path(spark, sf, "part_csv")), multi_line=True)
+    p = p.withColumn("_beyond", F.explode(F.array(F.lit(False), F.lit(True))))  # each row again, with a cell too many
+    cols = [c for c in p.columns if c != "_beyond"]
+    beyond = F.when(F.col("_beyond"), F.lit(',"beyond"')).otherwise(F.lit(""))
+    path = _write_lines(p, F.col("p_partkey"), [(",".join(c), F.concat(_cells(*c), beyond)) for c in (cols, cols[::-1])],
+                        _path(spark, sf, "part_csv"))
+    return RD.read_csv_strings(spark, path, multi_line=True).select(*cols)
 
 
 register("a4_table_scan", "A4", "SELECT * FROM lineitem")(
@@ -89,16 +106,21 @@ register("a4_table_scan", "A4", "SELECT * FROM lineitem")(
 # ---- A2: typed feed with over-long and short rows -------------------------------
 
 
-def feed_h_lines(spark, sf):
+_FEED_H = ["row_id", "sku_oms_details_sku", "online_salable_qty_quantity", "sku_oms_details_sap_supplier_id"]
+
+
+def feed_h_files(spark, sf, name, beyond=True):
+    """The feed in files of two column orders, row_id first in both; some rows
+    have a cell too many (unless not ``beyond``), some only the first two."""
     h = fixture(spark, sf, "feed_h")
     h = h.withColumn("sku_oms_details_sku", _messy(F.col("sku_oms_details_sku"), F.col("row_id")))
-    cols = [_q(F.col(c)) for c in ("row_id", "sku_oms_details_sku", "online_salable_qty_quantity",
-                                   "sku_oms_details_sap_supplier_id")]
-    full = F.concat_ws(",", *cols)
-    line = (F.when(F.col("row_id") % 13 == 0, F.concat(full, F.lit(',"extra"')))
-            .when(F.col("row_id") % 17 == 0, F.concat_ws(",", *cols[:2]))
-            .otherwise(full))
-    return h.select(line.alias("line"))
+    long, short = F.col("row_id") % 13 == 0, F.col("row_id") % 17 == 0
+    if not beyond:
+        h = h.where(~long)
+    variants = []
+    for c in (_FEED_H, [_FEED_H[0], *_FEED_H[:0:-1]]):
+        variants.append((",".join(c), F.when(long, F.concat(_cells(*c), F.lit(',"extra"'))).when(short, _cells(*c[:2])).otherwise(_cells(*c))))
+    return _write_lines(h, F.col("row_id"), variants, _path(spark, sf, name))
 
 
 # the missing-value texts, written out for the oracle
@@ -111,28 +133,44 @@ def _na(c):
     return f"CASE WHEN {c} IN ({_NA}) THEN NULL ELSE {c} END"
 
 
+def _h_cell(c, value, missing):
+    """A feed cell for the oracle: short rows of even numbers hold the SKU, of odd ones the supplier."""
+    kept = {"sku_oms_details_sku": "row_id % 2 = 1", "sku_oms_details_sap_supplier_id": "row_id % 2 = 0"}.get(c, "true")
+    return f"CASE WHEN row_id % 17 = 0 AND {kept} THEN {missing} ELSE {value} END AS {c}"
+
+
+_H_RAW = {"sku_oms_details_sku": f"coalesce({_H_SKU}, '')", "online_salable_qty_quantity": "online_salable_qty_quantity",
+          "sku_oms_details_sap_supplier_id": "sku_oms_details_sap_supplier_id"}
+
+
 @register("a2_feed_csv", "A2", with_fixtures(f"""
-SELECT CAST(row_id AS VARCHAR) AS row_id, {_na('coalesce(' + _H_SKU + ", '')")} AS sku_oms_details_sku,
-       CASE WHEN row_id % 17 = 0 THEN NULL ELSE {_na('online_salable_qty_quantity')} END AS online_salable_qty_quantity,
-       CASE WHEN row_id % 17 = 0 THEN NULL ELSE {_na('sku_oms_details_sap_supplier_id')} END
-         AS sku_oms_details_sap_supplier_id
+SELECT CAST(row_id AS VARCHAR) AS row_id, {", ".join(_h_cell(c, _na(v), "NULL") for c, v in _H_RAW.items())}
 FROM feed_h WHERE row_id % 13 <> 0""", "feed_h"))
 def a2(spark, sf):
-    path = _write_lines(feed_h_lines(spark, sf), "row_id,sku_oms_details_sku,online_salable_qty_quantity,"
-                        "sku_oms_details_sap_supplier_id", _path(spark, sf, "feed_h_csv"))
-    return RD.read_feed_csv(spark, path, multi_line=True)
+    return RD.read_feed_csv(spark, feed_h_files(spark, sf, "feed_h_csv"), multi_line=True).select(*_FEED_H)
 
 
 # ---- A3: inferred types, key kept as text ------------------------------------------
 
 
 @register("a3_csv_inferred", "A3", f"""
-SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, {_messy_sql("p_name", "p_partkey")} AS p_name, p_size, p_retailprice
+SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS code, {_na(_messy_sql("p_name", "p_partkey"))} AS p_name,
+       CAST(p_size AS BIGINT) AS p_size, p_retailprice, p_size > 25 AS large, p_size % 2 = 1 AS odd,
+       CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN 'x' ELSE '' END AS mixed,
+       TIMESTAMP '2024-01-31 10:00:00' + to_days(CAST(p_size AS INTEGER)) AS checked,
+       CAST(p_partkey AS DECIMAL(38, 0)) * 1000000000000000000 AS wide, CAST(NULL AS VARCHAR) AS nothing
 FROM part""")
 def a3(spark, sf):
-    p = messy_parts(spark, sf).select(F.lpad(F.col("p_partkey").cast("string"), 6, "0").alias("code"), "p_name", "p_size", "p_retailprice")
-    path = _write_lines(_csv_lines(p), ",".join(p.columns), _path(spark, sf, "codes_csv"))
-    return RD.read_csv_inferred(spark, path, text_cols=("code",), multi_line=True)
+    k = F.col("p_partkey")
+    p = messy_parts(spark, sf).select(
+        F.lpad(k.cast("string"), 6, "0").alias("code"), "p_name", "p_size", "p_retailprice", (F.col("p_size") > 25).alias("large"),
+        F.initcap((F.col("p_size") % 2 == 1).cast("string")).alias("odd"),
+        F.concat(k.cast("string"), F.when(k % 3 == 0, F.lit("x")).otherwise(F.lit(""))).alias("mixed"),
+        F.expr("timestamp_ntz'2024-01-31 10:00:00' + make_dt_interval(p_size)").alias("checked"),
+        F.concat(k.cast("string"), F.lit("0" * 18)).alias("wide"), F.lit("").alias("nothing"), "p_partkey")
+    path = _both_orders(p, k, _path(spark, sf, "codes_csv"), p.columns[:-1])
+    out = RD.read_csv_inferred(spark, path, multi_line=True)  # no column is named: 000007 stays text by itself
+    return out.select(*[F.col(c).cast("decimal(38,0)") if c == "wide" else F.col(c) for c in p.columns[:-1]])
 
 
 # ---- A9: product CSV ---------------------------------------------------------------
@@ -153,26 +191,23 @@ _A9_COLS = ["sku", "name", "brand", "price", "status", "visibility", "type_id",
     f"SELECT {_A9_OUT} FROM (SELECT * REPLACE (CASE WHEN attribute_set_id = 3 AND status THEN '  ' ELSE sku END "
     f"AS sku) FROM products_m2) WHERE trim(sku) <> ''", "products", "products_m2"))
 def a9(spark, sf):
-    m2 = fixture(spark, sf, "products_m2").withColumn(
+    m2 = fixture(spark, sf, "products_m2").withColumn("_key", F.substring("sku", 2, 30).cast("bigint")).withColumn(
         "sku", F.when((F.col("attribute_set_id") == 3) & F.col("status"), F.lit("  ")).otherwise(F.col("sku")))
-    m2 = m2.withColumn("name", _messy(F.col("name"), F.col("attribute_set_id"))).select(*_A9_COLS)
-    return RD.read_product_csv(spark, _write_lines(_csv_lines(m2), ",".join(_A9_COLS), _path(spark, sf, "products_csv")))
+    m2 = m2.withColumn("name", _messy(F.col("name"), F.col("attribute_set_id")))
+    return RD.read_product_csv(spark, _both_orders(m2, F.col("_key"), _path(spark, sf, "products_csv"), _A9_COLS, extra="colour"))
 
 
 # ---- A10 / I14: SKU + quantity CSV with rejects --------------------------------------
 
 
-def sku_qty_lines(spark, sf):
-    v = fixture(spark, sf, "feed_v")
-    sku = F.when(F.col("row_id") % 23 == 0, F.lit("  ")).otherwise(_messy(F.col("supplier_sku"), F.col("row_id")))
-    qty = F.when(F.col("row_id") % 19 == 0, F.lit(" ")).otherwise(F.col("free_stock"))
-    line = F.when(F.col("row_id") % 29 == 0, _q(sku)).otherwise(F.concat_ws(",", _q(sku), _q(qty)))
-    return v.select(line.alias("line"))
-
-
 def _a10(spark, sf):
-    path = _write_lines(sku_qty_lines(spark, sf), "sku,qty", _path(spark, sf, "sku_qty_csv"))
-    return RD.read_sku_qty_csv(spark, path, "sku", "qty")
+    v = fixture(spark, sf, "feed_v")
+    v = v.withColumn("sku", F.when(F.col("row_id") % 23 == 0, F.lit("  ")).otherwise(_messy(F.col("supplier_sku"), F.col("row_id"))))
+    v = v.withColumn("qty", F.when(F.col("row_id") % 19 == 0, F.lit(" ")).otherwise(F.col("free_stock")))
+    no_qty = F.col("row_id") % 29 == 0
+    variants = [("sku,qty", F.when(no_qty, _cells("sku")).otherwise(_cells("sku", "qty"))),
+                ("place,sku,qty", F.when(no_qty, F.concat(F.lit("x,"), _cells("sku"))).otherwise(F.concat(F.lit("x,"), _cells("sku", "qty"))))]
+    return RD.read_sku_qty_csv(spark, _write_lines(v, F.col("row_id"), variants, _path(spark, sf, "sku_qty_csv")), "sku", "qty")
 
 
 _A10_BASE = """
@@ -231,15 +266,11 @@ register("b4_projection", "B4", "SELECT p_name, p_size FROM part")(
 
 
 @register("b6_pad_cells", "B6", with_fixtures(f"""
-SELECT CAST(row_id AS VARCHAR) AS row_id, nullif({_H_SKU}, '') AS sku_oms_details_sku,
-       CASE WHEN row_id % 17 = 0 THEN '' ELSE online_salable_qty_quantity END AS online_salable_qty_quantity,
-       CASE WHEN row_id % 17 = 0 THEN '' ELSE sku_oms_details_sap_supplier_id END AS sku_oms_details_sap_supplier_id
+SELECT CAST(row_id AS VARCHAR) AS row_id, {", ".join(_h_cell(c, f"nullif({v}, '')", "''") for c, v in _H_RAW.items())}
 FROM feed_h WHERE row_id % 13 <> 0""", "feed_h"))
 def b6(spark, sf):
-    lines = feed_h_lines(spark, sf).where(~F.col("line").endswith(',"extra"'))
-    path = _write_lines(lines, "row_id,sku_oms_details_sku,online_salable_qty_quantity,"
-                        "sku_oms_details_sap_supplier_id", _path(spark, sf, "feed_h_raw_csv"))
-    return SH.pad_cells(RD.read_csv_raw(spark, path, multi_line=True), empty_as_null=True)
+    path = feed_h_files(spark, sf, "feed_h_raw_csv", beyond=False)
+    return SH.pad_cells(RD.read_csv_raw(spark, path, multi_line=True), empty_as_null=True).select(*_FEED_H)
 
 
 @register("b7_align_append", "B7", with_fixtures("""

@@ -27,11 +27,12 @@ def _run_dir(spark, name):
 
 
 def _land_csv(df, folder, minutes):
-    """One feed file (a delivery is a file) with a modification time of its own."""
+    """A delivery: a file for each task of the rows, all with one modification
+    time of their own."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path
     staged = f"{folder}-staged-{uuid.uuid4().hex}"
-    write_csv(df, staged, single_file=True)
+    write_csv(df, staged)
     fs = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path(folder))
     for part in fs.globStatus(path(f"{staged}/part-*.csv")):
@@ -40,19 +41,36 @@ def _land_csv(df, folder, minutes):
         fs.rename(part.getPath(), target)
 
 
+def _land_both_orders(df, folder, minutes, key, sku):
+    """A delivery in which every other row stands in files of another header:
+    the columns backwards, one more of them, and line breaks around SKUs."""
+    _land_csv(df.where(F.col(key) % 2 == 0).drop(key), folder, minutes)
+    odd = df.where(F.col(key) % 2 == 1).withColumn(sku, F.concat(F.lit("\n"), F.col(sku), F.lit(" \r\n ")))
+    _land_csv(odd.select(*reversed([c for c in df.columns if c != key]), F.concat(F.lit('say "'), F.col(key), F.lit(', "\n')).alias("remark")),
+              folder, minutes)
+
+
 def watched(spark, sf):
-    """Two runs of the feed watch. In the first, an older, partial file and the
-    complete newest one land on each side; in the second, one that is older
-    than both lands late. The complete files must be what counts."""
+    """Three runs of the feed watch. In the first, an older, partial delivery
+    and a complete one (in files of two headers) land on each side; in the
+    second, one that is older than both lands late; in the third, the newest
+    delivery of all lands, but without the columns of a feed, and is refused.
+    The complete files must be what counts."""
     run = _run_dir(spark, "feed_watch")
     hdir, vdir, out = (os.path.join(run, d) for d in ("hnau", "vs", "out"))
-    sides = ((fixture(spark, sf, "feed_h").drop("row_id").persist(), hdir, "sku_oms_details_sku"),
-             (fixture(spark, sf, "feed_v").drop("row_id").persist(), vdir, "supplier_sku"))
+    n = spark.sparkContext.defaultParallelism
+    sides = ((fixture(spark, sf, "feed_h").repartition(n, "row_id").persist(), hdir, "sku_oms_details_sku"),
+             (fixture(spark, sf, "feed_v").repartition(n, "row_id").persist(), vdir, "supplier_sku"))
     try:
-        for landings in (((30, "1"), (60, "")), ((0, "2"),)):
+        for late in range(3):
             for df, folder, sku in sides:
-                for minutes, ending in landings:
-                    _land_csv(df.where(F.col(sku).endswith(ending)) if ending else df, folder, minutes)
+                if late == 0:
+                    _land_csv(df.where(F.col(sku).endswith("1")).drop("row_id"), folder, 30)
+                    _land_both_orders(df, folder, 60, "row_id", sku)
+                elif late == 1:
+                    _land_csv(df.where(F.col(sku).endswith("2")).drop("row_id"), folder, 0)
+                else:
+                    _land_csv(df.select(F.col(sku).alias("remark")), folder, 90)
             W.start_feed_watch(spark, hdir, vdir, out, os.path.join(run, "checkpoint"), available_now=True).awaitTermination()
     finally:
         for df, _, _ in sides:

@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.sources.readers import STANDARD_CSV
+from ledgerline.sources.headers import STANDARD_CSV
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", single_file: bool = False) -> None:
@@ -113,67 +113,3 @@ def read_version(spark: SparkSession, base: str, version: int | None = None, bef
             return None
         version = known[-1]
     return spark.read.parquet(f"{base.rstrip('/')}/version={version}")
-
-
-# ---------------------------------------------------------------------------
-# bucketed tables: a version holds only the buckets that it changed
-
-
-def bucket_of(key, buckets: int):
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-
-
-def _children(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
-    """Number -> path of the directories ``prefix<n>`` of a directory."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-    return {int(n[len(prefix):]): f"{path}/{n}" for n in names if n.startswith(prefix)}
-
-
-def bucket_paths(spark: SparkSession, base: str, before: int | None = None) -> dict[int, str]:
-    """Bucket -> directory of its latest content, from directory listings."""
-    out: dict[int, str] = {}
-    for v in versions(spark, base):
-        if before is None or v < before:
-            out |= _children(spark, f"{base.rstrip('/')}/version={v}", "bucket=")
-    return out
-
-
-def read_buckets(spark: SparkSession, base: str, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
-    """The table's current content (of the buckets ``only``); None if there is none."""
-    paths = [p for b, p in sorted(bucket_paths(spark, base, before).items()) if only is None or b in only]
-    full = [p for p in paths if _has_files(spark, p)]
-    return spark.read.parquet(*full) if full else None
-
-
-def _has_files(spark: SparkSession, path: str) -> bool:
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return any(s.isFile() and s.getLen() > 0 for s in root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root))
-
-
-def write_buckets(df: DataFrame, base: str, version: int, key: str, buckets: int, touched: list[int]) -> None:
-    """Write the new content of the touched buckets as ``version`` (again, if a
-    batch is re-run); a touched bucket without rows gets an empty directory."""
-    spark = df.sparkSession
-    path = f"{base.rstrip('/')}/version={version}"
-    (df.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.mode("overwrite")
-     .partitionBy("bucket").parquet(path))
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for b in touched:
-        fs.mkdirs(fs_path(f"{path}/bucket={b}"))
-
-
-def retire_versions(spark: SparkSession, base: str) -> list[int]:
-    """Delete the versions of which every bucket has a later content; returns
-    them. Call it when no reader of the older versions is left."""
-    current = set(bucket_paths(spark, base).values())
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    gone = []
-    for v in versions(spark, base):
-        path = f"{base.rstrip('/')}/version={v}"
-        if not current & set(_children(spark, path, "bucket=").values()):
-            fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(fs_path(path), True)
-            gone.append(v)
-    return gone

@@ -6,87 +6,85 @@ File readers return DataFrames; readers that can reject rows return a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerline.functions.scalars import strict_int, strip_ws
-
-# A value that never occurs in a feed, used as the CSV null marker so that
-# empty cells stay empty text while missing cells (short rows) become null.
-_NO_NULL = "\u0000<none>\u0000"
+from ledgerline.sources.headers import EXTRA, header_groups, named, put_together, read_group
+from ledgerline.sources.infer import inferred_types, typed
 
 # Cell texts read as missing by the typed feed reader, fixed values.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-# Standard CSV: a quote inside a quoted field is doubled, and blanks around a
-# cell belong to it.
-STANDARD_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
-                "ignoreTrailingWhiteSpace": False}
-
-
-def _csv(spark: SparkSession, sep: str, encoding: str, multi_line: bool):
-    """Reader of standard CSV. ``multi_line`` allows line breaks inside quoted
-    cells; such a file can't be split, so large inputs should be many files."""
-    return (spark.read.options(**STANDARD_CSV).option("sep", sep).option("encoding", encoding)
-            .option("multiLine", multi_line).option("mode", "PERMISSIVE"))
-
-
-def csv_header(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+def csv_header(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8",
                multi_line: bool = False) -> list[str]:
-    """Column names from the header row (no inference)."""
-    return _csv(spark, sep, encoding, multi_line).csv(path).columns
-
-
-def _text_rows(spark: SparkSession, path: str, sep: str, encoding: str, multi_line: bool) -> tuple[DataFrame, list[str]]:
-    """All-text rows with one more column, ``_extra``, that only rows with more
-    cells than the header fill. Empty cells stay empty, missing ones are null."""
-    names = csv_header(spark, path, sep, encoding, multi_line)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_extra"]])
-    return _csv(spark, sep, encoding, multi_line).schema(schema).option("nullValue", _NO_NULL).csv(path), names
-
-
-def read_csv_strings(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8",
+    """Column names of all files' headers, in the order in which they come up."""
+    groups = header_groups(spark, path, sep, encoding, multi_line)
+    return list(dict.fromkeys(n for names, _ in groups for n in names))
+
+
+def _text_rows(spark: SparkSession, path: str | list[str], sep: str, encoding: str, multi_line: bool,
+               with_file: bool = False) -> DataFrame:
+    """All-text rows of all files, by column name, and ``_extra``, which only
+    rows with more cells than their file's header fill. Empty cells stay empty,
+    missing ones (also of columns that a file lacks) are null."""
+    groups = header_groups(spark, path, sep, encoding, multi_line)
+    if not groups:
+        raise ValueError(f"no file with a header row in {path}")
+    parts = []
+    for names, files in groups:
+        rows = read_group(spark, names, files, sep, encoding, multi_line)
+        if with_file:
+            rows = rows.select("*", F.col("_metadata.file_path").alias("file_path"),
+                               F.col("_metadata.file_modification_time").alias("file_mtime"))
+        parts.append(rows)
+    return put_together(parts)
+
+
+def read_csv_strings(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8",
                      cut_long_rows: bool = False, multi_line: bool = False) -> DataFrame:
-    """A1: all-string CSV scan with a header row; a BOM is tolerated, short
+    """A1: all-string CSV scan with header rows; a BOM is tolerated, short
     rows are padded, over-long rows are skipped (or cut with
-    ``cut_long_rows``), and null cells become empty text."""
-    rows, names = _text_rows(spark, path, sep, encoding, multi_line)
+    ``cut_long_rows``), and null cells become empty text. Files may have other
+    column orders or columns: cells go by their file's header."""
+    rows = _text_rows(spark, path, sep, encoding, multi_line)
     if not cut_long_rows:
-        rows = rows.where(F.col("_extra").isNull())
-    return rows.select(*names).na.fill("")
+        rows = rows.where(F.col(EXTRA).isNull())
+    return rows.drop(EXTRA).na.fill("")
 
 
-def read_csv_raw(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
+def read_csv_raw(spark: SparkSession, path: str | list[str], sep: str = ",", multi_line: bool = False) -> DataFrame:
     """All-string CSV scan that keeps empty cells as empty text and marks
-    missing cells of short rows as null (input of B6)."""
-    return _csv(spark, sep, "UTF-8", multi_line).option("nullValue", _NO_NULL).csv(path)
+    missing cells of short rows as null (input of B6); cells beyond the header
+    are ignored."""
+    return _text_rows(spark, path, sep, "UTF-8", multi_line).drop(EXTRA)
 
 
-def read_feed_csv(spark: SparkSession, path: str, sep: str = ",", with_file: bool = False,
+def read_feed_csv(spark: SparkSession, path: str | list[str], sep: str = ",", with_file: bool = False,
                   multi_line: bool = False) -> DataFrame:
-    """A2: every column as text; rows with more cells than the header are
-    skipped (short rows are kept, padded with null); NA tokens -> null.
+    """A2: every column as text; rows with more cells than their file's header
+    are skipped (short rows are kept, padded with null); NA tokens -> null.
     ``with_file`` adds the source path and modification time."""
-    rows, names = _text_rows(spark, path, sep, "UTF-8", multi_line)
-    cols = [F.when(F.col(n).isin(*NA_TOKENS), F.lit(None)).otherwise(F.col(n)).alias(n) for n in names]
-    if with_file:
-        cols += [F.col("_metadata.file_path").alias("file_path"),
-                 F.col("_metadata.file_modification_time").alias("file_mtime")]
-    return rows.where(F.col("_extra").isNull()).select(*cols)
+    rows = _text_rows(spark, path, sep, "UTF-8", multi_line, with_file)
+    rows = rows.where(F.col(EXTRA).isNull()).drop(EXTRA)
+    return rows.select(*[named(n) if with_file and n in ("file_path", "file_mtime") else not_available(named(n)).alias(n)
+                         for n in rows.columns])
+
+
+def not_available(cell: Column) -> Column:
+    """The cell, null for a text that means a missing value."""
+    return F.when(cell.isin(*NA_TOKENS), F.lit(None)).otherwise(cell)
 
 
-def read_csv_inferred(spark: SparkSession, path: str, text_cols=(), sep: str = ",",
-                      sampling_ratio: float = 1.0, multi_line: bool = False) -> DataFrame:
-    """A3: inferred column types, except ``text_cols`` (keys such as ``007``)
-    which stay text. Inference samples ``sampling_ratio`` of the file."""
-    inferred = (_csv(spark, sep, "UTF-8", multi_line).option("inferSchema", True)
-                .option("samplingRatio", sampling_ratio).csv(path).schema)
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name in text_cols else f.dataType)
-                           for f in inferred])
-    return _csv(spark, sep, "UTF-8", multi_line).schema(schema).csv(path)
+def read_csv_inferred(spark: SparkSession, path: str | list[str], text_cols=(), sep: str = ",",
+                      multi_line: bool = False) -> DataFrame:
+    """A3: every column in the narrowest type that holds all its cells (see
+    ``sources.infer``), found in one scan of the files; ``text_cols`` stay text
+    in any case. Cells that mean a missing value are null."""
+    rows = read_feed_csv(spark, path, sep, multi_line=multi_line)
+    return typed(rows, inferred_types(rows, keep_text=text_cols))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -148,10 +146,10 @@ def read_sku_qty_csv(spark: SparkSession, path: str, sku_col: str, qty_col: str,
     sku = strip_ws(F.coalesce(F.col(sku_col), F.lit("")))
     q = F.col(qty_col)
     qty = F.when(q.isNull(), F.lit(None)).when(strip_ws(q) == "", F.lit(0).cast("bigint")).otherwise(strict_int(q))
-    checked = raw.select(sku.alias("_sku"), qty.alias("_qty"), *[F.col(c) for c in raw.columns])
+    checked = raw.select(sku.alias("_sku"), qty.alias("_qty"), *[named(c) for c in raw.columns])
     ok = (F.col("_sku") != "") & F.col("_qty").isNotNull()
     valid = checked.where(ok).select(F.col("_sku").alias("sku"), F.col("_qty").alias("qty"))
-    rejected = checked.where(~ok).select(*raw.columns, F.when(F.col("_sku") == "", F.lit("empty sku"))
+    rejected = checked.where(~ok).select(*[named(c) for c in raw.columns], F.when(F.col("_sku") == "", F.lit("empty sku"))
                                          .otherwise(F.lit("bad quantity")).alias("reason"))
     return valid, rejected
 

@@ -1,25 +1,34 @@
 """Incremental order ingest: payload pages arriving as JSON-lines
 files ``{"page_no": n, "payload": "<page JSON text>"}`` are merged into the
 orders table per micro-batch (I5) and the items of touched orders are
-replaced (I6). Both tables are bucketed by order id; a batch reads and writes
-only the buckets that its orders fall into, as ``version=<batch_id>``, so its
-cost follows the batch and a replay overwrites its own output. Payload order
-across batches is (batch, page, position).
+replaced (I6).
+
+* Look-back: each fetch asks for some hours back, so the same pages come again.
+  A page whose text was taken within ``LOOK_BACK`` is dropped before it is
+  parsed, by a stateful operator whose state is the digests of that time. Time
+  is that of the batch that brings a page, so no page is ever late.
+* Both tables are in buckets that split as they grow (``sinks.buckets``); a
+  batch reads and writes the buckets that its orders fall into.
+* Orders, items and the batch's number become visible by one commit
+  (``sinks.commitlog``): a replayed batch that was committed is left out, and
+  another writer's commit in between makes the batch merge anew into its result.
+
+Payload order across batches is (batch, page, position).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import orders as O
-from ledgerline.sinks import writers as W
+from ledgerline.sinks import buckets as B
+from ledgerline.sinks import commitlog as CL
 
-#: Buckets of the orders and items tables; fixed for the life of a table.
-BUCKETS = 64
 PAGE_SCHEMA = "page_no bigint, payload string"
+#: How far back a fetch reaches, fixed value.
+LOOK_BACK = "2 hours"
+TABLES = (("orders", O.merge_orders), ("order_items", O.replace_items))
 
 
 def _scan_batch(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -29,18 +38,30 @@ def _scan_batch(batch: DataFrame, batch_id: int) -> DataFrame:
                                    F.col("ord._pos").alias("_pos")).alias("ord"), "v")
 
 
-def make_order_handler(out_dir: str, buckets: int = BUCKETS):
+def once_within(pages: DataFrame, look_back: str = LOOK_BACK) -> DataFrame:
+    """Pages of a stream without those whose payload came within ``look_back`` before."""
+    seen = pages.withColumn("_seen", F.current_timestamp()).withColumn("_digest", F.sha2("payload", 256))
+    return seen.withWatermark("_seen", look_back).dropDuplicatesWithinWatermark(["_digest"]).drop("_seen", "_digest")
+
+
+def make_order_handler(out_dir: str, bucket_rows: int = B.BUCKET_ROWS, writer: str = "order_ingest"):
+    """foreachBatch function; ``writer`` names the stream in the manifests."""
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the pages of one micro-batch are parsed once for orders and items
         scanned = _scan_batch(batch, batch_id).persist()
         try:
             keys = scanned.select(O.order_key(F.col("v")).alias("order_id")).where("order_id is not null")
-            touched = [r[0] for r in keys.select(W.bucket_of("order_id", buckets)).distinct().collect()]  # at most ``buckets``
-            for name, fold in (("orders", O.merge_orders), ("order_items", O.replace_items)):
-                base = os.path.join(out_dir, name)
-                old = W.read_buckets(spark, base, before=batch_id, only=touched)
-                W.write_buckets(fold(scanned, old), base, batch_id, "order_id", buckets, touched)
+
+            def change(state: dict) -> dict | None:
+                if state["applied"].get(writer, -1) >= batch_id:
+                    return None
+                written = [B.update(state, out_dir, name, "order_id", keys, lambda old, f=fold: f(scanned, old), bucket_rows)
+                           for name, fold in TABLES]
+                state["applied"][writer] = batch_id
+                return state if any(written) else None
+            CL.transact(spark, out_dir, change)
         finally:
             scanned.unpersist()
     return handle
@@ -48,15 +69,17 @@ def make_order_handler(out_dir: str, buckets: int = BUCKETS):
 
 def start_order_ingest(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint: str,
                        interval: str = "120 seconds", available_now: bool = False,
-                       max_files: int | None = None):
+                       max_files: int | None = None, look_back: str = LOOK_BACK, bucket_rows: int = B.BUCKET_ROWS):
     r = spark.readStream.schema(PAGE_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    w = (r.json(pages_dir).writeStream.foreachBatch(make_order_handler(out_dir))
-         .option("checkpointLocation", checkpoint))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        make_order_handler(out_dir, bucket_rows, f"order_ingest {CL.stream_id(spark, checkpoint)}")(batch, batch_id)
+    w = once_within(r.json(pages_dir), look_back).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
-def read_orders(spark: SparkSession, out_dir: str, name: str = "orders") -> DataFrame:
-    return W.read_buckets(spark, os.path.join(out_dir, name))
+def read_orders(spark: SparkSession, out_dir: str, name: str = "orders") -> DataFrame | None:
+    return B.read_table(spark, out_dir, name)

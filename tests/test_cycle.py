@@ -9,7 +9,7 @@ from conftest import SMALL
 from ledgerline.operators import cycle as CY
 from ledgerline.operators import reconcile as R
 from ledgerline.plans import q_reconcile
-from ledgerline.sinks import writers as W
+from ledgerline.sinks import commitlog as CL
 from ledgerline.sources.readers import read_csv_strings
 
 
@@ -24,25 +24,25 @@ def test_cycle_two_versions(spark):
         assert read_csv_strings(spark, p).count() == R.reconcile_subset(j1, name).count()
     # the first run compares with an empty inventory: every SKU with stock changed
     known = v.where(F.col("qty").isNotNull()).count()
-    assert W.read_version(spark, os.path.join(out, "changes")).count() == known
+    assert CL.read(spark, out, "changes").count() == known
     # second run with every VS quantity raised by one: every SKU with stock changes
     v2 = v.withColumn("qty", F.col("qty") + 1)
     CY.run_cycle(spark, h, v2, out, 2)
-    assert W.read_version(spark, os.path.join(out, "changes")).count() == known
-    stats = spark.read.parquet(os.path.join(out, "stats"))
+    assert CL.read(spark, out, "changes").count() == known
+    stats = CL.read_all(spark, out, "stats")
     assert sorted(r.version for r in stats.select("version").collect()) == [1, 2]
-    log = [tuple(r) for r in spark.read.parquet(os.path.join(out, "runlog")).select("version", "action", "total_skus", "changes_detected").collect()]
+    log = [tuple(r) for r in CL.read_all(spark, out, "runlog").select("version", "action", "total_skus", "changes_detected").collect()]
     n = v.count()
     assert sorted(log) == sorted((k, a, n, c) for k in (1, 2) for a, c in (
         ("refresh_inventory_latest", 0), ("compare_tables", known), ("update_inventory", 0)))
     # re-running version 2 overwrites its own output (idempotent)
     CY.run_cycle(spark, h, v2, out, 2)
-    assert spark.read.parquet(os.path.join(out, "runlog")).count() == 6
+    assert CL.read_all(spark, out, "runlog").count() == 6
     # without the update the inventory stays at version 2: a third run with the
     # original quantities changes every SKU again, and so does a fourth
     CY.run_cycle(spark, h, v, out, 3, update_inventory=False)
     CY.run_cycle(spark, h, v, out, 4, update_inventory=False)
-    assert W.read_version(spark, os.path.join(out, "changes")).count() == known
+    assert CL.read(spark, out, "changes").count() == known
 
 
 def test_comparison_job(spark):

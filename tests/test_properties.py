@@ -1,8 +1,9 @@
 """Property tests: Spark expressions vs plain-Python statements of the same
 rules on generated inputs (one Spark job per batch of examples)."""
 
+import os
 import re
-from decimal import ROUND_HALF_UP, Decimal, InvalidOperation
+from decimal import MAX_EMAX, MIN_EMIN, ROUND_HALF_UP, Context, Decimal, InvalidOperation
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from ledgerline.functions import scalars as S
 from ledgerline.functions import text as T
 
-QTY_ALPHABET = st.sampled_from(list("0123456789.,()- eE+") + ["NULL", "nan", "abc"])
+QTY_ALPHABET = st.sampled_from(list("0123456789.,()- eE+") + ["NULL", "nan", "abc", "e1", "999999999999", "9223372036854775807"])
 
 
 def py_parse_qty(x):
@@ -25,22 +26,29 @@ def py_parse_qty(x):
     s = s.replace(",", "").strip()
     if not re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", s):
         return 0
+    digits, _, power = s.lower().partition("e")
+    if power and abs(int(power)) >= 10 ** 9:  # no Decimal: beyond every bound, or nothing
+        return None if int(power) > 0 and re.search("[1-9]", digits) else 0
     try:
         d = Decimal(s)
-        if abs(d) >= Decimal(10) ** 27:
-            return 0
-        i = int(d.to_integral_value(rounding=ROUND_HALF_UP))
+        if d.copy_abs() >= Decimal(10) ** 38:
+            return None
+        i = int(d.quantize(Decimal(1), rounding=ROUND_HALF_UP, context=Context(prec=60, Emax=MAX_EMAX, Emin=MIN_EMIN)))
+        if abs(i) >= 10 ** 38:
+            return None
     except (InvalidOperation, ValueError):
         return 0
     return -i if neg else i
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=1000 if os.environ.get("MANY_EXAMPLES") else 40, deadline=None)
 @given(st.lists(st.lists(QTY_ALPHABET, max_size=8).map("".join), min_size=20, max_size=60))
 def test_parse_qty_property(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string")
-    got = [r[0] for r in df.select(S.parse_qty("x")).collect()]
-    assert got == [py_parse_qty(v) for v in values]
+    got = df.select(S.parse_qty("x"), S.parse_qty_long("x")).collect()
+    exact = [py_parse_qty(v) for v in values]
+    assert [None if r[0] is None else int(r[0]) for r in got] == exact
+    assert [r[1] for r in got] == [q if q is not None and -2**63 <= q < 2**63 else None for q in exact]
 
 
 TEXT = st.text(alphabet=st.sampled_from(list("aZ09 _-,.!\n\t()[]{}:—") + [" ", "é"]), max_size=40)

@@ -45,9 +45,9 @@ def test_feed_watch_incremental(spark):
     expected = latest1.join(latest2, "sku").where(~F.col("qty").eqNullSafe(F.col("q2"))).count()
     assert changes.count() == expected
     # the ledger holds each landed file once; run log and stats have two versions
-    ledger = spark.read.parquet(os.path.join(out, "ledger"))
+    ledger = W.read_history(spark, out, "ledger")
     assert ledger.count() == ledger.select("file_path").distinct().count() == 3
-    assert spark.read.parquet(os.path.join(out, "runlog")).count() == 6
+    assert W.read_history(spark, out, "runlog").count() == 6
 
     # an older file that lands late changes nothing
     for f in os.listdir(vdir):
@@ -60,35 +60,158 @@ def test_feed_watch_incremental(spark):
             os.utime(path, (last - 1000, last - 1000))
     W.start_feed_watch(spark, hdir, vdir, out, ck, available_now=True).awaitTermination()
     assert sorted(W.read_output(spark, out, "inventory").collect()) == sorted(
-        spark.read.parquet(os.path.join(out, "inventory", "version=1")).collect())
-    assert spark.read.parquet(os.path.join(out, "ledger")).count() == 4
+        W.read_output(spark, out, "inventory", 2).collect())
+    assert W.read_history(spark, out, "ledger").count() == 4
 
 
-def test_order_ingest_writes_touched_buckets(spark, tmp_path):
+def _page(spark, *orders):
     import json
 
-    from ledgerline.sinks import writers as WR
     from ledgerline.streaming import order_ingest as OI
+    return spark.createDataFrame([(1, json.dumps({"results": list(orders)}))], OI.PAGE_SCHEMA)
 
-    def page(*orders):
-        return spark.createDataFrame([(1, json.dumps({"results": list(orders)}))], OI.PAGE_SCHEMA)
 
-    out = str(tmp_path)
-    handle = OI.make_order_handler(out, buckets=8)
-    item = {"part_number": "p", "line_reference": "1", "quantity": 2}
-    handle(page(*[{"id": k, "status": "new", "items": [item, item]} for k in range(1, 101)]), 0)
-    handle(page({"id": 7, "status": "sent", "items": []}, {"id": 7, "tax": 1}), 1)
-    base = os.path.join(out, "orders")
-    touched = [d for d in os.listdir(os.path.join(base, "version=1")) if d.startswith("bucket=")]
-    assert len(touched) == 1
-    orders = {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}
-    assert len(orders) == 100 and orders["7"] == "sent" and orders["8"] == "new"
+ITEM = {"part_number": "p", "line_reference": "1", "quantity": 2}
+
+
+def _orders(numbers, status, n_items=1):
+    return [{"id": k, "status": status, "items": [ITEM] * n_items} for k in numbers]
+
+
+def _covers(buckets):
+    """Every hash belongs to exactly one bucket of the directory."""
+    deepest = max(b["depth"] for b in buckets)
+    seen = [0] * (1 << deepest)
+    for b in buckets:
+        for code in range(b["code"], 1 << deepest, 1 << b["depth"]):
+            seen[code] += 1
+    return set(seen) == {1}
+
+
+def test_order_tables_double_and_keep_their_buckets_small(spark, tmp_path):
+    from ledgerline.sinks import buckets as B
+    from ledgerline.sinks import commitlog as CL
+    from ledgerline.streaming import order_ingest as OI
+    out, limit = str(tmp_path), 40
+    handle = OI.make_order_handler(out, bucket_rows=limit)
+    n = [0, 50, 100, 200, 400, 800]
+    for batch, (a, b) in enumerate(zip(n, n[1:])):  # the table doubles with each batch
+        handle(_page(spark, *_orders(range(a, b), "new", 2)), batch)
+        state = CL.head(spark, out)[1]
+        for table, rows in (("orders", b - (a == 0 and batch == 0)), ("order_items", 2 * (b - 1))):
+            buckets = state["buckets"][table]
+            assert _covers(buckets) and sum(x["rows"] for x in buckets) == (b - 1 if table == "orders" else 2 * (b - 1))
+            assert max(x["rows"] for x in buckets) <= 2 * limit  # a random split is not even
+            assert len(buckets) >= rows / limit / 2
+    # an id of 0 is no order; all others are there with their items
+    assert {int(r.order_id) for r in OI.read_orders(spark, out).collect()} == set(range(1, 800))
+    before = {(b["depth"], b["code"]): b["folder"] for b in state["buckets"]["orders"]}
+
+    # a batch of one order writes one bucket; all others keep their folders
+    handle(_page(spark, {"id": 7, "status": "sent", "items": []}, {"id": 7, "tax": 1}), 9)
+    state = CL.head(spark, out)[1]
+    after = {(b["depth"], b["code"]): b["folder"] for b in state["buckets"]["orders"]}
+    assert len(set(before.items()) ^ set(after.items())) == 2
+    got = {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}
+    assert len(got) == 799 and got["7"] == "sent" and got["8"] == "new"
     items = OI.read_orders(spark, out, "order_items").groupBy("order_id").count().collect()
-    assert len(items) == 99 and {r["count"] for r in items} == {2}
-    # a replayed batch overwrites its own output; a version of which nothing is current can go
-    handle(page({"id": 7, "status": "back"}), 1)
-    assert {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}["7"] == "back"
-    assert WR.retire_versions(spark, base) == []
-    handle(page({"id": 7, "status": "done"}), 2)
-    assert WR.retire_versions(spark, base) == [1]
-    assert {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}["7"] == "done"
+    assert len(items) == 798 and {r["count"] for r in items} == {2}
+
+    # a replayed batch that was committed changes nothing
+    handle(_page(spark, {"id": 7, "status": "again"}), 9)
+    assert {r.order_id: r.status for r in OI.read_orders(spark, out).collect()}["7"] == "sent"
+
+    # orders without items leave small buckets, which compaction joins
+    handle(_page(spark, *[{"id": k, "items": []} for k in range(1, 760)]), 10)
+    wide = CL.head(spark, out)[1]["buckets"]["order_items"]
+    gone = B.compact(spark, out, "order_items", "order_id", limit * 8)
+    joined = CL.head(spark, out)[1]["buckets"]["order_items"]
+    assert gone == len(wide) - len(joined) > 0 and _covers(joined)
+    assert {int(r.order_id) for r in OI.read_orders(spark, out, "order_items").collect()} == set(range(760, 800))
+    # folders that no manifest holds can go
+    assert CL.retire(spark, out, older_than_s=0) and OI.read_orders(spark, out).count() == 799
+
+
+def test_a_key_with_many_rows_is_a_bucket_of_its_own(spark, tmp_path):
+    from ledgerline.sinks import commitlog as CL
+    from ledgerline.streaming import order_ingest as OI
+    out = str(tmp_path)
+    handle = OI.make_order_handler(out, bucket_rows=10)
+    for batch in range(3):
+        handle(_page(spark, *_orders([5], "new", 300), *_orders(range(100, 130), "new")), batch)
+        buckets = CL.head(spark, out)[1]["buckets"]["order_items"]
+        assert _covers(buckets) and len(buckets) <= 64
+    assert OI.read_orders(spark, out, "order_items").count() == 330
+
+
+def test_pages_of_the_look_back_are_merged_once(spark, tmp_path):
+    import json
+
+    from ledgerline.sinks import commitlog as CL
+    from ledgerline.streaming import order_ingest as OI
+    run = str(tmp_path)
+    pages, out = os.path.join(run, "pages"), os.path.join(run, "out")
+    payloads = [json.dumps({"results": _orders([k], "new")}) for k in range(1, 6)]
+
+    def fetch(numbers, look_back, checkpoint):
+        rows = [(k, payloads[k]) for k in numbers]
+        spark.createDataFrame(rows, OI.PAGE_SCHEMA).coalesce(1).write.mode("append").json(pages)
+        q = OI.start_order_ingest(spark, pages, out, os.path.join(run, checkpoint), available_now=True, look_back=look_back)
+        q.awaitTermination()
+        return [p for p in q.recentProgress if p["stateOperators"]]
+
+    first = fetch([0, 1, 2, 0], "2 hours", "a")
+    versions = CL.head(spark, out)[0]
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in first) == 3
+    again = fetch([0, 1, 2], "2 hours", "a")  # pages of the look-back only: nothing is merged
+    assert CL.head(spark, out)[0] == versions and sum(p["stateOperators"][0]["numRowsUpdated"] for p in again) == 0
+    fetch([2, 3, 4], "2 hours", "a")
+    assert CL.head(spark, out)[0] == versions + 1 and OI.read_orders(spark, out).count() == 5
+
+    # state is bounded: digests beyond the look-back go
+    held = []
+    for _ in range(4):
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in fetch([0, 1, 2, 3, 4], "1 second", "b")]
+        time.sleep(1.2)
+    assert max(held) <= 10 and OI.read_orders(spark, out).count() == 5
+
+
+def test_feed_files_of_other_headers(spark, tmp_path):
+    """Column orders, further columns, line breaks in cells, synonyms, a file
+    without rows, one without a header, one without the columns."""
+    hdir, vdir, out, ck = (str(tmp_path / d) for d in ("h", "v", "out", "ck"))
+    os.makedirs(hdir), os.makedirs(vdir)
+
+    def land(folder, name, text, at):
+        path = os.path.join(folder, name)
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+        os.utime(path, (at, at))
+
+    def run():
+        W.start_feed_watch(spark, hdir, vdir, out, ck, available_now=True).awaitTermination()
+        rows = W.read_output(spark, out, "reconcile")
+        return None if rows is None else {r.sku: (r.hnau_qty, r.vs_qty, r.supplier_id, r.account) for r in rows.collect()}
+
+    land(hdir, "a.csv", "\ufeffremark,online_salable_qty_quantity,sku_oms_details_sap_supplier_id,sku_oms_details_sku\n"
+         "\"two\nlines\",3,S1,a\nx,4,S2,\" b\n\"\nx,9,S9,c,too,long\n", 1000)
+    land(hdir, "b.csv", "sku_oms_details_sku,online_salable_qty_quantity,sku_oms_details_sap_supplier_id\nd,1e20,S3\nd,1,S3\ne,5\n", 1000)
+    land(vdir, "a.csv", "supplier_sku,account,free_stock\na,ACC,7\n", 1000)
+    assert run() == {"A": (3, 7, "S1", "ACC"), "B": (4, None, "S2", None), "E": (5, None, None, None)}
+    assert [(r.sku, int(r.qty), r.n_rows) for r in W.read_output(spark, out, "hnau_rejected").collect()] == [("D", 10**20 + 1, 2)]
+    # synonyms of the roles; a further file of the time taken last completes its delivery
+    land(vdir, "b.csv", "Item Code,Vendor,On Hand\nz,ACC2,8\n", 1000)
+    assert run()["Z"] == (None, 8, None, "ACC2") and run()["A"] == (3, 7, "S1", "ACC")
+    # a file without a header or without the columns is refused, and the next one counts
+    land(vdir, "c.csv", "\n", 4000)
+    land(vdir, "d.csv", "colour,size\nred,1\n", 3000)
+    land(vdir, "e.csv", "account,supplier_sku,free_stock\nACC,a,1\n", 2000)
+    assert run()["A"] == (3, 1, "S1", "ACC")
+    status = {os.path.basename(r.file_path): r.status for r in W.read_history(spark, out, "ledger").collect()}
+    assert [status[f"{k}.csv"] for k in "abcde"] == ["seen", "seen", "refused", "refused", "seen"]
+    # the newest file has a header and no rows: no stock
+    land(vdir, "f.csv", "account,supplier_sku,free_stock\n", 5000)
+    assert run() == {"A": (3, None, "S1", None), "B": (4, None, "S2", None), "E": (5, None, None, None)}
+    # a new stream over the same outputs counts its batches anew and takes nothing older
+    ck = str(tmp_path / "ck2")
+    assert run()["A"] == (3, None, "S1", None)
