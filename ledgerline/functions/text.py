@@ -131,44 +131,89 @@ def snake_simple(c: ColumnOrName) -> Column:
 JSON_TOKENS = r'"(?:[^"\\]|\\.)*+":?|[^"]++'
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _last_wins(entries: Column) -> Column:
     """Of (key, value) structs, the last of each key, in their order: sorted by
     key and place, an entry stays if the next has another key."""
     placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("place"), e["value"].alias("value")))
-    by_key = F.array_sort(placed)
-    next_key = F.concat(F.transform(F.slice(by_key, F.lit(2), F.greatest(F.size(by_key) - 1, F.lit(0))), lambda e: e["key"]),
-                        F.array(F.lit(None).cast("string")))
-    last = F.filter(F.arrays_zip(by_key.alias("e"), next_key.alias("n")), lambda z: z["e"]["key"].isNotNull()
-                    & (z["n"].isNull() | (z["n"] != z["e"]["key"])))
-    return F.array_sort(F.transform(last, lambda z: F.struct(z["e"]["place"].alias("place"), z["e"]["key"].alias("key"),
-                                                             z["e"]["value"].alias("value"))))
+
+    def last(by_key: Column) -> Column:
+        kept = F.filter(by_key, lambda e, i: F.coalesce(F.get(by_key, i + 1)["key"] != e["key"], F.lit(True)))
+        return F.array_sort(F.transform(kept, lambda e: F.struct(e["place"].alias("place"), e["key"].alias("key"), e["value"].alias("value"))))
+    return _let(F.array_sort(placed), last)
 
 
 def _quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def _key_text(token: Column) -> Column:
+    """Text of a JSON string; only one with a backslash needs a parser."""
+    inner = token.substr(F.lit(2), F.length(token) - 2)
+    return F.when(token.contains("\\"), F.try_variant_get(F.try_parse_json(token), "$", "string")).otherwise(inner)
+
+
+# Strings, marks and other scalars of a JSON text.
+_JSON_PARTS = r'"(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^"{}\[\],:\s]++'
+
+
+def _without_clashes(json: Column) -> Column:
+    """A JSON text in which, of an object's members of one name, the last one
+    stays. One pass notes the object of every part; a member that a later one
+    replaces is never its object's last, so it goes with the comma behind it."""
+    def step(acc, p):
+        of = F.concat(acc["of"], F.array(F.element_at(acc["open"], -1)))
+        inside = (F.when(p["t"].isin("{", "["), F.concat(acc["open"], F.array(p["i"])))
+                  .when(p["t"].isin("}", "]"), F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - 1)).otherwise(acc["open"]))
+        return F.struct(inside.alias("open"), of.alias("of"))
+
+    def of_parts(numbered: Column) -> Column:
+        start = F.struct(F.array(F.lit(-1)).alias("open"), F.array().cast("array<int>").alias("of"))
+        return _let(F.aggregate(numbered, start, step, lambda acc: acc["of"]), lambda of: kept(numbered, of))
+
+    def kept(numbered: Column, of: Column) -> Column:
+        keys = F.filter(numbered, lambda p: p["t"].startswith('"') & (F.get(numbered, p["i"] + 1)["t"] == ":"))
+        placed = F.transform(keys, lambda p: F.struct(F.get(of, p["i"]).alias("of"), p["t"].alias("t"), p["i"].alias("i")))
+        return _let(placed, lambda members: _let(spans(members), lambda gone: F.array_join(F.transform(
+            F.filter(numbered, lambda p: ~F.exists(gone, lambda s: (p["i"] >= s["a"]) & (p["i"] < s["b"]))), lambda p: p["t"]), "")))
+
+    def spans(members: Column) -> Column:
+        gone = F.filter(members, lambda k: F.exists(members, lambda x: (x["of"] == k["of"]) & (x["t"] == k["t"]) & (x["i"] > k["i"])))
+        return F.transform(gone, lambda k: F.struct(k["i"].alias("a"), F.array_min(F.transform(
+            F.filter(members, lambda x: (x["of"] == k["of"]) & (x["i"] > k["i"])), lambda x: x["i"])).alias("b")))
+    parts = F.regexp_extract_all(json, F.lit(_JSON_PARTS), 0)
+    return _let(F.transform(parts, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), of_parts)
+
+
 def _rename_keys(json: Column, key_fn) -> Column:
     """Rename the keys of all objects in a compact JSON text, token by token: a
-    string that a colon follows is a key."""
+    string that a colon follows is a key. The renamed text is parsed once; where
+    that shows members of one name, the last of them stays."""
     def token(t: Column) -> Column:
-        name = F.try_variant_get(F.try_parse_json(F.regexp_replace(t, ":$", "")), "$", "string")
+        name = _key_text(t.substr(F.lit(1), F.length(t) - 1))
         return F.when(t.startswith('"') & t.endswith('":'), F.concat(_quoted(key_fn(name)), F.lit(":"))).otherwise(t)
-    return F.array_join(F.transform(F.regexp_extract_all(json, F.lit(JSON_TOKENS), 0), token), "")
+
+    def checked(renamed: Column) -> Column:
+        whole = F.length(F.to_json(F.try_parse_json(renamed))) == F.length(renamed)
+        return F.when(F.coalesce(whole, F.lit(False)), renamed).otherwise(_without_clashes(renamed))
+    return _let(F.array_join(F.transform(F.regexp_extract_all(json, F.lit(JSON_TOKENS), 0), token), ""), checked)
 
 
 def snake_json_keys(c: ColumnOrName, key_fn=snake_token) -> Column:
     """Rename the keys of every object, at any depth and inside arrays;
-    values kept. Of the outer object's keys that become the same name the last
-    one wins; of an inner object's both members are written, and a JSON reader
-    takes the last. Non-objects come back compact, null where not JSON."""
+    values kept. Of an object's keys that become the same name the last one
+    wins. Non-objects come back compact, null where not JSON."""
     s = _c(c)
-    parsed = F.try_parse_json(s)
     entries = F.transform(F.map_entries(F.from_json(s, "map<string,variant>")), lambda x: F.struct(
         key_fn(x["key"]).alias("key"), _rename_keys(F.to_json(x["value"]), key_fn).alias("value")))
     members = F.transform(_last_wins(entries), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
-    return (F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
-            .when(parsed.isNotNull(), _rename_keys(F.to_json(parsed), key_fn)))
+    return _let(F.try_parse_json(s), lambda parsed: F.when(
+        F.schema_of_variant(parsed).startswith("OBJECT"), F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}")))
+        .when(parsed.isNotNull(), _rename_keys(F.to_json(parsed), key_fn)))
 
 
 def snake_case_text(c: ColumnOrName) -> Column:
@@ -276,9 +321,20 @@ def collapse_blank_lines(c: ColumnOrName, max_consecutive: int = 2) -> Column:
     return F.concat(body, F.when(s.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))
 
 
-def drop_html_comments(c: ColumnOrName) -> Column:
-    """Remove ``<!-- ... -->`` comments (across lines)."""
-    return F.regexp_replace(_c(c), r"(?s)<!--.*?-->", "")
+# What the comment remover reads at once: a quoted run (to its end or the
+# text's; a backslash takes the next character along), or a comment.
+_QUOTED_RUN = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|\\?\z))"""
+_SCRIPT = r"(<(?i:script)\b[^>]*+>.*?(?:</(?i:script)\s*+>|\z))"
+_COMMENT = r"<!--.*?(?:-->|\z)"
+
+
+def drop_html_comments(c: ColumnOrName, keep_scripts: bool = False) -> Column:
+    """Remove ``<!-- ... -->`` comments (across lines, an open one to the
+    end) in one pass from the left; what begins inside a quoted run, or with
+    ``keep_scripts`` inside a script element, stays."""
+    if keep_scripts:
+        return F.regexp_replace(_c(c), rf"(?s){_SCRIPT}|{_QUOTED_RUN}|{_COMMENT}", "$1$2")
+    return F.regexp_replace(_c(c), rf"(?s){_QUOTED_RUN}|{_COMMENT}", "$1")
 
 
 def mime_of(name: ColumnOrName) -> Column:

@@ -306,6 +306,30 @@ def g14(spark, sf):
     return C.pivot_attributes(eav(spark, sf), "part_number", ATTRS)
 
 
+_EAV_OPTIONS = "SELECT *, CAST(NULL AS BIGINT) AS option_id FROM eav WHERE attribute_code <> 'brand' UNION ALL " \
+    "SELECT part_number, 'brand', NULL, NULL, NULL, CAST(vendor_id % 12 AS BIGINT) FROM products"
+_OPTIONS = "SELECT DISTINCT CAST(vendor_id % 12 AS BIGINT) AS option_id, concat('Option ', CAST(vendor_id % 12 AS VARCHAR)) AS value " \
+    "FROM products WHERE vendor_id % 12 < 10"
+
+
+@register("g14_pivot_options", "G14", with_fixtures("""
+SELECT part_number, max(CASE WHEN attribute_code = 'size' THEN value_int END) AS size,
+       max(CASE WHEN attribute_code = 'brand' THEN o.value END) AS brand,
+       max(CASE WHEN attribute_code = 'price' THEN value_decimal END) AS price,
+       max(CASE WHEN attribute_code = 'color' THEN value_text END) AS color
+FROM eav_o LEFT JOIN options o ON o.option_id = eav_o.option_id GROUP BY part_number""", "products",
+    extra={"eav": _EAV, "eav_o": _EAV_OPTIONS, "options": _OPTIONS}))
+def g14_options(spark, sf):
+    """Brands as option ids; two of the ids are in no option."""
+    p = fixture(spark, sf, "products")
+    number = (F.col("vendor_id") % 12).cast("bigint")
+    rows = eav(spark, sf).where("attribute_code <> 'brand'").withColumn("option_id", F.lit(None).cast("bigint")).unionByName(
+        p.select("part_number", F.lit("brand").alias("attribute_code"), number.alias("option_id")), allowMissingColumns=True)
+    options = p.where(F.col("vendor_id") % 12 < 10).select(
+        number.alias("option_id"), F.concat(F.lit("Option "), number.cast("string")).alias("value"))
+    return C.pivot_attributes(rows, "part_number", ATTRS | {"brand": ("option_id", "string")}, options)
+
+
 def required_attributes(spark, sf):
     """Required attributes per category: everything needs brand and price,
     brass types also need a color."""
@@ -521,10 +545,8 @@ def i7(spark, sf):
     """Files of update rows with a line number, into a table that holds every
     second product already; products ending in 7 get no update."""
     lines = product_update_rows(spark, sf).where(~F.col("sku").endswith("7")).withColumnRenamed("row_no", "line_no")
-    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
-             for c in lines.columns]
-    from ledgerline.plans.q_sources import _path, _write_lines
-    glob = _write_lines(lines.select(F.concat_ws(",", *cells).alias("line")), ",".join(lines.columns), _path(spark, sf, "product_updates"))
+    from ledgerline.plans.q_sources import _both_orders, _path
+    glob = _both_orders(lines, F.xxhash64("sku", "line_no"), _path(spark, sf, "product_updates"))
     raw = read_csv_raw(spark, glob, multi_line=True).withColumn("line_no", F.col("line_no").cast("int"))
     stored = C.type_product_rows(fixture(spark, sf, "products_m2").where(
         F.col("sku").endswith("7") | F.col("sku").endswith("1") | F.col("sku").endswith("5")).select(

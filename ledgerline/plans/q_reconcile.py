@@ -3,13 +3,17 @@ comparison family (F2, F2k, F2p, F2r, D4, D6, K1), change detection (F3, F4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ledgerline.operators import digest as D
 from ledgerline.operators import reconcile as R
 from ledgerline.operators.quality import validate_mapping
 from ledgerline.plans import duck
 from ledgerline.plans.fixtures import fixture, with_fixtures
 from ledgerline.plans.registry import in_order, register
+from ledgerline.session import scratch_path
 
 # ---------------------------------------------------------------------------
 # F0 / F1 / F1s / D5
@@ -353,3 +357,26 @@ register("f3_changed_null_safe", "F3", with_fixtures(
 register("f4_changed_null_zero", "F4", with_fixtures(
     _CHANGES_BASE + " WHERE coalesce(l.FreeStock, 0) <> coalesce(p.FreeStock, 0)",
     "inventory", "inventory_latest"))(lambda spark, sf: changes(spark, sf, True))
+
+
+# ---- F3 on stored snapshots: only the leaves that differ are read
+
+
+def changes_by_digest(spark, sf, latest, previous):
+    run = scratch_path(spark, f"snapshots/{uuid.uuid4().hex}")
+    paths = [D.write_snapshot(rows, f"{run}/{name}", leaf_rows=1500) for name, rows in (("latest", latest), ("previous", previous))]
+    return D.changed_since(spark, *paths)
+
+
+register("f3_changed_by_digest", "F3", with_fixtures(
+    _CHANGES_BASE + " WHERE l.FreeStock IS DISTINCT FROM p.FreeStock", "inventory", "inventory_latest"))(
+    lambda spark, sf: changes_by_digest(spark, sf, fixture(spark, sf, "inventory_latest"), fixture(spark, sf, "inventory")))
+
+
+@register("f3_few_changed_by_digest", "F3", with_fixtures("""
+SELECT SupplierSKU AS sku, Account, FreeStock AS latest_qty, FreeStock - 1 AS previous_qty
+FROM inventory_latest WHERE SupplierSKU LIKE '%77' AND FreeStock IS NOT NULL""", "inventory_latest"))
+def f3_few(spark, sf):
+    latest = fixture(spark, sf, "inventory_latest")
+    fewer = F.when(F.col("SupplierSKU").endswith("77"), F.col("FreeStock") - 1).otherwise(F.col("FreeStock"))
+    return changes_by_digest(spark, sf, latest, latest.withColumn("FreeStock", fewer))

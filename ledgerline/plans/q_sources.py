@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerline.plans.fixtures import fixture, with_fixtures
 from ledgerline.plans.q_catalog import entity_payloads
 from ledgerline.plans.registry import register
+from ledgerline.operators import fuzzy as FZ
 from ledgerline.operators.catalog import route_entities
 from ledgerline.session import scratch_path, table
 from ledgerline.sinks import writers as WR
@@ -295,6 +296,25 @@ def b9(spark, sf):
     return p.where(SH.approx_match("p_name", B9_TARGET))
 
 
+_B9_TARGETS = ("SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN concat(' ', upper(substring(p_name, 1, 5)), '_', substring(p_name, 7, 50)) "
+               "WHEN p_partkey % 3 = 1 THEN substring(p_name, 3, 1 + CAST(p_partkey % 7 AS INTEGER)) ELSE concat(p_name, 's') END AS target "
+               "FROM {part} WHERE p_partkey % {every} = 0")
+B9_EVERY = 40
+
+
+@register("b9_many_targets", "B9", f"""
+SELECT p.*, lower(trim(t.target)) AS target FROM part p, (SELECT DISTINCT lower(trim(target)) AS target FROM (
+  {_B9_TARGETS.format(part="part", every=B9_EVERY)})) t
+WHERE trim(t.target) <> '' AND (contains(lower(trim(coalesce(p_name, ''))), t.target)
+   OR list_sum(list_transform(range(1, least(length(lower(trim(coalesce(p_name, '')))), length(t.target)) + 1),
+        lambda i: CASE WHEN substring(lower(trim(coalesce(p_name, ''))), i, 1) = substring(t.target, i, 1) THEN 1 ELSE 0 END)) >= length(t.target) - 1)""")
+def b9_many(spark, sf):
+    """A table of targets: names with a changed place, parts of names, and
+    names that are one character longer."""
+    p = table(spark, sf, "part")
+    return FZ.approx_matches(p, "p_name", spark.sql(_B9_TARGETS.format(part="{part}", every=B9_EVERY), part=p), "target")
+
+
 @register("d1_any_column_filter", "D1", """
 SELECT * FROM part WHERE contains(lower(CAST(p_partkey AS VARCHAR)), 'gizmo') OR contains(lower(coalesce(p_name, '')), 'gizmo')
    OR contains(lower(coalesce(p_brand, '')), 'gizmo') OR contains(lower(coalesce(p_type, '')), 'gizmo')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import text as T
 from ledgerline.functions.jsonfn import canonical_json
+from ledgerline.operators.orderdiff import ordered_diff
 from ledgerline.operators.textdiff import line_diff
 from ledgerline.plans import duck
 from ledgerline.plans.fixtures import fixture, with_fixtures
@@ -95,7 +96,7 @@ def c21(spark, sf):
 @register("c22_snake_json_keys", "C22/C10",
           "SELECT event_id, CAST(json(props) AS VARCHAR) AS props, CAST(json(props) AS VARCHAR) AS canonical FROM events")
 def c22(spark, sf):
-    e = table(spark, sf, "events")
+    e = spread(table(spark, sf, "events"), "event_id")
     return e.select("event_id", T.snake_json_keys("props").alias("props"), canonical_json("props").alias("canonical"))
 
 
@@ -106,7 +107,7 @@ def c22_nested(spark, sf):
     u = F.coalesce("user_id", F.lit(0))
     props = F.concat(F.lit('{"Outer Key":{"Inner-Key":'), "event_id", F.lit(',"list Of":[{"Deep Key":'), u, F.lit('},"a: \\"b\\": c",null]}}'))
     items = F.concat(F.lit('[{"User ID":'), u, F.lit('},["Not A Key"]]'))
-    return table(spark, sf, "events").select("event_id", T.snake_json_keys(props).alias("props"), T.snake_json_keys(items).alias("items"))
+    return spread(table(spark, sf, "events"), "event_id").select("event_id", T.snake_json_keys(props).alias("props"), T.snake_json_keys(items).alias("items"))
 
 
 # ---- C23 / C24 / C25 ----------------------------------------------------------
@@ -223,9 +224,24 @@ _C29 = (f"concat(array_to_string(list_transform(list_filter(list_transform({_L},
 register("c29_collapse_blank_lines", "C29", _docs_sql(_C29))(
     lambda spark, sf: docs(spark, sf).select("doc_id", T.collapse_blank_lines("text").alias("text")))
 
-register("c30_drop_html_comments", "C30",
-         "SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM pages")(
-    lambda spark, sf: pages(spark, sf).select("page_id", T.drop_html_comments("html").alias("html")))
+# comments, quoted ones, escaped quotes, scripts, and an open comment at the end of some pages
+_SPLICED_HTML = ("concat('<p title=\"a <!-- kept --> b\">it <!-- gone \n \" --> is</p>', html, '\n<i x=''<!-- kept''>', "
+                 "'<SCRIPT a=1>if (a <!-- kept --> b) don''t();</script >', CASE WHEN page_id % 3 = 0 THEN '<!-- open \"' ELSE '\"ends \\\\' END)")
+_RUN_SQL = r"""("(?:[^"\\]|\\.)*(?:"|\\?\z)|''(?:[^''\\]|\\.)*(?:''|\\?\z))"""
+_SPLICED_DUCK = _SPLICED_HTML.replace("\\\\", "\\")
+
+
+def spliced_pages(spark, sf):
+    return pages(spark, sf).select("page_id", F.expr(_SPLICED_HTML).alias("html"))
+
+
+register("c30_drop_html_comments", "C30", f"""
+SELECT page_id, regexp_replace({_SPLICED_DUCK}, '(?s){_RUN_SQL}|<!--.*?(?:-->|\\z)', '\\1', 'g') AS html FROM pages""")(
+    lambda spark, sf: spliced_pages(spark, sf).select("page_id", T.drop_html_comments("html").alias("html")))
+register("c30_keep_scripts", "C30", f"""
+SELECT page_id, regexp_replace({_SPLICED_DUCK},
+  '(?s)(<(?i:script)\\b[^>]*>.*?(?:</(?i:script)\\s*>|\\z))|{_RUN_SQL}|<!--.*?(?:-->|\\z)', '\\1\\2', 'g') AS html FROM pages""")(
+    lambda spark, sf: spliced_pages(spark, sf).select("page_id", T.drop_html_comments("html", keep_scripts=True).alias("html")))
 
 
 @register("c31_base64_media", "C31", """
@@ -255,3 +271,74 @@ WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""", "docs_spliced"))
 def f9(spark, sf):
     d = docs(spark, sf)
     return line_diff(d, d.select("doc_id", T.normalize_text("text").alias("text")))
+
+
+# ---- F9 ordered: documents before and after lines are dropped, edited, repeated, moved ----
+
+_LINES = f"""SELECT doc_id, n, line FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n
+  FROM (SELECT doc_id, {duck.splitlines('text')} AS l FROM docs_spliced))"""
+_EDIT = "CASE WHEN (n * 3 + doc_id) % 11 = 0 THEN concat(line, ' (edited)') ELSE line END"
+_PLACE = "CASE WHEN (n + doc_id) % 9 = 4 THEN 2 * n + 13 ELSE 2 * n END"
+_DROP = "(n + doc_id) % 7 = 0"
+_AGAIN = "(n + doc_id) % 6 = 1"
+
+
+def _runs(pairs: str, name: str) -> str:
+    """CTEs that keep a longest ascending run of each key and gap, by piles."""
+    return f"""
+{name}_l AS (SELECT doc_id, gap, list_reduce(list_prepend(CAST([] AS STRUCT(k BIGINT, i BIGINT, j BIGINT, size BIGINT)[]),
+    list([{{'k': k, 'i': i, 'j': j, 'size': 0}}] ORDER BY k)), lambda acc, x: list_append(acc, {{'k': x[1].k, 'i': x[1].i, 'j': x[1].j,
+    'size': 1 + coalesce(list_max(list_transform(list_filter(acc, lambda y: y.j < x[1].j), lambda y: y.size)), 0)}})) AS p
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS k FROM ({pairs})) GROUP BY doc_id, gap),
+{name}_p AS (SELECT doc_id, gap, unnest(p, recursive := true) FROM {name}_l),
+{name}_top AS (SELECT doc_id, gap, max(size) AS size, arg_max(k, (size, k)) AS k FROM {name}_p GROUP BY doc_id, gap),
+{name}_w AS (
+  SELECT doc_id, gap, size, k FROM {name}_top
+  UNION ALL SELECT w.doc_id, w.gap, w.size - 1, (SELECT max(p.k) FROM {name}_p p WHERE p.doc_id = w.doc_id AND p.gap = w.gap AND p.size = w.size - 1 AND p.k < w.k)
+  FROM {name}_w w WHERE w.size > 1),
+{name} AS (SELECT p.doc_id, p.i, p.j FROM {name}_w w JOIN {name}_p p ON p.doc_id = w.doc_id AND p.gap = w.gap AND p.k = w.k)"""
+
+
+def _gaps(lines: str, number: str, matches: str) -> str:
+    return (f"SELECT l.*, m.{number} IS NOT NULL AS match, coalesce(sum(CASE WHEN m.{number} IS NULL THEN 0 ELSE 1 END) OVER "
+            f"(PARTITION BY l.doc_id ORDER BY l.n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap "
+            f"FROM {lines} l LEFT JOIN {matches} m ON m.doc_id = l.doc_id AND m.{number} = l.n")
+
+
+_F9_ORDERED = with_fixtures("SELECT 1", "docs_spliced").removeprefix("WITH ").removesuffix("SELECT 1").strip()
+_F9_ORDERED = f"""WITH RECURSIVE {_F9_ORDERED},
+a AS ({_LINES}),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place, again) AS n, line FROM (
+  SELECT doc_id, {_PLACE} AS place, 0 AS again, {_EDIT} AS line FROM a WHERE NOT {_DROP}
+  UNION ALL SELECT doc_id, {_PLACE}, 1, {_EDIT} FROM a WHERE {_AGAIN} AND NOT {_DROP})),
+a1 AS (SELECT doc_id, line, min(n) AS i FROM a GROUP BY doc_id, line HAVING count(*) = 1),
+b1 AS (SELECT doc_id, line, min(n) AS j FROM b GROUP BY doc_id, line HAVING count(*) = 1),
+{_runs("SELECT doc_id, 0 AS gap, i, j FROM a1 JOIN b1 USING (doc_id, line)", "anchors")},
+a2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap, line ORDER BY n) AS o FROM ({_gaps("a", "i", "anchors")}) WHERE NOT match),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gap, line ORDER BY n) AS o FROM ({_gaps("b", "j", "anchors")}) WHERE NOT match),
+{_runs("SELECT doc_id, gap, a2.n AS i, b2.n AS j FROM a2 JOIN b2 USING (doc_id, gap, line, o)", "between")},
+m AS (SELECT * FROM anchors UNION ALL SELECT * FROM between),
+rows_ AS (
+  SELECT g.doc_id, g.gap, CASE WHEN g.match THEN 2 ELSE 0 END AS phase, g.n, g.n AS i, m.j, g.line FROM ({_gaps("a", "i", "m")}) g
+    LEFT JOIN m ON m.doc_id = g.doc_id AND m.i = g.n
+  UNION ALL SELECT doc_id, gap, 1, n, NULL, n, line FROM ({_gaps("b", "j", "m")}) WHERE NOT match),
+near AS (SELECT *, max(CASE WHEN phase < 2 THEN gap END) OVER (PARTITION BY doc_id ORDER BY gap, phase, n) AS last,
+  min(CASE WHEN phase < 2 THEN gap END) OVER (PARTITION BY doc_id ORDER BY gap, phase, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next FROM rows_),
+kept AS (SELECT *, lag(gap) OVER w AS g0, lag(phase) OVER w AS p0, row_number() OVER w AS position FROM near
+  WHERE phase < 2 OR gap - last < 3 OR next - gap <= 3 WINDOW w AS (PARTITION BY doc_id ORDER BY gap, phase, n))
+SELECT doc_id, CAST(sum(CASE WHEN g0 IS NULL OR gap > g0 + CASE WHEN p0 = 2 THEN 1 ELSE 0 END THEN 1 ELSE 0 END) OVER (
+         PARTITION BY doc_id ORDER BY position) AS INTEGER) AS hunk, CAST(position AS INTEGER) AS position,
+       ['-', '+', ' '][phase + 1] AS op, CAST(i AS INTEGER) AS before_line, CAST(j AS INTEGER) AS after_line, line FROM kept
+"""
+
+
+@register("f9_ordered_diff", "F9", _F9_ORDERED)
+def f9_ordered(spark, sf):
+    d = docs(spark, sf)
+    rows = d.select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("at", "line")).withColumn("n", F.col("at") + 1)
+    rows = rows.where(f"NOT {_DROP}").select(
+        "doc_id", F.expr(_PLACE).alias("place"), F.expr(_EDIT).alias("line"),
+        F.explode(F.when(F.expr(_AGAIN), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "again", "line"))), lambda x: x["line"])
+    after = rows.groupBy("doc_id").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    return ordered_diff(d, after)

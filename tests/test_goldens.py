@@ -33,12 +33,12 @@ def test_category_tree_generic_keys(spark):
 
 
 def test_stock_change_golden(spark):
-    inv = spark.createDataFrame([("A", "SKU001", 10), ("A", "SKU002", 5), ("A", "SKU003", 0)],
+    inv = spark.createDataFrame([("wh", "bolt", 40), ("wh", "nut", 3), ("wh", "cog", None), ("wh", "pin", 6)],
                                 "Account string, SupplierSKU string, FreeStock int")
-    latest = spark.createDataFrame([("A", "SKU001", 8), ("A", "SKU002", 5), ("A", "SKU003", 15), ("A", "SKU004", 20)],
+    latest = spark.createDataFrame([("wh", "bolt", 41), ("wh", "nut", 3), ("wh", "cog", 2), ("wh", "gear", 9)],
                                    "Account string, SupplierSKU string, FreeStock int")
     ch = R.changed_skus(latest, inv)
-    assert sorted((r.sku, r.latest_qty) for r in ch.collect()) == [("SKU001", 8), ("SKU003", 15), ("SKU004", 20)]
+    assert sorted((r.sku, r.latest_qty) for r in ch.collect()) == [("bolt", 41), ("cog", 2), ("gear", 9)]
     feed = G.change_feed(ch, G.DEFAULT_SOURCES, qty="latest_qty", order_cols=["sku"])
     rows = feed.collect()
     assert len(rows) == 6 and all(r.stock_status == 1 for r in rows)

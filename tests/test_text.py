@@ -139,3 +139,51 @@ def test_collapse_blank_lines_cases(spark):
     for k in (0, 1, 2, 3):
         got = [r[0] for r in df.select(T.collapse_blank_lines("s", k)).collect()]
         assert got == [reference(t, k) for t in texts], k
+
+
+def test_last_of_equal_names_wins_at_every_depth(spark):
+    import json
+    import random
+
+    rng = random.Random(12)
+    names = ["aB", "a_b", "A b", 'x"y', "x_y", "C", "é", "k:", "k", ""]
+
+    def value(depth):
+        kind = rng.random()
+        if depth and kind < 0.45:
+            return "{" + ",".join(f"{json.dumps(n)}:{value(depth - 1)}"
+                                  for n in rng.sample(names, rng.randint(0, 5))) + "}"
+        if depth and kind < 0.7:
+            return "[" + ", ".join(value(depth - 1) for _ in range(rng.randint(0, 3))) + "]"
+        return rng.choice(["1", "null", "true", json.dumps('a: {"b": [1,2]},'), '"é"', "2.5", '""', "-7"])
+    texts = [value(4) for _ in range(400)]
+
+    def snake(x):
+        if isinstance(x, dict):
+            return {py_snake_token(k): snake(v) for k, v in x.items()}
+        return [snake(v) for v in x] if isinstance(x, list) else x
+
+    def plain(pairs):
+        assert len({k for k, _ in pairs}) == len(pairs)
+        return dict(pairs)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.snake_json_keys("t").alias("got")).collect()
+    clashes = 0
+    for r in rows:
+        expected = snake(json.loads(r.t))
+        # in a variant object the keys are sorted by their old names: the last is that of the greatest
+        got = json.loads(r.got, object_pairs_hook=plain)
+        clashes += got != expected
+        assert shape(got) == shape(expected)
+    assert clashes < len(rows) / 2
+
+
+def shape(x):
+    """Names and sizes, without the values of names that clash."""
+    return sorted(x) if isinstance(x, dict) else len(x) if isinstance(x, list) else x
+
+
+def py_snake_token(s):
+    import re
+    s = re.sub(r"[^\w\s]+", " ", s.strip())
+    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", re.sub(r"[\s\-]+", "_", s))
+    return re.sub(r"_+", "_", s).strip("_").lower()
