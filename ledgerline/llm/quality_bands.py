@@ -30,8 +30,10 @@ LEVEL = 3
 #: a length lies well inside; base64 text has about 1.3, one repeated word 10.
 BANDS = ((0, 0.0, float("inf")), (100, 0.7, 2.6), (400, 1.2, 3.2), (1600, 1.36, 3.8), (6400, 1.4, 4.5), (25600, 1.45, 5.5))
 CHUNK = 4096
-#: Highest share of chunks outside their limits.
+#: Highest share of chunks outside their limits, and the most of them in a row:
+#: a block of junk of that size rejects a document of any length.
 BAD_CHUNKS = 0.25
+BAD_RUN = 2
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
@@ -71,8 +73,8 @@ def repeated_words(values: np.ndarray, row: np.ndarray, rolling: Rolling, size:
     return cover(ok[twice[at] == key], size, len(values))
 
 
-def judge(docs: DataFrame, *, bands=BANDS, chunk: int = CHUNK, bad_chunks: float = BAD_CHUNKS, level: int = LEVEL,
-          min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT,
+def judge(docs: DataFrame, *, bands=BANDS, chunk: int = CHUNK, bad_chunks: float = BAD_CHUNKS, bad_run: int = BAD_RUN,
+          level: int = LEVEL,           min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT,
           id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """One row per document: the base counts, base_failed, kept, ratio,
     n_chunks and n_bad_chunks."""
@@ -99,17 +101,18 @@ def judge(docs: DataFrame, *, bands=BANDS, chunk: int = CHUNK, bad_chunks: float
                 lo, hi = limits(b - a, bands)
                 good = lo <= r <= hi
                 edges = chunk_edges(b - a, chunk)
-                bad = 0
+                bad = run = longest = 0
                 if len(edges) > 1:
                     for x, y in edges:
                         lo, hi = limits(y - x, bands)
-                        bad += not lo <= (y - x) / len(squeeze(text[x:y])) <= hi
+                        run = 0 if lo <= (y - x) / len(squeeze(text[x:y])) <= hi else run + 1
+                        bad, longest = bad + (run > 0), max(longest, run)
                 else:
                     bad = int(not good)
                 ratio.append(r)
                 n_chunks.append(len(edges))
                 n_bad.append(bad)
-                in_band.append(good and bad <= bad_chunks * len(edges))
+                in_band.append(good and bad <= bad_chunks * len(edges) and longest <= bad_run)
             failed = (n_words < min_words) | (100 * repeat > repeat_percent * n_words)
             return [pa.array(n_words), pa.array(word_chars), pa.array(symbols), pa.array(dup, pa.int64()),
                     pa.array(repeat), pa.array(failed), pa.array(~failed & np.array(in_band, bool)),
