@@ -2,14 +2,18 @@
 
 A document is a bag of sentences. A sentence's score is a logistic function of
 its hashed words and
-their stems; a document's is the noisy-or of its sentences,
-1 - prod(1 - p). Only documents are labelled; the gradient of the noisy-or
-gives the blame to the sentences that explain the label, so the model also
-tells which sentences offend.
+their stems; a document's is the noisy-or of its sentences and of one leak,
+1 - (1 - leak) * prod(1 - p). A sentence without a feature that the model knows
+says nothing and is left out, so length alone makes no document toxic. Only
+documents are labelled; the gradient of the noisy-or gives the blame to the
+sentences that explain the label, so the model also tells which sentences
+offend.
 
 Training: on the driver, from a bounded sample of labelled documents: at most
 about ``per_class`` of each label, chosen by a hash of the id, of at most
-``SAMPLE_BYTES`` bytes each. Only features whose share of distinct sentences differs
+``SAMPLE_BYTES`` bytes each. Of a label that has fewer than ``LEAST`` among
+them, its shortest documents are taken, whatever their size, up to ``LONG_BYTES``
+bytes together. Only features whose share of distinct sentences differs
 between the labels by ``TELLING`` standard errors get a weight; as copies of a
 sentence count once, the words of a copied document don't. The model is a short list of
 features and weights and is broadcast;
@@ -38,6 +42,9 @@ from .textarrays import U64, Rolling, byte_class, mix, utf8, words
 
 PER_CLASS = 1200
 SAMPLE_BYTES = 1 << 14
+#: Documents of a label that are looked for among longer ones too, and their bytes.
+LEAST = 50
+LONG_BYTES = 16 << 20
 #: Bytes of a longer word's beginning that are a feature of their own.
 STEM = 5
 THRESHOLD = 0.7
@@ -80,23 +87,43 @@ class Bags:
         return at[use], self.sentence[use]
 
 
-def noisy_or(z: np.ndarray, row: np.ndarray, none: float) -> np.ndarray:
-    """1 - prod(1 - sigmoid(z)) per row; rows without a sentence get sigmoid(none)."""
+def noisy_or(z: np.ndarray, row: np.ndarray, leak: float) -> np.ndarray:
+    """1 - (1 - sigmoid(leak)) * prod(1 - sigmoid(z)) per row; a z of minus
+    infinity is a sentence that says nothing."""
     total = np.concatenate([[0.0], np.cumsum(np.logaddexp(0, z))])
-    loss = total[row[1:]] - total[row[:-1]]
-    loss = np.where(row[1:] > row[:-1], loss, np.logaddexp(0, none))
-    return -np.expm1(-loss)
+    return -np.expm1(-(total[row[1:]] - total[row[:-1]] + np.logaddexp(0, leak)))
+
+
+def logits(weights: np.ndarray, bias: float, feature: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+    """Of n sentences: bias and weights of their known features, minus infinity
+    without one."""
+    z = bias + np.bincount(sentence, weights[feature], n)
+    return np.where(np.bincount(sentence, minlength=n) > 0, z, -np.inf)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 class Model:
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
-        self.keys, self.weights, self.bias = keys, weights, bias
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, leak: float):
+        self.keys, self.weights, self.bias, self.leak = keys, weights, bias, leak
 
     def scores(self, bags: Bags) -> tuple[np.ndarray, np.ndarray]:
         """(document scores, sentence scores)."""
-        number, sentence = bags.known(self.keys)
-        z = self.bias + np.bincount(sentence, self.weights[number], len(bags.begin))
-        return noisy_or(z, bags.row, self.bias), 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        z = logits(self.weights, self.bias, *bags.known(self.keys), len(bags.begin))
+        return noisy_or(z, bags.row, self.leak), sigmoid(z)
+
+
+def slope(w: np.ndarray, feature: np.ndarray, sentence: np.ndarray, row: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Slope of the log loss (each document's weighed by ``share``) at w: the
+    weights, the sentences' bias, the leak."""
+    rows = np.repeat(np.arange(len(y)), np.diff(row))
+    z = logits(w[:-2], w[-2], feature, sentence, len(rows))
+    doc = np.clip(noisy_or(z, row, w[-1]), 1e-9, 1 - 1e-9)
+    blame = np.where(y > 0, -(1 - doc) / doc, 1.0) * share
+    s = blame[rows] * np.where(np.isfinite(z), sigmoid(z), 0.0)
+    return np.append(np.bincount(feature, s[sentence], len(w) - 2), [s.sum(), blame.sum() * sigmoid(w[-1])])
 
 
 def telling(bags: Bags, y: np.ndarray) -> np.ndarray:
@@ -135,24 +162,25 @@ def train(sample: list[tuple[int, str]], *, rounds: int = 300, rate: float = 1.0
     kept = telling(bags, y[rows])
     feature, sentence = bags.known(kept)
     share = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)  # both labels weigh alike
-
-    def slope(w: np.ndarray) -> np.ndarray:
-        """Slope of the log loss at w (weights, then bias)."""
-        z = w[-1] + np.bincount(sentence, w[:-1][feature], len(bags.begin))
-        doc = np.clip(noisy_or(z, bags.row, w[-1]), 1e-9, 1 - 1e-9)
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        s = np.where(y[rows] > 0, -(1 - doc[rows]) / doc[rows], 1.0) * p * share[rows]
-        return np.append(np.bincount(feature, s[sentence], len(kept)), s.sum())
-
-    w = np.zeros(len(kept) + 1)
-    w[-1] = -4.0
+    w = np.zeros(len(kept) + 2)
+    w[-2:] = -4.0
     seen = np.full(len(w), 1e-8)
     for _ in range(rounds):
-        g = slope(w)
-        g[:-1] += decay * w[:-1]
+        g = slope(w, feature, sentence, bags.row, y, share)
+        g[:-2] += decay * w[:-2]
         seen += g ** 2
         w -= rate * g / np.sqrt(seen)
-    return Model(kept, w[:-1], float(w[-1]))
+    return Model(kept, w[:-2], float(w[-2]), float(w[-1]))
+
+
+def longer(text: DataFrame, truth: DataFrame, label: int) -> list[tuple[int, str]]:
+    """The shortest documents of a label, of any size, within LONG_BYTES."""
+    sizes = text.select("id", F.octet_length("text").alias("size")).where("size > 0")
+    found = sizes.join(truth.where(F.col("y") == label), "id").orderBy("size", "h", "id").select("id", "size").limit(LEAST).collect()
+    total = np.cumsum([r["size"] for r in found])
+    ids = [r["id"] for r, t in zip(found, total) if t <= LONG_BYTES]
+    rows = text.where(F.col("id").isin(ids) & (F.octet_length("text") <= LONG_BYTES)).select("text").limit(LEAST).collect() if ids else []
+    return [(label, r["text"]) for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, modulus: int | None = None, held_out: int | None = None,
@@ -171,7 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, modulus: int | None = None, held_
     chosen = chosen.orderBy("h", "id").limit(3 * per_class)  # bounded: at most this many ids are joined
     text = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     got = text.where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "id")
-    return train([(r["y"], r["text"]) for r in got.orderBy("h", "id").select("y", "text").limit(3 * per_class).collect()])
+    sample = [(r["y"], r["text"]) for r in got.orderBy("h", "id").select("y", "text").limit(3 * per_class).collect()]
+    for label in (0, 1):
+        if sum(y == label for y, _ in sample) < min(LEAST, counts[label]):
+            sample += longer(text, truth, label)
+    return train(sample)
 
 
 def score(docs: DataFrame, model: Model | None, *, locate: bool = False, threshold: float = THRESHOLD,

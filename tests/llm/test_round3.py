@@ -12,7 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, spelling, whitening
+from ledgerline.llm import exact_dedup, quality_bands, spelling, toxicity_mil, whitening
+
+from .conftest import prose
 
 # --- op11
 
@@ -325,3 +327,77 @@ def test_op13_table(spark):
     assert {w: r["n"] for w, r in found.items()} == n
     for w in sorted(n)[::40]:
         assert found[w]["n_near"] == sum(near(w, v) for v in n)
+
+
+# --- op2 and op4 by length
+
+
+def test_op2_junk_in_long_documents(spark):
+    import base64
+    rng = random.Random(2)
+    clean = "\n".join(prose(s, 40) for s in range(330))
+    junk = base64.b64encode(rng.randbytes(18_000)).decode()
+    line = "The very same line stands here again and again.\n"
+    rows = [(1, clean), (2, clean[:92_000] + " " + junk), (3, junk + " " + clean[:92_000]), (4, clean[:90_000] + "\n" + line * 500),
+            (5, clean[:60_000] + junk[:4000] + clean[60_000:92_000])]
+    assert len(clean) > 92_000
+    got = quality_bands.judge(spark.createDataFrame(rows, "doc_id long, text string"), repeat_percent=100).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == {1: True, 2: False, 3: False, 4: False, 5: True}
+
+
+def labelled(n, size=30):
+    rng = random.Random(n)
+    clean = [f"{prose(k, 9)}." for k in range(4 * n)]
+    rows = []
+    for i in range(n):
+        text = rng.sample(clean, size)
+        if i % 4 == 0:
+            text[rng.randrange(size)] = f"{prose(i + 7, 4)} {rng.choice(['rotten', 'filthy'])} {rng.choice(['vile', 'scum'])} {prose(i, 3)}."
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    return rows, clean
+
+
+def test_op4_length_alone_is_not_toxic(spark):
+    rows, clean = labelled(800)
+    model = toxicity_mil.train([(y, t) for _, t, y in rows])
+    docs = [(k, " ".join((clean * 4)[:k])) for k in (1, 10, 100, 1000, 10_000)] + [(0, " ".join(clean[:2000]) + " You rotten vile thing.")]
+    got = {r["doc_id"]: r["score"] for r in toxicity_mil.score(spark.createDataFrame(docs, "doc_id long, text string"), model).collect()}
+    assert got.pop(0) > 0.7 and max(got.values()) < 0.3
+
+
+def test_op4_learns_from_long_documents(spark):
+    """A label of which every document is over the byte bound."""
+    rows, clean = labelled(400)
+    vile = [" ".join(f"{prose(9 * i + k, 5)} rotten filthy vile scum." for k in range(8)) for i, _, _ in rows]
+    rows = [(i, t if not y else " ".join([t, vile[i], *random.Random(i).sample(clean, 250)]), y) for i, t, y in rows]
+    assert min(len(t) for _, t, y in rows if y) > toxicity_mil.SAMPLE_BYTES
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    truth = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity_mil.score(docs, toxicity_mil.fit(docs, truth)).collect()}
+    right = sum(got[i] == y for i, _, y in rows)
+    assert right > 0.9 * len(rows)
+
+
+def test_op4_noisy_or_and_its_slope():
+    rng = np.random.default_rng(5)
+    row = np.array([0, 3, 3, 7, 8])
+    y, share = np.array([1.0, 0.0, 0.0, 1.0]), np.array([0.1, 0.2, 0.3, 0.4])
+    sentence, feature = np.array([0, 0, 1, 4, 5, 5, 7]), np.array([0, 1, 2, 1, 0, 2, 2])
+
+    def loss(w):
+        p = 1 / (1 + np.exp(-w[-1]))
+        out = 0.0
+        for d in range(4):
+            none = 1 - p
+            for s in range(row[d], row[d + 1]):
+                if s in sentence:
+                    none *= 1 - 1 / (1 + np.exp(-(w[-2] + w[:-2][feature[sentence == s]].sum())))
+            out -= share[d] * np.log(1 - none if y[d] else none)
+        return out
+    w = rng.normal(size=5)
+    got = toxicity_mil.slope(w, feature, sentence, row, y, share)
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert abs((loss(w + step) - loss(w - step)) / 2e-6 - got[k]) < 1e-6
+    z = toxicity_mil.logits(w[:-2], w[-2], feature, sentence, 8)
+    assert np.isinf(z).sum() == 3 and toxicity_mil.noisy_or(z, row, -4.0)[1] == pytest.approx(1 / (1 + np.exp(4.0)))
