@@ -12,6 +12,7 @@ import csv
 import io
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def safe_names(cells: list[str]) -> list[str]:
 def _first_record(spark: SparkSession, file: str, encoding: str, multi_line: bool) -> str | None:
     """Text of the first record that isn't blank; None if there is none."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file))
+    path = jvm.org.apache.hadoop.fs.Path(file)
     stream = path.getFileSystem(conf).open(path)
     try:
         codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
@@ -70,7 +71,7 @@ def header_groups(spark: SparkSession, path: str | list[str], sep: str = ",", en
                   multi_line: bool = False) -> list[tuple[list[str], list[str]]]:
     """(column names, files) for each different header, in the order of their
     first file; files without any record are left out."""
-    files = sorted(spark.read.text(path).inputFiles())
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())  # names as the file system has them
     with ThreadPoolExecutor(READERS) as pool:
         records = list(pool.map(lambda f: _first_record(spark, f, encoding, multi_line), files))
     groups: dict[tuple[str, ...], list[str]] = {}

@@ -28,6 +28,11 @@ def test_columns_go_by_each_files_header(spark, tmp_path):
         RD.read_csv_raw(spark, str(tmp_path / "d.csv"))
 
 
+def test_file_names_with_blanks_and_signs(spark, tmp_path):
+    path = land(tmp_path, **{"a b": "x,y\n1,2\n", "c%20d é+": "y,x\n4,3\n"})
+    assert sorted(tuple(r) for r in RD.read_csv_strings(spark, path).select("x", "y").collect()) == [("1", "2"), ("3", "4")]
+
+
 def test_header_names_that_repeat_or_are_empty(spark, tmp_path):
     path = land(tmp_path, a="k,,K,a.b,a`b\n1,2,3,4,5\n")
     rows = RD.read_csv_strings(spark, path)
