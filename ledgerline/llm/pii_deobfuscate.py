@@ -9,7 +9,7 @@ Transducers, in order: homoglyphs (compatibility forms, digits of other
 scripts, Cyrillic and Greek look-alikes; invisible characters vanish), spelled
 digits (long runs of digit words, and shorter ones beside figures, a sign or a
 dot, become digits, ``plus`` before one a sign), and at/dot disguises
-(bracketed, spelled, or spaced).
+(bracketed, spelled, between underscores, or spaced).
 
 Row-wise: no shuffle; a text's work is linear in its length. Texts without any
 trigger of a transducer skip the chain.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -63,10 +64,20 @@ DOTTED = re.compile(rf"{_DIGIT}(?:[ -]?{_DIGIT}){{0,2}}(?:\.{_DIGIT}(?:[ -]?{_DI
 AT_MARK, DOT_MARK = "\ue000", "\ue001"
 BRACKET_AT = re.compile(r"[ \t]?[\[({<][ \t]?(?:at|@|arroba)[ \t]?[\])}>][ \t]?", re.I)
 BRACKET_DOT = re.compile(r"[ \t]?[\[({<][ \t]?(?:dot|\.|punkt|point|punto)[ \t]?[\])}>][ \t]?", re.I)
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{DOT_MARK}|[ \t]dot[ \t])[A-Za-z0-9_%+-]++)*?)"
+#: The at of a disguised address with its domain; its local part is read backwards.
+AT_DOMAIN = re.compile(
     rf"(?P<at>@|{AT_MARK}|[ \t]@[ \t]|[ \t](?i:at)[ \t])"
     rf"(?P<domain>[A-Za-z0-9-]++(?:(?:\.|{DOT_MARK}|[ \t]\.[ \t]|[ \t](?i:dot)[ \t])[A-Za-z0-9-]++)+)")
+LOCAL_WORD = LOCAL.replace(".", "")
+SPELLED_DOT = re.compile(r"[ \t]dot[ \t]")
+#: Words before a spelled at that are no mailbox: "met him at noon dot com style".
+NO_MAILBOX = frozenset("i me you he him she her it we us they them this that these those here there who what".split())
+#: Runs of address characters, and one with the marks spelled between underscores.
+JOINED = re.compile(r"(?<![\w.%+-])[A-Za-z0-9_.%+-]++(?!\w)")
+UNDERSCORED = re.compile(r"([A-Za-z0-9.%+-]+(?:_[A-Za-z0-9.%+-]+)*?)_at_([A-Za-z0-9-]+(?:_dot_[A-Za-z0-9-]+)+)", re.I)
+UNDERSCORED_DOT = re.compile("_dot_", re.I)
+#: An IP address written with a blank between all its characters.
+SPACED_IP = re.compile(r"(?<![\w.])(?<![0-9.] )[0-9](?: [0-9]){0,2}(?: \. [0-9](?: [0-9]){0,2}){3}(?![\w.]| [0-9]| \. [0-9])")
 DOTS = re.compile(rf"{DOT_MARK}|[ \t]\.[ \t]|[ \t]dot[ \t]", re.I)
 NUMBER_DOTS = re.compile(rf"(?<=[0-9])(?:{DOT_MARK}|[ \t]dot[ \t])(?=[0-9])", re.I)
 
@@ -120,12 +131,14 @@ class Tape:
 
     def rewrite(self, pattern: re.Pattern, write) -> None:
         """Replace each match by write(match); None leaves it."""
+        self.replace((*m.span(), write(m)) for m in pattern.finditer(self.text))
+
+    def replace(self, spans) -> None:
+        """Put new text in place of each (start, end, new text), by start; None leaves it."""
         text, start, end, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = write(m)
+        for a, b, new in spans:
             if new is None:
                 continue
-            a, b = m.span()
             text += self.text[at:a], new
             start += self.start[at:a]
             end += self.end[at:a]
@@ -171,13 +184,52 @@ def spelled(m: re.Match) -> str | None:
     return "+" * sign + digits
 
 
-def address(m: re.Match) -> str | None:
-    """An address if something in it is disguised; a spelled at alone isn't enough."""
-    at, domain = m["at"], m["domain"]
-    hidden = bool(DOTS.search(domain))
-    if at == "@" and not hidden or at.strip().lower() == "at" and not hidden or at == " @ " and not hidden and "." not in domain:
+def local_start(text: str, least: int, at: int) -> int:
+    """Where the local part that ends at ``at`` begins, not before ``least``:
+    words joined by dots, marks or spelled dots; ``at`` itself if there is none."""
+    found = end = at
+    while True:
+        head = text[least:end] if end - least <= 64 else text[end - 64:end]
+        while len(head) < end - least and not head.rstrip(LOCAL_WORD):
+            head = text[max(least, end - 2 * len(head)):end]  # a long word
+        begin = end - len(head) + len(head.rstrip(LOCAL_WORD))
+        if begin == end:
+            return found
+        if begin == least or text[begin - 1] not in LOCAL:
+            found = begin
+        if begin > least and text[begin - 1] in f".{DOT_MARK}":
+            end = begin - 1
+        elif begin - 5 >= least and SPELLED_DOT.fullmatch(text, begin - 5, begin):
+            end = begin - 5
+        else:
+            return found
+
+
+def addresses(text: str):
+    """(start, end, what an address reads as) where something in it is
+    disguised, each found from its at; a spelled at alone isn't enough."""
+    least = place = 0
+    while m := AT_DOMAIN.search(text, place):
+        at, domain = m["at"], m["domain"]
+        start = local_start(text, least, m.start())
+        if start == m.start():
+            place = m.start() + 1
+            continue
+        least = place = m.end()
+        hidden, spelled_at = bool(DOTS.search(domain)), at.strip().lower() == "at"
+        if not hidden and (at == "@" or spelled_at or at.strip() == "@" and len(at) > 1 and "." not in domain):
+            continue
+        local = DOTS.sub(".", text[start:m.start()])
+        if spelled_at and local.lower() in NO_MAILBOX:
+            continue
+        yield start, m.end(), local + "@" + DOTS.sub(".", domain)
+
+
+def underscored(m: re.Match) -> str | None:
+    """An address whose at and dots are spelled between underscores."""
+    if "_at_" not in m[0].lower() or not (whole := UNDERSCORED.fullmatch(m[0])):
         return None
-    return DOTS.sub(".", m["local"]) + "@" + DOTS.sub(".", domain)
+    return "@".join(UNDERSCORED_DOT.sub(".", x) for x in whole.groups())
 
 
 def normalised(text: str) -> Tape | None:
@@ -187,11 +239,17 @@ def normalised(text: str) -> Tape | None:
     hidden = "dot" in low or any(c in text for c in "[({<@") and bool(BRACKET_AT.search(text) or BRACKET_DOT.search(text) or " @ " in text)
     numbers = bool(SPELLED.search(text))
     parts = strange or any(part(m) for m in PART.finditer(low))
-    if not (strange or hidden or numbers or parts):
+    joined = "_at_" in low and "_dot_" in low
+    spaced = " . " in text and bool(SPACED_IP.search(text))
+    if not (strange or hidden or numbers or parts or spaced):
         return None
     tape = Tape(text)
     if strange:
         tape.rewrite(SUSPECT, lambda m: letter(m[0]))
+    if joined:
+        tape.rewrite(JOINED, underscored)
+    if spaced:
+        tape.rewrite(SPACED_IP, lambda m: m[0].replace(" ", ""))
     if numbers or strange:
         tape.rewrite(SPELLED, spelled)
     if hidden or strange:
@@ -201,7 +259,7 @@ def normalised(text: str) -> Tape | None:
         tape.rewrite(PART, part)
     if hidden or strange:
         tape.rewrite(NUMBER_DOTS, lambda m: ".")
-        tape.rewrite(DISGUISED, address)
+        tape.replace(addresses(tape.text))
     return tape if tape.text != text else None
 
 
@@ -213,11 +271,13 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     tape = normalised(text)
     if tape is None:
         return base, base
-    taken: dict[str, list] = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
+    taken = {k: ([s for kind, s, _ in base if kind == k], [e for kind, _, e in base if kind == k]) for k in KINDS}
     added = []
     for kind, a, b in plain(tape.text):
         s, e = tape.start[a], tape.end[b - 1]
-        if not any(s < y and x < e for x, y in taken[kind]):
+        starts, ends = taken[kind]  # apart from each other, so both rise
+        at = bisect_right(ends, s)
+        if at == len(ends) or starts[at] >= e:
             added.append((kind, s, e))
     return base, sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
