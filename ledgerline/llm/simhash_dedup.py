@@ -12,10 +12,11 @@ Only distinct fingerprints take part: equal texts are one node. Keys are dealt
 into groups of many keys; a task sorts a group, verifies the fingerprints that
 share a key, and keeps per key a spanning forest of the links that hold, never
 all pairs. A key with more than ``HOT`` fingerprints first gets a second key,
-from the rest of the bits: cut into distance + 1 parts, one of which two linked
-fingerprints have in common; it spreads over many groups that way. Within a
-group, a key of many fingerprints is searched by flipping bits (a lookup for
-each flip set), so its cost is linear.
+from the bits outside its segment: cut into distance + 1 parts, one of which two
+linked fingerprints have in common; it spreads over many groups that way. Within
+a task, a key of many fingerprints is cut in the same way along the bits that
+vary in it, again and again; where few bits vary, every flip of them is looked
+up. So no large set is compared in pairs.
 
 Components are joined by graph.components over the forests' links.
 
@@ -28,6 +29,7 @@ is null only if all ids that it reaches are; an empty table gives no row.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ SHINGLE = 3
 DISTANCE = 3
 SEED = 42
 #: Fingerprints of a key beyond which it gets a second key.
-HOT = 200_000
+HOT = 50_000
 #: Keys of a group that a task gets at once, about.
 GROUP_ROWS = 500_000
 
@@ -92,7 +94,8 @@ def widths(bits: int, parts: int) -> list[tuple[int, int]]:
 
 
 def variant_keys(nodes: DataFrame, distance: int) -> DataFrame:
-    """(key, fp): one key for each segment and wild bit."""
+    """(wild, key, fp): one key for each segment and wild bit (its place in the
+    fingerprint)."""
     keys = []
     for shift, width in widths(64, distance // 2 + 1):
         segment = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
@@ -101,16 +104,22 @@ def variant_keys(nodes: DataFrame, distance: int) -> DataFrame:
             high = F.shiftleft(F.shiftrightunsigned(segment, wild + 1), wild) if wild < width - 1 else F.lit(0)
             keys.append(F.xxhash64(F.lit(shift + wild), low.bitwiseOR(high)) if width > 57 else
                         low.bitwiseOR(high).bitwiseOR(F.lit((shift + wild) << (width - 1))))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    return nodes.select(F.posexplode(F.array(*keys)).alias("wild", "key"), "fp")
 
 
 def second_keys(rows: DataFrame, distance: int) -> DataFrame:
-    """(key, fp): for rows of hot keys, one key for each part of all 64 bits;
-    fingerprints that differ in at most distance bits agree in one part."""
-    parts = widths(64, distance + 1)
-    keys = [F.xxhash64("key", F.lit(i), F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)))
-            for i, (s, w) in enumerate(parts)]
-    return rows.select(F.explode(F.array(*keys)).alias("key"), "fp")
+    """(key, fp): for rows of hot keys, one key for each part of the bits outside
+    the key's segment; fingerprints that differ there in at most distance bits
+    agree in one part. (One segment of all bits: its key holds two fingerprints
+    at most and is never hot, but for equal hashes.)"""
+    keys = []
+    for shift, width in widths(64, distance // 2 + 1):
+        low = F.col("fp").bitwiseAND(F.lit((1 << shift) - 1))
+        rest = low.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift + width), shift)) if shift + width < 64 else low
+        mine = F.col("wild").between(shift, shift + width - 1)
+        keys += [F.when(mine, F.xxhash64("key", F.lit(i), F.shiftrightunsigned(rest, s).bitwiseAND(F.lit((1 << w) - 1))))
+                 for i, (s, w) in enumerate(widths(64 - width, distance + 1))]
+    return rows.select(F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("key"), "fp")
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,34 +148,66 @@ def flips(bits: int, distance: int) -> np.ndarray:
     return np.array([sum(1 << x for x in c) for d in range(1, distance + 1) for c in combinations(range(bits), d)], np.uint64)
 
 
+def picked(fp: np.ndarray, places: list[int]) -> np.ndarray:
+    """The bits at some places, of every fingerprint."""
+    return fp & np.uint64(sum(1 << p for p in places))
+
+
 def close_links(fp: np.ndarray, distance: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of sorted distinct fingerprints within the distance, enough
-    to connect all that are. The group is compared in blocks; where that costs
-    more than to look up every flip of the bits in which it differs at all, the
-    flips are looked up, which is linear."""
+    to connect all that are. More than a block of them are cut along the bits in
+    which they differ at all: two within the distance agree in one of distance +
+    1 parts of those, so for each part the sets that agree in it are searched in
+    the same way. Where those bits are few, or cutting would not halve the pairs,
+    every flip is looked up or all are compared, whichever is less."""
     n = len(fp)
-    varies = int(np.bitwise_or.reduce(fp ^ fp[0])) if n else 0
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    varies = int(np.bitwise_or.reduce(fp ^ fp[0]))
     places = [i for i in range(64) if varies >> i & 1]
+    few = len(places) < 3 * (distance + 1)
+    masks = sum(comb(len(places), d) for d in range(1, distance + 1))
+    sets = []
+    if n > block and not few:
+        for shift, width in widths(len(places), distance + 1):
+            part = picked(fp, places[shift:shift + width])
+            order = np.argsort(part, kind="stable")  # each set stays sorted
+            part = part[order]
+            begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            sets.append((part, order, begin, np.diff(np.append(begin, n))))
+    # cutting must halve the pairs at least, or it would not end up cheaper
+    cut = sets and 2 * sum(int((size * size).sum()) for *_, size in sets) <= n * n
+    if n <= block or not cut and n <= 32 * masks:
+        root = np.arange(n)
+        step = max(1, (1 << 20) // n)  # rows compared at once
+        for x in range(0, n, step):
+            i, j = np.nonzero(distances(fp[x:x + step, None], fp[None, x:]) <= distance)
+            i, j = i + x, j + x
+            keep = (i < j) & (root[i] != root[j])  # links within a component add nothing
+            if keep.any():
+                root = roots(n, np.concatenate([np.arange(n), i[keep]]), np.concatenate([root, j[keep]]))
+        return np.arange(n), root
     links = []
-    masks = sum(1 for d in range(1, distance + 1) for _ in combinations(range(len(places)), d)) if n > block else 0
-    if n > block and n > 32 * masks:
+    if not cut:
         for flip in flips(len(places), distance).tolist():
-            m = np.uint64(sum(1 << p for k, p in enumerate(places) if flip >> k & 1))
-            other = fp ^ m
+            other = fp ^ np.uint64(sum(1 << p for k, p in enumerate(places) if flip >> k & 1))
             at = np.minimum(np.searchsorted(fp, other), n - 1)
             hit = np.flatnonzero((fp[at] == other) & (at > np.arange(n)))
             links.append((hit, at[hit]))
     else:
-        root = np.arange(n)
-        for x in range(0, n, block):
-            for y in range(x, n, block):
-                i, j = np.nonzero(distances(fp[x:x + block, None], fp[None, y:y + block]) <= distance)
-                i, j = i + x, j + y
-                keep = (i < j) & (root[i] != root[j])  # links within a component add nothing
-                if keep.any():
-                    root = roots(n, np.concatenate([np.arange(n), i[keep]]), np.concatenate([root, j[keep]]))
-        links.append((np.arange(n), root))
-    return tuple(np.concatenate(x) for x in zip(*links))
+        for part, order, begin, size in sets:
+            small = np.repeat(size, size) <= 32
+            for lag in range(1, 32):  # sets of a few: neighbours at each distance in the order
+                i = np.flatnonzero(small[:-lag] & small[lag:] & (part[:-lag] == part[lag:]))
+                if not len(i):
+                    break
+                i = i[distances(fp[order[i]], fp[order[i + lag]]) <= distance]
+                links.append((order[i], order[i + lag]))
+            for b, s in zip(begin[size > 32].tolist(), size[size > 32].tolist()):
+                mine = order[b:b + s]
+                links.append(tuple(mine[x] for x in close_links(fp[mine], distance, block)))
+    i, j = (np.concatenate(x) for x in zip(*links))
+    return np.arange(n), roots(n, i, j)
 
 
 def forest(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +247,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFra
     keys = variant_keys(nodes.repartition(groups, "fp"), distance)
     many = keys.groupBy("key").count().where(F.col("count") > hot).select("key").checkpoint()
     if not many.isEmpty():
-        keys = keys.join(many, "key", "left_anti").unionAll(second_keys(keys.join(many, "key", "left_semi"), distance))
+        keys = keys.join(many, "key", "left_anti").select("key", "fp").unionAll(second_keys(keys.join(many, "key", "left_semi"), distance))
 
     def verify(table):
         a, b = forest(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64), distance)
