@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import ColumnOrName, _c, strict_int, strip_ws
+from ledgerline.functions.scalars import ColumnOrName, _c, _let, strict_int, strip_ws
 
 
 def field(v: ColumnOrName, path: str) -> Column:
@@ -53,25 +53,26 @@ def supplier_id(v: ColumnOrName) -> Column:
     """C11: supplier id from an integer, an object (``id`` then
     ``supplier_id``) or a URL / text (last all-digit path segment, else the
     first digit run)."""
-    v = _c(v)
-    t = F.schema_of_variant(v)
-    s = F.try_variant_get(v, "$", "string")
-    digit_segments = F.filter(F.split(s, "/"), lambda p: p.rlike("^[0-9]+$"))
-    from_text = F.coalesce(
-        F.try_element_at(digit_segments, F.lit(-1)).try_cast("bigint"),
-        F.nullif(F.regexp_extract(s, "([0-9]+)", 1), F.lit("")).try_cast("bigint"),
-    )
-    from_obj = F.coalesce(_int_of_variant(field(v, "$.id")), _int_of_variant(field(v, "$.supplier_id")))
-    return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("bigint"))
-            .when(t.isin(*INTEGER_TYPES), F.try_variant_get(v, "$", "bigint"))
-            .when(t.startswith("OBJECT"), from_obj)
-            .when(t == "STRING", from_text))
+    def from_text(s: Column) -> Column:
+        digit_segments = F.filter(F.split(s, "/"), lambda p: p.rlike("^[0-9]+$"))
+        return F.coalesce(
+            F.try_element_at(digit_segments, F.lit(-1)).try_cast("bigint"),
+            F.nullif(F.regexp_extract(s, "([0-9]+)", 1), F.lit("")).try_cast("bigint"),
+        )
+
+    def of_type(v: Column, t: Column) -> Column:
+        from_obj = F.coalesce(_int_of_variant(field(v, "$.id")), _int_of_variant(field(v, "$.supplier_id")))
+        return (F.when(v.isNull() | F.is_variant_null(v), F.lit(None).cast("bigint"))
+                .when(t.isin(*INTEGER_TYPES), F.try_variant_get(v, "$", "bigint"))
+                .when(t.startswith("OBJECT"), from_obj)
+                .when(t == "STRING", from_text(F.try_variant_get(v, "$", "string"))))
+    return _let(_c(v), lambda v: _let(F.schema_of_variant(v), lambda t: of_type(v, t)))
 
 
 # ISO forms: a calendar date, extended or basic, and perhaps a time of two-digit
 # parts, extended or basic, with a fraction and a zone; fixed pattern.
-ISO_TIME = (r"^(\d{4}-\d{2}-\d{2}|\d{8})(?:[T ](\d{2}(?::\d{2}(?::\d{2})?)?|\d{4}|\d{6})"
-            r"(?:[.,]\d{1,9})?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$")
+ISO_TIME = (r"^(?:(\d{4})-(\d{2})-(\d{2})|(\d{8}))(?:[T ](?:(\d{2})(?::(\d{2})(?::(\d{2}))?)?|(\d{4}|\d{6}))"
+            r"(?:[.,](\d{1,9}))?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?\z")
 
 
 def parse_iso_ts(c: ColumnOrName) -> Column:
@@ -79,29 +80,31 @@ def parse_iso_ts(c: ColumnOrName) -> Column:
     TIMESTAMP_NTZ holding the written wall-clock time (a zone designator is
     dropped, as the stored value of the reference is); empty or bad -> null.
     Independent of the session time zone."""
-    s = _c(c).cast("string")
-    day = F.replace(F.regexp_extract(s, ISO_TIME, 1), F.lit("-"), F.lit(""))
-    time = F.rpad(F.replace(F.regexp_extract(s, ISO_TIME, 2), F.lit(":"), F.lit("")), 6, "0")
-    fraction = F.regexp_extract(s, r"[.,](\d{1,9})(?:Z|[+-][\d:]+)?$", 1)
-    written = F.concat(F.substring(day, 1, 4), F.lit("-"), F.substring(day, 5, 2), F.lit("-"), F.substring(day, 7, 2), F.lit(" "),
-                       F.substring(time, 1, 2), F.lit(":"), F.substring(time, 3, 2), F.lit(":"), F.substring(time, 5, 2),
-                       F.when(fraction != "", F.concat(F.lit("."), F.substring(fraction, 1, 6))).otherwise(F.lit("")))
-    return F.when(s.rlike(ISO_TIME), written.try_cast("timestamp_ntz"))
+    # "day digits|time digits|fraction"; a text of no such form stays as it is
+    def written(parts: Column) -> Column:
+        day, fraction = F.get(parts, 0), F.get(parts, 2)
+        time = F.rpad(F.get(parts, 1), 6, "0")
+        return F.concat(F.substring(day, 1, 4), F.lit("-"), F.substring(day, 5, 2), F.lit("-"), F.substring(day, 7, 2), F.lit(" "),
+                        F.substring(time, 1, 2), F.lit(":"), F.substring(time, 3, 2), F.lit(":"), F.substring(time, 5, 2),
+                        F.when(fraction != "", F.concat(F.lit("."), F.substring(fraction, 1, 6))).otherwise(F.lit("")))
+
+    def of(s: Column) -> Column:
+        found = F.regexp_replace(s, ISO_TIME, "$1$2$3$4|$5$6$7$8|$9")
+        return _let(found, lambda f: F.when(f != s, _let(F.split(f, r"\|"), written).try_cast("timestamp_ntz")))
+    return _let(_c(c).cast("string"), of)
 
 
 def first_truthy_text(*values: Column) -> Column:
     """Text of the first VARIANT that is truthy: not absent or null, not
     empty text, not the number 0, not false. (The texts "0" and "false" are.)"""
-    out = []
-    for v in values:
-        t = F.schema_of_variant(v)
+    def truthy(v: Column, t: Column) -> Column:
         number = t.isin(*INTEGER_TYPES, "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
         falsy = (F.when(t == "STRING", F.try_variant_get(v, "$", "string") == "")
                  .when(number, F.try_variant_get(v, "$", "double") == 0)
                  .when(t == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean"))
                  .otherwise(v.isNull() | F.is_variant_null(v)))
-        out.append(F.when(~falsy, F.try_variant_get(v, "$", "string")))
-    return F.coalesce(*out)
+        return F.when(~falsy, F.try_variant_get(v, "$", "string"))
+    return F.coalesce(*[_let(value, lambda v: _let(F.schema_of_variant(v), lambda t: truthy(v, t))) for value in values])
 
 
 def to_float_default(v: Column, default: float = 0.0) -> Column:

@@ -126,21 +126,20 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
 ITEM_FIELDS = ("part_number", "retailer_sku_reference", "supplier_sku_reference", "line_reference", "name")
 
 
-def _item_columns(it: Column) -> list[Column]:
-    """The flat columns of one item (VARIANT)."""
-    return [
-        *[J.text(it, f"$.{c}").alias(c) for c in ITEM_FIELDS],
-        F.coalesce(strict_int(J.text(it, "$.quantity")), F.lit(0)).alias("quantity"),
-        *[J.to_float_default(J.field(it, f"$.{c}")).alias(c)
-          for c in ("unit_cost_price", "subtotal", "tax", "tax_rate", "total")],
-        J.parse_iso_ts(J.text(it, "$.promised_date")).alias("promised_date"),
-    ]
+ITEM_NUMBERS = ("unit_cost_price", "subtotal", "tax", "tax_rate", "total")
+#: An item as it is read from VARIANT, in one pass over its members.
+ITEM_TYPE = "struct<" + ", ".join([*(f"{c}: string" for c in (*ITEM_FIELDS, "quantity", "promised_date")),
+                                   *(f"{c}: double" for c in ITEM_NUMBERS)]) + ">"
 
 
 def items_from(orders: DataFrame, items_col: str) -> DataFrame:
     """(order_id, flat item columns) of orders with an item array as JSON text."""
-    array = F.try_variant_get(F.try_parse_json(items_col), "$", "array<variant>")
-    return orders.select("order_id", F.explode(array).alias("it")).select("order_id", *_item_columns(F.col("it")))
+    array = F.try_variant_get(F.try_parse_json(items_col), "$", f"array<{ITEM_TYPE}>")
+    return orders.select("order_id", F.explode(array).alias("it")).select(
+        "order_id", *[F.col(f"it.{c}").alias(c) for c in ITEM_FIELDS],
+        F.coalesce(strict_int(F.col("it.quantity")), F.lit(0)).alias("quantity"),
+        *[F.coalesce(f"it.{c}", F.lit(0.0)).alias(c) for c in ITEM_NUMBERS],
+        J.parse_iso_ts("it.promised_date").alias("promised_date"))
 
 
 def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,

@@ -245,3 +245,13 @@ def test_options_of_attributes(spark):
 
 def test_no_comment_pattern_needs_a_deep_stack():
     assert not re.search(r"\)\*[^+]", T._QUOTED_RUN)
+
+
+def test_order_pages_shuffle_no_json(spark):
+    """Orders and items are dealt out by page number; the texts of orders were
+    shuffled to put pages together, and lineitem was joined."""
+    from conftest import SMALL
+
+    from ledgerline.plans import q_orders
+    plan = q_orders.order_payload_pages(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan

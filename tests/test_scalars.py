@@ -129,3 +129,13 @@ def test_order_key_takes_texts_that_look_falsy(spark):
             ('{"order_reference":0.0,"id":7}', "7"), ('{"id":0}', None)]
     df = spark.createDataFrame(rows, "j string, e string")
     assert [r[0] for r in df.select(order_key(F.parse_json("j"))).collect()] == [e for _, e in rows]
+
+
+def test_a_time_is_read_by_one_regex(spark):
+    """The nine matches of each time stood in the plan, the time's text with them."""
+    texts = ["2024-01-02T03:04:05.1234567Z", "20240102 0304", "2024-01-02\n", "2024-01-02 03,5+01:00 ", "2024-0102", "2024-01-02T3", "=20240102||", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select(J.parse_iso_ts("s").cast("string").alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(plan.count(f) for f in ("regexp_extract", "RLIKE", "regexp_replace")) == 1
+    assert [r.t for r in df.collect()] == ["2024-01-02 03:04:05.123456", "2024-01-02 03:04:00", "2024-01-02 00:00:00",
+                                           "2024-01-02 03:00:00.5", None, None, None, None]
