@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ledgerline.sinks import commitlog as CL
 
@@ -91,7 +92,7 @@ def rewritten(content: DataFrame, base: str, table: str, key: str, old: list[dic
     """Write the new content of the buckets ``old``, split where they are too
     large; returns the buckets that stand in their place."""
     spark = content.sparkSession
-    content = content.persist()
+    content = content.persist(StorageLevel.DISK_ONLY)  # read three times, and may be the whole table
     try:
         sizes = {(r["depth"], r["code"]): (r["rows"], r["keys"]) for r in with_bucket(content, key, old).groupBy("depth", "code").agg(
             F.count("*").alias("rows"), F.when(F.min(hash_of(key)) != F.max(hash_of(key)), F.greatest(F.lit(2), F.approx_count_distinct(key))).otherwise(1).alias("keys")).collect()}

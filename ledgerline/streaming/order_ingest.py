@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ledgerline.operators import orders as O
 from ledgerline.sinks import buckets as B
@@ -49,8 +50,9 @@ def make_order_handler(out_dir: str, bucket_rows: int = B.BUCKET_ROWS, writer: s
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the pages of one micro-batch are parsed once for orders and items
-        scanned = _scan_batch(batch, batch_id).persist()
+        # the pages of one micro-batch are parsed once for orders and items, and
+        # kept on disk: a first fetch is the whole table
+        scanned = _scan_batch(batch, batch_id).persist(StorageLevel.DISK_ONLY)
         try:
             keys = scanned.select(O.order_key(F.col("v")).alias("order_id")).where("order_id is not null")
 

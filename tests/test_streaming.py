@@ -215,3 +215,18 @@ def test_feed_files_of_other_headers(spark, tmp_path):
     # a new stream over the same outputs counts its batches anew and takes nothing older
     ck = str(tmp_path / "ck2")
     assert run()["A"] == (3, None, "S1", None)
+
+
+def test_an_ingest_keeps_its_batch_on_disk(spark, tmp_path, monkeypatch):
+    """Pages, parsed orders and bucket contents of a first fetch are as large as
+    the table; they were kept in the executors' memory."""
+    from pyspark.storagelevel import StorageLevel
+
+    from ledgerline.streaming import order_ingest as OI
+    levels = []
+    kind = type(spark.range(1))
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda df, level=StorageLevel.MEMORY_AND_DISK_DESER: (levels.append(level), persist(df, level))[1])
+    OI.make_order_handler(str(tmp_path / "out"))(_page(spark, *_orders(range(1, 9), "new", 2)), 0)
+    assert len(levels) == 3 and not any(level.useMemory for level in levels)
+    assert OI.read_orders(spark, str(tmp_path / "out"), "order_items").count() == 16
