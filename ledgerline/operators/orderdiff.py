@@ -86,7 +86,8 @@ def ordered_diff(before: DataFrame, after: DataFrame, key: str = "doc_id", text:
     ``context`` equal lines around a change. Line numbers count from 1;
     before_line is null for ``+``, after_line for ``-``."""
     ensure_checkpoint_dir(before.sparkSession)
-    a, b = _numbered(before, key, text, "i"), _numbered(after, key, text, "j")
+    # both are read three times, and what they come from may be dear
+    a, b = _numbered(before, key, text, "i").checkpoint(), _numbered(after, key, text, "j").checkpoint()
     matches = matched_lines(a, b)
     old = _in_gaps(a, "i", matches).join(matches, ["key", "i"], "left")
     gone = old.select("key", "gap", F.when(F.col("match"), 2).otherwise(0).alias("phase"), F.col("i").alias("n"), "i", "j", "line")

@@ -255,3 +255,13 @@ def test_order_pages_shuffle_no_json(spark):
     from ledgerline.plans import q_orders
     plan = q_orders.order_payload_pages(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_ordered_diff_takes_lines_apart_once(spark):
+    """Both versions were built and split anew for each of the three steps."""
+    from ledgerline.operators import orderdiff as OD
+    a = spark.createDataFrame([(1, "x\ny\nz")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "x\nz\nw")], "doc_id long, text string")
+    diff = OD.ordered_diff(a, b)
+    assert "posexplode" not in diff._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.op, r.line) for r in diff.orderBy("position").collect()] == [(" ", "x"), ("-", "y"), (" ", "z"), ("+", "w")]
