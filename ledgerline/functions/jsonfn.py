@@ -104,7 +104,12 @@ def first_truthy_text(*values: Column) -> Column:
                  .when(t == "BOOLEAN", ~F.try_variant_get(v, "$", "boolean"))
                  .otherwise(v.isNull() | F.is_variant_null(v)))
         return F.when(~falsy, F.try_variant_get(v, "$", "string"))
-    return F.coalesce(*[_let(value, lambda v: _let(F.schema_of_variant(v), lambda t: truthy(v, t))) for value in values])
+    # a text is falsy only if empty or begun as "0", "-0.0" or "false" is; only then is the type looked up
+    def of(v: Column) -> Column:
+        s = F.try_variant_get(v, "$", "string")
+        looked_up = _let(v, lambda x: _let(F.schema_of_variant(x), lambda t: truthy(x, t)))
+        return F.when(F.substring(s, 1, 1).isin("", "0", "-", "f"), looked_up).otherwise(s)
+    return F.coalesce(*[of(v) for v in values])
 
 
 def to_float_default(v: Column, default: float = 0.0) -> Column:

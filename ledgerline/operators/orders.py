@@ -3,7 +3,8 @@ H4, I5, I6, J3, J4).
 
 Payload pages are JSON documents ``{"results": [order, ...], "next": ...}``.
 They are parsed to VARIANT once and exploded to one row per order with its
-position ``ord`` (page order, then position in the page). Merging several
+position ``ord`` (page order, then position in the page) and its members ``v``,
+read in one pass over the order. Merging several
 payloads of the same order is an aggregation per order key with
 ``max_by``/``min_by`` over ``ord`` (partial aggregation, no per-key sort).
 """
@@ -17,18 +18,28 @@ from ledgerline.functions import jsonfn as J
 from ledgerline.functions.scalars import strict_int
 
 
-def scan_pages(pages: DataFrame, text_col: str = "payload", order_col: str = "page_no") -> DataFrame:
+#: An order as it is read from VARIANT, in one pass over its members. VARIANT
+#: members are those whose JSON type varies, or where null and absent differ.
+ORDER_MEMBERS = {"order_reference": "variant", "order_id": "variant", "id": "variant", "retailer": "string",
+                 "order_date": "string", "status": "variant", "supplier": "variant", "currency_code": "variant",
+                 "subtotal": "double", "tax": "double", "total": "double", "shipping_address": "variant",
+                 "retailer_data": "variant", "items": "variant"}
+
+
+def scan_pages(pages: DataFrame, text_col: str = "payload", order_col: str = "page_no", items: bool = True) -> DataFrame:
     """A5: one row per order of each page: (ord, v) where ``ord`` is
-    struct(page order, position) and ``v`` the order as VARIANT."""
+    struct(page order, position) and ``v`` the order as struct of
+    ``ORDER_MEMBERS`` (null: absent, or no object), on request without ``items``."""
+    members = ", ".join(f"{name}: {kind}" for name, kind in ORDER_MEMBERS.items() if items or name != "items")
     v = F.try_parse_json(F.col(text_col))
-    arr = F.try_variant_get(v, "$.results", "array<variant>")
+    arr = F.try_variant_get(v, "$.results", f"array<struct<{members}>>")
     return (pages.select(F.col(order_col).alias("_page"), F.posexplode(arr).alias("_pos", "v"))
             .select(F.struct(F.col("_page"), F.col("_pos")).alias("ord"), "v"))
 
 
 def order_key(v: Column) -> Column:
     """``order_reference`` or ``order_id`` or ``id`` (first truthy)."""
-    return J.first_truthy_text(*[J.field(v, f"$.{name}") for name in ("order_reference", "order_id", "id")])
+    return J.first_truthy_text(*[v[name] for name in ("order_reference", "order_id", "id")])
 
 
 def flatten_orders(scanned: DataFrame) -> DataFrame:
@@ -37,17 +48,15 @@ def flatten_orders(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "ord",
         order_key(v).alias("order_id"),
-        J.text(v, "$.retailer").alias("retailer"),
-        J.text(v, "$.order_reference").alias("order_reference"),
-        J.parse_iso_ts(J.text(v, "$.order_date")).alias("order_date"),
-        J.text(v, "$.status").alias("status"),
-        J.supplier_id(J.field(v, "$.supplier")).alias("supplier_id"),
-        J.text(v, "$.currency_code").alias("currency_code"),
-        J.to_float_default(J.field(v, "$.subtotal")).alias("subtotal"),
-        J.to_float_default(J.field(v, "$.tax")).alias("tax"),
-        J.to_float_default(J.field(v, "$.total")).alias("total"),
-        F.to_json(J.field(v, "$.shipping_address")).alias("shipping_address"),
-        F.to_json(J.field(v, "$.retailer_data")).alias("retailer_data"),
+        v["retailer"].alias("retailer"),
+        J.text(v["order_reference"], "$").alias("order_reference"),
+        J.parse_iso_ts(v["order_date"]).alias("order_date"),
+        J.text(v["status"], "$").alias("status"),
+        J.supplier_id(v["supplier"]).alias("supplier_id"),
+        J.text(v["currency_code"], "$").alias("currency_code"),
+        *[F.coalesce(v[c], F.lit(0.0)).alias(c) for c in ("subtotal", "tax", "total")],
+        F.to_json(v["shipping_address"]).alias("shipping_address"),
+        F.to_json(v["retailer_data"]).alias("retailer_data"),
     ).where(F.col("order_id").isNotNull())
 
 
@@ -69,23 +78,19 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
     through unchanged. ``items_col`` adds the last payload's items as JSON text
     (``items_from`` flattens them), so orders and items take one pass."""
     v = F.col("v")
-    extra = [F.to_json(J.field(v, "$.items")).alias(items_col)] if items_col else []
+    extra = [F.to_json(v["items"]).alias(items_col)] if items_col else []
     rows = scanned.select(
         F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")).alias("ord"),
         order_key(v).alias("order_id"),
-        J.text(v, "$.retailer").alias("retailer"),
-        J.text(v, "$.order_reference").alias("order_reference"),
-        J.parse_iso_ts(J.text(v, "$.order_date")).alias("order_date"),
-        J.text(v, "$.status").alias("status"), J.present(v, "$.status").alias("_p_status"),
-        J.supplier_id(J.field(v, "$.supplier")).alias("supplier_id"),
-        J.text(v, "$.currency_code").alias("currency_code"), J.present(v, "$.currency_code").alias("_p_cur"),
-        J.to_float_default(J.field(v, "$.subtotal")).alias("subtotal"),
-        J.to_float_default(J.field(v, "$.tax")).alias("tax"),
-        J.to_float_default(J.field(v, "$.total")).alias("total"),
-        F.to_json(J.field(v, "$.shipping_address")).alias("shipping_address"),
-        J.present(v, "$.shipping_address").alias("_p_ship"),
-        F.to_json(J.field(v, "$.retailer_data")).alias("retailer_data"),
-        J.present(v, "$.retailer_data").alias("_p_data"), *extra,
+        v["retailer"].alias("retailer"),
+        J.text(v["order_reference"], "$").alias("order_reference"),
+        J.parse_iso_ts(v["order_date"]).alias("order_date"),
+        J.text(v["status"], "$").alias("status"), v["status"].isNotNull().alias("_p_status"),
+        J.supplier_id(v["supplier"]).alias("supplier_id"),
+        J.text(v["currency_code"], "$").alias("currency_code"), v["currency_code"].isNotNull().alias("_p_cur"),
+        *[F.coalesce(v[c], F.lit(0.0)).alias(c) for c in ("subtotal", "tax", "total")],
+        F.to_json(v["shipping_address"]).alias("shipping_address"), v["shipping_address"].isNotNull().alias("_p_ship"),
+        F.to_json(v["retailer_data"]).alias("retailer_data"), v["retailer_data"].isNotNull().alias("_p_data"), *extra,
     ).where(F.col("order_id").isNotNull())
     untouched = None
     if existing is not None:
@@ -147,7 +152,7 @@ def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
     """Items of every touched order are replaced by the items of its last
     payload; items of untouched orders are kept. One scan and one aggregation:
     the last payload's item array per order, then one row per item."""
-    items = F.to_json(J.field(F.col("v"), "$.items"))
+    items = F.to_json(F.col("v")["items"])
     last = (scanned.select(order_key(F.col("v")).alias("order_id"), "ord", items.alias("_items"))
             .where(F.col("order_id").isNotNull())
             .groupBy("order_id").agg(F.max_by("_items", "ord").alias("_items")))

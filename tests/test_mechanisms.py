@@ -265,3 +265,33 @@ def test_ordered_diff_takes_lines_apart_once(spark):
     diff = OD.ordered_diff(a, b)
     assert "posexplode" not in diff._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.op, r.line) for r in diff.orderBy("position").collect()] == [(" ", "x"), ("-", "y"), (" ", "z"), ("+", "w")]
+
+
+def test_order_pages_move_plain_columns(spark):
+    """Texts made from an item's columns (its time, name and numbers) were dealt
+    out, sorted and copied; they are made where the page is put together."""
+    from conftest import SMALL
+
+    from ledgerline.plans import q_orders
+    plan = q_orders.order_payload_pages(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Exchange "):]
+    assert "date_format" not in below and "Part " not in below and "date_format" in plan
+
+
+def test_an_order_is_read_in_one_pass_over_its_members(spark):
+    """Each column of an order was looked up by its own path."""
+    import json
+
+    from ledgerline.operators import orders as O
+    odd = [{"order_reference": "", "order_id": 0, "id": "0"}, {"order_reference": 0.0, "order_id": False, "id": "false"},
+           {"order_reference": -0.0, "order_id": None, "id": -5}, {"order_reference": "-", "status": None},
+           {"order_reference": "f", "status": {"a": 1}, "subtotal": " 2 ", "tax": True, "total": "x", "items": [1]},
+           {"order_reference": {}, "retailer": 7}, {"order_reference": [], "currency_code": "EUR"}, {"id": 0}, {}, 3, None, [1]]
+    pages = spark.createDataFrame([(1, json.dumps({"results": odd})), (2, '{"results": 5}'), (3, "no"), (4, None)],
+                                  "page_no long, payload string")
+    rows = {r.order_id: r for r in O.merge_orders(O.scan_pages(pages), items_col="items").collect()}
+    assert set(rows) == {"0", "false", "-5", "-", "f", "{}", "[]"}
+    assert (rows["f"].status, rows["f"].subtotal, rows["f"].tax, rows["f"].total, rows["f"].items) == ('{"a":1}', 2.0, 1.0, 0.0, "[1]")
+    assert rows["{}"].retailer == "7" and rows["[]"].currency_code == "EUR" and rows["-"].status is None
+    plan = O.merge_orders(O.scan_pages(pages, items=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.status" not in plan and "$.retailer" not in plan and "items" not in plan
