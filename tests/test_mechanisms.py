@@ -295,3 +295,13 @@ def test_an_order_is_read_in_one_pass_over_its_members(spark):
     assert rows["{}"].retailer == "7" and rows["[]"].currency_code == "EUR" and rows["-"].status is None
     plan = O.merge_orders(O.scan_pages(pages, items=False))._jdf.queryExecution().optimizedPlan().toString()
     assert "$.status" not in plan and "$.retailer" not in plan and "items" not in plan
+
+
+def test_merged_orders_copy_no_items(spark):
+    """A whole order, its items too, was copied out of its page for the columns of orders."""
+    from conftest import SMALL
+
+    from ledgerline.plans import q_orders
+    plan = q_orders.merged_orders(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructField(supplier,VariantType" in plan
+    assert "ArrayType(VariantType" not in plan and "StructField(items,VariantType" not in plan
