@@ -28,13 +28,17 @@ def with_row_number(df: DataFrame, order_cols: list[Column | str], name: str = "
     value repeated in a third of all rows would be one range, i.e. one
     task. The column is materialised once (sampling, shuffle and sort see
     the same values) and is deterministic per input partition on retry."""
-    ensure_checkpoint_dir(df.sparkSession)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols] + [F.col("_tb")]
+    ordered = df.withColumn("_tb", F.rand(17)).repartitionByRange(*cols).sortWithinPartitions(*cols)
+    return number_as_sorted(ordered, name).drop("_tb")
+
+
+def number_as_sorted(df: DataFrame, name: str = "rn") -> DataFrame:
+    """Add ``name`` = 1-based position of each row of a sorted DataFrame as it
+    comes out, partition by partition; nothing is shuffled or sorted again."""
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (
-        df.withColumn("_tb", F.rand(17))
-        .repartitionByRange(*cols)
-        .sortWithinPartitions(*cols)
-        .withColumn("_pid", F.spark_partition_id())
+        df.withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
@@ -45,5 +49,5 @@ def with_row_number(df: DataFrame, order_cols: list[Column | str], name: str = "
     return (
         tagged.join(F.broadcast(offsets), "_pid")
         .withColumn(name, (F.col("_off") + local + 1).cast("bigint"))
-        .drop("_pid", "_mid", "_off", "_tb")
+        .drop("_pid", "_mid", "_off")
     )

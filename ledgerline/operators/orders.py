@@ -79,8 +79,10 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
     (``items_from`` flattens them), so orders and items take one pass."""
     v = F.col("v")
     extra = [F.to_json(v["items"]).alias(items_col)] if items_col else []
+    # payload zero comes first; without one the payloads' own order will do
+    ord_ = F.col("ord") if existing is None else F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")).alias("ord")
     rows = scanned.select(
-        F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")).alias("ord"),
+        ord_,
         order_key(v).alias("order_id"),
         v["retailer"].alias("retailer"),
         J.text(v["order_reference"], "$").alias("order_reference"),
@@ -109,20 +111,19 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
             "shipping_address", F.lit(True).alias("_p_ship"), "retailer_data", F.lit(True).alias("_p_data"),
             *[F.lit(None).cast("string").alias(items_col) for _ in extra])
         rows = old.unionByName(rows)
+    # columns taken from the same payload share one aggregate, as each holds its own ``ord``
+    last = ["subtotal", "tax", "total", *([items_col] if items_col else [])]
     merged = rows.groupBy("order_id").agg(
-        F.min_by("retailer", "ord").alias("retailer"),
-        F.min_by("order_reference", "ord").alias("order_reference"),
+        F.min_by(F.struct("retailer", "order_reference"), "ord").alias("_first"),
         _last_present(F.col("order_date"), F.col("order_date").isNotNull()).alias("order_date"),
         _last_present(F.col("status"), F.col("_p_status")).alias("status"),
         _last_present(F.col("supplier_id"), F.col("supplier_id").isNotNull()).alias("supplier_id"),
         _last_present(F.col("currency_code"), F.col("_p_cur")).alias("currency_code"),
-        F.max_by("subtotal", "ord").alias("subtotal"),
-        F.max_by("tax", "ord").alias("tax"),
-        F.max_by("total", "ord").alias("total"),
+        F.max_by(F.struct(*last), "ord").alias("_last"),
         _last_present(F.col("shipping_address"), F.col("_p_ship")).alias("shipping_address"),
         _last_present(F.col("retailer_data"), F.col("_p_data")).alias("retailer_data"),
-        *[F.max_by(items_col, "ord").alias(items_col) for _ in extra],
-    )
+    ).select("order_id", "_first.*", "order_date", "status", "supplier_id", "currency_code",
+             *[f"_last.{c}" for c in last[:3]], "shipping_address", "retailer_data", *[f"_last.{c}" for c in last[3:]])
     if untouched is None:
         return merged
     return untouched.unionByName(merged, allowMissingColumns=True).select(*merged.columns)

@@ -39,10 +39,8 @@ def register(name: str, survey_id: str, oracle: str | None = None):
 def in_order(df: DataFrame, name: str = "position") -> DataFrame:
     """Number the rows of a sorted DataFrame as they come out, from 1, so that
     an oracle can check the order (values alone are compared without it)."""
-    from pyspark.sql import functions as F
-
-    from ledgerline.operators.numbering import with_row_number
-    return with_row_number(df.withColumn("_out", F.monotonically_increasing_id()), ["_out"], name).drop("_out")
+    from ledgerline.operators.numbering import number_as_sorted
+    return number_as_sorted(df, name)
 
 
 def load_all() -> dict[str, Query]:

@@ -305,3 +305,38 @@ def test_merged_orders_copy_no_items(spark):
     plan = q_orders.merged_orders(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "StructField(supplier,VariantType" in plan
     assert "ArrayType(VariantType" not in plan and "StructField(items,VariantType" not in plan
+
+
+def test_merged_orders_hold_the_payload_place_once_per_group_of_columns(spark):
+    """Each of 11 columns had its own aggregate, and each of them its own copy of the payload's place."""
+    from ledgerline.operators import orders as O
+    pages = spark.createDataFrame([(1, '{"results": [{"id": 1, "retailer": "a", "total": 1}, {"id": 1, "retailer": "b", "tax": 2}]}')],
+                                  "page_no long, payload string")
+    merged = O.merge_orders(O.scan_pages(pages, items=False))
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = next(line for line in plan.splitlines() if "Aggregate [" in line)
+    assert aggregate.count("min_by(") == 1 and aggregate.count("max_by(") == 7 and "_src" not in plan
+    row = merged.first()
+    assert (row.order_id, row.retailer, row.subtotal, row.tax, row.total) == ("1", "a", 0.0, 2.0, 0.0)
+
+
+def test_sorted_rows_are_numbered_where_they_are(spark):
+    """Rows in order were dealt out and sorted once more to be numbered."""
+    from ledgerline.operators import numbering as N
+    from ledgerline.plans.registry import in_order
+    called = []
+    deal, N.DataFrame.repartitionByRange = N.DataFrame.repartitionByRange, lambda self, *a: called.append(a) or deal(self, *a)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        ordered = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k")).orderBy(F.col("k").desc())
+        rows = in_order(ordered).collect()
+        parts = ordered.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(key, old)
+        N.DataFrame.repartitionByRange = deal
+    ks = sorted((r.k for r in rows), reverse=True)
+    assert sorted((r.position, r.k) for r in rows) == list(enumerate(ks, 1))
+    assert parts > 1 and not called
+    assert in_order(spark.range(0).orderBy("id")).collect() == []
