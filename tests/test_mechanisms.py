@@ -322,10 +322,10 @@ def test_merged_orders_hold_the_payload_place_once_per_group_of_columns(spark):
 
 def test_sorted_rows_are_numbered_where_they_are(spark):
     """Rows in order were dealt out and sorted once more to be numbered."""
-    from ledgerline.operators import numbering as N
     from ledgerline.plans.registry import in_order
-    called = []
-    deal, N.DataFrame.repartitionByRange = N.DataFrame.repartitionByRange, lambda self, *a: called.append(a) or deal(self, *a)
+    called, frame = [], type(spark.range(0))
+    deal = frame.repartitionByRange
+    frame.repartitionByRange = lambda self, *a: called.append(a) or deal(self, *a)
     key = "spark.sql.adaptive.coalescePartitions.enabled"
     old = spark.conf.get(key)
     spark.conf.set(key, "false")
@@ -335,7 +335,7 @@ def test_sorted_rows_are_numbered_where_they_are(spark):
         parts = ordered.select(F.spark_partition_id().alias("p")).distinct().count()
     finally:
         spark.conf.set(key, old)
-        N.DataFrame.repartitionByRange = deal
+        frame.repartitionByRange = deal
     ks = sorted((r.k for r in rows), reverse=True)
     assert sorted((r.position, r.k) for r in rows) == list(enumerate(ks, 1))
     assert parts > 1 and not called
