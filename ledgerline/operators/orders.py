@@ -11,7 +11,9 @@ payloads of the same order is an aggregation per order key with
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions import jsonfn as J
@@ -64,25 +66,11 @@ def _last_present(value: Column, is_present: Column) -> Column:
     return F.max_by(value, F.when(is_present, F.col("ord")))
 
 
-def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_col: str | None = None) -> DataFrame:
-    """Fold every payload of an order (in ``ord`` order) into one row.
-
-    * status, currency_code, shipping_address, retailer_data: last payload holding the key
-      (an explicit JSON null overwrites, an absent key keeps the old value);
-    * order_date, supplier_id: last payload where they parse;
-    * subtotal / tax / total: the last payload (absent -> 0.0);
-    * retailer, order_reference: from the first payload (insert only).
-
-    ``existing`` rows (same columns as the result) act as payload zero with
-    every key present; existing orders without a new payload are passed
-    through unchanged. ``items_col`` adds the last payload's items as JSON text
-    (``items_from`` flattens them), so orders and items take one pass."""
+def payload_columns(scanned: DataFrame, *extra: Column) -> DataFrame:
+    """What ``merge_orders`` folds of each payload, in plain columns."""
     v = F.col("v")
-    extra = [F.to_json(v["items"]).alias(items_col)] if items_col else []
-    # payload zero comes first; without one the payloads' own order will do
-    ord_ = F.col("ord") if existing is None else F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")).alias("ord")
-    rows = scanned.select(
-        ord_,
+    return scanned.select(
+        "ord",
         order_key(v).alias("order_id"),
         v["retailer"].alias("retailer"),
         J.text(v["order_reference"], "$").alias("order_reference"),
@@ -94,15 +82,51 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
         F.to_json(v["shipping_address"]).alias("shipping_address"), v["shipping_address"].isNotNull().alias("_p_ship"),
         F.to_json(v["retailer_data"]).alias("retailer_data"), v["retailer_data"].isNotNull().alias("_p_data"), *extra,
     ).where(F.col("order_id").isNotNull())
+
+
+def order_rows(scanned: DataFrame) -> DataFrame:
+    """A5 of a batch that several folds read: ``payload_columns`` with the items
+    as an array of ``ITEM_TYPE`` and their number. A VARIANT holds the names of
+    its whole page, so a kept order of VARIANT members is many times this."""
+    items = F.try_variant_get(F.col("v")["items"], "$", f"array<{ITEM_TYPE}>")
+    return payload_columns(scanned, items.alias("items")).withColumn("n_items", F.coalesce(F.when(F.col("items").isNotNull(), F.size("items")), F.lit(0)))
+
+
+def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_col: str | None = None,
+                 place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Fold every payload of an order (in ``ord`` order) into one row.
+
+    * status, currency_code, shipping_address, retailer_data: last payload holding the key
+      (an explicit JSON null overwrites, an absent key keeps the old value);
+    * order_date, supplier_id: last payload where they parse;
+    * subtotal / tax / total: the last payload (absent -> 0.0);
+    * retailer, order_reference: from the first payload (insert only).
+
+    ``existing`` rows (same columns as the result) act as payload zero with
+    every key present; existing orders without a new payload are passed
+    through unchanged. ``items_col`` adds the last payload's items as JSON text
+    (``items_from`` flattens them), so orders and items take one pass.
+
+    ``scanned`` may also be ``order_rows``. ``place``, for a table that is
+    written anew, adds columns that the key decides and deals the rows out by
+    them; they come first in the result, which then needs no further shuffle."""
+    extra = [F.to_json(F.col("v")["items"]).alias(items_col)] if items_col else []
+    rows = payload_columns(scanned, *extra) if "v" in scanned.columns else scanned.drop("items", "n_items")
+    if existing is not None:  # payload zero comes first; without one the payloads' own order will do
+        rows = rows.withColumn("ord", F.struct(F.lit(1).alias("_src"), F.col("ord").alias("_o")))
     untouched = None
     if existing is not None:
         if "retailer_data" not in existing.columns:  # a table stored before the column was
             existing = existing.withColumn("retailer_data", F.lit(None).cast("string"))
         # only orders present in the new payloads are merged; the others pass
-        # through an anti join (no aggregation of the whole existing table)
-        batch_keys = rows.select("order_id").distinct()
-        untouched = existing.join(batch_keys, "order_id", "left_anti")
-        old = existing.join(batch_keys, "order_id", "left_semi").select(
+        # through an anti join (no aggregation of the whole existing table), or,
+        # where all rows are dealt out anyway, are merged with nothing
+        merged_too = existing
+        if place is None:
+            batch_keys = rows.select("order_id").distinct()
+            untouched = existing.join(batch_keys, "order_id", "left_anti")
+            merged_too = existing.join(batch_keys, "order_id", "left_semi")
+        old = merged_too.select(
             F.struct(F.lit(0).alias("_src"), F.lit(None).cast(rows.schema["ord"].dataType["_o"].dataType)
                      .alias("_o")).alias("ord"),
             "order_id", "retailer", "order_reference", "order_date",
@@ -113,7 +137,9 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
         rows = old.unionByName(rows)
     # columns taken from the same payload share one aggregate, as each holds its own ``ord``
     last = ["subtotal", "tax", "total", *([items_col] if items_col else [])]
-    merged = rows.groupBy("order_id").agg(
+    placed = rows if place is None else place(rows)
+    within = [c for c in placed.columns if c not in rows.columns]
+    merged = placed.groupBy(*within, "order_id").agg(
         F.min_by(F.struct("retailer", "order_reference"), "ord").alias("_first"),
         _last_present(F.col("order_date"), F.col("order_date").isNotNull()).alias("order_date"),
         _last_present(F.col("status"), F.col("_p_status")).alias("status"),
@@ -122,7 +148,7 @@ def merge_orders(scanned: DataFrame, existing: DataFrame | None = None, items_co
         F.max_by(F.struct(*last), "ord").alias("_last"),
         _last_present(F.col("shipping_address"), F.col("_p_ship")).alias("shipping_address"),
         _last_present(F.col("retailer_data"), F.col("_p_data")).alias("retailer_data"),
-    ).select("order_id", "_first.*", "order_date", "status", "supplier_id", "currency_code",
+    ).select(*within, "order_id", "_first.*", "order_date", "status", "supplier_id", "currency_code",
              *[f"_last.{c}" for c in last[:3]], "shipping_address", "retailer_data", *[f"_last.{c}" for c in last[3:]])
     if untouched is None:
         return merged
@@ -138,21 +164,29 @@ ITEM_TYPE = "struct<" + ", ".join([*(f"{c}: string" for c in (*ITEM_FIELDS, "qua
                                    *(f"{c}: double" for c in ITEM_NUMBERS)]) + ">"
 
 
+def _item_columns(it: Column) -> dict[str, Column]:
+    """The flat columns of an item of ``ITEM_TYPE``."""
+    return {c: it[c] for c in ITEM_FIELDS} | {
+        "quantity": F.coalesce(strict_int(it["quantity"]), F.lit(0))} | {
+        c: F.coalesce(it[c], F.lit(0.0)) for c in ITEM_NUMBERS} | {
+        "promised_date": J.parse_iso_ts(it["promised_date"])}
+
+
 def items_from(orders: DataFrame, items_col: str) -> DataFrame:
     """(order_id, flat item columns) of orders with an item array as JSON text."""
     array = F.try_variant_get(F.try_parse_json(items_col), "$", f"array<{ITEM_TYPE}>")
     return orders.select("order_id", F.explode(array).alias("it")).select(
-        "order_id", *[F.col(f"it.{c}").alias(c) for c in ITEM_FIELDS],
-        F.coalesce(strict_int(F.col("it.quantity")), F.lit(0)).alias("quantity"),
-        *[F.coalesce(f"it.{c}", F.lit(0.0)).alias(c) for c in ITEM_NUMBERS],
-        J.parse_iso_ts("it.promised_date").alias("promised_date"))
+        "order_id", *[c.alias(name) for name, c in _item_columns(F.col("it")).items()])
 
 
 def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
-                  fk: str = "order_id") -> DataFrame:
+                  fk: str = "order_id", place: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Items of every touched order are replaced by the items of its last
     payload; items of untouched orders are kept. One scan and one aggregation:
-    the last payload's item array per order, then one row per item."""
+    the last payload's item array per order, then one row per item. ``place`` is
+    that of ``merge_orders``; ``scanned`` is ``order_rows`` with it."""
+    if place is not None:
+        return _replaced_in_place(scanned, existing_items, fk, place)
     items = F.to_json(F.col("v")["items"])
     last = (scanned.select(order_key(F.col("v")).alias("order_id"), "ord", items.alias("_items"))
             .where(F.col("order_id").isNotNull())
@@ -165,6 +199,50 @@ def replace_items(scanned: DataFrame, existing_items: DataFrame | None = None,
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def _replaced_in_place(rows: DataFrame, existing_items: DataFrame | None, fk: str, place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """I6 with one shuffle of both tables: payloads stand before the stored
+    items of their order, newest first; the first payload is kept, or else all
+    stored items."""
+    rows = rows.select(F.col("order_id").alias(fk), "ord", "n_items", "items")
+    stored = [] if existing_items is None else [c for c in existing_items.columns if c != fk]
+    if stored:
+        old = existing_items.select(fk, F.struct(*stored).alias("_old"))
+        rows = rows.unionByName(old, allowMissingColumns=True)
+    placed = place(rows)
+    within = [c for c in placed.columns if c not in rows.columns]
+    # of payloads at one place the one with more items, as ``items_after`` counts them
+    newest = Window.partitionBy(*within, fk).orderBy(F.col("ord").desc_nulls_last(), F.col("n_items").desc())
+    first = placed.select("*", F.row_number().over(newest).alias("_n"), F.rank().over(newest).alias("_rank")).where(
+        "_n = 1 OR (ord IS NULL AND _rank = 1)").drop("_n", "_rank")
+    is_new = F.col("ord").isNotNull()
+    none = F.lit(None).cast(first.schema["items"].dataType.elementType)
+    flat = first.select(*within, fk, is_new.alias("_new"), *(["_old"] if stored else []),
+                        F.explode(F.when(is_new, F.col("items")).otherwise(F.array(none))).alias("it"))
+    columns = _item_columns(F.col("it"))
+    if stored:
+        columns = {c: F.when(F.col("_new"), columns.get(c)).otherwise(F.col("_old")[c] if c in stored else None)
+                   for c in [*stored, *(c for c in columns if c not in stored)]}
+    return flat.select(*within, fk, *[c.alias(name) for name, c in columns.items()])
+
+
+def items_after(rows: DataFrame, existing_items: DataFrame | None = None, fk: str = "order_id") -> DataFrame:
+    """(key, n): how many items ``replace_items`` leaves each order with, from
+    keys and counts alone."""
+    counts = rows.select(F.col("order_id").alias(fk), "ord", "n_items", F.lit(0).alias("_kept"))
+    if existing_items is not None:
+        counts = counts.unionByName(existing_items.select(fk, F.lit(1).alias("_kept")), allowMissingColumns=True)
+    last = F.max_by("n_items", F.when(F.col("ord").isNotNull(), F.struct("ord", "n_items")))
+    return counts.groupBy(fk).agg(F.coalesce(last.cast("bigint"), F.sum("_kept")).alias("n")).where("n > 0")
+
+
+def orders_after(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """(key, n): the orders that ``merge_orders`` leaves, one row each."""
+    keys = rows.select("order_id")
+    if existing is not None:
+        keys = keys.unionByName(existing.select("order_id"))
+    return keys.distinct().withColumn("n", F.lit(1).cast("bigint"))
+
+
 def filter_orders(orders: DataFrame, status: str | None = None, retailer: str | None = None,
                   date_from: str | None = None, date_to: str | None = None,
                   date_col: str = "order_date") -> DataFrame:

@@ -3,6 +3,7 @@ tables, and resolving the shared checkpoint directory."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -72,6 +73,13 @@ def tables(spark: SparkSession, sf_dir: str, names) -> dict[str, DataFrame]:
     return {n: table(spark, sf_dir, n) for n in names}
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of steps that are over: it
+    does when the driver collects their objects, by itself every half hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal the rows of a scan into ``spark.sql.shuffle.partitions`` tasks by
     hash of ``keys`` (round robin without keys), for CPU-heavy work per row. A

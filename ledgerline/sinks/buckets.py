@@ -25,8 +25,11 @@ from ledgerline.sinks import commitlog as CL
 
 #: Rows of a bucket, at most, unless they are of one key.
 BUCKET_ROWS = 1_000_000
-#: Bits of a key hash that buckets may use.
+#: Bits of a key hash that buckets may use, and other ones that tasks of a bucket do.
 MOST_BITS = 48
+SLICE_BITS = 3
+#: Compression of a bucket's files.
+CODEC = "zstd"
 ROOT = {"depth": 0, "code": 0, "rows": 0, "folder": None}
 
 
@@ -58,8 +61,9 @@ def with_bucket(rows: DataFrame, key: str, buckets: list[dict]) -> DataFrame:
         return rows.where(last_bits(h, only["depth"]) == only["code"]).select(
             "*", F.lit(only["depth"]).alias("depth"), F.lit(only["code"]).cast("bigint").alias("code"))
     places = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), last_bits(h, d).alias("code")) for d in depths]))
+    # the directory is the driver's own list; without statistics of it the rows would be shuffled and sorted to meet it
     return rows.select("*", places.alias("_at")).select("*", "_at.depth", "_at.code").drop("_at").join(
-        _directory_rows(rows.sparkSession, buckets), ["depth", "code"]).select(*rows.columns, "depth", "code")
+        F.broadcast(_directory_rows(rows.sparkSession, buckets)), ["depth", "code"]).select(*rows.columns, "depth", "code")
 
 
 def touched(keys: DataFrame, key: str, buckets: list[dict]) -> list[dict]:
@@ -88,38 +92,53 @@ def split_depth(bucket: dict, rows: int, keys: int, limit: int) -> int:
     return min(MOST_BITS, bucket["depth"] + math.ceil(math.log2(min(rows / limit, keys))))
 
 
-def rewritten(content: DataFrame, base: str, table: str, key: str, old: list[dict], limit: int) -> list[dict]:
+def dealt_out(rows: DataFrame, key: str, buckets: list[dict]) -> DataFrame:
+    """Rows with (depth, code, slice), where the rows of these are: a bucket is
+    folded and written in up to 2 ** ``SLICE_BITS`` tasks."""
+    part = F.shiftrightunsigned(hash_of(key), 64 - SLICE_BITS).alias("slice")
+    # of a single bucket depth and code are constants, which no grouping counts as columns
+    by = ["depth", "code", "slice"] if len(buckets) > 1 else ["slice"]
+    return with_bucket(rows, key, buckets).select("*", part).repartition(*by)
+
+
+def rewritten(counts: DataFrame, content: Callable[[Callable[[DataFrame], DataFrame]], DataFrame], base: str, table: str,
+              key: str, old: list[dict], limit: int) -> list[dict]:
     """Write the new content of the buckets ``old``, split where they are too
-    large; returns the buckets that stand in their place."""
-    spark = content.sparkSession
-    content = content.persist(StorageLevel.DISK_ONLY)  # read three times, and may be the whole table
+    large; returns the buckets that stand in their place. ``counts`` has the
+    rows (n) that each key will have; ``content`` deals its rows out by the
+    function that it gets, so they are shuffled once, to where they are written,
+    and never kept."""
+    counts = counts.persist(StorageLevel.DISK_ONLY)  # read twice
     try:
-        sizes = {(r["depth"], r["code"]): (r["rows"], r["keys"]) for r in with_bucket(content, key, old).groupBy("depth", "code").agg(
-            F.count("*").alias("rows"), F.when(F.min(hash_of(key)) != F.max(hash_of(key)), F.greatest(F.lit(2), F.approx_count_distinct(key))).otherwise(1).alias("keys")).collect()}
+        sizes = {(r["depth"], r["code"]): (r["rows"], r["keys"]) for r in with_bucket(counts, key, old).groupBy("depth", "code").agg(
+            F.sum("n").alias("rows"), F.count("*").alias("keys")).collect()}
         parts = []
         for b in old:
             depth = split_depth(b, *sizes.get((b["depth"], b["code"]), (0, 0)), limit)
             parts += [{**ROOT, "depth": depth, "code": b["code"] | more << b["depth"]} for more in range(1 << depth - b["depth"])]
-        placed = with_bucket(content, key, parts)
-        counts = {(r["depth"], r["code"]): r["count"] for r in placed.groupBy("depth", "code").count().collect()}
-        folder = CL.stage(placed.repartition("depth", "code"), base, table, ("depth", "code"))
+        numbers = {(r["depth"], r["code"]): r["rows"] for r in with_bucket(counts, key, parts).groupBy("depth", "code").agg(
+            F.sum("n").alias("rows")).collect()}
     finally:
-        content.unpersist()
+        counts.unpersist()
+    folder = CL.stage(content(lambda rows: dealt_out(rows, key, parts)).drop("slice"), base, table, ("depth", "code"), CODEC)
     for p in parts:
-        p["rows"] = counts.get((p["depth"], p["code"]), 0)
+        p["rows"] = numbers.get((p["depth"], p["code"]), 0)
         p["folder"] = f"{folder}/depth={p['depth']}/code={p['code']}" if p["rows"] else None
     return parts
 
 
 def update(state: dict, base: str, table: str, key: str, keys: DataFrame,
-           fold: Callable[[DataFrame | None], DataFrame], limit: int = BUCKET_ROWS) -> list[dict]:
+           counts: Callable[[DataFrame | None], DataFrame],
+           fold: Callable[[DataFrame | None, Callable[[DataFrame], DataFrame]], DataFrame], limit: int = BUCKET_ROWS) -> list[dict]:
     """Replace the content of the buckets that ``keys`` fall into by ``fold``
-    of it (None: they are empty); returns the buckets written."""
+    of it (None: they are empty), of which ``counts`` gives the rows of each key
+    (see ``rewritten``); returns the buckets written."""
     buckets = directory(state, table)
     old = touched(keys, key, buckets)
     if not old:
         return []
-    new = rewritten(fold(read_buckets(keys.sparkSession, base, old)), base, table, key, old, limit)
+    stored = read_buckets(keys.sparkSession, base, old)
+    new = rewritten(counts(stored), lambda place: fold(stored, place), base, table, key, old, limit)
     gone = {(b["depth"], b["code"]) for b in old}
     state["buckets"][table] = sorted([b for b in buckets if (b["depth"], b["code"]) not in gone] + new,
                                      key=lambda b: (b["depth"], b["code"]))
@@ -155,7 +174,7 @@ def compact(spark: SparkSession, base: str, table: str, key: str, limit: int = B
         rows = read_buckets(spark, base, small)
         new = [b for b, _ in groups]
         if rows is not None:
-            new = rewritten(rows, base, table, key, new, limit)
+            new = rewritten(rows.groupBy(key).agg(F.count("*").alias("n")), lambda place: place(rows), base, table, key, new, limit)
         state["buckets"][table] = sorted([b for b in buckets if b not in small] + new, key=lambda b: (b["depth"], b["code"]))
         gone = len(small) - len(new)
         return state

@@ -8,7 +8,8 @@ replaced (I6).
   parsed, by a stateful operator whose state is the digests of that time. Time
   is that of the batch that brings a page, so no page is ever late.
 * Both tables are in buckets that split as they grow (``sinks.buckets``); a
-  batch reads and writes the buckets that its orders fall into.
+  batch reads and writes the buckets that its orders fall into. While it does,
+  the batch's orders are in files of plain columns under ``BATCHES``.
 * Orders, items and the batch's number become visible by one commit
   (``sinks.commitlog``): a replayed batch that was committed is left out, and
   another writer's commit in between makes the batch merge anew into its result.
@@ -29,7 +30,9 @@ from ledgerline.sinks import commitlog as CL
 PAGE_SCHEMA = "page_no bigint, payload string"
 #: How far back a fetch reaches, fixed value.
 LOOK_BACK = "2 hours"
-TABLES = (("orders", O.merge_orders), ("order_items", O.replace_items))
+TABLES = (("orders", O.orders_after, O.merge_orders), ("order_items", O.items_after, O.replace_items))
+#: Folder of batches that are being merged.
+BATCHES = "_batches"
 
 
 def _scan_batch(batch: DataFrame, batch_id: int) -> DataFrame:
@@ -50,22 +53,31 @@ def make_order_handler(out_dir: str, bucket_rows: int = B.BUCKET_ROWS, writer: s
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # the pages of one micro-batch are parsed once for orders and items, and
-        # kept on disk: a first fetch is the whole table
-        scanned = _scan_batch(batch, batch_id).persist(StorageLevel.DISK_ONLY)
+        staged: list[str] = []
+
+        def change(state: dict) -> dict | None:
+            if state["applied"].get(writer, -1) >= batch_id:
+                return None
+            parsed = O.order_rows(_scan_batch(batch, batch_id))
+            if not staged:
+                # the pages of one micro-batch are parsed once for orders and items, and
+                # their plain columns kept in files: a first fetch is the whole table
+                staged.append(CL.stage(parsed, out_dir, BATCHES, codec=B.CODEC))
+            rows = spark.read.schema(parsed.schema).parquet(f"{out_dir.rstrip('/')}/{staged[0]}")
+            keys = rows.select("order_id").distinct().persist(StorageLevel.DISK_ONLY)
+            try:
+                written = [B.update(state, out_dir, name, "order_id", keys, lambda old, c=counts: c(rows, old),
+                                    lambda old, place, f=fold: f(rows, old, place=place), bucket_rows)
+                           for name, counts, fold in TABLES]
+            finally:
+                keys.unpersist()
+            state["applied"][writer] = batch_id
+            return state if any(written) else None
         try:
-            keys = scanned.select(O.order_key(F.col("v")).alias("order_id")).where("order_id is not null")
-
-            def change(state: dict) -> dict | None:
-                if state["applied"].get(writer, -1) >= batch_id:
-                    return None
-                written = [B.update(state, out_dir, name, "order_id", keys, lambda old, f=fold: f(scanned, old), bucket_rows)
-                           for name, fold in TABLES]
-                state["applied"][writer] = batch_id
-                return state if any(written) else None
             CL.transact(spark, out_dir, change)
         finally:
-            scanned.unpersist()
+            for folder in staged:
+                CL.discard(spark, out_dir, folder)
     return handle
 
 

@@ -230,3 +230,84 @@ def test_an_ingest_keeps_its_batch_on_disk(spark, tmp_path, monkeypatch):
     OI.make_order_handler(str(tmp_path / "out"))(_page(spark, *_orders(range(1, 9), "new", 2)), 0)
     assert len(levels) == 3 and not any(level.useMemory for level in levels)
     assert OI.read_orders(spark, str(tmp_path / "out"), "order_items").count() == 16
+
+
+def test_an_ingest_keeps_keys_and_packed_files_only(spark, tmp_path, monkeypatch):
+    """Parsed orders, which held the names of their page with each VARIANT, and
+    the buckets' new content were kept as they were; that took more disk than pages."""
+    from ledgerline.streaming import order_ingest as OI
+    kept, staged = [], []
+    kind, writer = type(spark.range(1)), type(spark.range(1).write)
+    persist, parquet = kind.persist, writer.parquet
+    monkeypatch.setattr(kind, "persist", lambda df, *level: (kept.append(set(df.columns)), persist(df, *level))[1])
+    monkeypatch.setattr(writer, "parquet", lambda w, path, **k: (staged.append((path, k.get("compression"))), parquet(w, path, **k))[1])
+    out = str(tmp_path / "out")
+    handle = OI.make_order_handler(out, bucket_rows=40)
+    for batch in range(2):
+        handle(_page(spark, *_orders(range(1, 200), "new", 2)), batch)
+    assert kept and all(c <= {"order_id", "n"} for c in kept)
+    assert len(staged) == 6 and {codec for _, codec in staged} == {"zstd"}
+    assert not os.listdir(os.path.join(out, OI.BATCHES))  # a batch that is merged leaves nothing
+    assert OI.read_orders(spark, out, "order_items").count() == 398
+
+
+def test_orders_land_in_packed_files(spark):
+    """Pages landed as plain text, which is 15 times the tables that they are built from."""
+    from ledgerline.plans import q_stream
+    pages = os.path.join(os.path.dirname(q_stream.ingested(spark, SMALL).removeprefix("file:")), "pages")
+    names = [n for n in os.listdir(pages) if n.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+
+
+def _placed(rows):
+    return rows.withColumn("place", F.pmod(F.hash("order_id"), F.lit(3))).repartition("place")
+
+
+def _batches(spark):
+    """(first, later): scanned payloads in which orders come once, again, twice, and without items."""
+    import json
+    import random
+
+    from ledgerline.operators import orders as O
+    rng, out = random.Random(5), []
+    for batch in (1, 2):
+        rows = []
+        for page in range(12):
+            orders = []
+            for pos in range(rng.randrange(9)):
+                k = rng.randrange(1, 60)
+                o = {"id": k, "retailer": f"R{batch}{page}", "total": pos}
+                for name, value in (("status", rng.choice(["a", None])), ("order_date", rng.choice(["2024-01-02", "x"])),
+                                    ("supplier", rng.choice([7, {"id": "8"}, "-"])), ("items", [ITEM | {"name": f"{batch} {page} {n}"} for n in range(rng.randrange(3))]),
+                                    ("shipping_address", {"city": f"C{page}"})):
+                    if rng.random() < 0.7:
+                        o[name] = value
+                orders.append(o)
+            rows.append((batch * 100 + page, json.dumps({"results": orders})))
+        out.append(O.scan_pages(spark.createDataFrame(rows, "page_no long, payload string")))
+    return out
+
+
+def test_items_replaced_in_place_are_those_of_the_plain_step(spark):
+    from ledgerline.operators import orders as O
+    first, later = _batches(spark)
+    rows = O.order_rows(first)
+    stored = O.replace_items(rows, place=_placed)
+    assert stored.columns[0] == "place" and stored._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    stored = stored.drop("place").localCheckpoint()
+    want = O.replace_items(first)
+    key = repr
+    assert stored.columns == want.columns and stored.count() and sorted(stored.collect(), key=key) == sorted(want.collect(), key=key)
+    rows = O.order_rows(later)
+    both = O.replace_items(rows, stored, place=_placed).drop("place")
+    want = sorted(O.replace_items(later, stored).collect(), key=key)
+    assert sorted(both.collect(), key=key) == want
+    counts = {}
+    for r in want:
+        counts[r.order_id] = counts.get(r.order_id, 0) + 1
+    assert {r.order_id: r.n for r in O.items_after(rows, stored).collect()} == counts
+    # a table stored with fewer columns, and with one more
+    odd = stored.drop("tax").withColumn("note", F.lit("n"))
+    got = O.replace_items(rows, odd, place=_placed).drop("place")
+    want = O.replace_items(later, odd)
+    assert sorted(got.select(sorted(got.columns)).collect(), key=key) == sorted(want.select(sorted(want.columns)).collect(), key=key)
