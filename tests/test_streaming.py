@@ -311,3 +311,21 @@ def test_items_replaced_in_place_are_those_of_the_plain_step(spark):
     got = O.replace_items(rows, odd, place=_placed).drop("place")
     want = O.replace_items(later, odd)
     assert sorted(got.select(sorted(got.columns)).collect(), key=key) == sorted(want.select(sorted(want.columns)).collect(), key=key)
+
+
+def test_orders_merged_in_place_are_those_of_the_plain_step(spark):
+    """One shuffle deals payloads and stored orders out to where they are merged and written; there were four."""
+    from ledgerline.operators import orders as O
+    first, later = _batches(spark)
+    stored = O.merge_orders(O.order_rows(first), place=_placed)
+    assert stored.columns[0] == "place" and stored._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    stored = stored.drop("place").localCheckpoint()
+    want = O.merge_orders(first)
+    assert stored.columns == want.columns and sorted(stored.collect(), key=repr) == sorted(want.collect(), key=repr)
+    rows = O.order_rows(later)
+    both = O.merge_orders(rows, stored, place=_placed)
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    want = O.merge_orders(later, stored).collect()
+    assert len(want) > 40 and sorted(both.drop("place").collect(), key=repr) == sorted(want, key=repr)
+    assert {(r.order_id, r.n) for r in O.orders_after(rows, stored).collect()} == {(r.order_id, 1) for r in want}
+    assert sorted(O.merge_orders(O.order_rows(first)).collect(), key=repr) == sorted(O.merge_orders(first).collect(), key=repr)
