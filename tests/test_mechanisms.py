@@ -340,3 +340,41 @@ def test_sorted_rows_are_numbered_where_they_are(spark):
     assert sorted((r.position, r.k) for r in rows) == list(enumerate(ks, 1))
     assert parts > 1 and not called
     assert in_order(spark.range(0).orderBy("id")).collect() == []
+
+
+def test_ordered_diff_moves_texts_and_not_their_lines(spark):
+    """Each line was a row of a dozen shuffles and four checkpoints, with its document's key."""
+    from conftest import SMALL
+
+    from ledgerline.plans.registry import load_all
+    a = spark.createDataFrame([(k, f"x\ny {k}\nz") for k in range(9)], "doc_id long, text string")
+    b = spark.createDataFrame([(k, f"x\nz\ny {k % 5}") for k in range(1, 11)], "doc_id long, text string")
+    plan = OD.ordered_diff(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and plan.count("MapInArrow") == 1 and "Window" not in plan and "Generate" not in plan
+    diff = load_all()["f9_ordered_diff"].build(spark, SMALL)
+    assert diff.count() > 0
+    plan = diff._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_ordered_diff_needs_no_package_on_workers():
+    """A worker that can't import the package gets its functions by value."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    code = "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read())([b'a', b'b', b'a'], [b'b', b'a', b'c'], 1))"
+    got = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(OD.hunk_rows), cwd="/", capture_output=True, check=True)
+    assert got.stdout.decode().strip() == str([(1, "-", 1, None, b"a"), (1, " ", 2, 1, b"b"), (1, " ", 3, 2, b"a"), (1, "+", None, 3, b"c")])
+
+
+def test_hunks_of_large_documents_keep_their_positions(spark):
+    """Rows leave in parts of a bounded number; a document's positions go on over them."""
+    n = 3 * OD.ROWS_OUT + 7
+    a = spark.createDataFrame([(1, "a\n"), (2, None), (3, "b")], "doc_id long, text string")
+    b = spark.sql(f"SELECT CAST(id AS bigint) AS doc_id, array_join(transform(sequence(1, {n}), x -> concat('l', x)), '\n') AS text FROM range(1, 3)")
+    rows = OD.ordered_diff(a, b)
+    assert sorted((r.doc_id, r.low, r.high, r.n, r.hunks) for r in rows.groupBy("doc_id").agg(
+        F.min("position").alias("low"), F.max("position").alias("high"), F.count_distinct("position").alias("n"),
+        F.count_distinct("hunk").alias("hunks")).collect()) == [(1, 1, n + 1, n + 1, 1), (2, 1, n, n, 1), (3, 1, 1, 1, 1)]
+    assert rows.where("op = '+' AND line <> concat('l', after_line)").count() == 0
