@@ -6,7 +6,8 @@ replaced (I6).
 * Look-back: each fetch asks for some hours back, so the same pages come again.
   A page whose text was taken within ``LOOK_BACK`` is dropped before it is
   parsed, by a stateful operator whose state is the digests of that time. Time
-  is that of the batch that brings a page, so no page is ever late.
+  is that of the batch that brings a page, so no page is ever late. The operator
+  moves digests only; the pages of those that it leaves are read from their files.
 * Both tables are in buckets that split as they grow (``sinks.buckets``); a
   batch reads and writes the buckets that its orders fall into. While it does,
   the batch's orders are in files of plain columns under ``BATCHES``.
@@ -19,6 +20,9 @@ Payload order across batches is (batch, page, position).
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -43,9 +47,24 @@ def _scan_batch(batch: DataFrame, batch_id: int) -> DataFrame:
 
 
 def once_within(pages: DataFrame, look_back: str = LOOK_BACK) -> DataFrame:
-    """Pages of a stream without those whose payload came within ``look_back`` before."""
-    seen = pages.withColumn("_seen", F.current_timestamp()).withColumn("_digest", F.sha2("payload", 256))
-    return seen.withWatermark("_seen", look_back).dropDuplicatesWithinWatermark(["_digest"]).drop("_seen", "_digest")
+    """(file, digest) of a stream's pages, without those whose payload came within ``look_back`` before."""
+    seen = pages.select(F.col("_metadata.file_path").alias("file"), F.sha2("payload", 256).alias("digest"),
+                        F.current_timestamp().alias("_seen"))
+    return seen.withWatermark("_seen", look_back).dropDuplicatesWithinWatermark(["digest"]).drop("_seen")
+
+
+def pages_of(kept: DataFrame) -> DataFrame | None:
+    """The pages that ``once_within`` left, from their files; None without any.
+    Where it left all pages of these files they are read as they are, without a
+    join; else a page that stands in them twice comes twice, which folds to the same."""
+    files = sorted(unquote(r["file"]) for r in kept.select("file").distinct().collect())
+    if not files:
+        return None
+    pages = kept.sparkSession.read.schema(PAGE_SCHEMA).json([re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in files])
+    pages = pages.where("payload is not null")
+    if pages.count() == kept.where("digest is not null").count():
+        return pages
+    return pages.withColumn("digest", F.sha2("payload", 256)).join(kept.select("digest"), "digest", "left_semi").drop("digest")
 
 
 def make_order_handler(out_dir: str, bucket_rows: int = B.BUCKET_ROWS, writer: str = "order_ingest"):
@@ -89,7 +108,13 @@ def start_order_ingest(spark: SparkSession, pages_dir: str, out_dir: str, checkp
         r = r.option("maxFilesPerTrigger", max_files)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        make_order_handler(out_dir, bucket_rows, f"order_ingest {CL.stream_id(spark, checkpoint)}")(batch, batch_id)
+        kept = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            pages = pages_of(kept)
+            if pages is not None:
+                make_order_handler(out_dir, bucket_rows, f"order_ingest {CL.stream_id(spark, checkpoint)}")(pages, batch_id)
+        finally:
+            kept.unpersist()
     w = once_within(r.json(pages_dir), look_back).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()

@@ -329,3 +329,28 @@ def test_orders_merged_in_place_are_those_of_the_plain_step(spark):
     assert len(want) > 40 and sorted(both.drop("place").collect(), key=repr) == sorted(want, key=repr)
     assert {(r.order_id, r.n) for r in O.orders_after(rows, stored).collect()} == {(r.order_id, 1) for r in want}
     assert sorted(O.merge_orders(O.order_rows(first)).collect(), key=repr) == sorted(O.merge_orders(first).collect(), key=repr)
+
+
+def test_the_look_back_moves_digests_and_reads_pages_from_their_files(spark, tmp_path):
+    """Whole pages were shuffled to find those that came before."""
+    import json
+
+    from ledgerline.streaming import order_ingest as OI
+    pages, out, checkpoint = (str(tmp_path / d) for d in ("pages 1", "out", "ck"))
+    os.makedirs(pages)
+
+    def fetch(name, *rows):
+        with open(os.path.join(pages, name), "w", encoding="utf-8") as f:
+            f.write("\n".join(r if isinstance(r, str) else json.dumps({"page_no": r[0], "payload": json.dumps({"results": list(r[1:])})}) for r in rows))
+        OI.start_order_ingest(spark, pages, out, checkpoint, available_now=True).awaitTermination()
+        items = {r.order_id: r["count"] for r in OI.read_orders(spark, out, "order_items").groupBy("order_id").count().collect()}
+        return {r.order_id: (r.status, items.get(r.order_id, 0)) for r in OI.read_orders(spark, out).collect()}
+
+    assert OI.once_within(spark.readStream.schema(OI.PAGE_SCHEMA).json(pages)).columns == ["file", "digest"]
+    old, later = {"id": 2, "status": "old", "items": [ITEM]}, {"id": 2, "status": "later", "items": [ITEM] * 2}
+    assert fetch("a [1] {b,c} 50%20d?*.json", (1, {"id": 1, "status": "x", "items": [ITEM]}), (2, old)) == {"1": ("x", 1), "2": ("old", 1)}
+    assert fetch("b.json", (3, later), "no page", (4,)) == {"1": ("x", 1), "2": ("later", 2)}
+    # a page that came before, beside one that stands twice, and a page without text
+    third = (5, {"id": 3, "status": "new", "items": [ITEM] * 3})
+    assert fetch("c.json", (2, old), third, third, '{"page_no": 9}') == {"1": ("x", 1), "2": ("later", 2), "3": ("new", 3)}
+    assert fetch("d.json", (2, old), third) == {"1": ("x", 1), "2": ("later", 2), "3": ("new", 3)}
